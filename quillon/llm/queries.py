@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import table
-from . import bpe, exact
+from . import bpe, exact, mixing
 
 
 def op6_grace_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,8 +42,51 @@ def op7_bpe_merge_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumnRenamed("key", "doc_id")
 
 
+def op4_van_der_corput_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mix(table(spark, sf_dir, "documents"))
+    return out.select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+OP4_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (
+  SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rk FROM s),
+v AS (
+  SELECT *, CAST((rk - 1) % 3 + 1 AS DOUBLE) AS weight, CAST(sum(source_size) OVER () AS DOUBLE) AS total FROM w),
+f AS (
+  SELECT *, 3.0 * CAST(source_size AS DOUBLE) AS cap, sum(weight) OVER () AS weights,
+    row_number() OVER (ORDER BY CAST(source_size AS DOUBLE) / weight, rk) AS fill,
+    coalesce(sum(source_size) OVER (ORDER BY CAST(source_size AS DOUBLE) / weight, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
+    coalesce(sum(weight) OVER (ORDER BY CAST(source_size AS DOUBLE) / weight, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS used_weight
+  FROM v),
+l AS (SELECT *, (total - CAST(3 * used AS DOUBLE)) / (weights - used_weight) AS lev FROM f),
+o AS (SELECT *, min(CASE WHEN cap >= lev * weight THEN fill END) OVER () AS open_at FROM l),
+t AS (
+  SELECT *, fill < coalesce(open_at, fill + 1) AS capped,
+    max(CASE WHEN fill = open_at THEN lev END) OVER () AS final_level FROM o),
+g AS (
+  SELECT source, source_size, capped, CASE WHEN capped THEN cap ELSE final_level * weight END AS target,
+    greatest(1, least(1024, CAST(floor(total / (3000 * (SELECT count(*) FROM s WHERE source_size > 0))) AS BIGINT))) AS words FROM t),
+b AS (SELECT *, CAST(ceil(source_size / words) AS BIGINT) AS blocks FROM g),
+m AS (
+  SELECT *, CASE WHEN capped THEN 3 * blocks ELSE least(3 * blocks, CAST(floor(target * blocks / source_size + 0.5) AS BIGINT)) END AS slots FROM b),
+k AS (
+  SELECT *, slots // greatest(blocks, 1) AS passes, slots % greatest(blocks, 1) AS more FROM m),
+e AS (
+  SELECT *, more * (source_size // greatest(blocks, 1)) + least(more, source_size % greatest(blocks, 1)) AS reach FROM k),
+p AS (
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY md5(CAST(doc_id AS VARCHAR)), doc_id, size ROWS UNBOUNDED PRECEDING) - size AS st FROM d)
+SELECT p.doc_id, p.size, e.source_size, e.target,
+  CAST(p.size * coalesce(e.passes, 0) + greatest(0, least(p.st + p.size, coalesce(e.reach, 0)) - p.st) AS BIGINT) AS taken
+FROM p JOIN e ON p.source IS NOT DISTINCT FROM e.source
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_van_der_corput_mixing": op4_van_der_corput_mixing,
     "op6_grace_hash_dedup": op6_grace_hash_dedup,
     "op7_bpe_merge_rounds": op7_bpe_merge_rounds,
 }
-ORACLE_SQL: dict[str, str] = {"op6_grace_hash_dedup": OP6_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_van_der_corput_mixing": OP4_SQL, "op6_grace_hash_dedup": OP6_SQL}
