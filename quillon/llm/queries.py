@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import table
-from . import bpe, exact, mixing
+from . import bpe, exact, mixing, sharding
 
 
 def op6_grace_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,8 +84,14 @@ FROM p JOIN e ON p.source IS NOT DISTINCT FROM e.source
 """
 
 
+def op5_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shard(table(spark, sf_dir, "documents"), 24)
+    return out.select(F.col("key").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_van_der_corput_mixing": op4_van_der_corput_mixing,
+    "op5_minimax_sharding": op5_minimax_sharding,
     "op6_grace_hash_dedup": op6_grace_hash_dedup,
     "op7_bpe_merge_rounds": op7_bpe_merge_rounds,
 }
