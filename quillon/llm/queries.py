@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import table
-from . import bpe, exact, mixing, sharding, topk
+from . import bpe, exact, mixing, sharding, topk, toxicity
 
 
 def op6_grace_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,11 +106,19 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def op9_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.model_of(docs, table(spark, sf_dir, "labels"))
+    out = toxicity.score(docs, model)
+    return out.select(F.col("key").alias("doc_id"), F.coalesce(toxicity.held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_van_der_corput_mixing": op4_van_der_corput_mixing,
     "op5_minimax_sharding": op5_minimax_sharding,
     "op6_grace_hash_dedup": op6_grace_hash_dedup,
     "op7_bpe_merge_rounds": op7_bpe_merge_rounds,
+    "op9_counterfactual_toxicity": op9_counterfactual_toxicity,
     "op10_ball_tree_top_k": op10_ball_tree_top_k,
 }
 ORACLE_SQL: dict[str, str] = {"op4_van_der_corput_mixing": OP4_SQL, "op6_grace_hash_dedup": OP6_SQL, "op10_ball_tree_top_k": OP10_SQL}
