@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import table
-from . import bpe, exact, mixing, sharding, topk, toxicity
+from . import bpe, exact, html_text, mixing, sharding, topk, toxicity
 
 
 def op6_grace_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,7 +113,12 @@ def op9_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("doc_id"), F.coalesce(toxicity.held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op2_block_tree_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_block_tree_html": op2_block_tree_html,
     "op4_van_der_corput_mixing": op4_van_der_corput_mixing,
     "op5_minimax_sharding": op5_minimax_sharding,
     "op6_grace_hash_dedup": op6_grace_hash_dedup,
