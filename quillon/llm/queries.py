@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import table
-from . import bpe, exact, html_text, mixing, sharding, topk, toxicity
+from . import bpe, exact, html_text, mixing, neardup, sharding, topk, toxicity
 
 
 def op6_grace_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,7 +117,14 @@ def op2_block_tree_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op1_lsh_forest_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = neardup.near_groups(table(spark, sf_dir, "documents"), width=3, percent=85)
+    kept = F.col("key").eqNullSafe(F.col("component"))
+    return out.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), kept.alias("kept"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lsh_forest_near_dedup": op1_lsh_forest_near_dedup,
     "op2_block_tree_html": op2_block_tree_html,
     "op4_van_der_corput_mixing": op4_van_der_corput_mixing,
     "op5_minimax_sharding": op5_minimax_sharding,
