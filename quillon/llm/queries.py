@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import table
-from . import bpe, exact, html_text, mixing, neardup, sharding, topk, toxicity
+from . import bpe, exact, html_text, lines, mixing, neardup, sharding, topk, toxicity
 
 
 def op6_grace_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,6 +123,11 @@ def op1_lsh_forest_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), kept.alias("kept"))
 
 
+def op8_unit_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.repeated_units(table(spark, sf_dir, "documents"))
+    return out.select(F.col("key").alias("doc_id"), F.col("start").alias("start_offset"), F.col("end").alias("end_offset"), F.col("first_key").alias("first_doc_id"), F.col("first_start").alias("first_offset"), "copies")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lsh_forest_near_dedup": op1_lsh_forest_near_dedup,
     "op2_block_tree_html": op2_block_tree_html,
@@ -130,6 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_minimax_sharding": op5_minimax_sharding,
     "op6_grace_hash_dedup": op6_grace_hash_dedup,
     "op7_bpe_merge_rounds": op7_bpe_merge_rounds,
+    "op8_unit_hash_dedup": op8_unit_hash_dedup,
     "op9_counterfactual_toxicity": op9_counterfactual_toxicity,
     "op10_ball_tree_top_k": op10_ball_tree_top_k,
 }
