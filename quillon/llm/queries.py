@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import table
-from . import bpe, exact, html_text, lines, mixing, neardup, sharding, topk, toxicity
+from . import bpe, exact, html_text, lines, mixing, neardup, sharding, suffixes, topk, toxicity
 
 
 def op6_grace_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,9 +128,15 @@ def op8_unit_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("doc_id"), F.col("start").alias("start_offset"), F.col("end").alias("end_offset"), F.col("first_key").alias("first_doc_id"), F.col("first_start").alias("first_offset"), "copies")
 
 
+def op3_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.repeated_spans(table(spark, sf_dir, "documents"))
+    return out.select(F.col("key").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lsh_forest_near_dedup": op1_lsh_forest_near_dedup,
     "op2_block_tree_html": op2_block_tree_html,
+    "op3_prefix_free_parsing": op3_prefix_free_parsing,
     "op4_van_der_corput_mixing": op4_van_der_corput_mixing,
     "op5_minimax_sharding": op5_minimax_sharding,
     "op6_grace_hash_dedup": op6_grace_hash_dedup,
