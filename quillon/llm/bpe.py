@@ -21,7 +21,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from functools import lru_cache
+from functools import lru_cache, partial
 from itertools import chain
 
 import numpy as np
@@ -252,8 +252,8 @@ def _slices(batches, chars: int):
             yield b.slice(i, step)
 
 
-def _digests(path: str, id_type: pa.DataType):
-    schema = pa.schema([("key", id_type), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+def _digests(path: str, id_type: pa.DataType, with_ids: bool = False):
+    schema = pa.schema([("key", id_type), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string()), *([("ids", pa.list_(pa.int32()))] if with_ids else [])])
 
     def run(batches):
         bpe = load(path)
@@ -262,7 +262,8 @@ def _digests(path: str, id_type: pa.DataType):
             wide = flat.astype("<u4")
             ids = [hashlib.sha256(wide[a:z].tobytes()).hexdigest() for a, z in zip(start[:-1].tolist(), start[1:].tolist())]
             text = [hashlib.sha256(x).hexdigest() for x in bpe.decode_batch(flat, start)]
-            yield pa.record_batch([b.column(0), pa.array(np.diff(start)), pa.array(ids), pa.array(text)], schema=schema)
+            more = [pa.ListArray.from_arrays(pa.array(start.astype(np.int32)), pa.array(flat.astype(np.int32)))] if with_ids else []
+            yield pa.record_batch([b.column(0), pa.array(np.diff(start)), pa.array(ids), pa.array(text), *more], schema=schema)
 
     return run
 
@@ -294,14 +295,14 @@ def _texts(path: str, id_type: pa.DataType):
     return run
 
 
-def _apply(docs: DataFrame, id_col: str, col, make, path: str, fields: list[tuple[str, str]]) -> DataFrame:
+def _apply(docs: DataFrame, id_col: str, col, make, path: str, fields: list[tuple[str, T.DataType]]) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
     source = docs.select(F.col(id_col).alias("key"), col)
     kind = source.schema["key"].dataType
     schema = T.StructType().add("key", kind)
     for name, t in fields:
-        schema = schema.add(name, t) if isinstance(t, T.DataType) else schema.add(name, t)
+        schema = schema.add(name, t)
     return source.mapInArrow(make(path, to_arrow_type(kind)), schema)
 
 
@@ -315,6 +316,9 @@ def decode(encoded: DataFrame, path: str, id_col: str = "key", ids_col: str = "i
     return _apply(encoded, id_col, F.col(ids_col).alias("ids"), _texts, path, [("text", T.StringType())])
 
 
-def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``key, n_tokens, ids_sha256, decoded_sha256``: each text encoded, and its ids decoded again."""
-    return _apply(docs, id_col, text_or_empty(text_col).alias("text"), _digests, path, [("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string")])
+def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """``key, n_tokens, ids_sha256, decoded_sha256`` (and ``ids``): each text encoded, and its ids decoded again."""
+    fields = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
+    if with_ids:
+        fields.append(("ids", T.ArrayType(T.IntegerType())))
+    return _apply(docs, id_col, text_or_empty(text_col).alias("text"), partial(_digests, with_ids=with_ids), path, fields)

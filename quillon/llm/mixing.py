@@ -153,3 +153,18 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rest = by_source.select(F.col("source").alias("s"), "source_size", "target")
     empty = sizes.where("size = 0").join(rest, F.col("source").eqNullSafe(F.col("s"))).select("key", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
     return out.unionByName(empty)
+
+
+def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The mix as documents: a document stands in it as often as its words are taken (rounded to whole documents).
+
+    A source's extra pass takes a stretch of its line, so rounding touches one document a source. Documents of
+    which nothing is taken go; documents without words weigh nothing in the mix and stay once.
+    """
+    taken = mix(docs, id_col, text_col, source_col, weights, max_repeat, block_words)
+    copies = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor(F.col("taken") / F.greatest(F.col("size"), F.lit(1)) + 0.5)).cast("int")
+    taken = taken.groupBy(F.col("key").alias("__key"), F.col("source").alias("__source"), F.col("size").alias("__words")).agg(F.max(copies).alias("__copies"))
+    rows = docs.withColumn("__size", F.regexp_count(text_or_empty(text_col), F.lit(WORD_CLASS)).cast("long"))
+    same = F.col(id_col).eqNullSafe(F.col("__key")) & F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__size") == F.col("__words"))
+    rows = rows.join(taken.where("__copies > 0").hint("shuffle_hash"), same)
+    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
