@@ -1,74 +1,16 @@
-"""What the operators share: the cluster's shared folder and small helpers."""
+"""What the operators share."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import Staged, cut, shared_dir  # noqa: F401
+
 #: ASCII white space, the only characters that part words or are deleted by normalisation. Fixed values.
 ASCII_SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 WORD_CLASS = "[^\\x20\\x09-\\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir`` that driver and executors share.
-
-    Only where the session sets none (a single machine, as in tests) a temporary folder is used.
-    """
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if conf:
-        if not current.isDefined():
-            spark.sparkContext.setCheckpointDir(conf)
-        return conf.rstrip("/")
-    if current.isDefined():
-        return current.get().rstrip("/")
-    own = tempfile.mkdtemp(prefix="quillon-")
-    spark.sparkContext.setCheckpointDir(own)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the JVM may be gone at interpreter exit
-        pass
-
-
-class Staged:
-    """Tables written to the shared folder: they cut lineage and outlive a lost executor."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
-
-    def write(self, df: DataFrame, label: str) -> DataFrame:
-        path = f"{shared_dir(self.spark)}/{label}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        self.paths.append(path)
-        atexit.register(_delete, self.spark, path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, df_path_index: int) -> None:
-        """Delete a staged table that no later plan reads."""
-        _delete(self.spark, self.paths[df_path_index])
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
