@@ -36,7 +36,7 @@ from .common import text_or_empty
 
 NONE = np.int64(1 << 60)
 #: Words a worker remembers, and characters of words encoded at a time.
-CACHE_WORDS, ROUND_CHARS = 400_000, 4_000_000
+CACHE_WORDS, ROUND_CHARS = 150_000, 1_000_000
 
 
 def _byte_symbols() -> list[str]:
