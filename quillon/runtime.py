@@ -7,6 +7,7 @@ import hashlib
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,6 +60,25 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+@contextmanager
+def dropping_shuffles(spark: SparkSession):
+    """What runs in here has its shuffle files deleted when it ends: its result is a table or a checkpoint by then.
+
+    Without it they stay until the driver happens to collect garbage, and steps that follow each other add up on disk.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    try:
+        before = spark.conf.get(key)
+    except Exception:  # a Spark without the setting
+        yield
+        return
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class Staged:
     """Tables written to the shared folder: they cut lineage and outlive a lost executor."""
 
@@ -67,7 +87,8 @@ class Staged:
 
     def write(self, df: DataFrame, label: str) -> DataFrame:
         path = f"{shared_dir(self.spark)}/{label}-{uuid.uuid4().hex}"
-        df.write.parquet(path)
+        with dropping_shuffles(self.spark):
+            df.select("*").write.parquet(path)
         self.paths.append(path)
         atexit.register(_delete, self.spark, path)
         return self.spark.read.schema(df.schema).parquet(path)
@@ -80,4 +101,5 @@ class Staged:
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with dropping_shuffles(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
