@@ -93,11 +93,12 @@ def remove_units(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", te
     """``docs`` with the removed spans cut out of their texts; ids must be unique here."""
     spans = removed.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("__spans"))
     joined = docs.join(spans.withColumnRenamed("key", "__key"), F.col(id_col).eqNullSafe(F.col("__key")), "left").drop("__key")
-    at, last = docs.columns.index(text_col), len(docs.columns)
+    names = list(docs.columns)
+    at, last = names.index(text_col), len(names)
 
     def run(batches):
         for b in batches:
             texts = [t if t is None or not s else _cut(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(b.column(at).to_pylist(), b.column(last).to_pylist())]
-            yield pa.record_batch([pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(last)], names=docs.columns)
+            yield pa.record_batch([pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(last)], names=names)
 
     return joined.mapInArrow(run, docs.schema)
