@@ -64,7 +64,8 @@ def vocabulary_text(weights: DataFrame, vocab: DataFrame) -> DataFrame:
 def categories(df: DataFrame, id_col: str, fields: list[str], identity: list[str] = (), identity_weight: float = 0.15) -> DataFrame:
     """``id, token, w``: ``field=value`` in lower case; empty values drop out."""
     pairs = [F.struct(F.lit(f).alias("f"), F.substring(F.lower(blank_if_null(F.col(f))), 1, CATEGORY_LIMIT).alias("x"), F.lit(round(WEIGHT * (identity_weight if f in identity else 1.0))).cast("long").alias("w")) for f in [*fields, *identity] if f in df.columns]
-    rows = df.select(F.col(id_col).alias("id"), F.explode(F.array(*pairs)).alias("p"))
+    listed = F.array(*pairs) if pairs else F.array().cast("array<struct<f:string,x:string,w:bigint>>")
+    rows = df.select(F.col(id_col).alias("id"), F.explode(listed).alias("p"))
     return rows.where("p.x <> ''").select("id", F.concat("p.f", F.lit("="), "p.x").alias("token"), F.col("p.w").alias("w"))
 
 
@@ -79,7 +80,7 @@ def numeric_block(df: DataFrame, id_col: str, time: str | None, source_port: str
     ports = [F.col(p) if p and p in df.columns else None for p in (source_port, destination_port)]
     values = [port_value(p) if p is not None else zero for p in ports] + [valid_port(p).cast("double") if p is not None else zero for p in ports]
     if time and time in df.columns:
-        t = F.col(time)
+        t = F.col(time).try_cast("timestamp")
         values += [*cyclic(F.hour(t), 24), *cyclic(F.weekday(t), 7)]
     else:
         values += [zero] * 4
