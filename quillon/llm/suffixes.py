@@ -17,10 +17,10 @@ dictionary's suffixes from the trigger on, and its prefixes up to the trigger re
 in corpus order stays. No hash decides here.
 
 Plan. Triggers (about one in 39 bytes) are counted by key with map-side combination, and joined back where they
-repeat; texts are shuffled twice, once to fetch the phrases that need sorting and once to cut the result. A
-trigger with more than ``HOT`` phrases (the edge of a passage that very many documents share) is not sorted in
-one task: its strings are dealt by their own 128-bit hash and the first of each is found by a key
-aggregation. Joins are plain equi-joins, which adaptive execution splits where a key is hot.
+repeat (a filter of bounded size drops most others first); texts are shuffled twice, once to fetch the phrases
+that need sorting and once to cut the result. A trigger with more than ``HOT`` phrases (the edge of a passage
+that very many documents share) is not sorted in one task: its phrases are halved again and again, and the
+first occurrence of each part is found by a key aggregation over its MD5. Joins are plain equi-joins, which adaptive execution splits where a key is hot.
 
 Defined results. A null text has no bytes. Ids are whole numbers; a null id ranks last. Rows that repeat id
 and text are one document and don't repeat each other; ids are taken as unique otherwise. Texts shorter than
@@ -38,12 +38,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staged, text_or_empty
+from .common import Staged, cut, text_or_empty
 from .neardup import _BASE, _INVERSE, _mix, _powers
 
 LENGTH, GRAM = 100, 24
 #: Phrases of a trigger that are sorted in one task; phrases sorted at a time; bytes parsed at a time.
 HOT, SLAB, CHUNK = 1000, 20_000, 2 << 20
+#: Bits of the filter of repeated triggers that goes to every task (4 MB); with more triggers it only lets more rows through.
+FILTER_BITS = 1 << 25
 #: Stands for a null id: after all others.
 LAST = (1 << 63) - 1
 U = np.uint64
@@ -98,9 +100,12 @@ def _pieces(batches):
         yield np.array(ids, np.int64), np.array(offsets, np.int64), held
 
 
-def _parse_rows(batches):
+def _parse_rows(batches, bits: np.ndarray | None = None):
     for ids, offsets, texts in _pieces(batches):
         text, pos, fewest, most, g, c = parse(texts)
+        if bits is not None:
+            may = _may_hold(bits, g)
+            text, pos, fewest, most, g, c = (x[may] for x in (text, pos, fewest, most, g, c))
         doc, pos = ids[text], pos + offsets[text]
         place = pos << 14 | fewest << 7 | most
         # The first occurrence of a trigger in its document (of this chunk) is marked.
@@ -111,10 +116,29 @@ def _parse_rows(batches):
         yield pa.record_batch([pa.array(g), pa.array(c), pa.array(doc), pa.array(place), pa.array(head)], names=["g", "c", "doc", "place", "head"])
 
 
+def _may_hold(bits: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Whether the filter of repeated triggers may hold each of these; a miss is certain."""
+    u = g.view(U)
+    one, two = u & U(FILTER_BITS - 1), (u >> U(32)) & U(FILTER_BITS - 1)
+    test = lambda at: (bits[(at >> U(6)).astype(np.int64)] >> (at & U(63))) & U(1)
+    return (test(one) & test(two)).astype(bool)
+
+
+def trigger_filter(triggers: DataFrame) -> np.ndarray:
+    """A Bloom filter of ``g``: at most ``FILTER_BITS`` / 64 words come to the driver, however many triggers there are."""
+    g = F.col("g")
+    places = F.explode(F.array(g.bitwiseAND(F.lit(FILTER_BITS - 1)), F.call_function("shiftrightunsigned", g, F.lit(32)).bitwiseAND(F.lit(FILTER_BITS - 1)))).alias("at")
+    rows = triggers.select(places).select(F.call_function("shiftright", F.col("at"), F.lit(6)).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
+    words = rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return bits.view(U)
+
+
 def _fetch(batches):
-    """Of each document the bytes of its listed phrases; of hot triggers each string on its own, with its hash."""
-    names = ["g", "doc", "place", "phrase", "k1", "k2"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+    """Of each document the bytes of its listed phrases, and whether their trigger is hot."""
+    names = ["g", "doc", "place", "phrase", "hot"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_()]
     held: list[tuple] = []
 
     def out():
@@ -128,12 +152,7 @@ def _fetch(batches):
             items = lists.slice(i, 1).flatten()
             for g, place, hot in zip(items.field("g").to_pylist(), items.field("place").to_pylist(), items.field("hot").to_pylist()):
                 pos, fewest, most = place >> 14, place >> 7 & 127, place & 127
-                if not hot:
-                    held.append((g, key, place, text[pos - most : pos - fewest + LENGTH], None, None))
-                else:
-                    for k in range(fewest, most + 1):
-                        h = xxhash.xxh3_128_digest(text[pos - k : pos - k + LENGTH])
-                        held.append((None, key, pos << 14 | k << 7 | k, None, int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)))
+                held.append((g, key, place, text[pos - most : pos - fewest + LENGTH], hot))
             if len(held) > SLAB:
                 yield out()
                 held = []
@@ -253,7 +272,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Triggers that occur again: their first occurrence, and whether all their phrases are alike.
     first_doc, first_place = F.when(F.col("head"), F.col("doc")), F.when(F.col("head"), F.col("place"))
     triggers = phrases.groupBy("g").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(first_doc).alias("fd"), F.min_by(first_place, first_doc).alias("fp")).where("n > 1").drop("n")
-    again = phrases.drop("head").join(triggers.hint("shuffle_hash"), "g")
+    triggers = stage.write(triggers, "suffix-triggers")
+    _release(spark)
+    # Texts are parsed again rather than kept; the filter leaves out triggers that occur once before they are shuffled.
+    bits = trigger_filter(triggers)
+    repeated = texts.mapInArrow(lambda batches: _parse_rows(batches, bits), "g long, c long, doc long, place long, head boolean")
+    again = repeated.drop("head").join(triggers.hint("shuffle_hash"), "g")
     alike = F.col("c0") == F.col("c1")
     first = (F.col("doc") == F.col("fd")) & (F.col("place") == F.col("fp"))
     again = again.where(~(alike & first)).select("doc", "place", F.when(~alike, F.col("g")).alias("g"), F.when(~alike, F.col("c")).alias("c"))
@@ -265,16 +289,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hot = heads.groupBy("g").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("g", F.lit(True).alias("hot"))
     wanted = heads.select("g", F.col("fd").alias("doc"), F.col("fp").alias("place")).join(hot, "g", "left")
     wanted = wanted.groupBy("doc").agg(F.collect_list(F.struct("g", "place", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("items"))
-    fetched = texts.join(wanted.hint("shuffle_hash"), "doc").mapInArrow(_fetch, "g long, doc long, place long, phrase binary, k1 long, k2 long")
+    fetched = texts.join(wanted.hint("shuffle_hash"), "doc").mapInArrow(_fetch, "g long, doc long, place long, phrase binary, hot boolean")
     fetched = stage.write(fetched, "suffix-fetched")
     _release(spark)
-    sorted_ = fetched.where("phrase IS NOT NULL").select("g", "doc", "place", "phrase").repartition("g").sortWithinPartitions("g")
+    sorted_ = fetched.where("NOT hot").select("g", "doc", "place", "phrase").repartition("g").sortWithinPartitions("g")
     edges = sorted_.mapInArrow(_resolve, "doc long, start long, stop long")
-    strings = fetched.where("k1 IS NOT NULL").select("k1", "k2", "doc", "place")
-    earliest = strings.groupBy("k1", "k2").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("k1", "k2", F.col("first.doc").alias("fd"), F.col("first.place").alias("fp"))
-    later = strings.join(earliest, ["k1", "k2"]).where((F.col("doc") != F.col("fd")) | (F.col("place") != F.col("fp")))
-    shift = F.call_function("shiftright", F.col("place"), F.lit(14))
-    low, high = F.call_function("shiftright", F.col("place"), F.lit(7)).bitwiseAND(F.lit(127)), F.col("place").bitwiseAND(F.lit(127))
+    later = halved(fetched.where("hot").select("doc", "place", "phrase"))
+    shift, low, high = _fields("place")
     span = (F.col("doc"), (shift - high).alias("start"), (shift - low + LENGTH).alias("stop"))
     copies = several.join(heads, ["g", "c"]).where((F.col("doc") != F.col("fd")) | (F.col("place") != F.col("fp")))
     covered = again.where("g IS NULL").select(*span).unionByName(copies.select(*span)).unionByName(later.select(*span)).unionByName(edges)
@@ -283,6 +304,39 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return joined.mapInArrow(_finish, "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:bigint,stop:bigint>>")
 
 
+def halved(phrases: DataFrame) -> DataFrame:
+    """``doc, place`` of the parts of phrases (strings next to each other) that also stand earlier as a whole.
+
+    Parts lie in cells of a grid over the number of bytes before the trigger, whose width is halved from 64 to 1. A
+    part that is a repeat covers all its strings at once; the others go on, down to single strings, where the
+    first occurrence of every string is present. Equal parts meet as counts, never as pairs.
+    """
+    start, low, high = _fields("place")
+    out, parts = None, phrases
+    for width in (64, 32, 16, 8, 4, 2, 1):
+        # The first bytes of a phrase belong to the strings with most bytes before the trigger.
+        mid = f"(place & 127) div {width} * {width}"
+        left = F.struct((start * 16384 + F.expr(mid) * 128 + high).alias("place"), F.expr(f"substring(phrase, 1, cast({LENGTH} + (place & 127) - {mid} as int))").alias("phrase"))
+        right = F.struct((start * 16384 + low * 128 + F.expr(mid) - 1).alias("place"), F.expr(f"substring(phrase, cast((place & 127) - {mid} + 2 as int))").alias("phrase"))
+        both = F.when(low < F.expr(mid), F.array(left, right)).otherwise(F.array(F.struct("place", "phrase")))
+        parts = parts.select("doc", F.explode(both).alias("p")).select("doc", "p.place", "p.phrase", F.md5("p.phrase").alias("k"))
+        first = parts.groupBy("k").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("k", F.col("first.doc").alias("fd"), F.col("first.place").alias("fp"))
+        seen = parts.join(first, "k", "left").withColumn("again", F.coalesce((F.col("doc") != F.col("fd")) | (F.col("place") != F.col("fp")), F.lit(False)))
+        seen = cut(seen.select("doc", "place", "phrase", "again"))
+        found = seen.where("again").select("doc", "place")
+        out = found if out is None else out.unionByName(found)
+        parts = seen.where("NOT again").drop("again")
+        if parts.isEmpty():
+            break
+    return out
+
+
+def _fields(place: str):
+    """Position of the trigger, fewest and most bytes before it."""
+    p = F.col(place)
+    return F.call_function("shiftright", p, F.lit(14)), F.call_function("shiftright", p, F.lit(7)).bitwiseAND(F.lit(127)), p.bitwiseAND(F.lit(127))
+
+
 def _release(spark) -> None:
     """Let Spark delete the shuffle files that no plan needs any more."""
     gc.collect()
