@@ -43,7 +43,7 @@ from .neardup import _BASE, _INVERSE, _mix, _powers
 
 LENGTH, GRAM = 100, 24
 #: Phrases of a trigger that are sorted in one task; phrases sorted at a time; bytes parsed at a time.
-HOT, SLAB, CHUNK = 1000, 20_000, 2 << 20
+HOT, SLAB, CHUNK = 20_000, 20_000, 2 << 20
 #: Bits of the filter of repeated triggers that goes to every task (4 MB); with more triggers it only lets more rows through.
 FILTER_BITS = 1 << 25
 #: Stands for a null id: after all others.
