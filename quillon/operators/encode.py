@@ -83,6 +83,32 @@ def measured_projection(edges: DataFrame, mode: str = "binary") -> DataFrame:
     raise ValueError(f"unknown mode {mode}")
 
 
+def load_projection(spark: SparkSession, path: str, expected_rows: int, digest: str, required: bool = True) -> DataFrame | None:
+    """A stored projection ``pn, kc, w`` that must match its manifest (rows, and the digest of :func:`projection_digest`).
+
+    Anything that does not fit is an error; only an absent path with ``required=False`` gives None.
+    """
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        if required:
+            raise FileNotFoundError(path)
+        return None
+    edges = spark.read.parquet(path).select("pn", "kc", "w")
+    bad = edges.where("pn IS NULL OR kc IS NULL OR w IS NULL OR isnan(w) OR w <= 0 OR pn < 0 OR kc < 0")
+    if not bad.isEmpty() or edges.groupBy("pn", "kc").count().where("count > 1").count():
+        raise ValueError("edges must be unique, with positive finite weights")
+    if (edges.count(), projection_digest(edges)) != (expected_rows, digest):
+        raise ValueError("the projection does not match its manifest")
+    return edges
+
+
+def projection_digest(edges: DataFrame) -> str:
+    """A digest that does not depend on the order of rows: the XOR of two hashes of each."""
+    key = ("pn", "kc", F.col("w").cast("double"))
+    row = edges.agg(F.bit_xor(F.xxhash64(*key)).alias("a"), F.bit_xor(F.xxhash64(F.lit(1), *key)).alias("b")).first()
+    return f"{(row['a'] or 0) & (1 << 64) - 1:016x}{(row['b'] or 0) & (1 << 64) - 1:016x}"
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """``side, node, degree`` of a bipartite edge table."""
     rows = edges.groupBy(F.col("pn").alias("node")).agg(F.count("*").alias("degree")).withColumn("side", F.lit("pn"))

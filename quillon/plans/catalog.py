@@ -598,6 +598,21 @@ def dedup_select(spark, d):
     return rounded(dedup.select_threshold(_swept(spark, d), 0.01))
 
 
+@query
+def dedup_calibrate(spark, d):
+    docs, sets = _sets(spark, d)
+    half = sets.select("id", F.filter("kcs", lambda k: k < fx.UNITS // 2).alias("kcs"))
+    out = dedup.calibrate({"half": half, "whole": sets}, docs.select("id", "family"), [60, 75], 0.01)
+    return rounded(out.select("representation", "percent", "clusters", "false_merge_rate", "status"))
+
+
+@query
+def threshold_resolve(spark, d):
+    calibrated = dedup_calibrate(spark, d).where("status = 'within_budget'").select("representation", (F.col("percent") / 100).alias("threshold"))
+    wanted = spark.createDataFrame([("half",), ("whole",), ("other",)], "representation string")
+    return dedup.resolve_threshold(calibrated, wanted)
+
+
 @query
 def cluster_metrics(spark, d):
     docs, sets = _sets(spark, d)

@@ -257,6 +257,16 @@ SELECT CAST(epoch(TIMESTAMP '2026-01-01 00:00:00') AS BIGINT) + id * 420 + {draw
   CASE WHEN {draw("noise", 1000)} < 70 THEN {pick("'TRUE_POSITIVE', 'FALSE_POSITIVE', 'BENIGN'", draw("verdict", 3))} ELSE usual END AS verdict, family, is_unseen FROM s"""
 
 
+def calibrated() -> str:
+    """The best threshold of the whole fingerprints and of their lower half, side by side."""
+    rank = "row_number() OVER (ORDER BY false_merge_rate <= 0.01e0 DESC, CASE WHEN false_merge_rate <= 0.01e0 THEN reduction END DESC NULLS LAST, CASE WHEN false_merge_rate > 0.01e0 THEN false_merge_rate END ASC NULLS LAST, percent DESC)"
+    pick = f"SELECT percent, clusters, false_merge_rate, CASE WHEN false_merge_rate <= 0.01e0 THEN 'within_budget' ELSE 'budget_not_met' END AS status FROM (SELECT *, {rank} AS k FROM cr) WHERE k = 1"
+    whole = ctes(PRINTS, leaders("sz", "60, 75"), CLUSTERS) + pick
+    lower = PRINTS.replace("fp AS (", "fp0 AS (").replace("sz AS (", "fp AS (SELECT * FROM fp0 WHERE kc < 256),\nsz AS (")
+    half = ctes(lower, leaders("sz", "60, 75"), CLUSTERS) + pick
+    return f"SELECT 'whole' AS representation, * FROM ({whole}) UNION ALL SELECT 'half', * FROM ({half})"
+
+
 SQL: dict[str, str] = {
     "dup_alert_ids": ctes(ALERTS) + "SELECT username || '/' || category AS alert_id, count(*) AS n FROM alerts GROUP BY 1 HAVING count(*) > 1",
     "verdict_normalize": ctes(ALERTS) + "SELECT upper(trim('  ' || lower(verdict) || ' ')) AS verdict, count(*) AS n FROM alerts GROUP BY 1",
@@ -338,6 +348,8 @@ SQL: dict[str, str] = {
     "dedup_documents": ctes(PRINTS, "szt AS (SELECT * FROM sz WHERE split = 'test')", leaders("szt", "50")) + "SELECT leader, count(*) AS size, min(id) AS first_id, max(id) AS last_id FROM led GROUP BY leader",
     "dedup_sweep": ctes(PRINTS, leaders("sz", "50, 60, 75, 90"), CLUSTERS) + f"SELECT percent, {CLUSTER_COLS} FROM cr",
     "dedup_select": ctes(PRINTS, leaders("sz", "50, 60, 75, 90"), CLUSTERS) + f"SELECT percent, {CLUSTER_COLS}, CASE WHEN cr.false_merge_rate <= 0.01e0 THEN 'within_budget' ELSE 'budget_not_met' END AS status FROM cr ORDER BY cr.false_merge_rate <= 0.01e0 DESC, CASE WHEN cr.false_merge_rate <= 0.01e0 THEN cr.reduction END DESC NULLS LAST, CASE WHEN cr.false_merge_rate > 0.01e0 THEN cr.false_merge_rate END ASC NULLS LAST, percent DESC LIMIT 1",
+    "dedup_calibrate": f"SELECT representation, percent, clusters, round(false_merge_rate, 6) AS false_merge_rate, status FROM ({calibrated()})",
+    "threshold_resolve": f"SELECT w.representation, CAST(coalesce(c.percent / 100e0, 0.75e0) AS DOUBLE) AS threshold, CASE WHEN c.percent IS NULL THEN 'fallback' ELSE 'calibrated' END AS source FROM (SELECT unnest(['half', 'whole', 'other']) AS representation) w LEFT JOIN (SELECT * FROM ({calibrated()}) WHERE status = 'within_budget') c USING (representation)",
     "cluster_metrics": ctes(PRINTS, leaders("sz", "75"), CLUSTERS) + f"SELECT {CLUSTER_COLS} FROM cr",
     "confusion": ctes(PREDICTED) + "SELECT actual, predicted, n FROM conf",
     "class_report": ctes(PREDICTED) + f"SELECT label, {six('precision', 'recall', 'f1')}, support FROM rep",

@@ -151,9 +151,17 @@ def write_run(tables: dict[str, DataFrame], folder: str, run: str, manifest: dic
     spark = next(iter(tables.values())).sparkSession
     for name, df in tables.items():
         df.write.mode("errorifexists").parquet(f"{folder}/{safe_name(run)}/{safe_name(name)}")
-    line = json.dumps(strict({"run": run, "created": datetime.now(timezone.utc).isoformat(), **manifest}), allow_nan=False, sort_keys=True)
+    line = json.dumps(strict({"run": run, "created": datetime.now(timezone.utc).isoformat(), "environment": environment(), **manifest}), allow_nan=False, sort_keys=True)
     spark.createDataFrame([(line,)], "value string").coalesce(1).write.text(f"{folder}/{run}/manifest")
 
 
+def environment() -> dict[str, str]:
+    """Versions to store with a run."""
+    import platform
+    from importlib.metadata import version
+
+    return {"python": platform.python_version(), "system": platform.platform(), **{p: version(p) for p in ("pyspark", "numpy", "pandas", "pyarrow")}}
+
+
 def read_run(spark: SparkSession, folder: str, run: str) -> dict:
     return json.loads(spark.read.text(f"{folder}/{safe_name(run)}/manifest").first()["value"])

@@ -242,3 +242,24 @@ def test_generator_holds_a_family_out(spark):
     first = df.where("is_unseen").agg(F.min("alert_id")).first()[0]
     assert first is not None and first > "ALERT000255"
     assert df.where("family = 'memory_dump'").count() == df.where("is_unseen").count()
+
+
+def test_projections_are_verified(spark, tmp_path):
+    edges = spark.createDataFrame([(0, 1, 1.0), (2, 1, 0.5)], "pn long, kc long, w double")
+    path, digest = str(tmp_path / "p"), encode.projection_digest(edges)
+    assert encode.load_projection(spark, path, 2, digest, required=False) is None
+    with pytest.raises(FileNotFoundError):
+        encode.load_projection(spark, path, 2, digest)
+    edges.write.parquet(path)
+    assert encode.load_projection(spark, path, 2, digest).count() == 2
+    for rows, d in ((3, digest), (2, "0" * 32)):
+        with pytest.raises(ValueError):
+            encode.load_projection(spark, path, rows, d)
+
+
+def test_measured_modes(spark):
+    edges = spark.createDataFrame([(0, 0, 1), (0, 0, 2), (1, 0, 1)], "pn long, kc long, w long")
+    got = {m: {r["pn"]: r["w"] for r in encode.measured_projection(edges, m).collect()} for m in ("binary", "synapse", "column_normalized")}
+    assert got == {"binary": {0: 1.0, 1: 1.0}, "synapse": {0: 3.0, 1: 1.0}, "column_normalized": {0: 0.75, 1: 0.25}}
+    with pytest.raises(ValueError):
+        encode.measured_projection(edges, "other")
