@@ -35,7 +35,7 @@ SPACE_TAGS = frozenset("br img wbr input hr".split()) - {"wbr"}
 MARKED_TAGS = frozenset("nav aside footer form button label menu dialog".split())
 RESET_TAGS = frozenset("nav footer form header menu".split())
 MARK_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner banners sponsor sponsored sponsors promo promos promotion promoted "
+    "ad ads adsbygoogle adv advert adverts advertisement advertising adsense banner banners sponsor sponsored sponsors promo promos promotion promoted "
     "nav navbar navigation menu menus submenu breadcrumb breadcrumbs toc pager pagination "
     "sidebar sidebars sidenav rail aside widget widgets "
     "header masthead topbar footer foot bottombar copyright legal colophon "
@@ -197,16 +197,18 @@ def blocks(page: str) -> list[Block]:
     """The flat text blocks of a page, in order."""
     out: list[Block] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool, bool, int]] = []  # tag, main, marked, marked for good, kind
-    main = marked = fixed = False
-    kind = link = linked = 0
+    # Tag and the state outside it: main, marked, how firmly (2 by its element, 1 by its class), kind.
+    stack: list[tuple[str, bool, bool, int, int]] = []
+    main = marked = seen = False
+    fixed = kind = link = linked = 0
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, seen
         if parts:
             text = "".join(parts).split()
             if text:
                 out.append(Block(" ".join(text), len(text), min(linked, len(text)), main, marked, kind))
+                seen = seen or main and not marked
             parts.clear()
         linked = 0
 
@@ -274,21 +276,21 @@ def blocks(page: str) -> list[Block]:
             stack.append((tag, main, marked, fixed, kind))
             if tag == "header" and not main:
                 is_marked = True
-            if opens:
-                if not fixed and not is_marked:
-                    main, marked = True, False
-                elif is_marked:
-                    marked = fixed = True
-                else:
-                    main = True
+            if opens and is_marked:
+                marked, fixed = True, 2
+            elif opens:
+                # The first article inside an element marked by class only: that element was not closed.
+                if not fixed or fixed == 1 and not seen:
+                    marked, fixed = False, 0
+                main = True
             elif is_marked:
                 marked = True
-                fixed = fixed or tag not in RESET_TAGS
+                fixed = max(fixed, 0 if tag in RESET_TAGS else 2 if tag in MARKED_TAGS else 1)
             kind = 1 if tag[0] == "h" and tag[1:].isdigit() else 2 if tag == "li" else 0 if tag != "p" else kind
         elif tag in ("span", "ins") and m[3] and _flags(tag, m[3])[1] and not m[3].rstrip().endswith("/"):
             flush()
             stack.append((tag, main, marked, fixed, kind))
-            marked = fixed = True
+            marked, fixed = True, max(fixed, 1)
     flush()
     return out
 

@@ -385,6 +385,9 @@ WORDS = "some words that make up the main text of this page and go on "
         (f"<article><p>{WORDS}<script>var t='</p>';</script></p><div class='comments'><p>{WORDS}</p></div></article>", WORDS.strip()),
         (f"<div id=menu><a href=a>x</a></div><div class=content><h1>Title here</h1><p>{WORDS * 2}</p><p>Yes.</p><p>{WORDS * 2}</p></div><form><label>Mail</label><button>Go</button></form><div class=sidebar>{WORDS}</div>", f"Title here {(WORDS * 2).strip()} Yes. {(WORDS * 2).strip()}"),
         (f"<article><header class='entry-header'><h1>T</h1></header><p>{WORDS}<!-- <p>no --> end</p><aside>{WORDS}</aside><p class=notice>{WORDS}</p></article>", f"T {WORDS.strip()} end"),
+        (f"<div class=ad>Buy now<article><p>{WORDS}</p></article><section id=comments><article><p>{WORDS}</p></article></section>", WORDS.strip()),
+        (f"<aside><article><p>{WORDS}</p></article></aside><main><p>{WORDS}one</p><ins class=adsbygoogle>x</ins><form><p>{WORDS}</p></form></main>", f"{WORDS.strip()} one"),
+        (f"<nav><ul><li><a href=a>A</a><article><h1>H</h1><p>{WORDS}<figure><figcaption>A caption</figcaption></figure>", f"H {WORDS.strip()} A caption"),
         (f"<article><p>{WORDS}x < y & z</p>", f"{WORDS.strip()} x < y & z"),
     ],
 )
