@@ -148,7 +148,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     pieces = with_words.withColumn("block", F.explode(F.sequence(_block_of(F.col("start")), _block_of(last - 1))))
     taken = F.least(last, _bound(F.col("block") + 1)) - F.greatest(F.col("start"), _bound(F.col("block")))
     pieces = pieces.withColumn("words", taken)
-    joined = pieces.join(times.select(F.col("source_rank").alias("sr"), F.col("block").alias("b"), "times"), (F.col("rank") == F.col("sr")) & (F.col("block") == F.col("b")), "left")
+    # Slots are exploded from a row a source, which the planner takes for a small table: without the hint it would be broadcast.
+    joined = pieces.join(times.hint("merge").select(F.col("source_rank").alias("sr"), F.col("block").alias("b"), "times"), (F.col("rank") == F.col("sr")) & (F.col("block") == F.col("b")), "left")
     out = joined.groupBy("key", "source", "size", "start", "source_size", "target").agg(F.sum(F.col("words") * F.coalesce(F.col("times"), F.lit(0))).alias("taken")).drop("start")
     rest = by_source.select(F.col("source").alias("s"), "source_size", "target")
     empty = sizes.where("size = 0").join(rest, F.col("source").eqNullSafe(F.col("s"))).select("key", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
