@@ -8,22 +8,22 @@ from typing import Any
 
 #: Columns that tell the answer and so are never features. Fixed values.
 NEVER_FEATURES = frozenset({"verdict", "family", "is_unseen", "alert_id", "rule_id", "mitre_technique", "mitre_tactic", "split", "metadata"})
-BACKENDS = ("flyhash", "connectome", "rewired_connectome")
+BACKENDS = ("expansion", "measured", "rewired")
 
 #: Defaults, fixed values.
 DEFAULTS: dict[str, Any] = {
     "seed": 42,
-    "representation": {"backend": "flyhash"},
+    "representation": {"backend": "expansion"},
     "dataset": {"size": 5000, "start": "2026-01-01T00:00:00Z", "heldout_family": "memory_dump", "unseen_test_fraction": 0.30},
     "features": {
         "input_features": 4096, "categorical_hash_dim": 2048, "text_max_features": 2040, "categorical_weight": 0.7, "identity_weight": 0.15, "text_weight": 1.0, "numeric_weight": 0.2,
         "text_fields": ["alert_name", "process_command_line"], "categorical_fields": ["severity", "category", "process_name", "action"], "identity_fields": ["hostname", "username", "source_ip", "destination_ip"],
         "ablation": {"enabled": False, "disabled_fields": []},
     },
-    "flyhash": {"kc_dim": 8192, "fan_in": 8, "top_k": 64, "batch_size": 128},
-    "connectome": {"enabled": False, "projection_path": None, "bridge_fan_out": 2, "top_k": 64, "batch_size": 128},
+    "expansion": {"kc_dim": 8192, "fan_in": 8, "top_k": 64, "batch_size": 128},
+    "measured": {"enabled": False, "projection_path": None, "bridge_fan_out": 2, "top_k": 64, "batch_size": 128},
     "controls": {"rewired": {"enabled": False, "preserve_degree": True, "swaps_per_edge": 5.0}},
-    "mbon": {"enabled": False, "learning_rate": 0.01, "weight_decay": 0.0, "weight_clip": 3.0},
+    "readout": {"enabled": False, "learning_rate": 0.01, "weight_decay": 0.0, "weight_clip": 3.0},
     "novelty": {"percentile": 99, "baselines": {"enabled": False, "lof_neighbors": 35, "ocsvm_nu": 0.01}},
     "evaluation": {"train_ratio": 0.70, "validation_ratio": 0.15, "test_ratio": 0.15, "retrieval_k": [1, 5, 10], "query_batch_size": 128},
     "classification": {"knn_neighbors": 5, "forest_trees": 100, "logistic_max_iter": 1000},
@@ -66,7 +66,7 @@ def check(s: dict[str, Any]) -> list[str]:
     def whole(x: Any, least: int = 1) -> bool:
         return isinstance(x, int) and not isinstance(x, bool) and x >= least
 
-    f, h, e, d = s["features"], s["flyhash"], s["evaluation"], s["deduplication"]
+    f, h, e, d = s["features"], s["expansion"], s["evaluation"], s["deduplication"]
     parts = [e[f"{p}_ratio"] for p in ("train", "validation", "test")]
     need(all(0 < p < 1 for p in parts) and abs(sum(parts) - 1) < 1e-9, "split ratios must be positive and add up to one")
     need(all(whole(f[k]) for k in ("input_features", "categorical_hash_dim", "text_max_features")), "widths must be positive whole numbers")
@@ -82,12 +82,12 @@ def check(s: dict[str, Any]) -> list[str]:
     fields = {*f["text_fields"], *f["categorical_fields"], *f["identity_fields"]}
     need(not fields & NEVER_FEATURES, "labels and identifiers can't be features")
     need(all(f[k] >= 0 for k in ("categorical_weight", "identity_weight", "text_weight", "numeric_weight")), "feature weights can't be negative")
-    backend, measured = s.get("representation", {}).get("backend", "flyhash"), s.get("connectome", {})
+    backend, measured = s.get("representation", {}).get("backend", "expansion"), s.get("measured", {})
     need(backend in BACKENDS, "unknown representation backend")
-    need(backend == "flyhash" or bool(measured.get("enabled")) and bool(measured.get("projection_path")), "a measured backend needs to be enabled and have a projection path")
+    need(backend == "expansion" or bool(measured.get("enabled")) and bool(measured.get("projection_path")), "a measured backend needs to be enabled and have a projection path")
     need(all(whole(measured[k]) for k in ("bridge_fan_out", "top_k", "batch_size") if k in measured), "measured widths must be positive whole numbers")
     rewired = s.get("controls", {}).get("rewired", {})
-    need(backend != "rewired_connectome" or bool(rewired.get("enabled")) and rewired.get("preserve_degree", True), "the rewired backend must be enabled and keep degrees")
+    need(backend != "rewired" or bool(rewired.get("enabled")) and rewired.get("preserve_degree", True), "the rewired backend must be enabled and keep degrees")
     need(rewired.get("swaps_per_edge", 0) >= 0, "swaps_per_edge can't be negative")
     disabled = f.get("ablation", {}).get("disabled_fields", [])
     if isinstance(disabled, list) and all(isinstance(x, str) for x in disabled):
@@ -96,7 +96,7 @@ def check(s: dict[str, Any]) -> list[str]:
         out.append("disabled fields must be a list of names")
     seeds = s.get("experiments", {}).get("seeds", [s["seed"]])
     need(bool(seeds) and all(whole(x, -(1 << 62)) for x in seeds) and len(set(seeds)) == len(seeds), "seeds must be distinct whole numbers")
-    readout = s.get("mbon", {})
+    readout = s.get("readout", {})
     need(not readout or readout.get("learning_rate", 0) > 0 and 0 <= readout.get("weight_decay", 0) < 1 and readout.get("weight_clip", 0) > 0, "readout rate, decay or clip out of range")
     need(0 <= d.get("max_false_merge_rate", 0.01) <= 1, "the false-merge budget must lie in [0, 1]")
     need(all(v is None or 0 < v <= 1 for v in d.get("thresholds", {}).values()), "own thresholds must be null or lie in (0, 1]")

@@ -205,7 +205,7 @@ def test_isolation_forest_and_one_class_svm_rank_an_outlier_first():
 
 def test_settings():
     assert config.check(config.DEFAULTS) == []
-    for change in ({"flyhash": {"top_k": 0}}, {"features": {"text_fields": ["verdict"]}}, {"evaluation": {"train_ratio": 0.9}}, {"representation": {"backend": "connectome"}}, {"features": {"ablation": {"disabled_fields": ["nope"]}}}, {"experiments": {"seeds": [1, 1]}}):
+    for change in ({"expansion": {"top_k": 0}}, {"features": {"text_fields": ["verdict"]}}, {"evaluation": {"train_ratio": 0.9}}, {"representation": {"backend": "measured"}}, {"features": {"ablation": {"disabled_fields": ["nope"]}}}, {"experiments": {"seeds": [1, 1]}}):
         assert config.check(config.with_defaults(change))
 
 

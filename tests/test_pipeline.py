@@ -16,7 +16,7 @@ from quillon.plans import pipeline
 from quillon.service import flat_record, handler
 from quillon.sources import arrays, synthetic
 
-SMALL = {"features": {"input_features": 128, "categorical_hash_dim": 64, "text_max_features": 56}, "flyhash": {"kc_dim": 256, "top_k": 16}}
+SMALL = {"features": {"input_features": 128, "categorical_hash_dim": 64, "text_max_features": 56}, "expansion": {"kc_dim": 256, "top_k": 16}}
 
 
 @pytest.fixture(scope="module")
