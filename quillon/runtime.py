@@ -13,10 +13,22 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[tuple[str, str]] = set()
+#: Spark's default bound of an Arrow batch, and the one that replaces it: a Python worker holds a few copies of a batch.
+ARROW_KEY, ARROW_DEFAULT, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20, 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches for this session, unless it sets a bound of its own."""
+    try:
+        if spark.conf.get(ARROW_KEY).rstrip("b") == str(ARROW_DEFAULT):
+            spark.conf.set(ARROW_KEY, str(ARROW_BYTES))
+    except Exception:  # a Spark without the setting
+        pass
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors once per application (Spark's own file distribution)."""
+    """Send this package to the executors once per application (Spark's own file distribution), and bound Arrow batches."""
+    bound_batches(spark)
     root = Path(__file__).resolve().parent
     if root.parent.suffix == ".zip":
         return
