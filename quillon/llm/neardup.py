@@ -10,10 +10,9 @@ stand side by side. A region of a tree is a prefix of ``DEPTH`` minima. Depth ad
 than ``REGION`` members is parted by further minima, and if even those agree, by a hash of the member
 (another one in each tree). Candidates are a document and its next ``NEXT`` neighbours in each tree: in a
 region of up to ``NEXT + 1`` members those are all pairs, in a larger one its next ``FEW``, so their number
-is in proportion to the members. Larger regions get two more looks: once components are known, every
-node of such a region that is outside its largest component is compared with the nodes most like it by
-signature and with the most typical members of the large ones, so a heavily edited copy finds the few it is
-linked with.
+is in proportion to the members. Larger regions are then finished: once components are known, every
+node of such a region that is outside its largest component is compared with all its members that are not
+connected to it yet, on full sets (but for those the estimate rules out).
 Two sets at similarity 0.85 share a region of depth 3 in no tree with probability 1e-10.
 
 Plan. Texts are read by one task pass into signatures; equal sets are collapsed by digest (pre-aggregated),
@@ -44,12 +43,12 @@ from .common import Staged, cut, text_or_empty
 
 #: The forest: minima in a signature, trees, least depth of a region, members before a region is parted, neighbours.
 HASHES, TREES, DEPTH, REGION, NEXT = 96, 24, 3, 1000, 2
-#: Neighbours in a region of more than NEXT + 1 members, where the second look finds what they miss.
+#: Neighbours in a region of more than NEXT + 1 members, where the second looks find what they miss.
 FEW = 1
 #: A candidate whose estimate lies this far below the threshold (close to five standard errors) goes.
 SLACK = 0.2
-#: Second looks: large components of a region, typical members taken of each, and most similar nodes taken a look.
-HUBS, TYPICAL, LOOKS = 3, 8, (4, 24)
+#: Second looks: every how many-th region a look takes (the last one takes all), and shingles of a region in one task.
+LOOKS, SETS = (3, 1), 4 << 20
 #: Bytes of text taken at a time.
 CHUNK = 1 << 20
 
@@ -269,63 +268,99 @@ def _release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def _look(least: float, top: int):
-    """Pairs of a region's nodes in different components: each node outside the largest one with the members most
-    like it, and with those most like the common signature of a large component."""
-    names = ["a", "b"]
-
-    def region_pairs(nodes: list[bytes], labels: list[bytes], sig: np.ndarray):
-        names_, kind = np.unique(np.array(labels, dtype=object), return_inverse=True)
-        size = np.bincount(kind)
-        large = np.argsort(-size, kind="stable")[:HUBS]
-        central = []
-        for k in large[size[large] > 1].tolist():
-            inside = np.flatnonzero(kind == k)
-            ordered = np.sort(sig[inside], axis=0)
-            # The most frequent minimum of each place: the longest run in the sorted column.
-            same = np.zeros(ordered.shape, np.int32)
-            for i in range(1, len(ordered)):
-                same[i] = np.where(ordered[i] == ordered[i - 1], same[i - 1] + 1, 0)
-            common = ordered[same.argmax(0), np.arange(ordered.shape[1])]
-            central += inside[np.argsort(-(sig[inside] == common).sum(1), kind="stable")[:TYPICAL]].tolist()
-        for x in np.flatnonzero(kind != large[0]).tolist():
-            like = np.where(kind == kind[x], -1.0, (sig == sig[x]).mean(1))
-            for y in {*np.argsort(-like, kind="stable")[:top].tolist(), *central}:
-                if like[y] >= least:
-                    yield (nodes[x], nodes[y]) if nodes[x] < nodes[y] else (nodes[y], nodes[x])
+def _by_region(batches):
+    """(region, rows) of batches ``region, node, label, values`` sorted by region; a row is (node, label, values)."""
+    region, rows = None, []
+    for b in batches:
+        flat, at = b.column(3).flatten().to_numpy(), np.r_[0, np.cumsum(b.column(3).value_lengths().fill_null(0).to_numpy())]
+        for i, (r, node, label) in enumerate(zip(*(b.column(j).to_pylist() for j in range(3)))):
+            if r != region:
+                if rows:
+                    yield region, rows
+                region, rows = r, []
+            rows.append((node, label, flat[at[i] : at[i + 1]]))
+    if rows:
+        yield region, rows
+
+
+def _kinds(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+    """The component of each row as a small number, and the rows outside the largest one."""
+    kind = np.unique(np.array([r[1] for r in rows], dtype=object), return_inverse=True)[1]
+    return kind, np.flatnonzero(kind != np.bincount(kind).argmax())
+
+
+def _alike(least: float, joined: bool):
+    """The nodes of a region with a member of another component that the estimate does not rule out; if ``joined``, all
+    such pairs."""
 
     def run(batches):
-        region, nodes, labels, sigs = None, [], [], []
-
-        def out():
-            pairs = set(region_pairs(nodes, labels, np.array(sigs, np.int32))) if len(nodes) > 1 else set()
-            return pa.record_batch([pa.array(c, pa.binary()) for c in (zip(*sorted(pairs)) if pairs else ([], []))], names=names)
-
-        for b in batches:
-            flat = b.column(3).flatten().to_numpy().reshape(b.num_rows, -1)
-            for i, (r, node, label) in enumerate(zip(*(b.column(j).to_pylist() for j in range(3)))):
-                if r != region:
-                    if nodes:
-                        yield out()
-                    region, nodes, labels, sigs = r, [], [], []
-                nodes.append(node)
-                labels.append(label)
-                sigs.append(flat[i])
-        if nodes:
-            yield out()
+        for region, rows in _by_region(batches):
+            kind, outside = _kinds(rows)
+            sig = np.array([r[2] for r in rows])
+            wanted, pairs = np.zeros(len(rows), bool), set()
+            for x in outside.tolist():
+                like = (kind != kind[x]) & ((sig == sig[x]).sum(1) >= least * sig.shape[1])
+                wanted |= like
+                wanted[x] |= like.any()
+                if joined:
+                    pairs.update((min(rows[x][0], rows[y][0]), max(rows[x][0], rows[y][0])) for y in np.flatnonzero(like).tolist())
+            if joined:
+                yield pa.record_batch([pa.array([p[i] for p in sorted(pairs)], pa.binary()) for i in range(2)], names=["a", "b"])
+            else:
+                at = np.flatnonzero(wanted).tolist()
+                yield pa.record_batch([pa.array([region] * len(at), pa.int64()), *(pa.array([rows[i][j] for i in at], pa.binary()) for j in range(2))], names=["region", "node", "label"])
 
     return run
 
 
-def second_look(near: DataFrame, labels: DataFrame, nodes: DataFrame, least: float, top: int) -> DataFrame:
-    """``a, b``: new candidates in large regions that hold several components: in every third region, and in all that
-    are close to the bound, which are parts of a larger one. A region is bounded."""
-    some = (F.col("members") > REGION / 2) | (F.pmod(F.xxhash64("region"), F.lit(3)) == 0)
-    rows = near.where((F.col("members") > NEXT + 1) & some).select("region", "node")
+def _linked(percent: int):
+    """Links of a region's components on full sets: every node outside the largest one is compared with every member
+    that is not connected to it yet."""
+
+    def links(rows: list[tuple]):
+        kind, outside = _kinds(rows)
+        size = np.array([len(r[2]) for r in rows], np.int64)
+        start = np.cumsum(size) - size
+        words = np.unique(np.concatenate([r[2] for r in rows]), return_inverse=True)[1]
+        mark = np.zeros(words.max() + 1, np.int64)
+        for x in outside.tolist():
+            if (kind == kind[x]).all():
+                break
+            own = words[start[x] : start[x] + size[x]]
+            mark[own] = 1
+            shared = np.add.reduceat(mark[words], start)
+            mark[own] = 0
+            for y in np.flatnonzero(100 * shared >= percent * (size + size[x] - shared)).tolist():
+                if kind[y] != kind[x]:
+                    kind[kind == kind[y]] = kind[x]
+                    yield min(rows[x][0], rows[y][0]), max(rows[x][0], rows[y][0])
+
+    def run(batches):
+        for _, rows in _by_region(batches):
+            found = list(links(rows))
+            yield pa.record_batch([pa.array([p[i] for p in found], pa.binary()) for i in range(2)], names=["a", "b"])
+
+    return run
+
+
+def second_look(near: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame, least: float, percent: int, share: int) -> DataFrame:
+    """``a, b``: links between the components that meet in a large region, in every ``share``-th one. All pairs of different
+    components are compared, on the sets shipped to the region, so that no candidates are written; only where a
+    region's sets are too large for a task its pairs are joined with them."""
+    spark = near.sparkSession
+    rows = near.where((F.col("members") > NEXT + 1) & (F.pmod(F.xxhash64("region"), F.lit(share)) == 0)).select("region", "node")
     rows = rows.join(labels, "node", "left").select("region", "node", F.coalesce("label", "node").alias("label"))
-    mixed = rows.groupBy("region").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("region")
-    rows = rows.join(mixed, "region", "left_semi").join(nodes, "node").select("region", "node", "label", "sig")
-    return rows.repartition("region").sortWithinPartitions("region", "node").mapInArrow(_look(least, top), "a binary, b binary").distinct()
+    sized = rows.join(sets.select("node", F.size("shingles").alias("n")), "node")
+    mixed = sized.groupBy("region").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.sum("n").alias("total")).where("l0 <> l1").select("region", (F.col("total") > SETS).alias("heavy"))
+    stage = Staged(spark)
+    rows = stage.write(sized.drop("n").join(mixed, "region"), "near-mixed")
+    at_region = lambda df: df.repartition("region").sortWithinPartitions("region", "node")
+    signed = lambda heavy: at_region(rows.where(F.col("heavy") == heavy).join(nodes, "node").select("region", "node", "label", "sig"))
+    wanted = stage.write(signed(False).mapInArrow(_alike(least, False), "region long, node binary, label binary"), "near-alike")
+    _release(spark)
+    light = at_region(wanted.join(sets, "node").select("region", "node", "label", "shingles")).mapInArrow(_linked(percent), "a binary, b binary")
+    heavy = signed(True).mapInArrow(_alike(least, True), "a binary, b binary").distinct()
+    return light.unionByName(confirmed(heavy, sets, percent)).distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -358,9 +393,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     labels = components(links)
     more = stage.write(confirmed(_apart(pairs.where("at > 0"), labels), sets, percent), "near-links")
     labels = extended(labels, more)
-    for top in LOOKS:
-        again = _apart(second_look(near, labels, nodes, least, top), labels)
-        found = stage.write(confirmed(again, sets, percent), "near-links")
+    for share in LOOKS:
+        found = stage.write(second_look(near, labels, nodes, sets, least, percent, share), "near-links")
         if not found.isEmpty():
             labels = extended(labels, found)
     named = rows.join(labels, "node", "left").select("key", "n", F.coalesce("label", "node").alias("label"))

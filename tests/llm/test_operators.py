@@ -131,6 +131,21 @@ def test_near_groups_with_a_large_group_of_near_copies(spark, monkeypatch, regio
     assert got == near_brute(rows, 3, 85)
 
 
+def test_near_groups_of_templates_just_under_the_limit(spark):
+    # Many look-alikes under the limit, and of each a partner over it, at no better an estimate than many of them.
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(1000)]
+    rows = []
+    for i in range(150):
+        own = list(base)
+        for tag, n in (("x", 10), ("y", 17)):
+            for k in rng.sample(range(333), n):
+                own[3 * k + 1] = f"{tag}{i}-{k}"
+            rows.append((len(rows), " ".join(own), "en", "s", 1))
+    got = Counter((r["key"], r["n_shingles"], r["component"]) for r in neardup.near_groups(spark.createDataFrame(rows, SCHEMA), width=3, percent=90).collect())
+    assert got == near_brute(rows, 3, 90) and len({c for _, _, c in got}) > 60
+
+
 def test_components_of_chains_and_stars(spark):
     name = lambda i: hashlib.md5(str(i).encode()).digest()
     links = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)]
