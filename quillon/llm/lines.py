@@ -1,8 +1,9 @@
 """Substring dedup by unit hashing: repeated lines or sentences go, the earliest occurrence stays.
 
-A text is cut into units: its lines, and (by default) the sentences of a line, so that a passage pasted into
-a line is found too. A unit is normalised (lower case, white space collapsed, ends trimmed) and hashed to
-128 bits. Units of fewer than ``LEAST_WORDS`` words are left alone. Of equal units the one with the smallest
+A text is cut into units: its paragraphs (lines with no blank one between), its lines, and (by default) the
+sentences of a line, so that a passage pasted into a line is found too. A unit is normalised (lower case, white
+space collapsed, ends trimmed) and hashed to 128 bits. Units of fewer than ``LEAST_WORDS`` words are left alone:
+a short sentence goes with its line and a short line with its paragraph, not by itself. Of equal units the one with the smallest
 (id, offset) stays; the others are removed, with their offsets in the original text (code points).
 
 Plan. Texts are read in one task pass that emits a small row per unit. Digests are counted by a key
@@ -11,12 +12,14 @@ task; only digests with more than one occurrence are joined back, by a plain equ
 execution splits where a digest is hot.
 
 Defined results. A null text has no units. A null id ranks after all others. Rows that
-repeat an id are taken as one document: equal units at equal offsets are the same occurrence. Line ends are LF, CR LF or CR and belong to no unit. Extra columns are ignored.
+repeat an id are taken as one document: equal units at equal offsets are the same occurrence. Line ends are LF, CR LF or CR and belong
+to no unit but a paragraph, for those inside it. A line that is one sentence, or a paragraph of one line, is one unit. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 import pyarrow as pa
 import xxhash
@@ -31,6 +34,7 @@ LEAST_WORDS = 8
 LINE = re.compile(r"[^\r\n]+")
 #: A sentence with its closing marks; what stands behind the last mark is one too.
 SENTENCE = re.compile(r"[^\r\n.!?]*(?:[.!?]+(?![\s\"')\]])[^\r\n.!?]*)*(?:[.!?]+[\"')\]]*|(?=[\r\n])|\Z)")
+LINE_ENDS = ("\n", "\r\n", "\r")
 #: Rows in a batch handed on.
 ROWS = 50_000
 
@@ -48,6 +52,30 @@ def units(text: str, sentences: bool = True, least_words: int = LEAST_WORDS) ->
     return out
 
 
+def blocks(text: str, least_words: int = LEAST_WORDS, known: Iterable[tuple] = ()) -> list[tuple[int, int, bytes]]:
+    """As ``units``, of whole lines and paragraphs; spans of ``known`` units are left out."""
+    spans, paragraph = [], None
+    for m in LINE.finditer(text):
+        raw = m[0]
+        if not (body := raw.strip()):
+            paragraph = None
+            continue
+        start = m.start() + len(raw) - len(raw.lstrip())
+        spans.append((start, start + len(body)))
+        if paragraph is not None and text[after : m.start()] in LINE_ENDS:
+            paragraph[1] = start + len(body)
+        else:
+            paragraph = [start, start + len(body)]
+            spans.append(paragraph)
+        after = m.end()
+    out = []
+    for start, end in sorted({tuple(s) for s in spans} - {(a, b) for a, b, _ in known}):
+        words = text[start:end].lower().split()
+        if len(words) >= least_words:
+            out.append((start, end, xxhash.xxh3_128_digest(" ".join(words).encode())))
+    return out
+
+
 def _emit(sentences: bool, least: int, id_type: pa.DataType):
     schema = pa.schema([("key", id_type), ("start", pa.int64()), ("end", pa.int64()), ("digest", pa.binary())])
 
@@ -55,7 +83,8 @@ def _emit(sentences: bool, least: int, id_type: pa.DataType):
         held: list[tuple] = []
         for b in batches:
             for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                held += [(key, *u) for u in units(text, sentences, least)]
+                found = units(text, sentences, least)
+                held += [(key, *u) for u in found + blocks(text, least, found)]
                 if len(held) > ROWS:
                     yield pa.record_batch([pa.array(c, t.type) for c, t in zip(zip(*held), schema)], schema=schema)
                     held = []

@@ -233,6 +233,17 @@ def test_units_keep_offsets_and_removal_cuts_them(spark):
     assert out[1] == text and "SENTENCE" not in out[2] and out[2].startswith("Kept.")
 
 
+def test_lines_and_paragraphs_of_short_sentences_go(spark):
+    line = "Come in. Sit down. Have some tea. Stay a while."
+    paragraph = "Roses are red\r\n  violets are blue\nsugar is sweet\n"
+    texts = [line + "\n\n" + paragraph, "First. \n" + line.upper() + " \nLast.", "Before.\n\n" + paragraph + "\nAfter.", line + " More."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    removed = lines.repeated_units(df)
+    assert sorted(tuple(r)[:1] + tuple(r)[3:] for r in removed.collect()) == [(1, 0, 0, 2), (2, 0, len(line) + 2, 2)]
+    out = {r["doc_id"]: r["text"] for r in lines.remove_units(df, removed).collect()}
+    assert out == {0: texts[0], 1: "First. \n \nLast.", 2: "Before.\n\n\n\nAfter.", 3: texts[3]}
+
+
 # --- mixing ------------------------------------------------------------------------------------------
 
 
