@@ -44,6 +44,8 @@ from .neardup import _BASE, _INVERSE, _mix, _powers
 LENGTH, GRAM = 100, 24
 #: Phrases of a trigger that are sorted in one task; phrases sorted at a time; bytes parsed at a time.
 HOT, SLAB, CHUNK = 20_000, 20_000, 2 << 20
+#: More than any place: a string of Spark has at most 2^31 bytes, and 14 bits go to the bytes before the trigger.
+PLACES = 1 << 46
 #: Bits of the filter of repeated triggers that goes to every task (4 MB); with more triggers it only lets more rows through.
 FILTER_BITS = 1 << 25
 #: Stands for a null id: after all others.
@@ -270,8 +272,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = source.select("doc", "text")
     phrases = texts.mapInArrow(_parse_rows, "g long, c long, doc long, place long, head boolean")
     # Triggers that occur again: their first occurrence, and whether all their phrases are alike.
-    first_doc, first_place = F.when(F.col("head"), F.col("doc")), F.when(F.col("head"), F.col("place"))
-    triggers = phrases.groupBy("g").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(first_doc).alias("fd"), F.min_by(first_place, first_doc).alias("fp")).where("n > 1").drop("n")
+    # Each piece of a long text has heads of its own: the first one is the least pair, not any of the document.
+    # It is packed in one number, as a struct would be sorted instead of hashed.
+    first_doc, pack = F.when(F.col("head"), F.col("doc")), F.lit(PLACES).cast("decimal(15,0)")
+    first = F.min(first_doc.cast("decimal(20,0)") * pack + F.col("place").cast("decimal(15,0)"))
+    triggers = phrases.groupBy("g").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1"), F.min(first_doc).alias("fd"), F.pmod(first, pack).cast("long").alias("fp")).where("n > 1").drop("n")
     triggers = stage.write(triggers, "suffix-triggers")
     _release(spark)
     # Texts are parsed again rather than kept; the filter leaves out triggers that occur once before they are shuffled.

@@ -210,6 +210,17 @@ def test_a_text_longer_than_a_chunk(spark, monkeypatch):
     assert spans_of(spark.createDataFrame(rows, SCHEMA)) == spans_brute(rows)
 
 
+def test_a_passage_that_repeats_in_pieces_of_one_text_stays_at_its_first_place(spark):
+    rng = random.Random(3)
+    passage = "<" + "".join(rng.choice("abcdefghij ") for _ in range(600)) + ">"
+    size = suffixes.CHUNK * 5 // 4
+    filler = [np.random.default_rng(i).integers(97, 123, size, np.uint8).tobytes().decode() for i in range(4)]
+    text = f"{filler[0][:10]}{passage}1{filler[1]}2{passage}3{filler[2]}4{passage}5{filler[3]}"
+    kept = f"{filler[0][:10]}{passage}1{filler[1]}23{filler[2]}45{filler[3]}"
+    got = spans_of(spark.createDataFrame([(7, text, None, None, None)], SCHEMA))
+    assert got == {7: (len(text), 2 * len(passage), 2, hashlib.sha256(kept.encode()).hexdigest())}
+
+
 # --- lines -------------------------------------------------------------------------------------------
 
 
