@@ -1,7 +1,8 @@
 """Toxicity: a word classifier with counterfactual regularisation.
 
 The model is a logistic regression over the distinct words of a text and their beginnings of 4 to 6
-letters (so that an insult is known in forms that were never labelled). It is fitted on labelled documents
+letters (so that an insult is known in forms that were never labelled; identity terms have none, so that a swap
+changes no other feature and none can carry a group's weight). It is fitted on labelled documents
 only, on at most ``TRAIN_ROWS`` of them (those with the smallest hash of their id; the bound is a
 parameter). In training texts that hold an identity term the term is swapped for the others of its kind,
 and the squared change of the score is added to the loss: so the weight of a group's name cannot differ
@@ -55,10 +56,15 @@ STEMS = (4, 5, 6)
 WORD = regex.compile(r"[\p{L}\p{M}\p{N}_]+")
 
 
-def words(text: str) -> set[str]:
-    """A text's features: its distinct words, and the beginnings of them (marked by a stroke) that many inflected forms share."""
+def terms(identities=IDENTITIES) -> frozenset[str]:
+    return frozenset(w for kind in identities for w in kind)
+
+
+def words(text: str, plain: frozenset[str] = terms()) -> set[str]:
+    """A text's features: its distinct words, and the beginnings of them (marked by a stroke) that many inflected forms
+    share; of ``plain`` words no beginnings."""
     whole = set(WORD.findall(text.lower()))
-    return whole.union(w[:n] + "|" for w in whole for n in STEMS if len(w) > n)
+    return whole.union(w[:n] + "|" for w in whole - plain for n in STEMS if len(w) > n)
 
 
 @dataclass
@@ -67,6 +73,7 @@ class Model:
 
     bias: float
     weights: dict[str, float] = field(default_factory=dict)
+    plain: frozenset[str] = terms()
 
     def __post_init__(self) -> None:
         self.heads = {w[: STEMS[0]] for w in self.weights if w.endswith("|")}
@@ -78,7 +85,7 @@ class Model:
         for w in set(WORD.findall(text.lower())):
             if w in weights:
                 found.add(w)
-            if w[: STEMS[0]] in heads:
+            if w[: STEMS[0]] in heads and w not in self.plain:
                 found.update(x for n in STEMS if len(w) > n and (x := w[:n] + "|") in weights)
         z = self.bias + sum(weights[w] for w in sorted(found))
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
@@ -94,7 +101,7 @@ def fit(vocabulary: list[str], labels: np.ndarray, indices: list[np.ndarray], id
     n = len(labels)
     prior = (labels.sum() + 0.5) / (n + 10)
     if not n:
-        return Model(float(np.log(prior / (1 - prior))))
+        return Model(float(np.log(prior / (1 - prior))), plain=terms(identities))
     row, col = _rows_of(indices)
     place = {w: i for i, w in enumerate(vocabulary)}
     # Counterfactual differences: what a swap adds to and takes from a text's words.
@@ -128,33 +135,36 @@ def fit(vocabulary: list[str], labels: np.ndarray, indices: list[np.ndarray], id
         nt = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, vb = new + (t - 1) / nt * (new - w), new_bias + (t - 1) / nt * (new_bias - bias)
         w, bias, t = new, new_bias, nt
-    return Model(float(bias), {vocabulary[i]: float(w[i]) for i in np.flatnonzero(w)})
+    return Model(float(bias), {vocabulary[i]: float(w[i]) for i in np.flatnonzero(w)}, terms(identities))
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    pos: Counter = Counter()
-    neg: Counter = Counter()
+def _count_words(plain: frozenset[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pos: Counter = Counter()
+        neg: Counter = Counter()
 
-    def out():
-        names = [*pos.keys() | neg.keys()]
-        return pa.record_batch([pa.array(names, pa.string()), pa.array([pos[w] for w in names], pa.int64()), pa.array([neg[w] for w in names], pa.int64())], names=["word", "pos", "neg"])
+        def out():
+            names = [*pos.keys() | neg.keys()]
+            return pa.record_batch([pa.array(names, pa.string()), pa.array([pos[w] for w in names], pa.int64()), pa.array([neg[w] for w in names], pa.int64())], names=["word", "pos", "neg"])
 
-    for b in batches:
-        for label, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-            (pos if label else neg).update(words(text))
-        if len(pos) + len(neg) > 200_000:
-            yield out()
-            pos.clear()
-            neg.clear()
-    yield out()
+        for b in batches:
+            for label, text in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                (pos if label else neg).update(words(text, plain))
+            if len(pos) + len(neg) > 200_000:
+                yield out()
+                pos.clear()
+                neg.clear()
+        yield out()
+
+    return run
 
 
-def _index(vocabulary: list[str]):
+def _index(vocabulary: list[str], plain: frozenset[str]):
     place = {w: i for i, w in enumerate(vocabulary)}
 
     def run(batches):
         for b in batches:
-            lists = [sorted(place[w] for w in words(t) & place.keys()) for t in b.column(2).to_pylist()]
+            lists = [sorted(place[w] for w in words(t, plain) & place.keys()) for t in b.column(2).to_pylist()]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(lists, pa.list_(pa.int32()))], names=["key", "label", "words"])
 
     return run
@@ -174,14 +184,14 @@ def train(sample: DataFrame, vocabulary_words: int = VOCABULARY, least_docs: int
     """The model of a sample ``key, label, text`` that is small enough for the driver (see ``TRAIN_ROWS``)."""
     sizes = {r["label"]: r["n"] for r in sample.groupBy((F.col("label") > 0).cast("int").alias("label")).agg(F.count("*").alias("n")).collect()}
     p, n = float(sizes.get(1, 0)), float(sizes.get(0, 0))
-    counts = sample.mapInArrow(_count_words, "word string, pos long, neg long").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    counts = sample.mapInArrow(_count_words(terms(identities)), "word string, pos long, neg long").groupBy("word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     # How far a word's share of toxic texts is from the base rate, in standard errors.
     docs, rate = F.col("pos") + F.col("neg"), (p + 1) / (p + n + 2)
     z = F.abs(F.col("pos") - docs * rate) / F.sqrt(docs * rate * (1 - rate) + 1e-9)
     best = counts.where(docs >= least_docs).orderBy(F.desc(F.round(z, 9)), "word").limit(vocabulary_words).select("word").collect()
-    vocabulary = sorted({r["word"] for r in best} | {w for kind in identities for w in kind})
+    vocabulary = sorted({r["word"] for r in best} | terms(identities))
     schema = T.StructType().add("key", sample.schema["key"].dataType).add("label", "integer").add("words", T.ArrayType(T.IntegerType()))
-    rows = sample.mapInArrow(_index(vocabulary), schema).select("key", "label", "words").collect()
+    rows = sample.mapInArrow(_index(vocabulary, terms(identities)), schema).select("key", "label", "words").collect()
     rows.sort(key=lambda r: (r["key"], r["label"], r["words"]))
     labels = np.array([float(r["label"] > 0) for r in rows])
     return fit(vocabulary, labels, [np.array(r["words"], np.int64) for r in rows], identities, strength)

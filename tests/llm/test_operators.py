@@ -396,6 +396,24 @@ def test_held_out_accuracy_and_neutral_mentions(spark):
     assert abs(gap(model)) < 0.35 * abs(gap(plain))
 
 
+def test_swapped_sentences_score_alike(spark):
+    # A group that stands in toxic texts mostly: without the penalty its name and beginnings carry the score.
+    rng = random.Random(8)
+    plain = [f"topic{chr(97 + i)}{chr(97 + j)}" for i in range(6) for j in range(6)]
+    rows = []
+    for i in range(600):
+        toxic = i % 3 == 0
+        group = rng.choice(["muslim", "muslim", "muslim", "jewish"] if toxic else ["jewish", "jewish", "jewish", "muslim"])
+        rows.append((i, " ".join([*rng.sample(plain, 6), group, *(["vile"] if toxic and rng.random() < 0.3 else [])]), int(toxic)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    sample = toxicity.training_sample(df, df)
+    gap = lambda m, a, b: abs(np.subtract(*[np.log(s / (1 - s)) for s in (m.score(f"my {g} neighbour likes topicab") for g in (a, b))]))
+    fair, unfair = toxicity.train(sample), toxicity.train(sample, strength=0.0)
+    assert gap(unfair, "muslim", "jewish") > 1 and gap(fair, "muslim", "jewish") < 0.1
+    own = toxicity.train(sample, identities=[["muslim", "jewish", "topicans"]])
+    assert gap(own, "muslim", "jewish") < 0.1 and own.plain == {"muslim", "jewish", "topicans"}
+
+
 def test_scores_of_awkward_rows(docs, spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(1, 16)] + [(1, None), (None, 1)], "doc_id long, toxic int")
     model = toxicity.model_of(docs, labels)
