@@ -131,7 +131,9 @@ def test_near_groups_with_a_large_group_of_near_copies(spark, monkeypatch, regio
     assert got == near_brute(rows, 3, 85)
 
 
-def test_near_groups_of_templates_just_under_the_limit(spark):
+@pytest.mark.parametrize("sets", [neardup.SETS, 0])
+def test_near_groups_of_templates_just_under_the_limit(spark, monkeypatch, sets):
+    monkeypatch.setattr(neardup, "SETS", sets)
     # Many look-alikes under the limit, and of each a partner over it, at no better an estimate than many of them.
     rng = random.Random(5)
     base = [f"w{i}" for i in range(1000)]
