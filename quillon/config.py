@@ -1,44 +1,182 @@
-"""Settings of the analytics pipeline and their checks, made before any plan is built."""
+"""Settings of the analytics pipeline: one table of fields, and the rules between them."""
 
 from __future__ import annotations
 
-import copy
+import math
+from collections.abc import Callable
+from dataclasses import dataclass
 from pathlib import Path
 from typing import Any
 
 #: Columns that tell the answer and so are never features. Fixed values.
 NEVER_FEATURES = frozenset({"verdict", "family", "is_unseen", "alert_id", "rule_id", "mitre_technique", "mitre_tactic", "split", "metadata"})
-BACKENDS = ("expansion", "measured", "rewired")
-
-#: Defaults, fixed values.
-DEFAULTS: dict[str, Any] = {
-    "seed": 42,
-    "representation": {"backend": "expansion"},
-    "dataset": {"size": 5000, "start": "2026-01-01T00:00:00Z", "heldout_family": "memory_dump", "unseen_test_fraction": 0.30},
-    "features": {
-        "input_features": 4096, "categorical_hash_dim": 2048, "text_max_features": 2040, "categorical_weight": 0.7, "identity_weight": 0.15, "text_weight": 1.0, "numeric_weight": 0.2,
-        "text_fields": ["alert_name", "process_command_line"], "categorical_fields": ["severity", "category", "process_name", "action"], "identity_fields": ["hostname", "username", "source_ip", "destination_ip"],
-        "ablation": {"enabled": False, "disabled_fields": []},
-    },
-    "expansion": {"kc_dim": 8192, "fan_in": 8, "top_k": 64, "batch_size": 128},
-    "measured": {"enabled": False, "projection_path": None, "bridge_fan_out": 2, "top_k": 64, "batch_size": 128},
-    "controls": {"rewired": {"enabled": False, "preserve_degree": True, "swaps_per_edge": 5.0}},
-    "readout": {"enabled": False, "learning_rate": 0.01, "weight_decay": 0.0, "weight_clip": 3.0},
-    "novelty": {"percentile": 99, "baselines": {"enabled": False, "lof_neighbors": 35, "ocsvm_nu": 0.01}},
-    "evaluation": {"train_ratio": 0.70, "validation_ratio": 0.15, "test_ratio": 0.15, "retrieval_k": [1, 5, 10], "query_batch_size": 128},
-    "classification": {"knn_neighbors": 5, "forest_trees": 100, "logistic_max_iter": 1000},
-    "deduplication": {"similarity_threshold": 0.75, "max_false_merge_rate": 0.01, "thresholds": {}},
-    "experiments": {"seeds": [42], "heldout_families": ["memory_dump"]},
-}
+#: Names that published settings files use for sections and backends here. Fixed values.
+ALIASES = {"flyhash": "expansion", "connectome": "measured", "rewired_connectome": "rewired", "mbon": "readout"}
+
+
+@dataclass(frozen=True)
+class Field:
+    """One setting: where it stands, its default, its kind, and the interval of its values ("(" and ")" leave an end out)."""
+
+    path: str
+    default: Any
+    kind: str
+    interval: str = ""
+    empty: bool = False
+
+    def problem(self, x: Any) -> str | None:
+        """What is wrong with a value."""
+        if x is None or isinstance(x, (list, dict)) and not x:
+            return None if self.empty else f"{self.path} is empty"
+        kind, each = (self.kind[:-1], x) if self.kind.endswith("s") else (self.kind, [x])
+        if kind == "map":
+            return next((p for k, v in x.items() if (p := Field(f"{self.path}.{k}", 1.0, "real", self.interval, True).problem(v))), None) if isinstance(x, dict) else f"{self.path} must be a map"
+        if not isinstance(each, list):
+            return f"{self.path} must be a list"
+        good = {
+            "whole": lambda v: isinstance(v, int) and not isinstance(v, bool),
+            "real": lambda v: isinstance(v, (int, float)) and not isinstance(v, bool) and math.isfinite(v),
+            "flag": lambda v: isinstance(v, bool),
+            "name": lambda v: isinstance(v, str) and bool(v),
+        }[kind]
+        if not all(good(v) for v in each):
+            return f"{self.path} must be {kind}"
+        if self.interval and not all(self._within(v) for v in each):
+            return f"{self.path} must lie in {self.interval}"
+        return None
+
+    def _within(self, v: float) -> bool:
+        low, high = (math.inf if e == "inf" else float(e) for e in self.interval[1:-1].split(", "))
+        return (v > low if self.interval[0] == "(" else v >= low) and (v < high if self.interval[-1] == ")" else v <= high)
+
+
+#: All settings with their published defaults (fixed values) and bounds.
+FIELDS = (
+    Field("seed", 42, "whole"),
+    Field("representation.backend", "expansion", "name"),
+    Field("dataset.size", 5000, "whole", "[100, inf)"),
+    Field("dataset.start", "2026-01-01T00:00:00Z", "name"),
+    Field("dataset.heldout_family", "vault_export", "name"),
+    Field("dataset.unseen_test_fraction", 0.30, "real", "(0, 1)"),
+    Field("features.input_features", 4096, "whole", "[1, inf)"),
+    Field("features.categorical_hash_dim", 2048, "whole", "[1, inf)"),
+    Field("features.text_max_features", 2040, "whole", "[1, inf)"),
+    Field("features.categorical_weight", 0.7, "real", "[0, inf)"),
+    Field("features.identity_weight", 0.15, "real", "[0, inf)"),
+    Field("features.text_weight", 1.0, "real", "[0, inf)"),
+    Field("features.numeric_weight", 0.2, "real", "[0, inf)"),
+    Field("features.text_fields", ["alert_name", "process_command_line"], "names", empty=True),
+    Field("features.categorical_fields", ["severity", "category", "process_name", "action"], "names", empty=True),
+    Field("features.identity_fields", ["hostname", "username", "source_ip", "destination_ip"], "names", empty=True),
+    Field("features.ablation.enabled", False, "flag"),
+    Field("features.ablation.disabled_fields", [], "names", empty=True),
+    Field("expansion.kc_dim", 8192, "whole", "[1, inf)"),
+    Field("expansion.fan_in", 8, "whole", "[1, inf)"),
+    Field("expansion.top_k", 64, "whole", "[1, inf)"),
+    Field("expansion.batch_size", 128, "whole", "[1, inf)"),
+    Field("measured.enabled", False, "flag"),
+    Field("measured.dataset", None, "name", empty=True),
+    Field("measured.dataset_version", None, "name", empty=True),
+    Field("measured.projection_path", None, "name", empty=True),
+    Field("measured.mode", "binary", "name"),
+    Field("measured.bridge_fan_out", 2, "whole", "[1, inf)"),
+    Field("measured.top_k", 64, "whole", "[1, inf)"),
+    Field("measured.batch_size", 128, "whole", "[1, inf)"),
+    Field("controls.rewired.enabled", False, "flag"),
+    Field("controls.rewired.preserve_degree", True, "flag"),
+    Field("controls.rewired.swaps_per_edge", 5.0, "real", "[0, inf)"),
+    Field("readout.enabled", False, "flag"),
+    Field("readout.learning_rate", 0.01, "real", "(0, inf)"),
+    Field("readout.weight_decay", 0.0, "real", "[0, 1)"),
+    Field("readout.weight_clip", 3.0, "real", "(0, inf)"),
+    Field("novelty.percentile", 99, "real", "(0, 100]"),
+    Field("novelty.baselines.enabled", False, "flag"),
+    Field("novelty.baselines.lof_neighbors", 35, "whole", "[1, inf)"),
+    Field("novelty.baselines.ocsvm_nu", 0.01, "real", "(0, 1]"),
+    Field("evaluation.train_ratio", 0.70, "real", "(0, 1)"),
+    Field("evaluation.validation_ratio", 0.15, "real", "(0, 1)"),
+    Field("evaluation.test_ratio", 0.15, "real", "(0, 1)"),
+    Field("evaluation.retrieval_k", [1, 5, 10], "wholes", "[1, inf)"),
+    Field("evaluation.query_batch_size", 128, "whole", "[1, inf)"),
+    Field("classification.knn_neighbors", 5, "whole", "[1, inf)"),
+    Field("classification.forest_trees", 100, "whole", "[1, inf)"),
+    Field("classification.logistic_max_iter", 1000, "whole", "[1, inf)"),
+    Field("deduplication.similarity_threshold", 0.75, "real", "(0, 1]"),
+    Field("deduplication.max_false_merge_rate", 0.01, "real", "[0, 1]"),
+    Field("deduplication.thresholds", {}, "map", "(0, 1]", empty=True),
+    Field("experiments.seeds", [42], "wholes"),
+    Field("experiments.heldout_families", ["vault_export"], "names", empty=True),
+)
+
+
+def _nested(flat: dict[str, Any]) -> dict[str, Any]:
+    out: dict[str, Any] = {}
+    for path, value in flat.items():
+        *sections, name = path.split(".")
+        at = out
+        for s in sections:
+            at = at.setdefault(s, {})
+        at[name] = value
+    return out
+
+
+def _copied(x: Any) -> Any:
+    return list(x) if isinstance(x, list) else dict(x) if isinstance(x, dict) else x
+
+
+DEFAULTS: dict[str, Any] = _nested({f.path: f.default for f in FIELDS})
+_BY_PATH = {f.path: f for f in FIELDS}
+
+
+def _flat(given: dict[str, Any], at: str = "") -> dict[str, Any]:
+    """Settings by path, in the names used here."""
+    out: dict[str, Any] = {}
+    for key, value in given.items():
+        path = at + (ALIASES.get(key, key) if not at else key)
+        if isinstance(value, dict) and (path not in _BY_PATH or _BY_PATH[path].kind != "map"):
+            out |= _flat(value, f"{path}.")
+        else:
+            out[path] = ALIASES.get(value, value) if path == "representation.backend" and isinstance(value, str) else value
+    return out
 
 
 def with_defaults(given: dict[str, Any] | None = None) -> dict[str, Any]:
-    def merge(base: dict, more: dict) -> dict:
-        for k, v in more.items():
-            base[k] = merge(base[k], v) if isinstance(v, dict) and isinstance(base.get(k), dict) else v
-        return base
+    """Settings over the defaults; a key that is no setting raises."""
+    flat = _flat(given or {})
+    if unknown := sorted(set(flat) - set(_BY_PATH)):
+        raise ValueError(f"unknown settings: {', '.join(unknown)}")
+    return _nested({f.path: _copied(flat.get(f.path, f.default)) for f in FIELDS})
+
+
+Get = Callable[[str], Any]
 
-    return merge(copy.deepcopy(DEFAULTS), given or {})
+
+def _feature_fields(get: Get) -> set[str]:
+    return {x for kind in ("text", "categorical", "identity") for x in get(f"features.{kind}_fields") or []}
+
+
+#: Rules between fields, looked at once every field is good by itself: what is demanded, and whether it holds.
+RULES: tuple[tuple[str, Callable[[Get], bool]], ...] = (
+    ("the input width is that of categories and text, and 8 numbers", lambda get: get("features.input_features") - 8 == get("features.categorical_hash_dim") + get("features.text_max_features")),
+    ("there are more units than inputs, and no more inputs of a unit or winners than there can be", lambda get: get("expansion.fan_in") <= get("features.input_features") < get("expansion.kc_dim") >= get("expansion.top_k")),
+    ("the three parts make a whole", lambda get: abs(1 - sum(get(f"evaluation.{p}_ratio") for p in ("train", "validation", "test"))) < 1e-9),
+    ("answers and keys are not features", lambda get: _feature_fields(get).isdisjoint(NEVER_FEATURES)),
+    ("only features are switched off", lambda get: set(get("features.ablation.disabled_fields") or []) <= _feature_fields(get) | {"timestamp", "source_port", "destination_port"}),
+    ("the backend is expansion, measured or rewired", lambda get: get("representation.backend") in ("expansion", "measured", "rewired")),
+    ("measured weights are binary, synapse or column_normalized", lambda get: get("measured.mode") in ("binary", "synapse", "column_normalized")),
+    ("a measured backend is enabled and has its projection", lambda get: get("representation.backend") == "expansion" or get("measured.enabled") and get("measured.projection_path") is not None),
+    ("the rewired backend is enabled and keeps degrees", lambda get: get("representation.backend") != "rewired" or get("controls.rewired.enabled") and get("controls.rewired.preserve_degree")),
+    ("no seed comes twice", lambda get: len(get("experiments.seeds")) == len(set(get("experiments.seeds")))),
+)
+
+
+def check(settings: dict[str, Any]) -> list[str]:
+    """What is wrong with the settings; nothing if they are good."""
+    flat = _flat(settings)
+    get = lambda path: flat.get(path, _BY_PATH[path].default)
+    out = [f"unknown setting {p}" for p in sorted(set(flat) - set(_BY_PATH))]
+    out += [p for f in FIELDS if (p := f.problem(get(f.path)))]
+    return out or [f"demanded: {says}" for says, holds in RULES if not holds(get)]
 
 
 def load(path: str | Path) -> dict[str, Any]:
@@ -49,62 +187,12 @@ def load(path: str | Path) -> dict[str, Any]:
     if not isinstance(given, dict):
         raise ValueError("settings must be a mapping")
     settings = with_defaults(given)
-    problems = check(settings)
-    if problems:
+    if problems := check(settings):
         raise ValueError("; ".join(problems))
     return settings
 
 
-def check(s: dict[str, Any]) -> list[str]:
-    """What is wrong with the settings; nothing if they are good."""
-    out: list[str] = []
-
-    def need(ok: bool, what: str) -> None:
-        if not ok:
-            out.append(what)
-
-    def whole(x: Any, least: int = 1) -> bool:
-        return isinstance(x, int) and not isinstance(x, bool) and x >= least
-
-    f, h, e, d = s["features"], s["expansion"], s["evaluation"], s["deduplication"]
-    parts = [e[f"{p}_ratio"] for p in ("train", "validation", "test")]
-    need(all(0 < p < 1 for p in parts) and abs(sum(parts) - 1) < 1e-9, "split ratios must be positive and add up to one")
-    need(all(whole(f[k]) for k in ("input_features", "categorical_hash_dim", "text_max_features")), "widths must be positive whole numbers")
-    need(f["input_features"] == f["categorical_hash_dim"] + f["text_max_features"] + 8, "input_features must be the categorical and text widths plus 8")
-    need(1 <= h["fan_in"] <= f["input_features"], "fan_in must lie within the input width")
-    need(1 <= h["top_k"] <= h["kc_dim"], "top_k must lie within kc_dim")
-    need(h["kc_dim"] > f["input_features"], "kc_dim must exceed the input width")
-    need(0 < s["novelty"]["percentile"] <= 100, "the novelty percentile must lie in (0, 100]")
-    need(0 < d["similarity_threshold"] <= 1, "the similarity threshold must lie in (0, 1]")
-    need(whole(h["batch_size"]) and whole(e["query_batch_size"]), "batch sizes must be positive")
-    need(bool(e["retrieval_k"]) and min(e["retrieval_k"], default=0) >= 1, "every retrieval k must be positive")
-    need(0 < s["dataset"]["unseen_test_fraction"] < 1, "the unseen fraction must lie in (0, 1)")
-    fields = {*f["text_fields"], *f["categorical_fields"], *f["identity_fields"]}
-    need(not fields & NEVER_FEATURES, "labels and identifiers can't be features")
-    need(all(f[k] >= 0 for k in ("categorical_weight", "identity_weight", "text_weight", "numeric_weight")), "feature weights can't be negative")
-    backend, measured = s.get("representation", {}).get("backend", "expansion"), s.get("measured", {})
-    need(backend in BACKENDS, "unknown representation backend")
-    need(backend == "expansion" or bool(measured.get("enabled")) and bool(measured.get("projection_path")), "a measured backend needs to be enabled and have a projection path")
-    need(all(whole(measured[k]) for k in ("bridge_fan_out", "top_k", "batch_size") if k in measured), "measured widths must be positive whole numbers")
-    rewired = s.get("controls", {}).get("rewired", {})
-    need(backend != "rewired" or bool(rewired.get("enabled")) and rewired.get("preserve_degree", True), "the rewired backend must be enabled and keep degrees")
-    need(rewired.get("swaps_per_edge", 0) >= 0, "swaps_per_edge can't be negative")
-    disabled = f.get("ablation", {}).get("disabled_fields", [])
-    if isinstance(disabled, list) and all(isinstance(x, str) for x in disabled):
-        need(set(disabled) <= fields | {"source_port", "destination_port", "timestamp"}, "only configured fields can be disabled")
-    else:
-        out.append("disabled fields must be a list of names")
-    seeds = s.get("experiments", {}).get("seeds", [s["seed"]])
-    need(bool(seeds) and all(whole(x, -(1 << 62)) for x in seeds) and len(set(seeds)) == len(seeds), "seeds must be distinct whole numbers")
-    readout = s.get("readout", {})
-    need(not readout or readout.get("learning_rate", 0) > 0 and 0 <= readout.get("weight_decay", 0) < 1 and readout.get("weight_clip", 0) > 0, "readout rate, decay or clip out of range")
-    need(0 <= d.get("max_false_merge_rate", 0.01) <= 1, "the false-merge budget must lie in [0, 1]")
-    need(all(v is None or 0 < v <= 1 for v in d.get("thresholds", {}).values()), "own thresholds must be null or lie in (0, 1]")
-    return out
-
-
 def active_fields(features: dict[str, Any]) -> dict[str, list[str]]:
     """Feature fields by role, without those an ablation switches off."""
-    ablation = features.get("ablation", {})
-    off = set(ablation.get("disabled_fields", [])) if ablation.get("enabled") else set()
+    off = set(features["ablation"]["disabled_fields"]) if features["ablation"]["enabled"] else set()
     return {k: [x for x in features[k] if x not in off] for k in ("text_fields", "categorical_fields", "identity_fields")}
