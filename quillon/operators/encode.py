@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import portable_hash
+from ..runtime import ship_package
+
+#: Rows encoded at a time, and edges that a task may hold (16 bytes each, 24 with weights).
+ROWS, EDGES = 256, 4 << 20
 
 
 def random_edges(spark: SparkSession, inputs: int, units: int, fan_in: int, seed: int = 42) -> DataFrame:
@@ -26,8 +34,8 @@ def tie_order(spark: SparkSession, units: int, seed: int = 42) -> DataFrame:
 
 
 def activation(vectors: DataFrame, edges: DataFrame, weight: str | None = None) -> DataFrame:
-    """``id, kc, act``: sums over each unit's inputs. The edge table is bounded by units * fan_in."""
-    rows = vectors.join(F.broadcast(edges), "pn")
+    """``id, kc, act``: sums over each unit's inputs."""
+    rows = vectors.join(edges, "pn")
     value = F.col("v") if weight is None else F.col("v") * F.col(weight)
     return rows.groupBy("id", "kc").agg(F.sum(value).alias("act"))
 
@@ -35,14 +43,83 @@ def activation(vectors: DataFrame, edges: DataFrame, weight: str | None = None)
 def winners(activations: DataFrame, ties: DataFrame, k: int) -> DataFrame:
     """``id, kc``: the k largest positive activations of each row; equal ones by the tie order."""
     order = Window.partitionBy("id").orderBy(F.desc("act"), "tie")
-    rows = activations.where("act > 0").join(F.broadcast(ties), "kc")
+    rows = activations.where("act > 0").join(ties, "kc")
     return rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select("id", "kc")
 
 
-def fingerprints(ids: DataFrame, won: DataFrame) -> DataFrame:
-    """``id, kcs`` of every id: sorted active units, empty where nothing won."""
-    packed = won.groupBy("id").agg(F.sort_array(F.collect_list("kc")).alias("kcs"))
-    return ids.join(packed, "id", "left").select("id", F.coalesce("kcs", F.array().cast("array<bigint>")).alias("kcs"))
+def tie_ranks(units: int, seed: int = 42) -> np.ndarray:
+    """Of every unit its place in :func:`tie_order`."""
+    names = [hashlib.md5(f"tie|{seed}|{kc}".encode()).hexdigest() for kc in range(units)]
+    out = np.empty(units, np.int64)
+    out[np.argsort(np.array(names))] = np.arange(units)
+    return out
+
+
+def _inputs_of(edges: pa.Table, units: int, weight: str | None) -> tuple[np.ndarray, np.ndarray | None]:
+    """The inputs of each unit side by side (-1 where it has no more), and their weights."""
+    pn, kc = (edges.column(c).to_numpy().astype(np.int64) for c in ("pn", "kc"))
+    order = np.lexsort((pn, kc))
+    pn, kc = pn[order], kc[order]
+    nth = np.arange(len(kc)) - np.searchsorted(kc, kc)
+    table = np.full((int(nth.max(initial=0)) + 1, units), -1, np.int64)
+    table[nth, kc] = pn
+    if weight is None:
+        return table, None
+    w = np.zeros(table.shape)
+    w[nth, kc] = edges.column(weight).to_numpy()[order]
+    return table, w
+
+
+def _encode(table: np.ndarray, weights: np.ndarray | None, ranks: np.ndarray, inputs: int, k: int):
+    units = table.shape[1]
+    empty = np.array([], np.int64)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                b = batch.slice(at, ROWS)
+                sizes = b.column(1).value_lengths().to_numpy()
+                rows = np.repeat(np.arange(b.num_rows), sizes)
+                dense = np.zeros((inputs + 1, b.num_rows), np.int64 if weights is None else np.float64)
+                dense[b.column(1).flatten().to_numpy(), rows] = b.column(2).flatten().to_numpy()
+                act = np.zeros((units, b.num_rows), dense.dtype)
+                for j, own in enumerate(table):
+                    act += dense[own] if weights is None else dense[own] * weights[j][:, None]
+                # Whole activations and ranks make one key; real ones are ordered in two steps.
+                act = np.ascontiguousarray(act.T)
+                n = min(k, units)
+                if weights is None:
+                    key = act * units + (units - 1 - ranks)
+                    top = np.argpartition(-key, n - 1, axis=1)[:, :n]
+                else:
+                    top = np.lexsort((np.broadcast_to(ranks, act.shape), -act), axis=1)[:, :n]
+                top.sort(axis=1)
+                good = np.take_along_axis(act, top, 1) > 0
+                ends = np.r_[0, np.cumsum(good.sum(1))].astype(np.int32)
+                flat = top[good] if good.any() else empty
+                yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int64()))], names=["id", "slots"])
+
+    return run
+
+
+def encoded(vectors: DataFrame, edges: DataFrame, inputs: int, units: int, k: int, seed: int = 42, weight: str | None = None) -> DataFrame:
+    """``id, slots``: the sorted winners of every id with a vector ``id, pn, v``.
+
+    A row's activations and winners are its own affair: vectors are packed to one row an id and multiplied by
+    the edge table in numpy, ``ROWS`` at a time. The table goes to every task, so it must have at most
+    ``EDGES`` edges; a larger one is joined instead (:func:`activation`, :func:`winners`), with the same result.
+    Raises for slots outside the inputs and for negative values.
+    """
+    spark = vectors.sparkSession
+    if edges.limit(EDGES + 1).count() > EDGES:
+        won = winners(activation(vectors, edges, weight), tie_order(spark, units, seed), k)
+        return won.groupBy("id").agg(F.sort_array(F.collect_list("kc")).alias("slots"))
+    ship_package(spark)
+    table, weights = _inputs_of(edges.toArrow(), units, weight)
+    bad = F.col("v").isNull() | (F.col("v") < 0) | ~F.col("pn").between(0, inputs - 1)
+    value = F.when(bad, F.raise_error(F.lit("vectors must be finite, nonnegative and within the input width")).cast("long")).otherwise(F.col("v"))
+    packed = vectors.select("id", F.struct(F.col("pn").cast("long").alias("pn"), value.alias("v")).alias("x")).groupBy("id").agg(F.collect_list("x").alias("x"))
+    return packed.select("id", "x.pn", "x.v").mapInArrow(_encode(table, weights, tie_ranks(units, seed), inputs, k), "id long, slots array<bigint>")
 
 
 def check_vectors(vectors: DataFrame, inputs: int) -> None:
@@ -61,7 +138,7 @@ def bridge(vectors: DataFrame, edges: DataFrame, fan_out: int) -> DataFrame:
     """``id, pn, v``: features spread over their inputs, each row at length one (in millionths)."""
     from .features import normalised
 
-    rows = vectors.withColumnRenamed("pn", "f").join(F.broadcast(edges), "f")
+    rows = vectors.withColumnRenamed("pn", "f").join(edges, "f")
     return normalised(rows.select("id", "pn", F.expr(f"v div {fan_out}").alias("w")))
 
 

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import CATEGORY_LIMIT, blank_if_null, clean_text, cyclic, fixed, port_value, portable_hash, terms, tokens, valid_port
+from ..functions import CATEGORY_LIMIT, blank_if_null, clean_text, cyclic, fixed, port_value, portable_hash, tokens, valid_port
+from ..runtime import ship_package
 
 #: Weights are whole ten-thousandths; vector components whole millionths.
 WEIGHT, UNIT = 10_000, 1_000_000
+#: Term rows handed on at a time.
+TERM_ROWS = 50_000
 
 
 def text_of(df: DataFrame, fields: list[str]) -> Column:
@@ -19,10 +25,39 @@ def text_of(df: DataFrame, fields: list[str]) -> Column:
     return F.concat(*parts) if parts else F.lit("")
 
 
+def _counted(batches):
+    """Words and neighbouring pairs of each row's words, counted in the row."""
+    names, kinds = ["id", "term", "tf"], [pa.int64(), pa.string(), pa.int64()]
+
+    def out():
+        return pa.record_batch([pa.array(np.repeat(ids, sizes), kinds[0]), pa.array(found, kinds[1]), pa.array(counts, kinds[2])], names=names)
+
+    ids, sizes, found, counts = [], [], [], []
+    for b in batches:
+        for key, words in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            if not words:
+                continue
+            tally = Counter(words)
+            tally.update([f"{x} {y}" for x, y in zip(words, words[1:])])
+            ids.append(key)
+            sizes.append(len(tally))
+            found += tally.keys()
+            counts += tally.values()
+            if len(found) > TERM_ROWS:
+                yield out()
+                ids, sizes, found, counts = [], [], [], []
+    if found:
+        yield out()
+
+
 def term_counts(df: DataFrame, id_col: str, text: Column) -> DataFrame:
-    """``id, term, tf`` of words and word pairs."""
-    rows = df.select(F.col(id_col).alias("id"), F.explode(terms(tokens(clean_text(text)))).alias("term"))
-    return rows.groupBy("id", "term").agg(F.count("*").alias("tf"))
+    """``id, term, tf`` of words and word pairs, one text an id: all of it is counted in its row, so nothing is shuffled.
+
+    Ids are whole numbers, not null and unique; a null or blank text has no terms.
+    """
+    ship_package(df.sparkSession)
+    rows = df.select(F.col(id_col).cast("long").alias("id"), tokens(clean_text(text)).alias("words"))
+    return rows.mapInArrow(_counted, "id long, term string, tf long")
 
 
 def vocabulary(counts: DataFrame, size: int) -> DataFrame:
@@ -44,8 +79,11 @@ def tf_weights(counts: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def normalised(rows: DataFrame, id_col: str = "id", at: str = "pn", scale: float = 1.0) -> DataFrame:
-    """``id, pn, v``: weights summed by slot, each row at length ``scale`` (in millionths)."""
-    summed = rows.groupBy(id_col, at).agg(F.sum("w").alias("w"))
+    """``id, pn, v``: weights summed by slot, each row at length ``scale`` (in millionths).
+
+    Rows are brought together by id once; the sum by slot and the length need no exchange after that.
+    """
+    summed = rows.repartition(id_col).groupBy(id_col, at).agg(F.sum("w").alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)).cast("double"))
     value = F.floor(F.col("w") * F.lit(UNIT * scale) / norm + 0.5).cast("long")
     return summed.where("w <> 0").select(id_col, at, value.alias("v"))

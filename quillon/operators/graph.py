@@ -28,7 +28,11 @@ def check_transition(p: DataFrame) -> None:
 
 
 def diffuse(p: DataFrame, state: DataFrame, steps: int, retain: float = 0.9, mix: float = 0.8) -> DataFrame:
-    """``node, a`` after so many steps of a' = retain * ((1 - mix) * a + mix * inflow). Each step is cut in the shared folder."""
+    """``node, a`` after so many steps of a' = retain * ((1 - mix) * a + mix * inflow). Each step is cut in the shared folder.
+
+    A transition that is negative or not substochastic is an error.
+    """
+    check_transition(p)
     for _ in range(steps):
         inflow = p.join(state, p["src"] == state["node"]).groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("p") * F.col("a")).alias("inflow"))
         both = state.join(inflow, "node", "full_outer")

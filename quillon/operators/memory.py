@@ -29,13 +29,15 @@ def check_feedback(events: DataFrame, base: DataFrame) -> None:
 
 
 def current(base: DataFrame, events: DataFrame) -> DataFrame:
-    """``id, verdict``: the last event's verdict (by ``seq``), else the stored one."""
+    """``id, verdict``: the last event's verdict (by ``seq``), else the stored one. Unknown ids or verdicts are an error."""
+    check_feedback(events, base)
     last = events.groupBy("id").agg(F.max_by("verdict", "seq").alias("given"))
     return base.join(last, "id", "left").select("id", F.coalesce("given", "verdict").alias("verdict"))
 
 
 def audit(base: DataFrame, events: DataFrame) -> DataFrame:
-    """``seq, id, previous, verdict`` of every event: what the verdict was before it."""
+    """``seq, id, previous, verdict`` of every event: what the verdict was before it. Unknown ids or verdicts are an error."""
+    check_feedback(events, base)
     order = Window.partitionBy("id").orderBy("seq")
     rows = events.join(base.select("id", F.col("verdict").alias("stored")), "id")
     return rows.select("seq", "id", F.coalesce(F.lag("verdict").over(order), "stored").alias("previous"), "verdict")

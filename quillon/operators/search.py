@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import ship_package
+
 #: Rows in a block of queries and of references.
 QUERY_BLOCK, REFERENCE_BLOCK = 512, 1024
 METRICS = ("jaccard", "cosine", "hamming")
@@ -43,11 +45,13 @@ def overlaps(a: DataFrame, b: DataFrame, slot: str = "kc") -> DataFrame:
     return shared.join(na, "a").join(nb, "b")
 
 
-def _dense(rows: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+def _dense(rows: pa.Array, width: int, binary: bool) -> tuple[np.ndarray, np.ndarray]:
     ids = rows.field("id").to_numpy(zero_copy_only=False)
     slots = rows.field("slots")
     sizes = np.diff(slots.offsets.to_numpy())
     flat, values = slots.flatten().to_numpy(zero_copy_only=False), rows.field("values").flatten().to_numpy(zero_copy_only=False)
+    if binary and not (values == 1).all():
+        raise ValueError("a binary row holds ones only")
     out = np.zeros((len(ids), width))
     out[np.repeat(np.arange(len(ids)), sizes), flat] = values
     return ids, out
@@ -72,16 +76,20 @@ def _block_scores(q: np.ndarray, r: np.ndarray, metric: str, width: int) -> np.n
     return np.where((na > 0) & (nb > 0), value, 0.0)
 
 
-def _search(k: int, metric: str, width: int, skip_self: bool):
+def _search(k: int | None, metric: str, width: int, skip_self: bool, least: float | None = None):
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                qids, q = _dense(batch.column(0).slice(i, 1).flatten(), width)
-                rids, r = _dense(batch.column(1).slice(i, 1).flatten(), width)
+                qids, q = _dense(batch.column(0).slice(i, 1).flatten(), width, metric != "dot")
+                rids, r = _dense(batch.column(1).slice(i, 1).flatten(), width, metric != "dot")
                 order = np.argsort(rids, kind="stable")
                 rids, scores = rids[order], np.clip(_block_scores(q, r[order], metric, width), 0, 1)
                 if skip_self:
                     scores[qids[:, None] == rids[None, :]] = -1
+                if k is None:
+                    rows, cols = np.nonzero(scores >= least)
+                    yield pa.record_batch([pa.array(qids[rows]), pa.array(rids[cols]), pa.array(scores[rows, cols])], names=["query", "ref", "similarity"])
+                    continue
                 top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
                 best = np.take_along_axis(scores, top, 1)
                 rows, cols = np.nonzero(best >= 0)
@@ -97,29 +105,42 @@ def _blocks(vectors: DataFrame, rows_a_block: int, name: str) -> DataFrame:
     return packed
 
 
+def _met(queries: DataFrame, references: DataFrame, compare) -> DataFrame:
+    """``query, ref, similarity`` of what a comparison of blocks finds: every block of the stated queries meets every block of references once."""
+    ship_package(queries.sparkSession)
+    q, r = _blocks(queries, QUERY_BLOCK, "q"), _blocks(references, REFERENCE_BLOCK, "r")
+    n_r = r.agg(F.max("r_no")).first()[0]
+    # With no references there is no block to meet, and the join below is empty.
+    numbers = F.sequence(F.lit(0).cast("long"), F.lit(int(n_r or 0)).cast("long"))
+    pairs = q.select("q", F.explode(numbers).alias("r_no"))
+    return pairs.join(r, "r_no").select("q", "r").mapInArrow(compare, "query long, ref long, similarity double")
+
+
+def pairs_above(queries: DataFrame, references: DataFrame, least: float, metric: str, width: int) -> DataFrame:
+    """``a, b, similarity`` of the queries and references (``id, slots, values``) at or above a positive similarity.
+
+    Blocks are compared in numpy and only pairs above the limit leave a task, however common a slot is.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("the least similarity must lie in (0, 1]")
+    found = _met(queries, references, _search(None, metric, width, False, least))
+    return found.select(F.col("query").alias("a"), F.col("ref").alias("b"), "similarity")
+
+
 def nearest(queries: DataFrame, references: DataFrame, k: int, metric: str, width: int, skip_self: bool = False) -> DataFrame:
     """``query, rank, ref, similarity``: the k most similar references of every query (all, if fewer).
 
     Both sides are ``id, slots, values`` with whole-number ids that are also the tie order. Metric ``dot`` is
     cosine of the values; the others take the slots as a binary row. Queries with no slots get the first references.
     """
-    q = _blocks(queries, QUERY_BLOCK, "q")
-    r = _blocks(references, REFERENCE_BLOCK, "r")
-    # Every block of the stated queries meets every block of references once.
-    n_r = r.agg(F.max("r_no")).first()[0]
-    if n_r is None:
-        return queries.limit(0).select(F.col("id").alias("query"), F.lit(1).alias("rank"), F.col("id").alias("ref"), F.lit(0.0).alias("similarity"))
-    pairs = q.withColumn("r_no", F.explode(F.sequence(F.lit(0), F.lit(int(n_r))))).withColumn("r_no", F.col("r_no").cast("long"))
-    pairs = pairs.join(r, "r_no").select("q", "r")
-    found = pairs.mapInArrow(_search(k, metric, width, skip_self), "query long, ref long, similarity double")
+    found = _met(queries, references, _search(k, metric, width, skip_self))
     order = Window.partitionBy("query").orderBy(F.desc("similarity"), "ref")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query", "rank", "ref", "similarity")
 
 
-def packed_fingerprints(ids: DataFrame, won: DataFrame) -> DataFrame:
-    """``id, slots, values`` of every id from its winners ``id, kc``."""
-    by = won.groupBy("id").agg(F.sort_array(F.collect_list("kc")).alias("slots"))
-    rows = ids.select("id").join(by, "id", "left")
+def packed_fingerprints(ids: DataFrame, encoded: DataFrame) -> DataFrame:
+    """``id, slots, values`` of every id from its winners ``id, slots``; no slots where nothing won."""
+    rows = ids.select("id").join(encoded, "id", "left")
     slots = F.coalesce("slots", F.array().cast("array<bigint>"))
     return rows.select("id", slots.alias("slots"), F.transform(slots, lambda x: F.lit(1.0)).alias("values"))
 

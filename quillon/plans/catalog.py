@@ -146,7 +146,7 @@ def json_record_normalize(spark, d):
 @query
 def synthetic_alerts(spark, d):
     rows = synthetic.alerts(spark, 5000)
-    return rows.select(F.unix_seconds("timestamp").alias("second"), "alert_id", "alert_name", "severity", "hostname", "username", "source_ip", "source_port", "destination_port", "process_command_line", "verdict", "family", "is_unseen")
+    return rows.select(F.unix_seconds("timestamp").alias("second"), "alert_id", "alert_name", "severity", "hostname", "username", "source_ip", "source_port", "destination_port", "process_command_line", "action", "verdict", "family", "is_unseen")
 
 
 # --- text and feature blocks -------------------------------------------------------------------------
@@ -290,19 +290,14 @@ def kc_activation(spark, d):
     return encode.activation(v, encode.random_edges(spark, 128, 512, 6))
 
 
-def _embedding_winners(spark, d):
-    return encode.winners(kc_activation(spark, d), encode.tie_order(spark, 512), 16)
-
-
 @query
 def fingerprint_embeddings(spark, d):
-    return _embedding_winners(spark, d)
+    return encode.encoded(fx.embedding_vectors(spark, d), encode.random_edges(spark, 128, 512, 6), 128, 512, 16).select("id", F.explode("slots").alias("kc"))
 
 
 @query
 def fingerprint_alerts(spark, d):
-    act = encode.activation(_alert_vectors(spark, d), encode.random_edges(spark, 4096, 8192, 8))
-    return encode.winners(act, encode.tie_order(spark, 8192), 64)
+    return encode.encoded(_alert_vectors(spark, d), encode.random_edges(spark, 4096, 8192, 8), 4096, 8192, 64).select("id", F.explode("slots").alias("kc"))
 
 
 @query
@@ -324,7 +319,7 @@ def activation_histogram(spark, d):
 @query
 def sparsity_stats(spark, d):
     docs = fx.documents(spark, d)
-    sizes = search.packed_fingerprints(docs, fx.document_winners(docs)).select(F.size("slots").cast("long").alias("n_active"))
+    sizes = search.packed_fingerprints(docs, fx.encoded_documents(docs)).select(F.size("slots").cast("long").alias("n_active"))
     return metrics.sparsity(sizes)
 
 
@@ -397,22 +392,20 @@ def _parts(docs, prints):
     return of("train"), of("validation"), of("test")
 
 
-def _pairs(spark, d, metric):
+def _pairs(spark, d, metric, least):
     docs, prints = _doc_prints(spark, d)
     train, _, test = _parts(docs, prints)
-    flat = lambda p: p.select("id", F.explode("slots").alias("kc"))
-    rows = search.overlaps(flat(test), flat(train))
-    return rows.select("a", "b", search.similarity(metric, F.col("shared"), F.col("na"), F.col("nb"), fx.UNITS).alias("similarity"))
+    return rounded(search.pairs_above(test, train, least, metric, fx.UNITS))
 
 
 @query
 def jaccard_pairs(spark, d):
-    return rounded(_pairs(spark, d, "jaccard").where("similarity >= 0.2"))
+    return _pairs(spark, d, "jaccard", 0.2)
 
 
 @query
 def binary_cosine_pairs(spark, d):
-    return rounded(_pairs(spark, d, "cosine").where("similarity >= 0.3"))
+    return _pairs(spark, d, "cosine", 0.3)
 
 
 @query
@@ -545,19 +538,25 @@ def lof_scores(spark, d):
 
 def _embedding_parts(spark, d):
     rows = fx.with_split(table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("x")), "id")
-    return rows.where("split = 'train'").select("id", "x"), rows.where("split <> 'train'").select("id", "x")
+    return rows.where("split = 'train'").select("id", "x"), rows.where("split <> 'train'")
 
 
 @query
 def isolation_forest(spark, d):
+    """Scores of what is not train, and flags above the in-sample percentile."""
     train, rest = _embedding_parts(spark, d)
-    return rounded(novelty.model_scores(rest, novelty.IsolationForest(novelty.bounded_sample(train, 10_000))))
+    model = novelty.isolation_forest(train)
+    score = lambda rows: novelty.model_scores(rows, model).withColumnRenamed("id", "query")
+    return rounded(novelty.flagged(score(rest), score(train)).withColumnRenamed("query", "id"))
 
 
 @query
 def ocsvm_scores(spark, d):
+    """Scores of what is not train, and flags above the percentile of validation."""
     train, rest = _embedding_parts(spark, d)
-    return rounded(novelty.model_scores(rest, novelty.OneClassSvm(novelty.bounded_sample(train, 1_000))))
+    model = novelty.OneClassSvm(novelty.bounded_sample(train, novelty.SVM_ROWS))
+    score = lambda rows: novelty.model_scores(rows, model).withColumnRenamed("id", "query")
+    return rounded(novelty.flagged(score(rest), score(rest.where("split = 'validation'"))).withColumnRenamed("query", "id"))
 
 
 # --- dedup -------------------------------------------------------------------------------------------
@@ -580,6 +579,7 @@ def dedup_documents(spark, d):
     return dedup.leader_clusters(test, [50]).groupBy("leader").agg(F.count("*").alias("size"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
+#: Thresholds of the sweep, in hundredths.
 THRESHOLDS = [50, 60, 75, 90]
 
 
@@ -679,7 +679,7 @@ def logreg_verdict(spark, d):
 
 @query
 def forest_verdict(spark, d):
-    return _learned(spark, d, lambda a, b, w: classify.forest(a, b, w, 20))
+    return _learned(spark, d, classify.forest)
 
 
 def _turns(spark, d):
@@ -694,7 +694,7 @@ REWARDS = {"user": 1.0, "assistant": 1.0, "system": 0.0}
 
 @query
 def online_readout(spark, d):
-    return rounded(classify.online_readout(_turns(spark, d), sorted(REWARDS), REWARDS))
+    return rounded(classify.online_readout(_turns(spark, d), sorted(REWARDS), REWARDS).drop("before", "after", "note"))
 
 
 @query

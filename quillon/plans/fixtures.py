@@ -67,18 +67,21 @@ def document_vectors(docs: DataFrame) -> DataFrame:
     return features.hashed_text(document_weights(docs), INPUTS)
 
 
+def encoded_documents(docs: DataFrame) -> DataFrame:
+    """``id, slots`` of the documents with any term."""
+    return encode.encoded(document_vectors(docs), encode.random_edges(docs.sparkSession, INPUTS, UNITS, FAN_IN, SEED), INPUTS, UNITS, WINNERS, SEED)
+
+
 def document_winners(docs: DataFrame) -> DataFrame:
     """``id, kc``."""
-    spark = docs.sparkSession
-    act = encode.activation(document_vectors(docs), encode.random_edges(spark, INPUTS, UNITS, FAN_IN, SEED))
-    return encode.winners(act, encode.tie_order(spark, UNITS, SEED), WINNERS)
+    return encoded_documents(docs).select("id", F.explode("slots").alias("kc"))
 
 
 def document_prints(docs: DataFrame) -> DataFrame:
     """``id, slots, values`` of every document, from a table cut in the shared folder (it is read more than once)."""
     from ..runtime import cut
 
-    return cut(search.packed_fingerprints(docs, document_winners(docs)))
+    return cut(search.packed_fingerprints(docs, encoded_documents(docs)))
 
 
 def embedding_vectors(spark: SparkSession, d: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..sources.synthetic import HELD_OUT, PROFILES
+from ..sources.synthetic import VERDICTS, families
 
 
 def h32(x: str, n: int) -> str:
@@ -242,19 +242,22 @@ ALERT_SPLIT = f"{ALERTS},\n{time_split('alerts', 'ts', name='sa')},\nun AS (SELE
 
 def synthetic(size: int = 5000, seed: int = 42, test_from: int = 4250) -> str:
     draw = lambda field, n: h32(f"'{seed}|{field}|' || CAST(id AS VARCHAR)", n)
-    rows = ", ".join("(" + ", ".join([str(i), *("'" + x.replace("'", "''") + "'" for x in p)]) + ")" for i, p in enumerate((*PROFILES, HELD_OUT)))
-    some = lambda x, field: f"CASE WHEN {draw('null_' + field, 1000)} >= 35 THEN {x} END"
-    pick = lambda values, at: f"list_extract([{values}], CAST({at} + 1 AS BIGINT))"
-    return f"""WITH prof(k, family, alert_name, process, command, category, technique, usual) AS (VALUES {rows}),
+    kinds = families()
+    rows = ", ".join("(" + ", ".join([str(i), *(str(x) if isinstance(x, int) else f"'{x}'" for x in f)]) + ")" for i, f in enumerate(kinds))
+    some = lambda x, field: f"CASE WHEN {draw('missing ' + field, 1000)} >= 35 THEN {x} END AS {field}"
+    pick = lambda values, at: f"list_extract([{', '.join(repr(v) for v in values)}], CAST({at} + 1 AS BIGINT))"
+    return f"""WITH fam(k, family, process, port, category, words, technique, usual) AS (VALUES {rows}),
 r AS (SELECT id, id >= {test_from} AND {draw("unseen", 1000)} < 300 AS is_unseen FROM range({size}) t(id)),
-s AS (SELECT r.*, {draw("host", 80)} + 1 AS host, {draw("user", 120)} + 1 AS usr, {draw("severity", 10)} AS lvl, prof.* FROM r JOIN prof ON k = CASE WHEN is_unseen THEN {len(PROFILES)} ELSE {draw("family", len(PROFILES))} END)
-SELECT CAST(epoch(TIMESTAMP '2026-01-01 00:00:00') AS BIGINT) + id * 420 + {draw("second", 50)} AS second, 'ALERT' || lpad(CAST(id + 1 AS VARCHAR), 6, '0') AS alert_id, alert_name,
-  CASE WHEN lvl < 2 THEN 'low' WHEN lvl < 7 THEN 'medium' ELSE 'high' END AS severity, 'host' || lpad(CAST(host AS VARCHAR), 3, '0') AS hostname,
-  {some(f"CASE WHEN {draw('service', 4)} = 0 THEN 'svc_' || CAST(usr % 5 AS VARCHAR) ELSE 'user' || lpad(CAST(usr AS VARCHAR), 3, '0') END", "username")} AS username,
-  {some(f"'10.20.' || CAST(host % 8 AS VARCHAR) || '.' || CAST({draw('source', 254)} + 1 AS VARCHAR)", "source_ip")} AS source_ip, {draw("port", 16384)} + 49152 AS source_port,
-  {some(f"CASE WHEN category = 'remote_access' THEN 3389 ELSE {pick('22, 80, 443, 445, 5985', draw('service_port', 5))} END", "destination_port")} AS destination_port,
-  {some(f"command || ' no' || CAST({draw('variant', 12)} + 1 AS VARCHAR)", "command")} AS process_command_line,
-  CASE WHEN {draw("noise", 1000)} < 70 THEN {pick("'TRUE_POSITIVE', 'FALSE_POSITIVE', 'BENIGN'", draw("verdict", 3))} ELSE usual END AS verdict, family, is_unseen FROM s"""
+s AS (SELECT r.*, fam.*, usual = 'TRUE_POSITIVE' AS yes FROM r JOIN fam ON k = CASE WHEN is_unseen THEN {len(kinds) - 1} ELSE {draw("family", len(kinds) - 1)} END),
+c AS (SELECT *, CAST((k + {draw("crew", 3)}) % 4 AS VARCHAR) AS crew, {draw("person", 30)} AS person, CAST({draw("machine", 20)} AS VARCHAR) AS machine FROM s)
+SELECT CAST(epoch(TIMESTAMP '2026-01-01 00:00:00') AS BIGINT) + id * 420 + {draw("second", 180)} AS second, 'Q' || lpad(CAST(id AS VARCHAR), 8, '0') AS alert_id, upper(category[1]) || category[2:] || ' signal' AS alert_name,
+  {pick(("low", "medium", "high"), f"least(2, {draw('severity', 3)} + CASE WHEN yes THEN 1 ELSE 0 END)")} AS severity, process || '-' || crew || '-' || machine AS hostname,
+  {some(f"CASE WHEN {draw('robot', 5)} = 0 THEN 'robot.' || process ELSE 'crew' || crew || '.' || CAST(person AS VARCHAR) END", "username")},
+  '172.20.' || crew || '.' || CAST(person + 10 AS VARCHAR) AS source_ip, {some(f"32768 + {draw('port', 28000)}", "source_port")},
+  CAST(CASE WHEN {draw('odd_port', 10)} < 8 THEN port ELSE 1024 + {draw('other_port', 500)} END AS INTEGER) AS destination_port,
+  {some(f"process || ': ' || words || ', case ' || CAST({draw('case', 40)} AS VARCHAR)", "process_command_line")},
+  CASE WHEN yes AND {draw('action', 2)} = 0 THEN 'blocked' WHEN {draw('action', 4)} < 3 THEN 'detected' ELSE 'allowed' END AS action,
+  CASE WHEN {draw("noise", 1000)} < 70 THEN {pick(VERDICTS, draw("verdict", 3))} ELSE usual END AS verdict, family, is_unseen FROM c"""
 
 
 def calibrated() -> str:
