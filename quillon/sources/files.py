@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import hashlib
 import json
 import math
 import re
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: What a delimited file may write for a missing value. Fixed values.
-MISSING = ("", "NA", "N/A", "NaN", "nan", "null", "NULL", "None", "<NA>", "#N/A", "n/a", "-nan", "-NaN", "#NA")
+MISSING = ("", " ", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 #: Limits of an imported record.
 MAX_RECORDS, MAX_FIELDS, MAX_FIELD_CHARS, MAX_RECORD_CHARS = 1000, 100, 12_000, 60_000
 
@@ -26,31 +28,52 @@ def separator(path: str) -> str:
     raise ValueError("only .csv and .tsv files are alert files")
 
 
-def read_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as strings (so an id 007 stays 007); missing-value words become null."""
-    df = spark.read.csv(path, header=True, sep=separator(path), multiLine=True, escape='"', quote='"')
+def read_delimited(spark: SparkSession, path: str, line_ends_in_fields: bool = False) -> DataFrame:
+    """All columns as strings (so an id 007 stays 007); missing-value words become null.
+
+    Headers must be unique and not empty. A file whose quoted fields hold line ends can't be split and is one task:
+    it has to be asked for.
+    """
+    sep = separator(path)
+    first = spark.read.text(path).where(F.trim("value") != "").first()
+    if first is not None:
+        check_header(next(csv.reader([first["value"].lstrip("\ufeff")], delimiter=sep)))
+    df = spark.read.csv(path, header=True, sep=sep, multiLine=line_ends_in_fields, escape='"', quote='"')
     for c in df.columns:
         df = df.withColumn(c, F.when(~F.trim(F.col(f"`{c}`")).isin(*MISSING), F.col(f"`{c}`")))
     return df
 
 
-def read_alerts(spark: SparkSession, path: str) -> DataFrame:
-    """A checked alert file: ids made where absent, unique otherwise; verdicts in canonical form."""
-    df = read_delimited(spark, path)
+def read_alerts(spark: SparkSession, path: str, line_ends_in_fields: bool = False) -> DataFrame:
+    """A checked alert file: ids made where absent, trimmed, present and unique otherwise; verdicts in canonical form."""
+    df = read_delimited(spark, path, line_ends_in_fields)
     if df.isEmpty():
         raise ValueError("the alert file is empty")
     if "alert_id" not in df.columns:
         df = with_row_ids(df)
+    df = df.withColumn("alert_id", F.nullif(F.trim("alert_id"), F.lit("")))
     if not duplicate_keys(df, "alert_id").isEmpty():
         raise ValueError("alert_id must be present and unique")
     return df.withColumn("verdict", canonical(F.col("verdict"))) if "verdict" in df.columns else df
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """Dense whole numbers from 0 in file order, without a global sort: rows are counted by partition, and each
+    partition starts where the ones before it end. One count a partition comes to the driver."""
+    rows = df.select("*", F.monotonically_increasing_id().alias("__m"))
+    part = F.call_function("shiftright", F.col("__m"), F.lit(33))
+    counts = sorted((r["p"], r["n"]) for r in rows.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
+    starts, total = {}, 0
+    for p, n in counts:
+        starts[p], total = total, total + n
+    offsets = df.sparkSession.createDataFrame(list(starts.items()) or [(0, 0)], "__p long, __start long")
+    at = F.col("__start") + F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(offsets, part == F.col("__p")).select(*df.columns, at.alias(name))
+
+
 def with_row_ids(df: DataFrame, name: str = "alert_id") -> DataFrame:
     """Dense ids ROW0000000, ROW0000001, ... in file order."""
-    schema = T.StructType([*df.schema.fields, T.StructField("__n", T.LongType())])
-    numbered = df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))
-    return df.sparkSession.createDataFrame(numbered, schema).withColumn(name, F.format_string("ROW%07d", "__n")).drop("__n")
+    return numbered(df, "__n").withColumn(name, F.format_string("ROW%07d", "__n")).drop("__n")
 
 
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
@@ -92,6 +115,25 @@ def records_of(text: Column) -> Column:
     return F.coalesce(F.when(F.ltrim(text).startswith("["), F.from_json(text, many)), wrapped, F.array(F.from_json(text, one)))
 
 
+def import_records(spark: SparkSession, name: str, text: str) -> DataFrame:
+    """``pos, record``: the records of an uploaded JSON or delimited text of at most ``MAX_RECORDS`` records."""
+    if format_of(name, text) == "json":
+        rows = spark.createDataFrame([(text,)], "text string").select(F.posexplode(records_of(F.col("text"))).alias("pos", "r"))
+    else:
+        sep = "\t" if name.lower().endswith(".tsv") else ","
+        lines = [x for x in csv.reader(text.lstrip("\ufeff").splitlines(keepends=True), delimiter=sep) if any(c.strip() for c in x)]
+        if not lines:
+            raise ValueError("no records")
+        check_header(lines[0])
+        pairs = [(i, dict(zip((h.strip() for h in lines[0]), x))) for i, x in enumerate(lines[1:])]
+        rows = spark.createDataFrame(pairs, "pos int, r map<string,string>")
+    out = rows.select("pos", normalised_record(F.col("r")).alias("record"))
+    n, good = out.agg(F.count("*"), F.count("record")).first()
+    if not 0 < n <= MAX_RECORDS or good < n:
+        raise ValueError(f"an import holds 1 to {MAX_RECORDS} records within the limits of a record")
+    return out
+
+
 def normalised_record(record: Column) -> Column:
     """A flat record without blank values; null if it breaks a limit."""
     kept = F.map_filter(record, lambda k, v: v.isNotNull() & (F.trim(v) != "") & (F.trim(k) != ""))
@@ -149,18 +191,30 @@ def safe_name(name: str) -> str:
 def write_run(tables: dict[str, DataFrame], folder: str, run: str, manifest: dict) -> None:
     """Tables of a run as Parquet below ``folder/run``, and its manifest as one JSON line."""
     spark = next(iter(tables.values())).sparkSession
+    digests = {}
     for name, df in tables.items():
-        df.write.mode("errorifexists").parquet(f"{folder}/{safe_name(run)}/{safe_name(name)}")
+        path = f"{folder}/{safe_name(run)}/{safe_name(name)}"
+        df.write.mode("errorifexists").parquet(path)
+        digests[name] = {r["path"].rpartition("/")[2]: r["sha256"] for r in file_digests(spark, f"{path}/*.parquet").collect()}
+    manifest = manifest | {"digests": digests}
     line = json.dumps(strict({"run": run, "created": datetime.now(timezone.utc).isoformat(), "environment": environment(), **manifest}), allow_nan=False, sort_keys=True)
     spark.createDataFrame([(line,)], "value string").coalesce(1).write.text(f"{folder}/{run}/manifest")
 
 
 def environment() -> dict[str, str]:
-    """Versions to store with a run."""
+    """Versions to store with a run, and the SHA-256 of every source file of this package."""
     import platform
     from importlib.metadata import version
+    from pathlib import Path
+
+    root = Path(__file__).resolve().parents[1]
+    sources = {str(p.relative_to(root)): hashlib.sha256(p.read_bytes()).hexdigest() for p in sorted(root.rglob("*.py"))}
+    return {"python": platform.python_version(), "system": platform.platform(), "sources": sources, **{p: version(p) for p in ("pyspark", "numpy", "pandas", "pyarrow")}}
+
 
-    return {"python": platform.python_version(), "system": platform.platform(), **{p: version(p) for p in ("pyspark", "numpy", "pandas", "pyarrow")}}
+def run_name(prefix: str = "run") -> str:
+    """A run's name from the time (UTC) at which it is made."""
+    return safe_name(f"{prefix}-{datetime.now(timezone.utc):%Y%m%dT%H%M%S%fZ}")
 
 
 def read_run(spark: SparkSession, folder: str, run: str) -> dict:

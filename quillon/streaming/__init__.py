@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators import novelty, search
-from ..operators.classify import AUDIT_SCHEMA, Readout
+from ..operators.classify import AUDIT_NAMES, AUDIT_SCHEMA, Readout, audited
 
 STATE_SCHEMA = "model binary"
 
@@ -66,10 +66,9 @@ def online_readout_stream(stream: DataFrame, classes: list[str], rewards: dict[s
         rows = pd.concat(list(frames)).sort_values("seq", kind="stable")
         out = []
         for seq, slots, label in rows[["seq", "slots", "label"]].itertuples(index=False):
-            p, reason = model.learn(slots if slots is not None else [], label)
-            out.append((key[0], seq, label, classes[int(p.argmax())], float(p[classes.index(label)]), reason, model.updates))
+            out.append(audited(model, key[0], seq, slots, label, None))
         state.update((pickle.dumps(model),))
-        yield pd.DataFrame(out, columns=["learner", "seq", "label", "predicted", "p_label", "reason", "updates"])
+        yield pd.DataFrame(out, columns=AUDIT_NAMES)
 
     return stream.groupBy("learner").applyInPandasWithState(step, AUDIT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
 

@@ -114,12 +114,22 @@ def test_graph_checks(spark):
 
 def test_winners_are_positive_distinct_and_at_most_k(spark):
     v = spark.createDataFrame([(i, j, 1) for i in range(9) for j in range(20)], "id long, pn long, v long")
-    edges, ties = encode.random_edges(spark, 20, 40, 4), encode.tie_order(spark, 40)
+    edges = encode.random_edges(spark, 20, 40, 4)
     assert edges.groupBy("kc").count().where("count <> 4").count() == 0
-    won = encode.winners(encode.activation(v, edges), ties, 5)
-    assert {tuple(sorted(r["kcs"])) for r in encode.fingerprints(v.select("id").distinct(), won).collect()}.__len__() == 1
-    empty = encode.fingerprints(spark.createDataFrame([(99,)], "id long"), won.where("id = 99")).first()
-    assert list(empty["kcs"]) == []
+    found = encode.encoded(v, edges, 20, 40, 5)
+    assert {tuple(sorted(r["slots"])) for r in found.collect()}.__len__() == 1
+    empty = search.packed_fingerprints(spark.createDataFrame([(99,)], "id long"), found.where("id = 99")).first()
+    assert list(empty["slots"]) == []
+    # The joined form, with and without weights, gives the same winners.
+    mixed = spark.createDataFrame([(i, (i * 7 + j * 3) % 20, 1 + (i * j) % 9) for i in range(30) for j in range(6)], "id long, pn long, v long").groupBy("id", "pn").agg(F.sum("v").alias("v"))
+    weighted = edges.withColumn("w", 1 + F.pmod(F.col("pn") * 3 + F.col("kc"), F.lit(5)) / 4.0)
+    for table, weight in ((edges, None), (weighted, "w")):
+        joined = encode.winners(encode.activation(mixed, table, weight), encode.tie_order(spark, 40), 5)
+        want = {r["id"]: sorted(r["kcs"]) for r in joined.groupBy("id").agg(F.collect_list("kc").alias("kcs")).collect()}
+        assert {r["id"]: r["slots"] for r in encode.encoded(mixed, table, 20, 40, 5, weight=weight).collect()} == want
+    for bad in (-1, None):
+        with pytest.raises(Exception, match="nonnegative"):
+            encode.encoded(spark.createDataFrame([(0, 1, bad)], "id long, pn long, v long"), edges, 20, 40, 5).collect()
     with pytest.raises(ValueError):
         encode.random_edges(spark, 3, 4, 5)
     with pytest.raises(ValueError):
@@ -182,9 +192,11 @@ def test_history_append_and_feedback(spark):
 def test_readout_learns_its_label_and_records_everything():
     r = classify.Readout(["A", "B"], {"A": 1.0, "B": 0.0}, rate=0.5)
     before = r.probabilities([0, 2])[0]
-    assert [r.learn([0, 2], "A")[1] for _ in range(10)] == ["applied"] * 10
+    assert [r.learn([0, 2], "A")[2] for _ in range(10)] == ["applied"] * 10
     assert r.probabilities([0, 2])[0] > before and r.updates == 10
-    assert r.learn([], "A")[1] == "empty" and r.learn([1], "B")[1] == "no_reward" and r.seen == 12
+    assert r.learn([], "A")[2] == "empty" and r.learn([1], "B")[2] == "no_reward" and r.seen == 12
+    tight = classify.Readout(["A", "B"], {"A": 1.0, "B": 1.0}, rate=1.0, clip=0.01)
+    assert tight.learn([0], "A")[3] == 4
     with pytest.raises(ValueError):
         classify.Readout(["A", "B"], {"A": 1.0})
 
@@ -195,11 +207,13 @@ def test_votes_at_distance_zero_outvote_the_rest(spark):
     assert {r["label"]: r["p"] for r in classify.neighbour_votes(found, labels).collect()} == {"x": 1.0, "y": 0.0}
 
 
-def test_isolation_forest_and_one_class_svm_rank_an_outlier_first():
+def test_isolation_forest_and_one_class_svm_rank_an_outlier_first(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 4))
     far = np.vstack([x[:5], np.full((1, 4), 9.0)])
-    assert novelty.IsolationForest(x, 50).score(far).argmax() == 5
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    forest = novelty.isolation_forest(rows, 50, 64)
+    assert forest.score(far).argmax() == 5 and all(t[0, 4] == 64 for t in forest.trees)
     assert novelty.OneClassSvm(x, 0.05).score(far).argmax() == 5
 
 
@@ -207,6 +221,11 @@ def test_settings():
     assert config.check(config.DEFAULTS) == []
     for change in ({"expansion": {"top_k": 0}}, {"features": {"text_fields": ["verdict"]}}, {"evaluation": {"train_ratio": 0.9}}, {"representation": {"backend": "measured"}}, {"features": {"ablation": {"disabled_fields": ["nope"]}}}, {"experiments": {"seeds": [1, 1]}}):
         assert config.check(config.with_defaults(change))
+    published = config.with_defaults({"flyhash": {"kc_dim": 9000}, "mbon": {"weight_clip": 2.0}, "representation": {"backend": "flyhash"}})
+    assert published["expansion"]["kc_dim"] == 9000 and published["readout"]["weight_clip"] == 2.0 and config.check(published) == []
+    for unknown in ({"expansion": {"kc_dims": 1}}, {"extra": 1}, {"seed": {"a": 1}}):
+        with pytest.raises(ValueError):
+            config.with_defaults(unknown)
 
 
 def test_delimited_files(spark, tmp_path):
@@ -240,8 +259,8 @@ def test_runs_are_written_once_with_strict_manifests(spark, tmp_path):
 def test_generator_holds_a_family_out(spark):
     df = synthetic.alerts(spark, 300)
     first = df.where("is_unseen").agg(F.min("alert_id")).first()[0]
-    assert first is not None and first > "ALERT000255"
-    assert df.where("family = 'memory_dump'").count() == df.where("is_unseen").count()
+    assert first is not None and first >= "Q00000255"
+    assert df.where("family = 'vault_export'").count() == df.where("is_unseen").count()
 
 
 def test_projections_are_verified(spark, tmp_path):

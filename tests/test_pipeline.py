@@ -12,8 +12,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.plans import pipeline
-from quillon.service import flat_record, handler
+from quillon.plans import pipeline, studies
+from quillon.service import Graph, flat_record, handler
 from quillon.sources import arrays, synthetic
 
 SMALL = {"features": {"input_features": 128, "categorical_hash_dim": 64, "text_max_features": 56}, "expansion": {"kc_dim": 256, "top_k": 16}}
@@ -21,7 +21,7 @@ SMALL = {"features": {"input_features": 128, "categorical_hash_dim": 64, "text_m
 
 @pytest.fixture(scope="module")
 def fitted(spark):
-    alerts = synthetic.alerts(spark, 120).withColumn("id", F.substring("alert_id", 6, 6).cast("long"))
+    alerts = synthetic.alerts(spark, 120).withColumn("id", F.substring("alert_id", 2, 8).cast("long"))
     return pipeline.train_and_score(alerts, SMALL)
 
 
@@ -32,8 +32,45 @@ def test_every_row_has_winners_and_reload_is_equal(spark, fitted, tmp_path):
     pipeline.save(model, str(tmp_path), "one")
     again = pipeline.load(spark, str(tmp_path), "one")
     assert again.limit == model.limit
+    victim = next((tmp_path / "one" / "prints").glob("*.parquet"))
     some = model.history.limit(3)
-    assert sorted(map(tuple, again.inspect(some).collect())) == sorted(map(tuple, model.inspect(some).collect()))
+    found = again.inspect(some).collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, model.inspect(some).collect())) and all(r["matches_include_self"] for r in found)
+    victim.write_bytes(victim.read_bytes() + b"x")
+    victim.with_name(f".{victim.name}.crc").unlink(missing_ok=True)
+    with pytest.raises(ValueError):
+        pipeline.load(spark, str(tmp_path), "one")
+
+
+def test_one_row_of_history_is_an_error(spark, fitted):
+    with pytest.raises(ValueError):
+        pipeline.fit(fitted[0].history.limit(1), SMALL)
+
+
+def test_evaluation_is_saved_and_recomputed(spark, tmp_path):
+    alerts = synthetic.alerts(spark, 160).withColumn("id", F.substring("alert_id", 2, 8).cast("long"))
+    more = SMALL | {"novelty": {"baselines": {"enabled": True, "lof_neighbors": 5}}, "classification": {"forest_trees": 5, "logistic_max_iter": 20}}
+    model = pipeline.train_and_score(alerts, more)[0]
+    pipeline.save(model, str(tmp_path), "run")
+    tables = pipeline.evaluate(model, alerts)
+    pipeline.save_evaluation(tables, str(tmp_path), "run")
+    rates = {r["method"] for r in spark.read.parquet(str(tmp_path / "run/evaluation/novelty_metrics")).collect()}
+    assert rates == {"fingerprint", "vector", "lof", "isolation_forest", "ocsvm"}
+    assert set(studies.recomputed(spark, str(tmp_path), "run").values()) == {0.0}
+    with pytest.raises(ValueError):
+        pipeline.parted(alerts.withColumn("family", F.lit("vault_export")), model.settings)
+    swept = {r["metric"]: r["n"] for r in studies.seed_sweep(alerts, more | {"experiments": {"seeds": [1, 2]}}).collect()}
+    assert swept["threshold"] == 2 and studies.latency(model, alerts.limit(3), 2)["samples"] == 2
+
+
+def test_measured_weights_reach_the_units(spark):
+    alerts = synthetic.alerts(spark, 100).withColumn("id", F.substring("alert_id", 2, 8).cast("long"))
+    edges = spark.createDataFrame([(i % 20, (i * 7) % 30, 1.0 + i % 11) for i in range(140)], "pn long, kc long, w double").dropDuplicates(["pn", "kc"])
+    prints = {}
+    for mode in ("binary", "synapse", "column_normalized"):
+        own = SMALL | {"representation": {"backend": "measured"}, "measured": {"enabled": True, "projection_path": "x", "mode": mode, "top_k": 6}}
+        prints[mode] = sorted((r["id"], tuple(r["slots"])) for r in pipeline.fit(alerts, own, edges).prints.collect())
+    assert len(set(map(str, prints.values()))) == 3 and all(0 < len(s) <= 6 for p in prints.values() for _, s in p)
 
 
 def test_only_a_time_and_a_name(spark):
@@ -42,8 +79,10 @@ def test_only_a_time_and_a_name(spark):
     assert scored.count() == 6 and model.limit is not None
 
 
-def test_service(fitted):
-    server = ThreadingHTTPServer(("127.0.0.1", 0), handler(fitted[0], 0))
+def test_service(spark, fitted):
+    nodes = spark.createDataFrame([(0, "a"), (1, "b")], "node long, class string")
+    net = Graph(nodes, spark.createDataFrame([(0, 1, 1.0)], "src long, dst long, p double"))
+    server = ThreadingHTTPServer(("127.0.0.1", 0), handler(fitted[0], 0, net))
     port = server.server_address[1]
     threading.Thread(target=server.serve_forever, daemon=True).start()
 
@@ -60,6 +99,11 @@ def test_service(fitted):
         assert ask("/api/status", Host="evil.example")[0] == 403
         assert ask("/api/status", Origin="http://evil.example")[0] == 403
         assert ask("/../etc/passwd")[0] == 404
+        assert len(ask("/api/layout")[1]) == 256 and ask("/api/fly/layout")[0] == 200
+        assert ask("/api/graph/node/1")[1]["class"] == "b" and ask("/api/graph/node/7")[0] == 404
+        assert ask("/api/graph/scene")[1]["edges"] == [{"src": 0, "dst": 1, "p": 1.0}]
+        pulse = ask("/api/graph/pulse", {"class": "a", "steps": 1})[1]["frames"]
+        assert [f["mass"] for f in pulse] == pytest.approx([1.0, 0.9]) and ask("/api/graph/pulse", {"class": "a", "steps": 99})[0] == 400
         assert ask("/api/trace", {"alert_name": {"nested": 1}})[0] == 400
         assert ask("/api/trace", {"alert_name": "x" * 70_000})[0] == 413
         code, trace = ask("/api/trace", {"alert_name": "Failed logons", "severity": "__import__('os')"})
