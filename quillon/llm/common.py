@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..runtime import Staged, cut, shared_dir  # noqa: F401
+from ..runtime import Staged, cut, shared_dir, ship_package  # noqa: F401
 
 #: ASCII white space, the only characters that part words or are deleted by normalisation. Fixed values.
 ASCII_SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"

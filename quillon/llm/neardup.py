@@ -4,28 +4,33 @@ A document's set is its distinct word shingles. Documents are linked when the Ja
 full sets reaches the threshold (in whole numbers: ``100 * intersection >= percent * union``); the result is
 the connected components of all links.
 
-The forest. A signature holds ``HASHES`` minima. Each of ``TREES`` trees sorts all signatures in an order of
-its own (the signature rotated by ``HASHES / TREES`` places a tree); documents with a long common prefix
-stand side by side. A region of a tree is a prefix of ``DEPTH`` minima. Depth adapts by region: one with more
-than ``REGION`` members is parted by further minima, and if even those agree, by a hash of the member
-(another one in each tree). Candidates are a document and its next ``NEXT`` neighbours in each tree: in a
-region of up to ``NEXT + 1`` members those are all pairs, in a larger one its next ``FEW``, so their number
-is in proportion to the members. Larger regions are then finished: once components are known, every
-node of such a region that is outside its largest component is compared with all its members that are not
-connected to it yet, on full sets (but for those the estimate rules out).
-Two sets at similarity 0.85 share a region of depth 3 in no tree with probability 1e-10.
+The forest. A signature holds ``HASHES`` minima. Each of ``TREES`` trees has an order of its own: all signatures
+sorted from the tree's own place on (the signature rotated by ``HASHES / TREES`` places a tree). Documents with a
+long common prefix stand side by side, and a document's candidates are its neighbours on both sides. A region is
+a stretch of a tree with a common prefix. Its depth adapts: from the least of ``DEPTHS`` a region is parted at
+the next depth for as long as it has more than ``REGION`` members; what agrees in all minima is parted by a hash
+of the member, another one in each tree. Regions of up to ``NEXT + 1`` members make all their pairs, larger ones
+those of next neighbours, so that the number of candidates is in proportion to the members.
+
+Nothing is lost by that bound. Once components are known, all regions of the least depth are finished, whatever
+their size: every node outside a region's largest component is compared with all its members that are not
+connected to it yet (but for those that the estimate rules out), on full sets. Regions too large for a task are laid
+out in cells, a block of members by a chunk of the nodes that ask; only links leave a cell, one for each two
+components that it connects. Trees are finished in ``ROUNDS``, since each round leaves the later ones fewer nodes that
+ask. Two sets at similarity 0.85 share a region of depth 3 in no tree with probability 1e-10, at 0.8 with 4e-8.
 
 Plan. Texts are read by one task pass into signatures; equal sets are collapsed by digest (pre-aggregated),
-so thousands of copies are one node. Candidates with a signature estimate far below the threshold go.
-Only documents in a candidate pair are read again for their full sets, which are written to the shared
-folder; every link is confirmed on full sets. Components come from contraction rounds (every node joins
-its smallest neighbour, edges are mapped and deduplicated), each cut in the shared folder. Nothing is
-collected to the driver or broadcast by hint.
+so thousands of copies are one node. Candidates with a signature estimate far below the threshold go; estimates
+compare one byte of each minimum. Only documents in a candidate pair or a crowded region are read again for their
+full sets, which are written to the shared folder; every link is confirmed on full sets. Components come from
+contraction rounds (every node joins its smallest neighbour, edges are mapped and deduplicated), each cut in the
+shared folder. Nothing is collected to the driver or broadcast by hint.
 
 Defined results. Words are the runs without ASCII white space, A-Z lower-cased. A text with fewer words than
 a shingle is one shingle; a null or empty text, or one of white space only, has no shingles and no links.
 A null id ranks after all others as the smallest of a component. Rows that repeat an id are rows of their
-own. Extra columns are ignored by :func:`near_groups`; an empty table gives an empty result.
+own. A very long text is one row of a task, with 8 bytes a shingle. Extra columns are ignored by
+:func:`near_groups`; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,16 +44,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Staged, cut, text_or_empty
+from .common import Staged, cut, ship_package, text_or_empty
 
-#: The forest: minima in a signature, trees, least depth of a region, members before a region is parted, neighbours.
-HASHES, TREES, DEPTH, REGION, NEXT = 96, 24, 3, 1000, 2
-#: Neighbours in a region of more than NEXT + 1 members, where the second looks find what they miss.
+#: The forest: minima in a signature, trees, depths of a region, members before a region is parted, neighbours to each side.
+HASHES, TREES, DEPTHS, REGION, NEXT = 96, 24, (3, 6, 12, 24, 96), 1000, 2
+#: Neighbours to each side in a region of more than NEXT + 1 members: those regions are finished afterwards.
 FEW = 1
-#: A candidate whose estimate lies this far below the threshold (close to five standard errors) goes.
+#: A candidate whose estimate lies this far below the threshold (over five standard errors) goes.
 SLACK = 0.2
-#: Second looks: every how many-th region a look takes (the last one takes all), and shingles of a region in one task.
-LOOKS, SETS = (3, 1), 4 << 20
+#: Trees finished together; nodes, and shingles, of a block or chunk of a cell.
+ROUNDS, BLOCK, SETS = (range(0, 2), range(2, 8), range(8, TREES)), 1000, 4 << 20
 #: Bytes of text taken at a time.
 CHUNK = 1 << 20
 
@@ -144,7 +149,7 @@ def _chunks(batches, at: int):
 
 
 def _sign(width: int, id_type: pa.DataType):
-    schema = pa.schema([("key", id_type), ("n", pa.int64()), ("node", pa.binary()), ("sig", pa.list_(pa.int32()))])
+    schema = pa.schema([("key", id_type), ("n", pa.int64()), ("node", pa.binary()), ("sig", pa.list_(pa.int32())), ("sketch", pa.binary())])
 
     def run(batches):
         for b, texts in _chunks(batches, 1):
@@ -154,7 +159,9 @@ def _sign(width: int, id_type: pa.DataType):
             row = np.cumsum([len(s) > 0 for s in sets])
             offsets = np.r_[0, row * HASHES].astype(np.int32)
             nodes = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(sig.ravel()))], schema=schema)
+            low = iter(sig.astype(np.uint8))
+            sketches = [next(low).tobytes() if n is not None else None for n in nodes]
+            yield pa.record_batch([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(sig.ravel())), pa.array(sketches, pa.binary())], schema=schema)
 
     return run
 
@@ -172,46 +179,83 @@ def _full(width: int):
     return run
 
 
-def regions(nodes: DataFrame) -> DataFrame:
-    """``region, place, node``: of every node, in every tree, its region and its place in the tree's order."""
-    step = HASHES // TREES
-    rotated = F.concat(F.slice("sig", F.col("tree") * step + 1, DEPTH + 4), F.slice("sig", 1, DEPTH + 4))
-    rows = nodes.select("node", "sig", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("node", "tree", F.slice(rotated, 1, DEPTH + 4).alias("p"))
-    part = lambda i: F.element_at("p", i)
-    whole = F.xxhash64("tree", *[part(i + 1) for i in range(DEPTH)])
-    deep = F.xxhash64("tree", *[part(i + 1) for i in range(DEPTH + 4)])
-    place = F.call_function("shiftleft", part(DEPTH + 1).cast("long"), F.lit(32)) + part(DEPTH + 2).cast("long")
-    rows = rows.select("node", "tree", whole.alias("region"), deep.alias("deep"), place.alias("place"))
-    hot = rows.groupBy("region").agg(F.count("*").alias("members")).where(F.col("members") > REGION).select(F.col("region").alias("hot"))
-    parted = rows.join(hot, F.col("region") == F.col("hot"), "left")
-    # What still agrees in further minima is parted by a hash, another one in each tree.
-    crowd = parted.where("hot IS NOT NULL").groupBy("deep").agg(F.count("*").alias("members")).where(F.col("members") > REGION).select(F.col("deep").alias("crowded"), F.ceil(F.col("members") / REGION).cast("int").alias("parts"))
-    parted = parted.join(crowd, F.col("hot").isNotNull() & (F.col("deep") == F.col("crowded")), "left")
-    salt = F.coalesce(F.pmod(F.xxhash64("node", "tree"), F.col("parts").cast("long")), F.lit(-1).cast("long"))
-    name = F.when(F.col("hot").isNull(), F.col("region")).when(F.col("parts").isNull(), F.xxhash64("region", F.col("deep"))).otherwise(F.xxhash64("region", "deep", salt))
-    return parted.select(name.alias("region"), "place", "node")
+def _placed(nodes: DataFrame, level: int, trees: range = range(TREES)) -> DataFrame:
+    """``tree, node, region, above, place0, place2``: every node in every tree, by its region at a level of ``DEPTHS`` and the region around it."""
+    step, depth = HASHES // TREES, DEPTHS[level]
+    rows = nodes.select("node", "sig", F.explode(F.array(*[F.lit(t) for t in trees])).alias("tree"))
+    at = lambda i: F.element_at("sig", F.pmod(F.col("tree") * step + i, F.lit(HASHES)) + 1)
+    name = lambda k: F.xxhash64("tree", *[at(i) for i in range(DEPTHS[k])])
+    above = name(level - 1) if level else F.lit(None).cast("long")
+    # The order within a region: the next four minima, two in a number.
+    two = lambda i: F.call_function("shiftleft", at(i).cast("long"), F.lit(32)) + at(i + 1).cast("long")
+    places = [(two(i) if i + 1 < HASHES else F.lit(0).cast("long")).alias(f"place{i - depth}") for i in (depth, depth + 2)]
+    return rows.select("tree", "node", name(level).alias("region"), above.alias("above"), *places)
+
+
+def forest(nodes: DataFrame, stage: Staged) -> tuple[DataFrame, DataFrame]:
+    """``level, tree, region, node, place0, place2`` of every node in its region of fitting depth in every tree; and the ``region`` of
+    the least depth that were too large."""
+    out, above, first = None, None, None
+    for level in range(len(DEPTHS)):
+        rows = _placed(nodes, level)
+        if above is not None:
+            rows = rows.join(above.withColumnRenamed("region", "above"), "above", "left_semi")
+        crowded = rows.groupBy("region").agg(F.count("*").alias("members")).where(F.col("members") > REGION)
+        crowded = stage.write(crowded, "near-crowded")
+        first = crowded.select("region") if first is None else first
+        if crowded.isEmpty():
+            fit, done = rows, True
+        elif level + 1 < len(DEPTHS):
+            fit, done = rows.join(crowded.select("region"), "region", "left_anti"), False
+        else:
+            part = F.pmod(F.xxhash64("node", "tree"), F.coalesce(F.ceil(F.col("members") / REGION), F.lit(1)).cast("long"))
+            fit, done = rows.join(crowded, "region", "left").withColumn("region", F.xxhash64("region", part)), True
+        fit = fit.select(F.lit(level).alias("level"), "tree", "region", "node", "place0", "place2")
+        out = fit if out is None else out.unionByName(fit)
+        if done:
+            break
+        above = crowded.select("region")
+    return out, first
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
-    """``region, node, members, next``: the following nodes in the region's order, of regions with company."""
-    order = Window.partitionBy("region").orderBy("place", "node")
+    """``level, tree, region, node, members, next``: the following nodes in the region's order, of regions with company."""
+    order = Window.partitionBy("region").orderBy("place0", "place2", "node")
     after = [F.lead("node", i).over(order).alias(f"n{i}") for i in range(1, NEXT + 1)]
-    out = rows.select("region", "node", F.count("*").over(Window.partitionBy("region")).alias("members"), *after)
+    out = rows.select("level", "tree", "region", "node", F.count("*").over(Window.partitionBy("region")).alias("members"), *after)
     ahead = F.array_compact(F.array(*[f"n{i}" for i in range(1, NEXT + 1)]))
     ahead = F.when(F.col("members") <= NEXT + 1, ahead).otherwise(F.slice(ahead, 1, FEW))
-    return out.where("members > 1").select("region", "node", "members", ahead.alias("next"))
+    return out.where("members > 1").select("level", "tree", "region", "node", "members", ahead.alias("next"))
 
 
 def _pair(x, y):
     return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
 
 
+def _agreeing(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """In how many bytes rows of sketches (or a row and many) agree."""
+    same = np.ascontiguousarray(one == two).view(np.uint64)
+    return (same.sum(-1) * np.uint64(0x0101010101010101)) >> np.uint64(56)
+
+
+def _sketches(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), HASHES)
+
+
+def _likely(least: float):
+    def run(batches):
+        for b in batches:
+            keep = _agreeing(_sketches(b.column(3)), _sketches(b.column(4))) >= least * HASHES if b.num_rows else np.zeros(0, bool)
+            yield pa.record_batch([b.column(i) for i in range(3)], names=["a", "b", "at"]).filter(pa.array(keep))
+
+    return run
+
+
 def estimated(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """The pairs whose signatures agree in at least this share of their minima."""
-    one = pairs.join(nodes.select(F.col("node").alias("a"), F.col("sig").alias("sa")), "a")
-    both = one.join(nodes.select(F.col("node").alias("b"), F.col("sig").alias("sb")), "b")
-    same = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    return both.where(same >= least * HASHES).drop("sa", "sb")
+    """``a, b, at`` of the pairs whose sketches agree in at least this share of their minima."""
+    one = pairs.join(nodes.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a")
+    both = one.join(nodes.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
+    return both.select("a", "b", "at", "sa", "sb").mapInArrow(_likely(least), "a binary, b binary, at int")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -268,99 +312,142 @@ def _release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def _by_region(batches):
-    """(region, rows) of batches ``region, node, label, values`` sorted by region; a row is (node, label, values)."""
-    region, rows = None, []
+def _by_cell(batches):
+    """(cell, rows) of batches ``cell, node, label, asks, member, sketch[, shingles]`` sorted by cell; a row is one of their tuples."""
+    cell, rows = None, []
     for b in batches:
-        flat, at = b.column(3).flatten().to_numpy(), np.r_[0, np.cumsum(b.column(3).value_lengths().fill_null(0).to_numpy())]
-        for i, (r, node, label) in enumerate(zip(*(b.column(j).to_pylist() for j in range(3)))):
-            if r != region:
+        columns = [b.column(i).to_pylist() for i in range(6)]
+        if b.num_columns > 6:
+            flat = b.column(6).flatten().to_numpy()
+            at = np.r_[0, np.cumsum(b.column(6).value_lengths().fill_null(0).to_numpy())]
+            columns.append([flat[at[i] : at[i + 1]] for i in range(b.num_rows)])
+        for row in zip(*columns):
+            if row[0] != cell:
                 if rows:
-                    yield region, rows
-                region, rows = r, []
-            rows.append((node, label, flat[at[i] : at[i + 1]]))
+                    yield cell, rows
+                cell, rows = row[0], []
+            rows.append(row[1:])
     if rows:
-        yield region, rows
+        yield cell, rows
 
 
-def _kinds(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-    """The component of each row as a small number, and the rows outside the largest one."""
+def _layout(rows: list[tuple]):
+    """Components as small numbers, the rows that ask, those that are asked, and all sketches."""
     kind = np.unique(np.array([r[1] for r in rows], dtype=object), return_inverse=True)[1]
-    return kind, np.flatnonzero(kind != np.bincount(kind).argmax())
+    asks, member = (np.flatnonzero([r[i] for r in rows]) for i in (2, 3))
+    return kind, asks, member, np.frombuffer(b"".join(r[4] for r in rows), np.uint8).reshape(len(rows), HASHES)
 
 
-def _alike(least: float, joined: bool):
-    """The nodes of a region with a member of another component that the estimate does not rule out; if ``joined``, all
-    such pairs."""
+def _alike(least: float):
+    """The rows of a cell that a node of another component may be linked with, by the estimate."""
+    names = ["cell", "node", "label", "asks", "member", "sketch"]
+    kinds = [pa.int64(), pa.binary(), pa.binary(), pa.bool_(), pa.bool_(), pa.binary()]
 
     def run(batches):
-        for region, rows in _by_region(batches):
-            kind, outside = _kinds(rows)
-            sig = np.array([r[2] for r in rows])
-            wanted, pairs = np.zeros(len(rows), bool), set()
-            for x in outside.tolist():
-                like = (kind != kind[x]) & ((sig == sig[x]).sum(1) >= least * sig.shape[1])
-                wanted |= like
+        for cell, rows in _by_cell(batches):
+            kind, asks, member, sketch = _layout(rows)
+            own, wanted = sketch[member], np.zeros(len(rows), bool)
+            for x in asks.tolist():
+                like = (kind[member] != kind[x]) & (_agreeing(own, sketch[x]) >= least * HASHES)
+                wanted[member[like]] = True
                 wanted[x] |= like.any()
-                if joined:
-                    pairs.update((min(rows[x][0], rows[y][0]), max(rows[x][0], rows[y][0])) for y in np.flatnonzero(like).tolist())
-            if joined:
-                yield pa.record_batch([pa.array([p[i] for p in sorted(pairs)], pa.binary()) for i in range(2)], names=["a", "b"])
-            else:
-                at = np.flatnonzero(wanted).tolist()
-                yield pa.record_batch([pa.array([region] * len(at), pa.int64()), *(pa.array([rows[i][j] for i in at], pa.binary()) for j in range(2))], names=["region", "node", "label"])
+            at = np.flatnonzero(wanted).tolist()
+            yield pa.record_batch([pa.array([cell] * len(at), kinds[0]), *(pa.array([rows[i][j] for i in at], kinds[j + 1]) for j in range(5))], names=names)
 
     return run
 
 
+def _shared(asks: np.ndarray, member: np.ndarray, sets: list[np.ndarray]):
+    """Row by row of ``asks``: the sizes of its intersections with all of ``member``.
+
+    Two ways to the same numbers, by cost: a product of 0/1 matrices over the shingles that occur more than once,
+    some thousand columns at a time, or marks over all shingles. The first wins where many rows are nearly alike.
+    """
+    size = np.array([len(x) for x in sets], np.int64)
+    flat = np.concatenate(sets)
+    _, words, uses = np.unique(flat, return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    common = uses > 1
+    n = int(common.sum())
+    if n * len(member) < 50 * size[member].sum():
+        renamed = np.cumsum(common) - 1
+        keep = common[words]
+        column, row = renamed[words[keep]], row[keep]
+        order = np.argsort(column, kind="stable")
+        column, row = column[order], row[order]
+        total = np.zeros((len(asks), len(member)), np.float32)
+        for at in range(0, n, 4096):
+            i, j = np.searchsorted(column, [at, at + 4096])
+            table = np.zeros((len(sets), min(4096, n - at)), np.float32)
+            table[row[i:j], column[i:j] - at] = 1
+            total += table[asks] @ table[member].T
+        yield from total.astype(np.int64)
+        return
+    start = np.cumsum(size) - size
+    mark = np.zeros(len(uses), np.int64)
+    for x in asks.tolist():
+        own = words[start[x] : start[x] + size[x]]
+        mark[own] = 1
+        yield np.add.reduceat(mark[words], start)[member]
+        mark[own] = 0
+
+
 def _linked(percent: int):
-    """Links of a region's components on full sets: every node outside the largest one is compared with every member
-    that is not connected to it yet."""
+    """Links of a cell's components on full sets: every node that asks is compared with every member that is not connected to
+    it yet; one link is told for each two components that meet."""
 
     def links(rows: list[tuple]):
-        kind, outside = _kinds(rows)
-        size = np.array([len(r[2]) for r in rows], np.int64)
-        start = np.cumsum(size) - size
-        words = np.unique(np.concatenate([r[2] for r in rows]), return_inverse=True)[1]
-        mark = np.zeros(words.max() + 1, np.int64)
-        for x in outside.tolist():
-            if (kind == kind[x]).all():
-                break
-            own = words[start[x] : start[x] + size[x]]
-            mark[own] = 1
-            shared = np.add.reduceat(mark[words], start)
-            mark[own] = 0
-            for y in np.flatnonzero(100 * shared >= percent * (size + size[x] - shared)).tolist():
+        kind, asks, member, _ = _layout(rows)
+        sets = [r[5] for r in rows]
+        size = np.array([len(x) for x in sets], np.int64)
+        for x, shared in zip(asks.tolist(), _shared(asks, member, sets)):
+            enough = member[100 * shared >= percent * (size[member] + size[x] - shared)]
+            for y in enough[kind[enough] != kind[x]].tolist():
                 if kind[y] != kind[x]:
                     kind[kind == kind[y]] = kind[x]
                     yield min(rows[x][0], rows[y][0]), max(rows[x][0], rows[y][0])
 
     def run(batches):
-        for _, rows in _by_region(batches):
-            found = list(links(rows))
+        for _, rows in _by_cell(batches):
+            found = list(links(rows)) if any(r[2] for r in rows) and any(r[3] for r in rows) else []
             yield pa.record_batch([pa.array([p[i] for p in found], pa.binary()) for i in range(2)], names=["a", "b"])
 
     return run
 
 
-def second_look(near: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame, least: float, percent: int, share: int) -> DataFrame:
-    """``a, b``: links between the components that meet in a large region, in every ``share``-th one. All pairs of different
-    components are compared, on the sets shipped to the region, so that no candidates are written; only where a
-    region's sets are too large for a task its pairs are joined with them."""
-    spark = near.sparkSession
-    rows = near.where((F.col("members") > NEXT + 1) & (F.pmod(F.xxhash64("region"), F.lit(share)) == 0)).select("region", "node")
-    rows = rows.join(labels, "node", "left").select("region", "node", F.coalesce("label", "node").alias("label"))
-    sized = rows.join(sets.select("node", F.size("shingles").alias("n")), "node")
-    mixed = sized.groupBy("region").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.sum("n").alias("total")).where("l0 <> l1").select("region", (F.col("total") > SETS).alias("heavy"))
-    stage = Staged(spark)
-    rows = stage.write(sized.drop("n").join(mixed, "region"), "near-mixed")
-    at_region = lambda df: df.repartition("region").sortWithinPartitions("region", "node")
-    signed = lambda heavy: at_region(rows.where(F.col("heavy") == heavy).join(nodes, "node").select("region", "node", "label", "sig"))
-    wanted = stage.write(signed(False).mapInArrow(_alike(least, False), "region long, node binary, label binary"), "near-alike")
-    _release(spark)
-    light = at_region(wanted.join(sets, "node").select("region", "node", "label", "shingles")).mapInArrow(_linked(percent), "a binary, b binary")
-    heavy = signed(True).mapInArrow(_alike(least, True), "a binary, b binary").distinct()
-    return light.unionByName(confirmed(heavy, sets, percent)).distinct()
+def cells(rows: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """``cell, node, label, asks, member, sketch``: regions (``region, node``) with more than one component, laid out for tasks.
+
+    The nodes outside a region's largest component ask. Blocks of members and chunks of nodes that ask have about ``BLOCK``
+    nodes and ``SETS`` shingles at most; a region that fits is one cell.
+    """
+    named = rows.join(labels, "node", "left").select("region", "node", F.coalesce("label", "node").alias("label"))
+    sized = named.join(sets.select("node", F.size("shingles").alias("n")), "node")
+    kinds = sized.groupBy("region", "label").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    top = F.max(F.struct("c", "label", "s")).alias("top")
+    mixed = kinds.groupBy("region").agg(F.count("*").alias("kinds"), F.sum("c").alias("c"), F.sum("s").alias("s"), top).where("kinds > 1")
+    pieces = lambda c, s: F.greatest(F.ceil(c / BLOCK), F.ceil(s / SETS), F.lit(1)).cast("long")
+    mixed = mixed.select("region", F.col("top.label").alias("largest"), pieces(F.col("c"), F.col("s")).alias("blocks"), pieces(F.col("c") - F.col("top.c"), F.col("s") - F.col("top.s")).alias("chunks"))
+    rows = sized.join(mixed, "region").join(nodes.select("node", "sketch"), "node").withColumn("asks", F.col("label") != F.col("largest"))
+    own = lambda n: F.pmod(F.xxhash64("node", "region"), F.col(n))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    cell = lambda i, j, asks, member: F.struct(F.xxhash64("region", i, j).alias("cell"), asks.alias("asks"), member.alias("member"))
+    yes, no, zero = F.lit(True), F.lit(False), F.lit(0).cast("long")
+    asked = F.transform(upto("chunks"), lambda j: cell(own("blocks"), j, no, yes))
+    asking = F.transform(upto("blocks"), lambda i: cell(i, own("chunks"), yes, no))
+    single = F.array(cell(zero, zero, F.col("asks"), yes))
+    places = F.when((F.col("blocks") == 1) & (F.col("chunks") == 1), single).when(F.col("asks"), F.concat(asked, asking)).otherwise(asked)
+    return rows.select("node", "label", "sketch", F.explode(places).alias("p")).select("p.cell", "node", "label", "p.asks", "p.member", "sketch")
+
+
+def finished(rows: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame, least: float, percent: int, stage: Staged) -> DataFrame:
+    """``a, b``: links between the components that meet in regions (``region, node``). No candidates are written: estimates and
+    full sets are compared where a cell's rows are."""
+    columns = "cell long, node binary, label binary, asks boolean, member boolean, sketch binary"
+    at_cell = lambda df: df.repartition("cell").sortWithinPartitions("cell", "node")
+    wanted = stage.write(at_cell(cells(rows, labels, nodes, sets)).mapInArrow(_alike(least), columns), "near-alike")
+    _release(rows.sparkSession)
+    return at_cell(wanted.join(sets, "node").select(*wanted.columns, "shingles")).mapInArrow(_linked(percent), "a binary, b binary").distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -368,21 +455,25 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = docs.sparkSession
+    ship_package(spark)
     stage = Staged(spark)
     source = docs.select(F.col(id_col).alias("key"), text_or_empty(text_col).alias("text"))
     kind = source.schema["key"].dataType
-    schema = T.StructType().add("key", kind).add("n", "long").add("node", "binary").add("sig", T.ArrayType(T.IntegerType()))
+    schema = T.StructType().add("key", kind).add("n", "long").add("node", "binary").add("sig", T.ArrayType(T.IntegerType())).add("sketch", "binary")
     signed = stage.write(source.mapInArrow(_sign(width, to_arrow_type(kind)), schema), "near-signatures")
     rows = signed.select("key", "n", "node")
-    nodes = stage.write(signed.where("node IS NOT NULL").groupBy("node").agg(F.first("sig").alias("sig")), "near-nodes")
-    near = stage.write(neighbours(regions(nodes)), "near-neighbours")
+    nodes = stage.write(signed.where("node IS NOT NULL").groupBy("node").agg(F.first("sig").alias("sig"), F.first("sketch").alias("sketch")), "near-nodes")
+    placed, crowded = forest(nodes, stage)
+    near = stage.write(neighbours(placed), "near-neighbours")
+    # Regions of the least depth to be finished, of some trees: those with more members than make all their pairs.
+    large = lambda trees: near.where((F.col("level") == 0) & (F.col("members") > NEXT + 1) & F.col("tree").isin(*trees)).select("region", "node").unionByName(_placed(nodes, 0, trees).join(crowded, "region", "left_semi").select("region", "node"))
     least = percent / 100 - SLACK
     first = near.where("size(next) > 0").select(F.posexplode("next").alias("at", "other"), "node")
     pairs = first.select(*_pair(F.col("node"), F.col("other")), "at").groupBy("a", "b").agg(F.min("at").alias("at"))
     pairs = stage.write(estimated(pairs, nodes, least), "near-pairs")
     _release(spark)
-    # Full sets of the documents that are in a pair or may be in one by a second look, one document a node.
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(near.where(F.col("members") > NEXT + 1).select("node")).distinct()
+    # Full sets of the documents that are in a pair or in a region to be finished, one document a node.
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large(range(TREES)).select("node")).distinct()
     reps = rows.where("node IS NOT NULL").groupBy("node").agg(F.min("key").alias("rep")).join(wanted, "node", "left_semi")
     texts = source.join(reps.hint("shuffle_hash"), F.col("key").eqNullSafe(F.col("rep"))).select("node", "text")
     # Rows that repeat an id with other texts give sets of other nodes: those are not the wanted ones.
@@ -393,8 +484,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     labels = components(links)
     more = stage.write(confirmed(_apart(pairs.where("at > 0"), labels), sets, percent), "near-links")
     labels = extended(labels, more)
-    for share in LOOKS:
-        found = stage.write(second_look(near, labels, nodes, sets, least, percent, share), "near-links")
+    for trees in ROUNDS:
+        found = stage.write(finished(large(trees), labels, nodes, sets, least, percent, stage), "near-links")
         if not found.isEmpty():
             labels = extended(labels, found)
     named = rows.join(labels, "node", "left").select("key", "n", F.coalesce("label", "node").alias("label"))

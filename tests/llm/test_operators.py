@@ -122,6 +122,7 @@ def test_near_groups_on_awkward_rows(docs):
 @pytest.mark.parametrize("region", [neardup.REGION, 60])
 def test_near_groups_with_a_large_group_of_near_copies(spark, monkeypatch, region):
     monkeypatch.setattr(neardup, "REGION", region)
+    monkeypatch.setattr(neardup, "BLOCK", region)
     rng = random.Random(region)
     base = [f"w{rng.randrange(500)}" for _ in range(150)]
     rows = [(i, edited(rng, base, rng.randrange(0, 9)), "en", "s", 1) for i in range(120)]
@@ -131,7 +132,7 @@ def test_near_groups_with_a_large_group_of_near_copies(spark, monkeypatch, regio
     assert got == near_brute(rows, 3, 85)
 
 
-@pytest.mark.parametrize("sets", [neardup.SETS, 0])
+@pytest.mark.parametrize("sets", [neardup.SETS, 30_000])
 def test_near_groups_of_templates_just_under_the_limit(spark, monkeypatch, sets):
     monkeypatch.setattr(neardup, "SETS", sets)
     # Many look-alikes under the limit, and of each a partner over it, at no better an estimate than many of them.
@@ -148,6 +149,32 @@ def test_near_groups_of_templates_just_under_the_limit(spark, monkeypatch, sets)
     assert got == near_brute(rows, 3, 90) and len({c for _, _, c in got}) > 60
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("region", [neardup.REGION, 150])
+def test_near_groups_of_copies_and_copies_of_copies(spark, monkeypatch, seed, region):
+    monkeypatch.setattr(neardup, "REGION", region)
+    monkeypatch.setattr(neardup, "BLOCK", region)
+    rng = random.Random(seed)
+    words = lambda: [f"w{rng.randrange(5000)}" for _ in range(150)]
+    one, two = words(), words()
+    rows = [edited(rng, one, rng.randrange(2, 6)) for _ in range(600)] + [edited(rng, two, 3) for _ in range(200)]
+    rows += [edited(rng, rows[rng.randrange(800)].split(), rng.randrange(2, 6)) for _ in range(200)]
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate(rows)]
+    got = Counter((r["key"], r["n_shingles"], r["component"]) for r in neardup.near_groups(spark.createDataFrame(rows, SCHEMA), width=3, percent=85).collect())
+    assert got == near_brute(rows, 3, 85)
+
+
+def test_shared_sizes_both_ways():
+    rng = np.random.default_rng(3)
+    alike = [np.sort(rng.choice(60, 50, replace=False)) for _ in range(40)]
+    apart = [np.sort(rng.choice(9000, 60, replace=False)) for _ in range(40)]
+    for sets in (alike, apart):
+        asks, member = np.arange(0, 40, 3), np.arange(5, 40)
+        other = asks[:, None] != member[None, :]
+        want = np.array([[len(np.intersect1d(sets[x], sets[y])) for y in member] for x in asks])
+        assert np.array_equal(np.array(list(neardup._shared(asks, member, sets)))[other], want[other])
+
+
 def test_components_of_chains_and_stars(spark):
     name = lambda i: hashlib.md5(str(i).encode()).digest()
     links = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)]
