@@ -16,7 +16,8 @@ cut to that, and the excess reshared by weight until none is above.
 
 Defined results. A null text has no words; a source without words has target 0 and takes nothing.
 The null source is a source and ranks last. Rows that repeat an id are documents of their own.
-Extra columns are ignored by :func:`mix`; an empty table gives an empty result.
+A very long text is one row, whose words are counted in the JVM. Extra columns are ignored by :func:`mix`; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -95,10 +96,15 @@ def _below(parts: Column, slot: Column) -> Column:
 
 
 def schedule(planned: DataFrame) -> DataFrame:
-    """``slot, source_rank, nth, block, pass``: which block of which source comes in each slot."""
+    """``slot, source_rank, nth, block, pass``: which block of which source comes in each slot.
+
+    A partition makes about ``CHUNK`` slots. Their number comes from one sum over the sources, since slots are made from
+    so few rows that the planner would put them all in one task.
+    """
+    total = planned.agg(F.sum("slots")).first()[0] or 0
     chunks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / CHUNK)))
     rows = planned.where("slots > 0").select("rank", "lo", "hi", "bits", "blocks", _parts(F.col("lo")).alias("low"), _parts(F.col("hi")).alias("high"), chunks.alias("chunk"))
-    rows = rows.repartition("rank", "chunk")
+    rows = rows.repartition(max(1, -(-total // CHUNK)), "rank", "chunk")
     first = F.col("lo") + F.col("chunk") * CHUNK
     rows = rows.withColumn("point", F.explode(F.sequence(first, F.least(first + CHUNK, F.col("hi")) - 1)))
     rows = rows.withColumn("slot", _reverse_bits(F.col("point"), F.col("bits")))
