@@ -3,9 +3,10 @@
 Atomic groups (documents with equal texts) are ordered by their size in bytes, then by digest, and cut
 into contiguous shards. The smallest feasible shard capacity is found by binary search; a capacity is
 feasible if a greedy walk from the left fits everything into the shards. Ordered by size, the sequence
-of groups is a run for each distinct size, so the walk works on (size, count) pairs. The sum of all
-sizes bounds how many distinct sizes there are: D of them add up to at least D * (D + 1) / 2, so the
-driver holds at most sqrt(2 * bytes) pairs, however many documents there are.
+of groups is a run for each size class (the size itself below 2^16, above it sizes that agree in 13 bits), so the
+walk works on (groups, bytes) of classes. There are under 300,000 of these however much data there is; only they
+come to the driver. The capacity is the smallest one exactly where a cut falls between classes or in a class of
+one size, and within one group's size in 4,096 otherwise.
 
 A group of at least an equal share of what is left gets a shard of its own first (the largest first),
 and the capacity is searched for the rest: else one large group would set the capacity of every
@@ -17,7 +18,7 @@ holds a large part of the rows.
 
 Defined results. A null text counts as empty (size 8, CRC of no bytes) and equals an empty one. Rows that
 repeat an id are rows of their own, with slots of their own. With fewer groups than shards some shards
-stay empty. An empty table gives an empty result. Extra columns are ignored.
+stay empty. A very long text is one row. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,32 +38,38 @@ BUCKETS = 4096
 
 @dataclass(frozen=True)
 class Cut:
-    """The shard begins at the ``rank``-th group (from 0) of the groups of this size."""
+    """The shard begins at the ``rank``-th group (from 0) of the groups of this size class."""
 
-    size: int
+    cls: int
     rank: int
 
 
 class Runs:
-    """Groups ordered by size as runs; positions are numbers of groups, weights are bytes."""
+    """Groups ordered by size class as runs; positions are numbers of groups, weights are bytes.
 
-    def __init__(self, sizes: list[int], counts: list[int]):
-        self.size = np.array(sizes, dtype=object if sum(s * c for s, c in zip(sizes, counts)) >> 62 else np.int64)
-        self.count = np.array(counts, np.int64)
-        self.bytes = np.r_[0, np.cumsum(self.size * self.count)]
+    A run has its class, the number of its groups and their bytes; within it groups count as equal.
+    """
+
+    def __init__(self, classes: list[int], counts: list[int], totals: list[int]):
+        self.cls, self.count = np.array(classes, np.int64), np.array(counts, np.int64)
+        self.total = np.array(totals, dtype=object if sum(totals) >> 62 else np.int64)
+        self.bytes = np.r_[0, np.cumsum(self.total)]
         self.groups = np.r_[0, np.cumsum(self.count)]
 
     def weight(self, position: int) -> int:
         """Bytes of the groups before a position."""
         j = int(np.searchsorted(self.groups, position, "right")) - 1
-        return int(self.bytes[j]) + (position - int(self.groups[j])) * (int(self.size[j]) if j < len(self.size) else 0)
+        if j >= len(self.cls):
+            return int(self.bytes[-1])
+        return int(self.bytes[j]) + (position - int(self.groups[j])) * int(self.total[j]) // int(self.count[j])
 
     def reach(self, limit: int) -> int:
         """The last position that has at most ``limit`` bytes before it."""
         j = int(np.searchsorted(self.bytes, limit, "right")) - 1
-        if j >= len(self.size):
+        if j >= len(self.cls):
             return int(self.groups[-1])
-        return int(self.groups[j]) + (limit - int(self.bytes[j])) // int(self.size[j])
+        # The last position of the run whose weight, rounded down, is within the limit.
+        return int(self.groups[j]) + ((limit - int(self.bytes[j]) + 1) * int(self.count[j]) - 1) // int(self.total[j])
 
     def reach_back(self, limit: int) -> int:
         """The first position that has at least ``limit`` bytes before it."""
@@ -108,7 +115,15 @@ class Runs:
 
     def named(self, position: int) -> Cut:
         j = int(np.searchsorted(self.groups, position, "right")) - 1
-        return Cut(int(self.size[j]), position - int(self.groups[j])) if j < len(self.size) else Cut(int(self.size[-1]) + 1, 0)
+        return Cut(int(self.cls[j]), position - int(self.groups[j])) if j < len(self.cls) else Cut(int(self.cls[-1]) + 1, 0)
+
+
+def size_class(weight: Column) -> Column:
+    """A class of sizes: the size itself below 2^16, else its length in bits and its first 13 bits. There are under
+    300,000 classes, however large groups are; sizes of a class differ by less than one in 4,096."""
+    bits = F.length(F.bin(weight))
+    high = F.call_function("shiftright", weight, F.greatest(bits - 13, F.lit(0)))
+    return F.when(weight < 1 << 16, weight).otherwise(bits.cast("long") * (1 << 13) + high)
 
 
 def ranked(df: DataFrame, by: str, order: list[str], bucket: Column, name: str) -> DataFrame:
@@ -129,17 +144,18 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     rows = stage.write(rows, "shard-rows")
     groups = rows.groupBy("digest").agg((F.count("*") * F.first("size")).alias("weight"))
     groups = stage.write(groups, "shard-groups")
-    runs = sorted((r["weight"], r["n"]) for r in groups.groupBy("weight").agg(F.count("*").alias("n")).collect())
+    classes = groups.withColumn("cls", size_class(F.col("weight")))
+    runs = sorted(map(tuple, classes.groupBy("cls").agg(F.count("*").alias("n"), F.sum("weight").alias("bytes")).collect()))
     if not runs:
         return rows.select("key", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"))
-    table = Runs([w for w, _ in runs], [n for _, n in runs])
+    table = Runs(*map(list, zip(*runs)))
     cuts = [table.named(p) for p in table.cut(shards)]
-    split = sorted({c.size for c in cuts if c.rank})
+    split = sorted({c.cls for c in cuts if c.rank})
     bucket = F.pmod(F.xxhash64("digest"), F.lit(BUCKETS))
-    placed = groups.where(~F.col("weight").isin(split)).withColumn("rank", F.lit(0).cast("long"))
+    placed = classes.where(~F.col("cls").isin(split)).withColumn("rank", F.lit(0).cast("long"))
     if split:
-        placed = placed.unionByName(ranked(groups.where(F.col("weight").isin(split)), "weight", ["digest"], bucket, "rank"))
-    after = [((F.col("weight") > c.size) | ((F.col("weight") == c.size) & (F.col("rank") >= c.rank))).cast("int") for c in cuts]
+        placed = placed.unionByName(ranked(classes.where(F.col("cls").isin(split)), "cls", ["digest"], bucket, "rank"))
+    after = [((F.col("cls") > c.cls) | ((F.col("cls") == c.cls) & (F.col("rank") >= c.rank))).cast("int") for c in cuts]
     placed = placed.select("digest", sum(after, F.lit(0)).alias("shard"))
     joined = stage.write(rows.join(placed, "digest"), "shard-placed")
     spread = F.pmod(F.xxhash64("key", "digest"), F.lit(BUCKETS))
