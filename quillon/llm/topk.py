@@ -1,24 +1,25 @@
 """Exact top-k by inner product: ball-tree branch and bound per shard.
 
-Vectors are quantised to integers, floor(256 * x), so scores are exact and ties are real ties. Each shard
-of the candidates builds a ball tree (split along the direction between two far points, until a leaf holds
-``LEAF`` vectors); every node keeps its centre and radius, and a query's best possible score in a node is
-``q . centre + |q| * radius``. A block of queries visits a shard's nodes in the order of that bound and
-stops where no query's bound reaches its k-th score so far.
-
-The k-th score is shared: one shard in ``FIRST`` is searched first, the scores found are merged per query
-and go with the query into the other shards as its starting threshold, so those prune against the best k
-found anywhere before. Within a shard the threshold rises from leaf to leaf.
-
-Plan. Shards and query blocks are packed into arrays of bounded size (``SHARD_ROWS``, ``BLOCK_ROWS``); each
-wave joins packed shards to packed blocks (a block search of the stated query set against all rows). Per
-query only k rows leave a task. Neither side is broadcast.
-
-Defined results. Vectors that are null, empty or hold a null or non-finite component take no part, nor do
-vectors whose length differs from the most common one of the table (ties: the shorter). A query's own row
-(same id) is no candidate. Ties go to the smaller id; a query with fewer than k candidates gets them all.
-Rows that repeat both id and vector count once; of a query id with several vectors the smallest asks.
-Null ids take no part. Extra columns are ignored; an empty table gives an empty result.
+Vectors are quantised to integers, floor(256 * x), so scores are exact and ties are real ties. Vectors are first
+dealt to cells around pivots; a cell is a ball (pivot, radius), and its vectors make one or more shards of bounded
+size. Each shard builds a ball tree (split along the direction between two far points, until a leaf holds ``LEAF``
+vectors); every node keeps its centre and radius, and a query's best possible score in a node or cell is
+``q . centre + |q| * radius``. A block of queries visits a shard's nodes in the order of that bound and stops where no
+query's bound reaches its k-th score so far.
+
+The k-th score is shared: each query first searches one shard of each of the ``FIRST`` cells nearest to its direction;
+the scores found are its starting threshold everywhere else. Then it is sent only to the cells whose bound reaches
+that threshold. Within a shard the threshold rises from leaf to leaf.
+
+Plan. The pivots (at most ``PIVOTS``, a sample by hash; every row is indexed) and the cells' radii go to all tasks, which
+bound every query against every cell without a join. Only surviving (query, cell) rows are shuffled; they are packed
+into arrays of bounded bytes, as are the shards, and joined by shard. Per query and shard only k rows leave a task.
+
+Defined results. Vectors that are null, empty or hold a null or non-finite component take no part. Vectors of different
+lengths have no inner product: each length is searched by itself. A query's own row (same id) is no candidate. Ties
+go to the smaller id; a query with fewer than k candidates gets them all. Rows that repeat both id and vector count
+once; of a query id with several vectors the smallest asks. Null ids take no part. Extra columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,13 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Staged
+from .common import Staged, ship_package
 
-#: Vectors in a leaf, in a shard and in a block of queries.
-LEAF, SHARD_ROWS, BLOCK_ROWS = 64, 4096, 1024
+#: Vectors in a leaf; bytes of a shard and of a block of queries; pivots of a length at most.
+LEAF, SHARD_BYTES, BLOCK_BYTES, PIVOTS = 64, 2 << 20, 1 << 20, 1024
 SCALE = 256
-#: The first wave searches one shard in so many; the scores found there are every later search's starting threshold.
-FIRST = 8
+#: Cells of which each query searches one shard first; the scores found there are its starting threshold.
+FIRST = 2
 
 
 class BallTree:
@@ -121,12 +122,78 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "emb
     return good.select(F.col(id_col).cast("long").alias("id"), whole.alias("v"))
 
 
-def _packed(rows: DataFrame, per: int, n: int) -> DataFrame:
-    """Rows dealt by hash into groups of about ``per`` rows: ``pack, ids, vs``, one bounded array row a group."""
-    packs = max(1, -(-n // per))
-    key = F.pmod(F.xxhash64("id"), F.lit(packs)).cast("int")
-    out = rows.groupBy(key.alias("pack")).agg(F.collect_list(F.struct("id", "v", *(["kth"] if "kth" in rows.columns else []))).alias("rows"))
-    return out
+def _per(bytes_: int, width: int) -> int:
+    """Rows of this many numbers in so many bytes."""
+    return max(1, bytes_ // (8 * width + 32))
+
+
+def pivots(rows: DataFrame, widths: dict[int, int]) -> dict[int, np.ndarray]:
+    """Of every length of vectors a bounded sample by hash: about one a shard, at most ``PIVOTS``."""
+    want = {w: min(PIVOTS, max(1, -(-n // _per(SHARD_BYTES, w)))) for w, n in widths.items()}
+    limit = F.element_at(F.create_map(*[F.lit(x) for p in want.items() for x in p]), F.size("v"))
+    order = Window.partitionBy(F.size("v")).orderBy(F.md5(F.col("id").cast("string")), "id", "v")
+    # The window's first rows are kept by partition before they are shuffled.
+    found = rows.withColumn("n", F.row_number().over(order)).where((F.col("n") <= PIVOTS) & (F.col("n") <= limit)).select("v").collect()
+    out: dict[int, list] = {}
+    for r in found:
+        out.setdefault(len(r["v"]), []).append(r["v"])
+    return {w: np.array(v) for w, v in out.items()}
+
+
+def _by_width(batch: pa.RecordBatch, at: int):
+    """(row numbers, matrix) of the vectors of each length in a batch."""
+    lengths = batch.column(at).value_lengths().to_numpy()
+    for w in np.unique(lengths).tolist():
+        rows = np.flatnonzero(lengths == w)
+        yield w, rows, batch.column(at).take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), w)
+
+
+def _assign(centres: dict[int, np.ndarray]):
+    """``id, v, cell, far``: the nearest pivot (numbered within its length) and the distance to it."""
+
+    def run(batches):
+        for b in batches:
+            cell, far = np.zeros(b.num_rows, np.int32), np.zeros(b.num_rows)
+            for w, rows, x in _by_width(b, 1):
+                p = centres[w]
+                d = (x * x).sum(1)[:, None] + (p * p).sum(1)[None, :] - 2 * x @ p.T
+                cell[rows] = d.argmin(1)
+                far[rows] = np.sqrt(((x - p[cell[rows]]) ** 2).sum(1))
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(cell), pa.array(far)], names=["id", "v", "cell", "far"])
+
+    return run
+
+
+def _sent(centres: dict[int, np.ndarray], radius: dict[int, np.ndarray], shards: dict[int, np.ndarray], first: bool):
+    """``id, v, kth, cell, part``: every query with the shards that it has to search: first one of each of the cells nearest
+    to its direction, then all of the cells whose bound reaches its ``kth``."""
+    names = ["id", "v", "kth", "cell", "part"]
+
+    def run(batches):
+        for b in batches:
+            ids, kth = b.column(0), b.column(2).to_numpy(zero_copy_only=False)
+            for w, rows, x in _by_width(b, 1):
+                p, parts = centres[w], shards[w]
+                along = x @ p.T
+                norm = np.sqrt((x * x).sum(1))
+                live = parts > 0
+                if first:
+                    n = min(FIRST, int(live.sum()))
+                    cell = np.argsort(np.where(live, -along, np.inf), axis=1, kind="stable")[:, :n]
+                    q, cell = np.repeat(np.arange(len(rows)), n), cell.ravel()
+                    part = ids.take(pa.array(rows)).to_numpy()[q] % parts[cell]
+                else:
+                    slack = 1e-6 * (1 + norm * (np.abs(p).max(initial=0) * np.sqrt(w) + radius[w].max(initial=0)))
+                    q, cell = np.nonzero(live & (along + norm[:, None] * radius[w] + slack[:, None] >= kth[rows][:, None]))
+                    n = parts[cell]
+                    part = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    q, cell = np.repeat(q, n), np.repeat(cell, n)
+                at = rows[q]
+                for i in range(0, len(at), 4096):
+                    take = pa.array(at[i : i + 4096])
+                    yield pa.record_batch([ids.take(take), b.column(1).take(take), b.column(2).take(take), pa.array(cell[i : i + 4096].astype(np.int32)), pa.array(part[i : i + 4096].astype(np.int32))], names=names)
+
+    return run
 
 
 def _unpack(rows: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,14 +206,14 @@ def _search(k: int):
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
     def run(batches):
+        last, tree = None, None
         for batch in batches:
-            last, tree = None, None
             for i in range(batch.num_rows):
-                no = batch.column(0)[i].as_py()
-                if no != last:
-                    ids, vectors = _unpack(batch.column(1).slice(i, 1).flatten())
-                    last, tree = no, BallTree(ids, vectors)
-                block = batch.column(2).slice(i, 1).flatten()
+                name = tuple(batch.column(j)[i].as_py() for j in range(3))
+                if name != last:
+                    ids, vectors = _unpack(batch.column(3).slice(i, 1).flatten())
+                    last, tree = name, BallTree(ids, vectors)
+                block = batch.column(4).slice(i, 1).flatten()
                 qids, queries = _unpack(block)
                 found, scores, _ = tree.search(qids, queries, block.field("kth").to_numpy(zero_copy_only=False), k)
                 r, c = np.nonzero(np.isfinite(scores))
@@ -157,34 +224,44 @@ def _search(k: int):
 
 def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score`` of the k best candidates of every row for which ``is_query`` (a condition on ``id``) holds."""
+    ship_package(vectors.sparkSession)
     stage = Staged(vectors.sparkSession)
-    rows = stage.write(quantised(vectors, id_col, vector_col), "topk-vectors")
-    widths = rows.groupBy(F.size("v").alias("w")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(1).collect()
+    rows = stage.write(quantised(vectors, id_col, vector_col).distinct(), "topk-vectors")
+    widths = {r["w"]: r["n"] for r in rows.groupBy(F.size("v").alias("w")).agg(F.count("*").alias("n")).collect()}
     if not widths:
         return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0).cast("long").alias("score"))
-    width, n = widths[0]["w"], widths[0]["n"]
-    rows = rows.where(F.size("v") == width).distinct()
-    queries = rows.where(is_query).groupBy("id").agg(F.min("v").alias("v"))
-    n_queries = queries.count()
-    shards = _packed(rows, SHARD_ROWS, n).select(F.col("pack").alias("shard_no"), F.col("rows").alias("shard"))
-    shards = stage.write(shards, "topk-shards")
+    centres = pivots(rows, widths)
+    placed = stage.write(rows.mapInArrow(_assign(centres), "id long, v array<double>, cell int, far double"), "topk-placed")
+    cells = placed.groupBy(F.size("v").alias("w"), "cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()
+    radius, parts = ({w: np.zeros(len(p), kind) for w, p in centres.items()} for kind in (float, np.int64))
+    for r in cells:
+        radius[r["w"]][r["cell"]] = r["far"]
+        parts[r["w"]][r["cell"]] = -(-r["n"] // _per(SHARD_BYTES, r["w"]))
+    counts = rows.sparkSession.createDataFrame([(w, i, int(n)) for w, p in parts.items() for i, n in enumerate(p.tolist())], "w int, cell int, parts long")
+    dealt = placed.withColumn("w", F.size("v")).join(counts, ["w", "cell"])
+    dealt = dealt.groupBy("w", "cell", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part")).agg(F.collect_list(F.struct("id", "v")).alias("shard"))
+    shards = stage.write(dealt, "topk-shards")
+    queries = rows.where(is_query).groupBy("id", F.size("v").alias("w")).agg(F.min("v").alias("v"))
+    queries = stage.write(queries.groupBy("id").agg(F.min("v").alias("v")), "topk-queries")
     found = None
-    for wave in range(2):
-        first = F.col("shard_no") % FIRST == 0
-        part = shards.where(first if wave == 0 else ~first)
-        asked = queries
-        if found is not None:
-            kth = found.groupBy("query_id").agg(F.min("score").alias("low"), F.count("*").alias("have"))
-            asked = queries.join(kth, F.col("id") == F.col("query_id"), "left").select("id", "v", F.when(F.col("have") >= k, F.col("low")).cast("double").alias("kth"))
+    for first in (True, False):
+        if first:
+            asked = queries.withColumn("kth", F.lit(float("-inf")))
         else:
-            asked = queries.withColumn("kth", F.lit(None).cast("double"))
-        asked = asked.withColumn("kth", F.coalesce("kth", F.lit(float("-inf"))))
-        blocks = _packed(asked, BLOCK_ROWS, n_queries).select(F.col("pack").alias("block_no"), F.col("rows").alias("block"))
-        n_shards = max(1, -(-n // SHARD_ROWS))
-        pairs = blocks.withColumn("shard_no", F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1))))
-        pairs = pairs.join(part.hint("shuffle_hash"), "shard_no").select("shard_no", "shard", "block")
+            kth = found.groupBy("query_id").agg(F.min("score").alias("low"), F.count("*").alias("have"))
+            limit = F.when(F.col("have") >= k, F.col("low").cast("double")).otherwise(F.lit(float("-inf")))
+            asked = queries.join(kth, F.col("id") == F.col("query_id"), "left").select("id", "v", F.coalesce(limit, F.lit(float("-inf"))).alias("kth"))
+        sent = asked.mapInArrow(_sent(centres, radius, parts, first), "id long, v array<double>, kth double, cell int, part int")
+        sent = stage.write(sent, "topk-sent")
+        keys = ["w", "cell", "part"]
+        many = sent.groupBy(F.size("v").alias("w"), "cell", "part").agg(F.count("*").alias("n"))
+        blocks = sent.withColumn("w", F.size("v")).join(many, keys)
+        per = F.greatest(F.lit(1), F.floor(F.lit(BLOCK_BYTES) / (8 * F.col("w") + 40)))
+        block = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / per).cast("long")).alias("block_no")
+        blocks = blocks.groupBy(*keys, block).agg(F.collect_list(F.struct("id", "v", "kth")).alias("block"))
+        pairs = blocks.join(shards, keys).select(*keys, "shard", "block")
         now = pairs.mapInArrow(_search(k), "query_id long, vec_id long, score long")
-        found = best_k(now if found is None else found.unionByName(now), k)
+        found = best_k(now if found is None else found.unionByName(now).distinct(), k)
         found = stage.write(found, "topk-found")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score")

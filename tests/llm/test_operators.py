@@ -337,12 +337,27 @@ def test_cuts_are_minimax(seed):
     rng = random.Random(seed)
     sizes = sorted([rng.randrange(8, 40) for _ in range(rng.randrange(1, 20))] + [rng.randrange(50, 300)] * (seed % 3 == 0))
     c, k = Counter(sizes), rng.randrange(1, 7)
-    cuts = sharding.Runs(sorted(c), [c[x] for x in sorted(c)]).cut(k)
+    cuts = sharding.Runs(sorted(c), [c[x] for x in sorted(c)], [x * c[x] for x in sorted(c)]).cut(k)
     bounds = [0, *cuts, len(sizes)]
     assert bounds == sorted(bounds) and len(cuts) <= k - 1
     assert max(sum(sizes[a:b]) for a, b in zip(bounds, bounds[1:])) == minimax(sizes, k)
 
 
+def test_runs_of_mixed_sizes_stay_near_the_least_capacity():
+    rng = random.Random(4)
+    sizes = sorted(rng.randrange(1 << 20, (1 << 20) + 250) for _ in range(300))
+    runs = sharding.Runs([9], [len(sizes)], [sum(sizes)])
+    assert [runs.weight(runs.reach(x)) <= x < runs.weight(runs.reach(x) + 1) for x in (5, 1 << 21, sum(sizes) - 1)] == [True] * 3
+    bounds = [0, *runs.cut(7), len(sizes)]
+    assert max(sum(sizes[a:b]) for a, b in zip(bounds, bounds[1:])) <= minimax(sizes, 7) + 250 * 43
+
+
+def test_size_classes_keep_the_order(spark):
+    sizes = sorted({1, 8, 65_535, 65_536, 65_537, (1 << 17) - 1, 1 << 17, 10**6, 10**9, 10**12, (1 << 62) - 1})
+    rows = spark.createDataFrame([(x,) for x in sizes], "w long").select("w", sharding.size_class(F.col("w")).alias("c")).orderBy("w").collect()
+    assert [r["c"] for r in rows] == sorted(r["c"] for r in rows) and rows[2]["c"] == 65_535 and max(r["c"] for r in rows) < 1 << 20
+
+
 def test_shards(docs):
     rows = sharding.shard(docs, 4).collect()
     want = Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t, *_ in awkward())
@@ -500,8 +515,8 @@ def top_brute(rows, k):
 
 @pytest.mark.parametrize(("leaf", "shard", "block"), [(64, 4096, 1024), (4, 40, 3)])
 def test_top_k(spark, monkeypatch, leaf, shard, block):
-    monkeypatch.setattr(topk, "SHARD_ROWS", shard)
-    monkeypatch.setattr(topk, "BLOCK_ROWS", block)
+    monkeypatch.setattr(topk, "SHARD_BYTES", shard * 72)
+    monkeypatch.setattr(topk, "BLOCK_BYTES", block * 80)
     monkeypatch.setattr(topk.BallTree.__init__, "__defaults__", (leaf,))
     rng = np.random.default_rng(3)
     rows = [(i - 100, [float(np.float32(x)) for x in rng.normal(size=5)]) for i in range(400)]
@@ -511,6 +526,17 @@ def test_top_k(spark, monkeypatch, leaf, shard, block):
     assert got == top_brute(rows, 5)
 
 
+def test_top_k_by_length_and_in_clusters(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD_BYTES", 20 * 72)
+    rng = np.random.default_rng(5)
+    near = [[float(x) for x in rng.normal(size=4) * 0.01 + 10 * np.eye(4)[i % 4]] for i in range(300)]
+    far = [[float(x) for x in rng.normal(size=3)] for _ in range(90)]
+    rows, other = list(enumerate(near)), [(1000 + i, x) for i, x in enumerate(far)]
+    df = spark.createDataFrame(rows + other, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in topk.top_k(df, F.col("id") % 50 == 0, 5).collect()}
+    assert got == top_brute(rows, 5) | top_brute(other, 5)
+
+
 def test_top_k_of_few(spark):
     df = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in topk.top_k(df, F.col("id") % 50 == 0, 5).collect()] == [(0, 1, 1, 256 * 512)]

@@ -15,7 +15,7 @@ import corpus_pipeline
 from quillon.llm import html_text, queries, toxicity
 from quillon.sources import table
 
-from .test_operators import near_brute, spans_brute, strip
+from .test_operators import minimax, near_brute, spans_brute, strip
 
 
 @pytest.fixture(scope="module")
@@ -54,6 +54,19 @@ def test_shards(spark, data, rows):
     out = queries.op5_minimax_sharding(spark, data).collect()
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in out) == Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t, *_ in rows)
     assert {r["law"] for r in out} == {"bytes"} and {r["grown_shard"] for r in out} == {None}
+    # Groups of equal texts stay together; the largest shard is the least that any cut of the ordered groups allows.
+    texts, place, groups, load = {i: t or "" for i, t, *_ in rows}, {}, Counter(), Counter()
+    for r in out:
+        assert place.setdefault(texts[r["doc_id"]], r["shard"]) == r["shard"]
+        groups[texts[r["doc_id"]]] += r["size"]
+        load[r["shard"]] += r["size"]
+    left, shards = sorted(groups.values()), 24
+    while left[-1] * shards >= sum(left):
+        left.pop()
+        shards -= 1
+    assert max(load[s] for s in load if load[s] <= sum(left)) <= max(minimax(left, shards), max(groups.values()))
+    slots = {s: sorted(r["slot"] for r in out if r["shard"] == s) for s in load}
+    assert all(x == list(range(len(x))) for x in slots.values()) and set(load) <= set(range(24))
 
 
 def test_ids(spark, data, rows):
