@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Regex, Tokenizer, pre_tokenizers
 
-from .common import text_or_empty
+from .common import ship_package, text_or_empty
 
 NONE = np.int64(1 << 60)
 #: Words a worker remembers, and characters of words encoded at a time.
@@ -298,6 +298,7 @@ def _texts(path: str, id_type: pa.DataType):
 def _apply(docs: DataFrame, id_col: str, col, make, path: str, fields: list[tuple[str, T.DataType]]) -> DataFrame:
     from pyspark.sql.pandas.types import to_arrow_type
 
+    ship_package(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("key"), col)
     kind = source.schema["key"].dataType
     schema = T.StructType().add("key", kind)

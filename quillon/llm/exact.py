@@ -9,11 +9,12 @@ shuffle at most once a partition. The shuffle by content hash is the first level
 partitioning; a task whose distinct contents outgrow its memory bound writes them to spill files by
 further hash bits and takes each file in turn, again by recursion. The per-content decisions are
 small and are joined to the rows' digests by a plain equi-join, which adaptive execution splits
-where one content holds a large part of the rows.
+where one content holds a large part of the rows. Recursion ends after twelve levels (48 bits of the hash): contents
+that agree so far are one table, whatever its size.
 
 Defined results. A null text counts as empty; all empty texts are equal. Null ids rank after all
 others. Rows that repeat both id and text are copies of each other and all carry ``kept`` where their
-id is the one that stays. Extra columns are ignored. An empty table gives an empty result.
+id is the one that stays. A very long text is one entry. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,11 +28,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_SPACE, SPACE_CLASS, text_or_empty
+from .common import ASCII_SPACE, ship_package, text_or_empty
 
 #: Bytes of distinct contents a task's table holds before it spills.
 TABLE_BYTES = 48 << 20
@@ -46,6 +47,13 @@ def _rank(cp: int, key) -> tuple:
     return (-cp, key is None, key if key is not None else 0)
 
 
+def _first(a: tuple, b: tuple) -> bool:
+    """Whether (code points, id or row) ``a`` stays rather than ``b``."""
+    if isinstance(a[1], _Row):
+        return a[0] > b[0] or a[0] == b[0] and a[1] < b[1]
+    return _rank(*a) < _rank(*b)
+
+
 class ContentTable:
     """Open addressing with linear probing; a slot matches only if the complete content is equal."""
 
@@ -72,7 +80,7 @@ class ContentTable:
             if self.hashes[at] == h and self.contents[at] == content:
                 row = self.rows[at]
                 row[2] += count
-                if _rank(cp, key) < _rank(row[0], row[1]):
+                if _first((cp, key), (row[0], row[1])):
                     row[0], row[1] = cp, key
                 return
             i = (i + 1) & mask
@@ -80,7 +88,8 @@ class ContentTable:
         self.hashes.append(h)
         self.contents.append(content)
         self.rows.append([cp, key, count])
-        self.bytes += len(content) + 200
+        # A row holds its text once more.
+        self.bytes += len(content) * (3 if isinstance(key, _Row) else 1) + 200
         if 2 * len(self.hashes) > len(slots):
             self._grow()
 
@@ -195,6 +204,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per input row: ``key, keep_key, group_size, kept, digest`` (SHA-256 of the normalised text)."""
     from pyspark.sql.pandas.types import to_arrow_type
 
+    ship_package(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("key"), text_or_empty(text_col).alias("content"))
     id_type = source.schema["key"].dataType
     arrow_id = to_arrow_type(id_type)
@@ -209,14 +219,75 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.join(groups, "digest").select("key", "keep_key", "group_size", F.col("key").eqNullSafe(F.col("keep_key")).alias("kept"), "digest")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+class _Row:
+    """A whole row in a table's place for an id: its rank is that of its id, then of its text."""
+
+    __slots__ = ("key", "text", "values")
+
+    def __init__(self, key, text: str | None, values: dict):
+        self.key, self.text, self.values = key, text, values
+
+    def rank(self) -> tuple:
+        return (self.key is None, self.key if self.key is not None else 0, self.text or "")
+
+    def __lt__(self, other: "_Row") -> bool:
+        return self.rank() < other.rank()
+
+    def __reduce__(self):
+        return _Row, (self.key, self.text, self.values)
+
+
+def _row_entries(batches, at: int, id_at: int, text_at: int):
+    """Entries of whole rows: the struct in column ``at`` holds them, with the id and text at these fields."""
+    for b in batches:
+        rows = b.column(at)
+        text = pc.struct_field(rows, [text_at]).cast(pa.string()).fill_null("")
+        cps = pc.utf8_length(text).to_pylist()
+        ids, raw = pc.struct_field(rows, [id_at]).to_pylist(), text.cast(pa.large_binary()).to_pylist()
+        for key, t, cp, values in zip(ids, raw, cps, rows.to_pylist()):
+            content = t.translate(None, ASCII_SPACE)
+            yield xxhash.xxh3_64_intdigest(content), content, cp, _Row(key, t.decode(), values), 1
+
+
+def _keep_rows(limit: int, fanout: int, row_type: pa.DataType, id_at: int, text_at: int, last: bool):
+    """The rows that stay of a partition's equal texts: with their hash for the shuffle, or at ``last`` as they are."""
+
+    def run(batches):
+        held, size = [], 0
+
+        def out():
+            rows = pa.array([r.values for _, r in held], row_type)
+            if last:
+                return pa.RecordBatch.from_struct_array(rows)
+            return pa.record_batch([pa.array([_signed(h) for h, _ in held], pa.int64()), rows], names=["h", "row"])
+
+        for h, content, _, row, _ in grace(_row_entries(batches, 1 if last else 0, id_at, text_at), 0, limit, fanout):
+            held.append((h, row))
+            size += len(content) + 200
+            if size > BATCH_BYTES:
+                yield out()
+                held, size = [], 0
+        if held:
+            yield out()
+
+    return run
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table_bytes: int = TABLE_BYTES, fanout: int = FANOUT) -> DataFrame:
     """The documents that stay, with all their columns; one row where rows repeat id and text.
 
-    The decisions come from :func:`exact_groups`; the texts are read once more and kept by a semi-join.
+    Whole rows go through the same tables as in :func:`exact_groups`, in a partition and then by content hash, so each
+    text is shuffled once, and copies of a partition not at all. Of equal rows (length, id) the one with the least text stays.
     """
-    keep = exact_groups(docs, id_col, text_col).where("kept").select(F.col("key").alias("__key"), F.col("digest").alias("__keep")).distinct()
-    digest = F.unhex(F.sha2(F.regexp_replace(text_or_empty(text_col), SPACE_CLASS, ""), 256))
-    rows = docs.withColumn("__digest", digest)
-    rows = rows.join(keep, F.col(id_col).eqNullSafe(F.col("__key")) & (F.col("__digest") == F.col("__keep")), "left_semi")
-    one = Window.partitionBy(id_col, "__digest").orderBy(F.length(text_or_empty(text_col)).desc(), F.col(text_col))
-    return rows.withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n", "__digest")
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    ship_package(docs.sparkSession)
+    names = list(docs.columns)
+    if len(set(names)) < len(names):
+        raise ValueError("column names must differ")
+    at = (names.index(id_col), names.index(text_col))
+    source = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"))
+    row = source.schema["row"].dataType
+    make = lambda last: _keep_rows(table_bytes, fanout, to_arrow_type(row), *at, last)
+    partial = source.mapInArrow(make(False), T.StructType().add("h", "long").add("row", row))
+    return partial.repartition(F.col("h")).mapInArrow(make(True), docs.schema)

@@ -27,6 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import ship_package
+
 # Element names by role, and the words that mark a container by its class, id or role.
 BLOCK_TAGS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 RAW_TAGS = frozenset("script style title noscript template textarea iframe svg math xmp noembed noframes object audio video canvas select datalist".split())
@@ -331,6 +333,7 @@ def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("
     """The columns ``keep`` of every page, its main ``text`` and ``n_chars`` (code points)."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
+    ship_package(pages.sparkSession)
     source = pages.select(*keep, F.col(html_col).cast("string").alias("__html"))
     schema = T.StructType([*source.schema.fields[:-1], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
     return source.mapInArrow(_extract(to_arrow_schema(schema), len(keep)), schema)

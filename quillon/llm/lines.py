@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_or_empty
+from .common import ship_package, text_or_empty
 
 #: Words that a unit must have to be removed.
 LEAST_WORDS = 8
@@ -98,6 +98,7 @@ def repeated_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per removed unit: ``key, start, end, first_key, first_start, copies`` (occurrences of the unit)."""
     from pyspark.sql.pandas.types import to_arrow_type
 
+    ship_package(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("key"), text_or_empty(text_col).alias("text"))
     kind = source.schema["key"].dataType
     schema = T.StructType().add("key", kind).add("start", "long").add("end", "long").add("digest", "binary")

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Staged, cut, text_or_empty
+from .common import Staged, cut, ship_package, text_or_empty
 from .neardup import _BASE, _INVERSE, _mix, _powers
 
 LENGTH, GRAM = 100, 24
@@ -266,6 +266,7 @@ def _finish(batches):
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``key, n_bytes, n_removed, n_spans, kept_sha256, spans`` (byte offsets)."""
+    ship_package(docs.sparkSession)
     spark = docs.sparkSession
     stage = Staged(spark)
     source = docs.select(F.col(id_col).cast("long").alias("key"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), text_or_empty(text_col).alias("text"))

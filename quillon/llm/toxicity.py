@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Staged, text_or_empty
+from .common import Staged, ship_package, text_or_empty
 
 #: Bounds of the fit: labelled documents, words of the vocabulary; least documents that hold a word.
 TRAIN_ROWS, VOCABULARY, LEAST_DOCS = 20_000, 2048, 3
@@ -172,6 +172,7 @@ def _index(vocabulary: list[str], plain: frozenset[str]):
 
 def training_sample(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fold: Column | None = None) -> DataFrame:
     """``key, label, text`` of at most ``rows`` labelled documents for which ``fold`` (a condition on ``key``) holds."""
+    ship_package(docs.sparkSession)
     chosen = labels.select(F.col(id_col).alias("key"), F.col(label_col).cast("int").alias("label")).where("key IS NOT NULL AND label IS NOT NULL")
     if fold is not None:
         chosen = chosen.where(fold)
@@ -209,6 +210,7 @@ def _score(model: Model, id_type: pa.DataType):
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``key, score`` of every document."""
+    ship_package(docs.sparkSession)
     from pyspark.sql.pandas.types import to_arrow_type
 
     source = docs.select(F.col(id_col).alias("key"), text_or_empty(text_col).alias("text"))
@@ -227,6 +229,7 @@ def _keep(model: Model, at: int, limit: float):
 
 def reject_toxic(docs: DataFrame, model: Model, text_col: str = "text", limit: float = 0.5) -> DataFrame:
     """The documents that score below ``limit``, with all their columns."""
+    ship_package(docs.sparkSession)
     return docs.mapInArrow(_keep(model, docs.columns.index(text_col), limit), docs.schema)
 
 

@@ -72,6 +72,18 @@ def test_grace_recursion_compares_contents():
     assert {(h, c): n for h, c, _, _, n in exact.grace(iter(entries), 0, 2000, 3)} == want
 
 
+@pytest.mark.parametrize("table", [exact.TABLE_BYTES, 3000])
+def test_exact_dedup_of_whole_rows(spark, table):
+    rng = random.Random(table)
+    rows = [(i % 250, rng.choice(["", " ", "\t", "  "]).join(f"w{rng.randrange(3)}" for _ in range(rng.randrange(6))) or None, "en", "s", i) for i in range(300)]
+    best = {}
+    for r in rows:
+        rank = (-len(r[1] or ""), r[0], (r[1] or "").encode())
+        best[strip(r[1])] = min(best.get(strip(r[1]), (rank, r[:2])), (rank, r[:2]))
+    kept = exact.exact_dedup(spark.createDataFrame(rows, SCHEMA).repartition(7), table_bytes=table, fanout=3).collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in kept) == sorted((i, t or "") for _, (i, t) in best.values())
+
+
 def test_exact_dedup_keeps_one_row_a_text(docs):
     kept = exact.exact_dedup(docs)
     assert kept.columns == docs.columns
