@@ -8,7 +8,13 @@ loaded, says which blocks are article text. The text of these blocks is joined i
 
 Pages are read once and nothing is shuffled; a task holds one batch of pages.
 
-Defined results. A null or empty page has an empty text. Script, style and other raw elements end at
+Marks. Containers are marked by their element, role, class or id; the words of class names are parted at humps and looked
+up whole or as the beginning or end of a compound, in English and some German, French and Spanish. A mark is one
+feature of the tree; marks by class alone are taken back where they would leave nothing of a page, but not those of
+readers' comments.
+
+Defined results. A null or empty page has an empty text. An empty table gives an empty result; a very long page is one
+row, read once, and its cost grows with its length and not with its depth. Script, style and other raw elements end at
 their closing tag or, unclosed, with the page. Unclosed tags stay open as long as their container.
 Character references are decoded once; a stray ``<`` or ``&`` stays text. White space (Unicode) in a
 block becomes one space. Nothing else is dropped or capped. Rows that repeat an id give rows of their own;
@@ -19,7 +25,9 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -44,16 +52,29 @@ MARK_WORDS = frozenset(
     "cookie cookies consent gdpr notice notices alert alerts warning popup modal overlay paywall disclaimer "
     "comment comments commentlist discussion disqus respond replies reply feedback reviews "
     "share sharing social related recommended recommendations popular trending teaser teasers outbrain taboola "
-    "newsletter subscribe subscription signup login search form tags hidden skip".split()
+    "newsletter subscribe subscription signup login search form tags hidden skip "
+    "anzeige anzeigen werbung hinweis teilen empfehlungen publicite pub partage pied menue publicidad anuncio anuncios compartir pie".split()
 )
+#: Words that mark readers' comments, and beginnings or ends of compounds that mark a container. Fixed values.
+COMMENT_WORDS = frozenset("comment comments commentlist discussion disqus respond replies reply feedback reviews".split())
+COMMENT_PARTS = ("comment", "kommentar", "comentari", "leserbrief", "guestbook", "gaestebuch")
+MARK_PARTS = (
+    "sidebar", "advert", "werbung", "anzeige", "publicit", "publicidad", "promo", "sponsor", "banner", "cookie", "consent", "newsletter", "breadcrumb", "navig", "navbar", "footer", "teaser", "related",
+    "widget", "popup", "subscri", "masthead", "toolbar", "copyright", "disclaimer", "paywall", "seitenleiste", "randspalte", "fusszeile", "kopfzeile", "impressum", "verwandt", "empfehl", "partage",
+)
+#: Words that only look like a mark.
+NO_MARKS = frozenset("commentary commentator commented navigator".split())
+#: How firmly a container is marked: by a class or id, by its element or role, as readers' comments.
+SOFT, FIRM, COMMENTS = 1, 2, 3
 MARK_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert alertdialog dialog".split())
 MAIN_WORDS = frozenset("articlebody".split())
 
 TAG = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>""", re.S)
 ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|style|itemprop|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?(?=[\s/]|\Z)""", re.I)
-PART = re.compile(r"[a-z]+")
+PART = re.compile(r"[^\W\d_]+")
+HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
 #: The article's own parts, whose names hold a mark word.
-OWN_PART = re.compile(r"(?:article|entry|post|story|content)[-_]*(?:header|headline|title|body|text)")
+OWN_PART = re.compile(r"(?:article|entry|post|story|content)[-_ ]*(?:header|headline|title|body|text)")
 
 # The labelled table, fixed values: words, link density, words and link density of the block before and of
 # the block after, inside main container, inside marked container, page has a main container, heading or
@@ -74,6 +95,33 @@ words link  p.words p.link  n.words n.link  main marked has kind  text
 30    0.00  6       1.00    5       1.00    1    0      1   0     1
 1     0.00  1       1.00    40      0.00    1    0      1   0     1
 15    0.60  70      0.00    80      0.00    1    0      1   0     1
+45    0.00  60      0.00    0       0.00    1    0      1   0     1
+45    0.00  60      0.00    3       1.00    1    0      1   0     1
+8     0.00  50      0.00    4       1.00    1    0      1   0     1
+25    0.05  4       1.00    0       0.00    1    0      1   0     1
+70    0.00  2       1.00    2       1.00    1    0      1   0     1
+14    0.00  20      0.00    1       1.00    1    0      1   0     1
+27    0.10  5       1.00    60      0.00    1    0      1   0     1
+33    0.00  35      0.00    9       0.80    1    0      1   0     1
+6     0.00  40      0.00    0       0.00    1    0      1   0     1
+9     0.00  40      0.00    35      0.00    1    0      1   0     1
+20    0.00  45      0.00    40      0.00    1    0      1   0     1
+11    0.00  60      0.90    70      0.85    1    0      1   0     1
+60    0.00  60      0.00    50      0.00    1    0      1   0     1
+45    0.00  60      0.00    50      0.00    1    1      1   0     0
+20    0.00  45      0.00    40      0.00    1    1      1   0     0
+9     0.00  40      0.00    35      0.00    1    1      1   0     0
+60    0.00  60      0.00    3       1.00    1    1      1   0     0
+45    0.00  60      0.00    0       0.00    0    0      1   0     0
+45    0.00  60      0.00    50      0.00    0    0      1   0     0
+20    0.00  30      0.00    25      0.10    0    0      1   0     0
+9     0.00  40      0.00    35      0.00    0    0      1   0     0
+60    0.00  45      0.00    40      0.00    0    0      1   0     0
+14    0.00  20      0.00    30      0.00    0    0      1   0     0
+45    0.00  40      0.00    45      0.00    0    1      0   0     0
+20    0.00  45      0.00    40      0.00    0    1      0   0     0
+60    0.00  45      0.00    40      0.00    0    1      0   0     0
+9     0.00  40      0.00    35      0.00    0    1      0   0     0
 4     1.00  4       1.00    4       1.00    1    0      1   2     0
 2     1.00  3       1.00    60      0.00    1    0      1   2     0
 3     1.00  50      0.00    2       1.00    1    0      1   0     0
@@ -121,6 +169,16 @@ words link  p.words p.link  n.words n.link  main marked has kind  text
 4     0.50  30      0.00    3       1.00    0    0      0   0     0
 6     0.20  2       1.00    3       1.00    0    0      0   0     0
 7     0.00  5       1.00    4       1.00    0    0      0   0     0
+9     0.00  40      0.00    35      0.00    0    0      0   0     1
+9     0.00  40      0.95    35      1.00    0    0      0   0     0
+14    0.00  30      0.05    25      0.10    0    0      0   0     1
+14    0.00  30      0.90    25      0.90    0    0      0   0     0
+11    0.00  60      0.90    70      0.85    0    0      0   0     0
+11    0.00  60      0.00    70      0.05    0    0      0   0     1
+6     0.00  25      1.00    28      1.00    0    0      0   1     0
+6     0.00  25      0.05    28      0.00    0    0      0   1     1
+20    0.00  45      1.00    40      0.95    0    0      0   0     0
+20    0.00  45      0.00    40      0.00    0    0      0   0     1
 30    0.00  35      0.00    50      0.00    0    1      0   0     0
 5     0.00  20      0.00    9       0.00    0    1      0   1     0
 """
@@ -134,7 +192,7 @@ class Block:
     words: int
     linked: int
     main: bool
-    marked: bool
+    marked: int
     kind: int
 
     @property
@@ -176,22 +234,37 @@ def labelled_table() -> tuple[np.ndarray, np.ndarray]:
 TREE = grow(*labelled_table())
 
 
-def _flags(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element opens the main container, and whether it is marked as something else."""
-    main, marked = tag in ("article", "main"), tag in MARKED_TAGS
+@lru_cache(maxsize=4096)
+def mark_of(value: str) -> int:
+    """How firmly a class or id marks its element: words are parted at humps, and compounds by their beginning or end."""
+    out = 0
+    for word in PART.findall(OWN_PART.sub(" ", HUMP.sub(" ", value).lower())):
+        if word in NO_MARKS:
+            continue
+        if word in COMMENT_WORDS or word.startswith(COMMENT_PARTS) or word.endswith(("comment", "comments", "kommentar", "kommentare", "comentarios")):
+            return COMMENTS
+        if word in MARK_WORDS or word.startswith(MARK_PARTS) or word.endswith(MARK_PARTS):
+            out = SOFT
+    return out
+
+
+def _flags(tag: str, attributes: str) -> tuple[bool, int]:
+    """Whether an element opens the main container, and how firmly it is marked as something else."""
+    main, marked = tag in ("article", "main"), FIRM if tag in MARKED_TAGS else 0
     if attributes:
         for m in ATTRIBUTE.finditer(attributes):
-            name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+            name, raw = m[1].lower(), m[2] or m[3] or m[4] or ""
+            value = raw.lower()
             if name in ("class", "id"):
-                marked = marked or tag not in ("html", "body") and not MARK_WORDS.isdisjoint(PART.findall(OWN_PART.sub(" ", value)))
+                marked = max(marked, mark_of(raw) if tag not in ("html", "body") else 0)
             elif name == "role":
-                main, marked = main or value == "main", marked or value in MARK_ROLES
+                main, marked = main or value == "main", max(marked, FIRM if value in MARK_ROLES else 0)
             elif name == "itemprop":
                 main = main or value in MAIN_WORDS
             elif name == "style":
-                marked = marked or "display:none" in value.replace(" ", "")
+                marked = max(marked, FIRM if "display:none" in value.replace(" ", "") else 0)
             elif name == "hidden" or value == "true":
-                marked = True
+                marked = max(marked, FIRM)
     return main, marked
 
 
@@ -200,9 +273,10 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     # Tag and the state outside it: main, marked, how firmly (2 by its element, 1 by its class), kind.
-    stack: list[tuple[str, bool, bool, int, int]] = []
-    main = marked = seen = False
-    fixed = kind = link = linked = 0
+    stack: list[tuple[str, bool, int, int, int]] = []
+    within: Counter = Counter()  # open elements by tag
+    main = seen = False
+    marked = fixed = kind = link = linked = 0
 
     def flush() -> None:
         nonlocal linked, seen
@@ -239,21 +313,22 @@ def blocks(page: str) -> list[Block]:
                 link = max(0, link - 1)
             elif tag in BLOCK_TAGS or tag in MARKED_TAGS:
                 flush()
-                if any(s[0] == tag for s in stack):
+                if within[tag]:
                     while True:
                         name, main, marked, fixed, kind = stack.pop()
+                        within[name] -= 1
                         if name == tag:
                             break
                     link = 0 if tag in ("article", "main", "nav", "body", "div", "section", "ul", "footer") else link
             elif tag in ("span", "ins") and any(s[0] == tag for s in stack[-8:]):
                 while stack[-1][0] != tag:
-                    stack.pop()
+                    within[stack.pop()[0]] -= 1
                 was = marked
                 _, main, marked, fixed, kind = stack[-1]
                 if was != marked:
                     flush_as(out, parts, linked, main, was, kind)
                     linked = 0
-                stack.pop()
+                within[stack.pop()[0]] -= 1
             continue
         if tag in RAW_TAGS:
             close = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
@@ -273,31 +348,34 @@ def blocks(page: str) -> list[Block]:
             if tag in ("p", "li", "dt", "dd", "td", "th", "tr", "option") or tag[0] == "h" and tag[1:].isdigit():
                 # These end where the next of their kind begins.
                 if stack and (stack[-1][0] == tag or stack[-1][0] == "p"):
-                    _, main, marked, fixed, kind = stack.pop()
+                    name, main, marked, fixed, kind = stack.pop()
+                    within[name] -= 1
             opens, is_marked = _flags(tag, m[3])
             stack.append((tag, main, marked, fixed, kind))
+            within[tag] += 1
             if tag == "header" and not main:
-                is_marked = True
+                is_marked = max(is_marked, FIRM)
             if opens and is_marked:
-                marked, fixed = True, 2
+                marked, fixed = max(marked, is_marked), 2
             elif opens:
                 # The first article inside an element marked by class only: that element was not closed.
                 if not fixed or fixed == 1 and not seen:
-                    marked, fixed = False, 0
+                    marked, fixed = 0, 0
                 main = True
             elif is_marked:
-                marked = True
+                marked = max(marked, is_marked)
                 fixed = max(fixed, 0 if tag in RESET_TAGS else 2 if tag in MARKED_TAGS else 1)
             kind = 1 if tag[0] == "h" and tag[1:].isdigit() else 2 if tag == "li" else 0 if tag != "p" else kind
         elif tag in ("span", "ins") and m[3] and _flags(tag, m[3])[1] and not m[3].rstrip().endswith("/"):
             flush()
             stack.append((tag, main, marked, fixed, kind))
-            marked, fixed = True, max(fixed, 1)
+            within[tag] += 1
+            marked, fixed = max(marked, _flags(tag, m[3])[1]), max(fixed, 1)
     flush()
     return out
 
 
-def flush_as(out: list[Block], parts: list[str], linked: int, main: bool, marked: bool, kind: int) -> None:
+def flush_as(out: list[Block], parts: list[str], linked: int, main: bool, marked: int, kind: int) -> None:
     """End a marked inline element's own block."""
     text = "".join(parts).split()
     parts.clear()
@@ -309,14 +387,24 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     found = blocks(page)
-    has = any(b.main and not b.marked for b in found)
+    return " ".join(_kept(found, 0) or _kept(found, SOFT))
+
+
+def _kept(found: list[Block], least: int) -> list[str]:
+    """The blocks that the tree takes for text, where only marks firmer than ``least`` count.
+
+    Class names by themselves can't empty a page: if they leave nothing, :func:`main_text` asks again without them.
+    """
+    if least and not any(b.marked == least for b in found):
+        return []
+    has = any(b.main and b.marked <= least for b in found)
     kept = []
     for i, b in enumerate(found):
         before, after = found[i - 1] if i else None, found[i + 1] if i + 1 < len(found) else None
-        row = (b.words, b.density, before.words if before else 0, before.density if before else 0, after.words if after else 0, after.density if after else 0, b.main, b.marked, has, b.kind)
+        row = (b.words, b.density, before.words if before else 0, before.density if before else 0, after.words if after else 0, after.density if after else 0, b.main, b.marked > least, has, b.kind)
         if decide(TREE, row):
             kept.append(b.text)
-    return " ".join(kept)
+    return kept
 
 
 def _extract(schema: pa.Schema, at: int):

@@ -511,6 +511,33 @@ def test_tree_fits_its_table():
     assert all(html_text.decide(html_text.TREE, tuple(r)) == y for r, y in zip(rows, labels))
 
 
+PROSE = "The council met on Tuesday to talk about the new bridge over the river and what it will cost the town in the years to come, said the mayor."
+
+
+@pytest.mark.parametrize("name", ["commentSection", "readercomments", "kommentare", "sidebarLeft", "werbung", "promoBox", "user-comments", "Newsletter-Anmeldung", "relatedStories"])
+def test_compound_class_names_mark_what_is_no_article(name):
+    page = f"<html><body><article><h1>Bridge</h1><p>{PROSE}</p><p>{PROSE}</p><div class='{name}'><p>Nice piece and I agree with every word of it</p></div></article></body></html>"
+    assert html_text.main_text(page) == f"Bridge {PROSE} {PROSE}"
+
+
+@pytest.mark.parametrize("name", ["search", "widget-text", "promo"])
+def test_class_names_by_themselves_do_not_empty_an_article(name):
+    page = f"<html><body><article><div class='{name}'><p>{PROSE}</p></div><div class='{name}'><p>{PROSE}</p></div><div class='comments'><p>{PROSE[:50]}</p></div></article></body></html>"
+    assert html_text.main_text(page) == f"{PROSE} {PROSE}"
+
+
+def test_pages_whose_class_names_mean_nothing():
+    links = "".join(f"<li class='q{i}'><a href='/{i}'>Place {i}</a></li>" for i in range(8))
+    page = f"<body><div class='q1'><ul>{links}</ul></div><div class='q2'><h1>Bridge</h1><p>{PROSE}</p><p>{PROSE} <a href='x'>More</a></p><p>{PROSE}</p></div><div class='q3'><p>See these</p><ul>{links}</ul></div></body>"
+    text = html_text.main_text(page)
+    assert text.count("council") == 3 and "Place" not in text and "See these" not in text
+
+
+def test_deep_and_long_pages():
+    assert html_text.main_text("<article>" + "<div>" * 50_000 + f"<p>{PROSE}</p>") == PROSE
+    assert html_text.main_text(f"<article>{f'<p>{PROSE}</p>' * 5000}</article>").count("council") == 5000
+
+
 def test_extract_keeps_every_page(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>é text</p></article>", 1), (1, None, None, 2), (None, "u", "", 3)], "page_id long, url string, html string, text int")
     rows = html_text.extract(df).collect()
