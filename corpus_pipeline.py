@@ -1,7 +1,13 @@
 """From raw documents to token ids: toxicity, exact dedup, near-dedup, mixing, BPE.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written as Parquet and read again
-as the next stage's ``docs``. All stages but the last return the columns of ``documents``.
+as the next stage's ``docs``. All stages but the last return the columns of ``documents``; further columns go with their
+rows through those stages.
+
+Defined results. Null and empty texts: toxicity scores them like any text without words, all of them are one text to exact
+dedup (one row stays), near-dedup keeps them, the mix keeps them once, they encode to no tokens. Null ids rank last.
+Rows that repeat id and text become one row in exact dedup. A null source is a source of its own. Very long texts pass
+every stage whole. Without labels nothing is rejected as toxic. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -12,7 +18,7 @@ from pyspark.sql import functions as F
 from quillon.llm import bpe, exact, mixing, neardup, toxicity
 from quillon.llm.common import Staged
 from quillon.llm.queries import vocabulary
-from quillon.runtime import ship_package
+from quillon.runtime import kept, scratch, ship_package
 from quillon.sources import table
 
 
@@ -59,8 +65,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order, each written to the shared folder and read again."""
-    docs, stage = table(spark, sf_dir, "documents"), Staged(spark)
+    """The stages in order, each written to the shared folder and read again.
+
+    What a stage stages for itself is deleted once its result is written, and a stage's result once the next one is.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, apply in STAGES:
-        docs = stage.write(apply(spark, docs, sf_dir), f"pipeline-{name}")
+        result = Staged(spark)
+        with scratch(spark):
+            made = apply(spark, docs, sf_dir)
+            with kept():
+                docs = result.write(made, f"pipeline-{name}")
+        if before is not None:
+            before.drop()
+        before = result
     return docs

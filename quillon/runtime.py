@@ -48,7 +48,8 @@ def ship_package(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir`` that driver and executors share.
 
-    Only where the session sets none (a single machine, as in tests) a temporary folder is used.
+    Only where the session sets none and the master is local (a single machine, as in tests) a temporary folder is
+    used; on a cluster its absence is an error.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -58,6 +59,8 @@ def shared_dir(spark: SparkSession) -> str:
         return conf.rstrip("/")
     if current.isDefined():
         return current.get().rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("on a cluster spark.checkpoint.dir must name a folder that driver and executors share")
     own = tempfile.mkdtemp(prefix="quillon-")
     spark.sparkContext.setCheckpointDir(own)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
@@ -91,6 +94,31 @@ def dropping_shuffles(spark: SparkSession):
         spark.conf.set(key, before)
 
 
+#: Tables staged inside of the open ``scratch`` blocks.
+_scratch: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that are staged in here are deleted when it ends: what is read later must have been written elsewhere by then."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            _delete(spark, path)
+
+
+@contextmanager
+def kept():
+    """Tables staged in here outlive an open ``scratch`` block."""
+    held, _scratch[:] = list(_scratch), []
+    try:
+        yield
+    finally:
+        _scratch[:] = held
+
+
 class Staged:
     """Tables written to the shared folder: they cut lineage and outlive a lost executor."""
 
@@ -102,12 +130,14 @@ class Staged:
         with dropping_shuffles(self.spark):
             df.select("*").write.parquet(path)
         self.paths.append(path)
-        atexit.register(_delete, self.spark, path)
+        (_scratch[-1].append if _scratch else lambda p: atexit.register(_delete, self.spark, p))(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def drop(self, df_path_index: int) -> None:
-        """Delete a staged table that no later plan reads."""
-        _delete(self.spark, self.paths[df_path_index])
+    def drop(self) -> None:
+        """Delete the tables, once no later plan reads them."""
+        for path in self.paths:
+            _delete(self.spark, path)
+        self.paths = []
 
 
 def cut(df: DataFrame) -> DataFrame:
