@@ -14,17 +14,20 @@ nothing more. Where a trigger has several phrases, only each one's first occurre
 dictionary's suffixes from the trigger on, and its prefixes up to the trigger read backwards, are sorted
 (two suffix arrays with the lengths of common prefixes), so that a string of k bytes before and
 ``LENGTH - k`` after the trigger is a pair of ranks at depths k and ``LENGTH - k``; of equal pairs the first
-in corpus order stays. No hash decides here.
+in corpus order stays. This replaces a suffix array of the parse: since no string reaches beyond its trigger's
+phrase, the order of strings follows from that of the dictionary's suffixes and prefixes alone, and the parse is only
+needed for which occurrence comes first. Phrases of a trigger are the same if two hashes of 64 bits agree (trigger and
+phrase), parts of hot phrases if their MD5 does; the strings of sorted phrases are compared byte by byte.
 
 Plan. Triggers (about one in 39 bytes) are counted by key with map-side combination, and joined back where they
 repeat (a filter of bounded size drops most others first); texts are shuffled twice, once to fetch the phrases
 that need sorting and once to cut the result. A trigger with more than ``HOT`` phrases (the edge of a passage
-that very many documents share) is not sorted in one task: its phrases are halved again and again, and the
+that very many documents share) is not sorted in one task: its phrases are parted again and again, and the
 first occurrence of each part is found by a key aggregation over its MD5. Joins are plain equi-joins, which adaptive execution splits where a key is hot.
 
 Defined results. A null text has no bytes. Ids are whole numbers; a null id ranks last. Rows that repeat id
 and text are one document and don't repeat each other; ids are taken as unique otherwise. Texts shorter than
-``LENGTH`` lose nothing. Extra columns are ignored; an empty table gives an empty result.
+``LENGTH`` lose nothing. A very long text is parsed in pieces, fetched and cut as one row. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -46,8 +49,9 @@ LENGTH, GRAM = 100, 24
 HOT, SLAB, CHUNK = 20_000, 20_000, 2 << 20
 #: More than any place: a string of Spark has at most 2^31 bytes, and 14 bits go to the bytes before the trigger.
 PLACES = 1 << 46
-#: Bits of the filter of repeated triggers that goes to every task (4 MB); with more triggers it only lets more rows through.
-FILTER_BITS = 1 << 25
+#: Bits of the filter for each repeated trigger, and least and most bits of the whole (16 MB), which goes to every task. With
+#: more triggers than fill it, it only lets more rows through.
+TRIGGER_BITS, LEAST_BITS, MOST_BITS = 8, 1 << 20, 1 << 27
 #: Stands for a null id: after all others.
 LAST = (1 << 63) - 1
 U = np.uint64
@@ -120,19 +124,22 @@ def _parse_rows(batches, bits: np.ndarray | None = None):
 
 def _may_hold(bits: np.ndarray, g: np.ndarray) -> np.ndarray:
     """Whether the filter of repeated triggers may hold each of these; a miss is certain."""
-    u = g.view(U)
-    one, two = u & U(FILTER_BITS - 1), (u >> U(32)) & U(FILTER_BITS - 1)
+    u, last = g.view(U), U(len(bits) * 64 - 1)
+    one, two = u & last, (u >> U(32)) & last
     test = lambda at: (bits[(at >> U(6)).astype(np.int64)] >> (at & U(63))) & U(1)
     return (test(one) & test(two)).astype(bool)
 
 
 def trigger_filter(triggers: DataFrame) -> np.ndarray:
-    """A Bloom filter of ``g``: at most ``FILTER_BITS`` / 64 words come to the driver, however many triggers there are."""
-    g = F.col("g")
-    places = F.explode(F.array(g.bitwiseAND(F.lit(FILTER_BITS - 1)), F.call_function("shiftrightunsigned", g, F.lit(32)).bitwiseAND(F.lit(FILTER_BITS - 1)))).alias("at")
+    """A Bloom filter of ``g``, sized by their number: at most ``MOST_BITS`` / 64 words come to the driver."""
+    g, size = F.col("g"), LEAST_BITS
+    wanted = TRIGGER_BITS * triggers.count()
+    while size < min(wanted, MOST_BITS):
+        size *= 2
+    places = F.explode(F.array(g.bitwiseAND(F.lit(size - 1)), F.call_function("shiftrightunsigned", g, F.lit(32)).bitwiseAND(F.lit(size - 1)))).alias("at")
     rows = triggers.select(places).select(F.call_function("shiftright", F.col("at"), F.lit(6)).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(63)).cast("int")).alias("bit"))
     words = rows.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits = np.zeros(size // 64, np.int64)
     bits[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     return bits.view(U)
 
