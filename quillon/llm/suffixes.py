@@ -45,6 +45,8 @@ from .common import Staged, cut, ship_package, text_or_empty
 from .neardup import _BASE, _INVERSE, _mix, _powers
 
 LENGTH, GRAM = 100, 24
+#: Strings in a part of a hot phrase, by round.
+WIDTHS = (16, 4, 1)
 #: Phrases of a trigger that are sorted in one task; phrases sorted at a time; bytes parsed at a time.
 HOT, SLAB, CHUNK = 20_000, 20_000, 2 << 20
 #: More than any place: a string of Spark has at most 2^31 bytes, and 14 bits go to the bytes before the trigger.
@@ -307,7 +309,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     _release(spark)
     sorted_ = fetched.where("NOT hot").select("g", "doc", "place", "phrase").repartition("g").sortWithinPartitions("g")
     edges = sorted_.mapInArrow(_resolve, "doc long, start long, stop long")
-    later = halved(fetched.where("hot").select("doc", "place", "phrase"))
+    several_hot = fetched.where("hot").select("doc", "place", "phrase")
+    later = several_hot.drop("phrase").limit(0) if several_hot.isEmpty() else parted(several_hot)
     shift, low, high = _fields("place")
     span = (F.col("doc"), (shift - high).alias("start"), (shift - low + LENGTH).alias("stop"))
     copies = several.join(heads, ["g", "c"]).where((F.col("doc") != F.col("fd")) | (F.col("place") != F.col("fp")))
@@ -317,30 +320,28 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return joined.mapInArrow(_finish, "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:bigint,stop:bigint>>")
 
 
-def halved(phrases: DataFrame) -> DataFrame:
+def parted(phrases: DataFrame) -> DataFrame:
     """``doc, place`` of the parts of phrases (strings next to each other) that also stand earlier as a whole.
 
-    Parts lie in cells of a grid over the number of bytes before the trigger, whose width is halved from 64 to 1. A
-    part that is a repeat covers all its strings at once; the others go on, down to single strings, where the
-    first occurrence of every string is present. Equal parts meet as counts, never as pairs.
+    Parts lie in cells of a grid over the number of bytes before the trigger, ``WIDTHS`` strings wide. A part that is a
+    repeat covers all its strings at once; the others go on, down to single strings, where the first occurrence of every
+    string is present. Equal parts meet as counts, never as pairs.
     """
     start, low, high = _fields("place")
     out, parts = None, phrases
-    for width in (64, 32, 16, 8, 4, 2, 1):
+    for width in WIDTHS:
         # The first bytes of a phrase belong to the strings with most bytes before the trigger.
-        mid = f"(place & 127) div {width} * {width}"
-        left = F.struct((start * 16384 + F.expr(mid) * 128 + high).alias("place"), F.expr(f"substring(phrase, 1, cast({LENGTH} + (place & 127) - {mid} as int))").alias("phrase"))
-        right = F.struct((start * 16384 + low * 128 + F.expr(mid) - 1).alias("place"), F.expr(f"substring(phrase, cast((place & 127) - {mid} + 2 as int))").alias("phrase"))
-        both = F.when(low < F.expr(mid), F.array(left, right)).otherwise(F.array(F.struct("place", "phrase")))
-        parts = parts.select("doc", F.explode(both).alias("p")).select("doc", "p.place", "p.phrase", F.md5("p.phrase").alias("k"))
+        least = lambda c: F.greatest(low, c * width)
+        most = lambda c: F.least(high, c * width + (width - 1))
+        one = lambda c: F.struct((start * 16384 + least(c) * 128 + most(c)).alias("place"), F.substring("phrase", (high - most(c) + 1).cast("int"), (most(c) - least(c) + LENGTH).cast("int")).alias("phrase"))
+        grid = F.sequence(F.floor(low / width), F.floor(high / width))
+        parts = parts.select("doc", F.explode(F.transform(grid, one)).alias("p")).select("doc", "p.place", "p.phrase", F.md5("p.phrase").alias("k"))
         first = parts.groupBy("k").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select("k", F.col("first.doc").alias("fd"), F.col("first.place").alias("fp"))
         seen = parts.join(first, "k", "left").withColumn("again", F.coalesce((F.col("doc") != F.col("fd")) | (F.col("place") != F.col("fp")), F.lit(False)))
-        seen = cut(seen.select("doc", "place", "phrase", "again"))
+        seen = cut(seen.select("doc", "place", *(["phrase"] if width > 1 else []), "again"))
         found = seen.where("again").select("doc", "place")
         out = found if out is None else out.unionByName(found)
         parts = seen.where("NOT again").drop("again")
-        if parts.isEmpty():
-            break
     return out
 
 
