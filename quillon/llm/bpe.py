@@ -13,12 +13,14 @@ Decoding joins the token strings as the file's decoder says; with no decoder, by
 
 Defined results. A null text counts as empty: no ids, decoded text empty. Literal special tokens
 inside a text become their ids, as the library does by default. Symbols outside the vocabulary are
-dropped, as the library does without an unknown token. Extra columns are ignored.
+dropped, as the library does without an unknown token. Rows that repeat are rows of their own. A very long text is one
+row; a very long word is merged by itself. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import unicodedata
 from functools import lru_cache, partial
@@ -37,6 +39,8 @@ from .common import ship_package, text_or_empty
 NONE = np.int64(1 << 60)
 #: Words a worker remembers, and characters of words encoded at a time.
 CACHE_WORDS, ROUND_CHARS = 150_000, 1_000_000
+#: Bytes from which on a word is merged by itself.
+LONG = 2048
 
 
 def _byte_symbols() -> list[str]:
@@ -91,6 +95,7 @@ class Bpe:
         np.minimum.at(first_use, keys % self.width, rank)
         order = np.argsort(keys, kind="stable")
         self.keys, self.rank, self.new, self.safe = keys[order], rank[order], new[order], (first_use[new] > rank)[order]
+        self.by_rank = np.argsort(self.rank)
         self.known: dict[str, int] = {}  # word -> row in the tables below
         self.reset()
 
@@ -129,6 +134,70 @@ class Bpe:
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in one array, and the number of ids of each."""
         raw = [w.encode() for w in words]
+        far = np.fromiter((len(x) > LONG for x in raw), bool, len(raw))
+        if not far.any():
+            return self._merge_flat(raw)
+        ids, count = self._merge_flat([x for x, f in zip(raw, far.tolist()) if not f])
+        short = iter(np.split(ids, np.cumsum(count)[:-1])) if len(count) else iter(())
+        lists = [self._merge_long(x) if f else next(short) for x, f in zip(raw, far.tolist())]
+        return np.concatenate(lists), np.array([len(x) for x in lists], np.int64)
+
+    def _merge_long(self, raw: bytes) -> np.ndarray:
+        """Ids of one very long word. A round merges the pairs of the lowest rank at the places where they are known to
+        stand, and looks up only the pairs that this makes, so the cost is nearly linear in the word."""
+        sym = self.inner[np.frombuffer(raw, np.uint8)].astype(np.int64)
+        sym[-1] = self.final[raw[-1]]
+        sym = sym[sym >= 0]
+        n = len(sym)
+        after, before, alive = np.arange(1, n + 1), np.arange(-1, n - 1), np.ones(n, bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def push(pos: np.ndarray) -> None:
+            pos = pos[after[pos] < n]
+            key = sym[pos] * self.width + sym[after[pos]]
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            known = self.keys[at] == key
+            pos, rank = pos[known], self.rank[at[known]]
+            order = np.argsort(rank, kind="stable")
+            pos, rank = pos[order], rank[order]
+            heads = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]]) if len(rank) else []
+            for r, part in zip(rank[heads].tolist() if len(rank) else [], np.split(pos, heads[1:]) if len(rank) else []):
+                if r not in waiting:
+                    heapq.heappush(heap, r)
+                waiting.setdefault(r, []).append(part)
+
+        push(np.arange(n))
+        while heap:
+            r = heapq.heappop(heap)
+            pos = np.unique(np.concatenate(waiting.pop(r)))
+            a = self.by_rank[r]
+            pos = pos[alive[pos] & (after[pos] < n)]
+            pos = pos[sym[pos] * self.width + sym[after[pos]] == self.keys[a]]
+            if not len(pos):
+                continue
+            # Leftmost first, as in the flat rounds.
+            run = np.r_[True, after[pos[:-1]] != pos[1:]]
+            begin = np.maximum.accumulate(np.where(run, np.arange(len(pos)), 0))
+            take = (np.arange(len(pos)) - begin) % 2 == 0
+            if not self.safe[a]:
+                take[1:] = False
+                if len(pos) > 1:
+                    heapq.heappush(heap, r)
+                    waiting[r] = [pos[1:]]
+            pos = pos[take]
+            gone = after[pos]
+            sym[pos], alive[gone], after[pos] = self.new[a], False, after[gone]
+            last = after[pos] < n
+            before[after[pos[last]]] = pos[last]
+            left = before[pos]
+            push(np.unique(np.r_[left[left >= 0], pos]))
+        return sym[alive]
+
+    def _merge_flat(self, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """As :meth:`merge`, of words as bytes: all symbols of all words in every round."""
+        if not raw:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         length = np.fromiter(map(len, raw), np.int64, len(raw))
         data = np.frombuffer(b"".join(raw), np.uint8)
         sym = self.inner[data]

@@ -13,7 +13,8 @@ execution splits where a digest is hot.
 
 Defined results. A null text has no units. A null id ranks after all others. Rows that
 repeat an id are taken as one document: equal units at equal offsets are the same occurrence. Line ends are LF, CR LF or CR and belong
-to no unit but a paragraph, for those inside it. A line that is one sentence, or a paragraph of one line, is one unit. Extra columns are ignored.
+to no unit but a paragraph, for those inside it. A line that is one sentence, or a paragraph of one line, is one unit. A very long text is one row of a task, a long
+line one unit. Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations

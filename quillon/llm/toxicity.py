@@ -5,8 +5,8 @@ letters (so that an insult is known in forms that were never labelled; identity
 changes no other feature and none can carry a group's weight). It is fitted on labelled documents
 only, on at most ``TRAIN_ROWS`` of them (those with the smallest hash of their id; the bound is a
 parameter). In training texts that hold an identity term the term is swapped for the others of its kind,
-and the squared change of the score is added to the loss: so the weight of a group's name cannot differ
-from its counterparts', and neutral mentions of a group do not raise the score.
+and the squared change of the score is added to the loss: so the weight of a group's name hardly differs
+from its counterparts', and neutral mentions of one group score like those of another.
 
 Plan. The sample is chosen by id from the labels (bounded, so broadcast), and its texts are written to the
 shared folder. Words are counted by label in tasks and summed by key; the words that tell the classes
@@ -16,7 +16,7 @@ shuffles nothing.
 
 Defined results. A null text counts as empty; an empty text scores the model's base rate. Labelled rows
 without a text, with a null label or a null id train nothing; a row that repeats id and label counts once.
-Without any training rows every score is the prior rate, 0.05. Extra columns are ignored. Neither labels
+Document rows that repeat are scored each; a very long text is one row, read once. Without any training rows every score is the prior rate, 0.05. Extra columns are ignored. Neither labels
 nor id, language or source enter a score.
 """
 

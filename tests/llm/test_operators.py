@@ -387,6 +387,31 @@ def test_shards(docs):
 # --- BPE ---------------------------------------------------------------------------------------------
 
 
+@pytest.mark.parametrize("least", [0, 3, bpe.LONG])
+def test_long_words_equal_the_library(monkeypatch, least):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "LONG", least)
+    library, own = Tokenizer.from_file(vocabulary()), bpe.Bpe(vocabulary())
+    rng = random.Random(least)
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for letters in ("ab", "aaaab", "etaoinshrdlu", "abcdefghijklmnopqrstuvwxyz", "é日an") for n in (1, 2, 7, 60, 3000)]
+    texts += ["z" * 4001, " ".join(texts[:8]), "the internationalisation of " + "un" * 2000]
+    for t in texts:
+        assert own.encode(t) == library.encode(t, add_special_tokens=False).ids
+
+
+def test_cost_of_a_long_word_is_nearly_linear():
+    import time
+
+    own, rng, seconds = bpe.Bpe(vocabulary()), random.Random(1), []
+    for n in (20_000, 200_000):
+        word, began = "".join(rng.choice("etaoinshrdlucmfw") for _ in range(n)), time.perf_counter()
+        own.merge([word])
+        seconds.append(time.perf_counter() - began)
+    assert seconds[1] < 40 * seconds[0]
+
+
+
 @pytest.fixture(scope="module")
 def library():
     from tokenizers import Tokenizer

@@ -10,12 +10,13 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillon.llm import html_text, queries, toxicity
 from quillon.sources import table
 
-from .test_operators import minimax, near_brute, spans_brute, strip
+from .test_operators import CLASHES, SCHEMA, awkward, minimax, near_brute, spans_brute, strip
 
 
 @pytest.fixture(scope="module")
@@ -77,6 +78,61 @@ def test_ids(spark, data, rows):
     assert {r["doc_id"]: r["ids_sha256"] for r in queries.op7_bpe_merge_rounds(spark, data).collect()} == want
 
 
+def units_brute(rows, least=8):
+    """Units by walking through the characters: paragraphs, lines and sentences, and which of them stood before."""
+    seen, out = {}, set()
+    for key, text, *_ in sorted(rows):
+        text, spans, lines_, at = text or "", set(), [], 0
+        while at < len(text):
+            end = at
+            while end < len(text) and text[end] not in "\r\n":
+                end += 1
+            lines_.append((at, end))
+            at = end + (2 if text[end : end + 2] == "\r\n" else 1)
+        group = []
+        for a, b in [*lines_, (len(text), len(text))]:
+            if text[a:b].strip():
+                spans.add((a, b))
+                group.append((a, b))
+                # A sentence ends after marks (and closing quotes or brackets) with white space or the line's end behind.
+                start = i = a
+                while i < b:
+                    if text[i] in ".!?":
+                        while i < b and text[i] in ".!?":
+                            i += 1
+                        j = i
+                        while j < b and text[j] in "\"')]":
+                            j += 1
+                        if j >= b or text[j].isspace() or j > i:
+                            spans.add((start, j))
+                            start = i = j
+                    else:
+                        i += 1
+                spans.add((start, b))
+            else:
+                if group:
+                    spans.add((group[0][0], group[-1][1]))
+                group = []
+        cut = set()
+        for a, b in spans:
+            raw = text[a:b]
+            if len(raw.split()) >= least:
+                a += len(raw) - len(raw.lstrip())
+                cut.add((a, a + len(raw.strip()), " ".join(raw.lower().split())))
+        for a, b, words in sorted(cut, key=lambda x: x[:2]):
+            first = seen.setdefault(words, (key, a))
+            if first != (key, a):
+                out.add((key, a, b, *first))
+    return out
+
+
+def test_repeated_units(spark, data, rows):
+    found = queries.op8_unit_hash_dedup(spark, data).collect()
+    got = {(r["doc_id"], r["start_offset"], r["end_offset"], r["first_doc_id"], r["first_offset"]) for r in found}
+    want = units_brute(rows)
+    assert len(got) == len(found) and got == want
+
+
 def test_toxicity(spark, data, rows):
     out = {r["doc_id"]: r for r in queries.op9_counterfactual_toxicity(spark, data).collect()}
     assert set(out) == {r[0] for r in rows}
@@ -147,6 +203,26 @@ def test_pipeline_equals_brute_force(spark, data, rows):
     assert got == expected
 
 
+def test_stages_on_awkward_and_empty_tables(spark, data):
+    rows = [r for r in awkward() if r[0] is not None]
+    extra = [F.lit(1).alias(c) for c in CLASHES]
+    for docs in (spark.createDataFrame(awkward(), SCHEMA).select("*", *extra), spark.createDataFrame([], SCHEMA).select("*", *extra)):
+        n = docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            made = stage(spark, docs, data)
+            assert name == "bpe" or made.columns == docs.columns, name
+            out = made.collect()
+            assert (not out) if not n else out, name
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, spark.createDataFrame(rows, SCHEMA), data).collect()}
+    assert kept == {r[0] for r in rows}
+
+
+def test_run_on_an_empty_table(spark, data, tmp_path):
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{data}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_stages_keep_the_columns(spark, data):
     docs = table(spark, data, "documents")
     for name, stage in corpus_pipeline.STAGES[:-1]:
