@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 
 import numpy as np
 import pyarrow as pa
@@ -163,7 +164,8 @@ def measured_projection(edges: DataFrame, mode: str = "binary") -> DataFrame:
 def load_projection(spark: SparkSession, path: str, expected_rows: int, digest: str, required: bool = True) -> DataFrame | None:
     """A stored projection ``pn, kc, w`` that must match its manifest (rows, and the digest of :func:`projection_digest`).
 
-    Anything that does not fit is an error; only an absent path with ``required=False`` gives None.
+    Anything that does not fit is an error; only an absent path with ``required=False`` gives None. Edges are read as
+    Parquet, so a projection of any size can be loaded.
     """
     place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
@@ -179,6 +181,20 @@ def load_projection(spark: SparkSession, path: str, expected_rows: int, digest:
     return edges
 
 
+def save_projection(edges: DataFrame, path: str) -> None:
+    """A projection ``pn, kc, w`` and, beside it, the manifest that :func:`stored_projection` verifies it by."""
+    edges.select("pn", "kc", "w").write.parquet(path)
+    stored = edges.sparkSession.read.parquet(path)
+    line = json.dumps({"rows": stored.count(), "digest": projection_digest(stored)}, sort_keys=True)
+    edges.sparkSession.createDataFrame([(line,)], "value string").coalesce(1).write.text(f"{path}.manifest")
+
+
+def stored_projection(spark: SparkSession, path: str) -> DataFrame:
+    """A projection saved by :func:`save_projection`; an absent or changed one is an error."""
+    about = json.loads(spark.read.text(f"{path}.manifest").first()["value"])
+    return load_projection(spark, path, about["rows"], about["digest"])
+
+
 def projection_digest(edges: DataFrame) -> str:
     """A digest that does not depend on the order of rows: the XOR of two hashes of each."""
     key = ("pn", "kc", F.col("w").cast("double"))
@@ -193,6 +209,15 @@ def degrees(edges: DataFrame) -> DataFrame:
     return rows.unionByName(cols).select("side", "node", "degree")
 
 
+def rewire_report(before: DataFrame, after: DataFrame, swaps_per_edge: float, rounds: int) -> DataFrame:
+    """One row: edges, swaps asked for, rounds made, edges that moved, and whether degrees are what they were."""
+    ends = ["pn", "kc"]
+    moved = after.select(*ends).join(before.select(*ends), ends, "left_anti").agg(F.count("*").alias("moved"))
+    gone = degrees(before).exceptAll(degrees(after)).agg(F.count("*").alias("lost"))
+    n = before.agg(F.count("*").alias("edges"))
+    return n.join(moved).join(gone).select("edges", F.floor(F.col("edges") * swaps_per_edge).alias("asked"), F.lit(rounds).alias("rounds"), "moved", (F.col("lost") == 0).alias("degrees_kept"))
+
+
 def rewire(edges: DataFrame, rounds: int = 5, seed: int = 42) -> DataFrame:
     """``pn, kc, w`` rewired by double-edge swaps with all degrees kept; weights stay with the edge's source slot.
 

@@ -134,6 +134,14 @@ def import_records(spark: SparkSession, name: str, text: str) -> DataFrame:
     return out
 
 
+def selected(records: DataFrame, pos: int) -> dict[str, str]:
+    """One record of an import by its position, as a flat alert."""
+    row = records.where(F.col("pos") == pos).select("record").first()
+    if row is None:
+        raise ValueError("the import has no such record")
+    return {"alert_id": "MANUAL"} | dict(row["record"])
+
+
 def normalised_record(record: Column) -> Column:
     """A flat record without blank values; null if it breaks a limit."""
     kept = F.map_filter(record, lambda k, v: v.isNotNull() & (F.trim(v) != "") & (F.trim(k) != ""))

@@ -228,6 +228,106 @@ def test_settings():
             config.with_defaults(unknown)
 
 
+def test_readout_against_a_second_account_of_its_rule(spark):
+    rng = np.random.default_rng(1)
+    steps = [(i, sorted(set(rng.integers(0, 12, rng.integers(0, 5)).tolist())), "ABC"[rng.integers(3)]) for i in range(60)]
+    rewards, rate, decay, clip = {"A": 1.0, "B": 0.5, "C": 0.0}, 0.5, 0.1, 0.4
+    w, b, want = np.zeros((12, 3)), np.zeros(3), []
+    for seq, slots, label in steps:
+        z = w[slots].sum(0) + b
+        p = np.exp(z) / np.exp(z).sum()
+        reason = "empty" if not slots else "no_reward" if rewards[label] == 0 else "applied"
+        if reason == "applied":
+            error = np.eye(3)["ABC".index(label)] - p
+            w *= 1 - decay
+            w[slots] += rate * rewards[label] / len(slots) * error
+            b += 0.05 * rate * rewards[label] * error
+            w, b = w.clip(-clip, clip), b.clip(-clip, clip)
+        want.append((seq, reason, pytest.approx(p["ABC".index(label)])))
+    rows = spark.createDataFrame([("one", *s) for s in steps], "learner string, seq long, slots array<long>, label string")
+    got = classify.online_readout(rows, ["A", "B", "C"], rewards, rate, decay, clip).orderBy("seq").collect()
+    assert [(r["seq"], r["reason"], r["p_label"]) for r in got] == want
+    learner = classify.Readout(["A", "B", "C"], rewards, rate, decay, clip)
+    for _, slots, label in steps:
+        learner.learn(slots, label)
+    asked = spark.createDataFrame([(0, [1, 5]), (1, [])], "id long, slots array<long>")
+    p = {(r["query"], r["label"]): r["p"] for r in classify.readout_scores(asked, classify.readout_weights(spark, learner), dict(zip("ABC", learner.bias.tolist()))).collect()}
+    for i, slots in ((0, [1, 5]), (1, [])):
+        assert [p[i, c] for c in "ABC"] == pytest.approx(learner.probabilities(slots).tolist())
+
+
+def test_forest_scores_by_walking_each_tree(spark):
+    x = np.random.default_rng(2).normal(size=(200, 3))
+    forest = novelty.isolation_forest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>"), 20, 32)
+    c = lambda n: 2 * (np.log(n - 1) + np.euler_gamma) - 2 * (n - 1) / n if n > 2 else float(n == 2)
+
+    def path(tree, row, at=0):
+        f, cut, left, right, size = tree[at]
+        return c(size) if f < 0 else 1 + path(tree, row, int(left if row[int(f)] < cut else right))
+
+    want = [2 ** (-np.mean([path(t, row) for t in forest.trees]) / c(32)) for row in x[:20]]
+    assert forest.score(x[:20]).tolist() == pytest.approx(want)
+
+
+def test_one_class_svm_meets_its_conditions():
+    x = np.random.default_rng(3).normal(size=(150, 3))
+    nu = 0.1
+    model = novelty.OneClassSvm(x, nu)
+    top = 1 / (nu * len(x))
+    assert model.a.sum() == pytest.approx(1) and model.a.max() <= top + 1e-12
+    score = model.score(x)
+    support = {tuple(r): a for r, a in zip(model.rows.tolist(), model.a.tolist())}
+    for row, s in zip(x.tolist(), score.tolist()):
+        a = support.get(tuple(row), 0.0)
+        assert s < 1e-5 if a == 0 else s > -1e-5 if a > top - 1e-9 else abs(s) < 1e-5
+    assert (score > 1e-5).mean() <= nu <= len(model.a) / len(x)
+
+
+def test_logistic_regression_is_at_its_optimum(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, sorted(set(rng.integers(0, 8, 3).tolist()))) for i in range(120)]
+    labels = ["x" if 0 in s or rng.random() < 0.2 else "y" if 1 in s else "z" for _, s in rows]
+    df = spark.createDataFrame([(i, s, [1.0] * len(s), y) for (i, s), y in zip(rows, labels)], "id long, slots array<long>, values array<double>, label string")
+    p = classify.logistic(df, df.drop("label"), 8, rounds=500)
+    got = {(r["query"], r["label"]): r["p"] for r in p.collect()}
+    # The biases carry no penalty, so at the optimum the mean probability of a class is its share.
+    for c in "xyz":
+        assert np.mean([got[i, c] for i, _ in rows]) == pytest.approx(labels.count(c) / len(labels), abs=1e-3)
+
+
+def test_imports(spark):
+    found = files.import_records(spark, "a.csv", "\ufeffname,cmd\r\nx,\"a \"\"b\"\", c\"\r\n\r\ny,\n")
+    assert [dict(r["record"]) for r in found.orderBy("pos").collect()] == [{"name": "x", "cmd": 'a "b", c'}, {"name": "y"}]
+    assert files.selected(found, 1) == {"alert_id": "MANUAL", "name": "y"}
+    assert files.import_records(spark, "a.json", '{"alerts": [{"k": "1"}, {"k": "2"}]}').count() == 2
+    for name, text in (("a.csv", "a,a\n1,2"), ("a.csv", ""), ("a.json", "[]"), ("a.json", str([{"k": "1"}] * 1001).replace("'", '"'))):
+        with pytest.raises(ValueError):
+            files.import_records(spark, name, text)
+    with pytest.raises(ValueError):
+        files.selected(found, 7)
+
+
+def test_rewiring_is_reported_and_projections_stored(spark, tmp_path):
+    edges = spark.createDataFrame([(i, j, 1.0) for i in range(12) for j in range(12) if (i * 5 + j) % 3 == 0], "pn long, kc long, w double")
+    report = encode.rewire_report(edges, encode.rewire(edges, 3), 5.0, 3).first()
+    assert report["degrees_kept"] and report["moved"] > 0 and report["asked"] == 5 * report["edges"]
+    encode.save_projection(edges, str(tmp_path / "p"))
+    assert encode.stored_projection(spark, str(tmp_path / "p")).count() == edges.count()
+    edges.limit(1).write.mode("append").parquet(str(tmp_path / "p"))
+    with pytest.raises(ValueError):
+        encode.stored_projection(spark, str(tmp_path / "p"))
+
+
+def test_pairs_above_a_limit_equal_all_pairs(spark):
+    rng = np.random.default_rng(6)
+    sets = [(i, sorted(set(rng.integers(0, 10, rng.integers(0, 6)).tolist()))) for i in range(40)]
+    df = spark.createDataFrame([(i, s, [1.0] * len(s)) for i, s in sets], "id long, slots array<long>, values array<double>")
+    got = {(r["a"], r["b"]) for r in search.pairs_above(df, df, 0.4, "jaccard", 10).collect()}
+    assert got == {(i, j) for i, a in sets for j, b in sets if a and b and len(set(a) & set(b)) / len(set(a) | set(b)) >= 0.4}
+    with pytest.raises(Exception, match="ones only"):
+        search.nearest(df.withColumn("values", F.transform("values", lambda v: v + 1)), df, 1, "jaccard", 10).collect()
+
+
 def test_delimited_files(spark, tmp_path):
     (tmp_path / "a.tsv").write_text("name\tverdict\nx\t benign \ny\tNA\n")
     rows = files.read_alerts(spark, str(tmp_path / "a.tsv")).orderBy("alert_id").collect()
