@@ -52,13 +52,10 @@ def _byte_symbols() -> list[str]:
     return [table[b] for b in range(256)]
 
 
-def _newer_characters() -> str:
-    """A pattern for what ``regex`` knows and Python's older tables do not."""
+def _newer_characters() -> frozenset[str]:
+    """What ``regex`` knows and Python's older tables do not."""
     unassigned = "".join(c for c in map(chr, range(0x110000)) if unicodedata.category(c) == "Cn")
-    known = sorted(map(ord, regex.findall(r"\P{Cn}", unassigned)))
-    starts = [c for i, c in enumerate(known) if not i or known[i - 1] != c - 1]
-    ends = [c for i, c in enumerate(known) if i + 1 == len(known) or known[i + 1] != c + 1]
-    return "[" + "".join(f"\\U{a:08X}-\\U{z:08X}" for a, z in zip(starts, ends)) + "]" if known else "(?!)"
+    return frozenset(regex.findall(r"\P{Cn}", unassigned))
 
 
 class Bpe:
@@ -74,7 +71,7 @@ class Bpe:
         split = spec["pre_tokenizer"]["pretokenizers"][0]
         self.words = regex.compile(split["pattern"]["Regex"])
         # Characters whose class depends on the Unicode version: for texts that hold one, the library's own tables part the words.
-        self.newer = regex.compile(_newer_characters())
+        self.newer = _newer_characters()
         self.library = Tokenizer.from_str(json.dumps(spec))
         self.splitter = pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), "removed", invert=True)
         self.names = {i: s for s, i in (vocab | self.special).items()}
@@ -113,14 +110,14 @@ class Bpe:
         return unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
     def find(self, text: str) -> list[str]:
-        if not text.isascii() and self.newer.search(text):
+        if not text.isascii() and not self.newer.isdisjoint(text):
             normal = self.library.normalizer.normalize_str(text)
             return [w for w, _ in self.splitter.pre_tokenize_str(normal)]
         return self.words.findall(self.normal(text))
 
     def pieces(self, text: str) -> list[str]:
         """Words in order; a special token stands in the list as its own string after a space, which no word holds."""
-        if self.special_re is None or "<|" not in text and not self.special_re.search(text):
+        if not any(s in text for s in self.special):
             return self.find(text)
         out: list[str] = []
         for part in self.special_re.split(text):
