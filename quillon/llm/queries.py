@@ -123,6 +123,21 @@ def op1_lsh_forest_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"), kept.alias("kept"))
 
 
+OP1_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM d),
+z AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM g a JOIN g b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT a, b FROM x JOIN z za ON za.doc_id = a JOIN z zb ON zb.doc_id = b WHERE 100 * shared >= 85 * (za.n + zb.n - shared)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.other),
+c AS (SELECT doc_id, min(other) AS component_id FROM r GROUP BY doc_id)
+SELECT c.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, c.doc_id = component_id AS kept FROM c LEFT JOIN z ON z.doc_id = c.doc_id
+"""
+
+
 def op8_unit_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.repeated_units(table(spark, sf_dir, "documents"))
     return out.select(F.col("key").alias("doc_id"), F.col("start").alias("start_offset"), F.col("end").alias("end_offset"), F.col("first_key").alias("first_doc_id"), F.col("first_start").alias("first_offset"), "copies")
@@ -133,6 +148,22 @@ def op3_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+OP3_SQL = r"""
+WITH t AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+n AS (SELECT doc_id, b, octet_length(b) AS n_bytes FROM t),
+w AS (SELECT doc_id, p, md5(b[p + 1:p + 100]) AS k FROM (SELECT doc_id, b, unnest(range(0, n_bytes - 99)) AS p FROM n WHERE n_bytes >= 100)),
+r AS (SELECT doc_id, p FROM w QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, p) > 1),
+g AS (SELECT doc_id, p, sum(CASE WHEN p <= prev + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS run
+  FROM (SELECT *, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS prev FROM r)),
+s AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS z FROM g GROUP BY doc_id, run),
+k AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS from_ FROM s),
+c AS (SELECT k.doc_id, string_agg(hex(b[from_ + 1:a]), '' ORDER BY a) AS kept, max(z) AS last, sum(z - a) AS n_removed, count(*) AS n_spans FROM k JOIN n USING (doc_id) GROUP BY k.doc_id)
+SELECT n.doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  CASE WHEN c.doc_id IS NULL THEN sha256(b) ELSE sha256(unhex(kept || CASE WHEN last < n_bytes THEN hex(b[last + 1:n_bytes]) ELSE '' END)) END AS kept_sha256
+FROM n LEFT JOIN c ON c.doc_id = n.doc_id
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lsh_forest_near_dedup": op1_lsh_forest_near_dedup,
     "op2_block_tree_html": op2_block_tree_html,
@@ -145,4 +176,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_counterfactual_toxicity": op9_counterfactual_toxicity,
     "op10_ball_tree_top_k": op10_ball_tree_top_k,
 }
-ORACLE_SQL: dict[str, str] = {"op4_van_der_corput_mixing": OP4_SQL, "op6_grace_hash_dedup": OP6_SQL, "op10_ball_tree_top_k": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_lsh_forest_near_dedup": OP1_SQL, "op3_prefix_free_parsing": OP3_SQL, "op4_van_der_corput_mixing": OP4_SQL, "op6_grace_hash_dedup": OP6_SQL, "op10_ball_tree_top_k": OP10_SQL}
