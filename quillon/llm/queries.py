@@ -89,6 +89,66 @@ def op5_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+#: Positions 0 to N stand between groups; ``ws[p + 1]`` are the bytes before position p. Lists, as N is small where SQL runs.
+OP5_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)), i)) AS of_byte),
+b AS (SELECT doc_id, encode(coalesce(text, '')) AS bytes FROM documents),
+d AS (
+  SELECT doc_id, sha256(bytes) AS digest, CAST(octet_length(bytes) + 8 AS BIGINT) AS size,
+    xor(4294967295, list_reduce(list_transform(regexp_extract_all(hex(bytes), '..'), lambda h: CAST('0x' || h AS BIGINT)),
+      lambda c, x: xor(c >> 8, of_byte[(xor(c, x) & 255) + 1]), CAST(4294967295 AS BIGINT))) AS text_crc32
+  FROM b, crc),
+g AS (SELECT digest, CAST(sum(size) AS BIGINT) AS weight FROM d GROUP BY digest),
+c AS (
+  SELECT digest, weight, CASE WHEN weight < 65536 THEN weight
+    ELSE length(bin(weight)) * 8192 + (weight >> greatest(length(bin(weight)) - 13, 0)) END AS cls FROM g),
+r AS (SELECT cls, count(*) AS n, sum(weight) AS total, sum(sum(weight)) OVER (ORDER BY cls) - sum(weight) AS before FROM c GROUP BY cls),
+o AS (
+  SELECT digest, row_number() OVER (ORDER BY cls, digest) - 1 AS p,
+    before + ((row_number() OVER (PARTITION BY cls ORDER BY digest) - 1) * total) // n AS ahead
+  FROM c JOIN r USING (cls)),
+l AS (
+  SELECT list_append(list(CAST(ahead AS BIGINT) ORDER BY p), (SELECT CAST(sum(weight) AS BIGINT) FROM c)) AS ws FROM o),
+a AS (
+  SELECT len(ws) - 1 AS stop, 24 AS shards FROM l
+  UNION ALL
+  SELECT stop - 1, shards - 1 FROM a, l WHERE shards > 1 AND stop > 0 AND (ws[stop + 1] - ws[stop]) * shards >= ws[stop + 1]),
+e AS (SELECT min(stop) AS stop, min(shards) AS shards FROM a),
+s AS (
+  SELECT greatest((ws[stop + 1] + shards - 1) // shards, CASE WHEN stop > 0 THEN ws[stop + 1] - ws[stop] ELSE 0 END) AS low,
+    ws[stop + 1] AS high, CAST(0 AS BIGINT) AS spot, 0 AS used FROM e, l
+  UNION ALL
+  SELECT CASE WHEN NOT fits AND used + 1 = shards THEN mid + 1 ELSE low END, CASE WHEN fits THEN mid ELSE high END,
+    CASE WHEN fits OR used + 1 = shards THEN 0 ELSE next END, CASE WHEN fits OR used + 1 = shards THEN 0 ELSE used + 1 END
+  FROM (
+    SELECT *, next = stop AS fits FROM (
+      SELECT low, high, used, stop, shards, (low + high) // 2 AS mid,
+        least(stop, len(list_filter(ws, lambda x: x <= ws[spot + 1] + (low + high) // 2)) - 1) AS next
+      FROM s, e, l WHERE low < high))),
+k AS (SELECT max(low) AS cap FROM s),
+f AS (
+  SELECT 0 AS m, CAST(stop AS BIGINT) AS least_at FROM e
+  UNION ALL
+  SELECT m + 1, greatest(0, len(list_filter(ws, lambda x: x < greatest(0, ws[least_at + 1] - cap)))) FROM f, e, l, k WHERE m + 1 < shards),
+t AS (
+  SELECT 0 AS no, CAST(0 AS BIGINT) AS spot
+  UNION ALL
+  SELECT no + 1, least(stop, len(list_filter(ws, lambda x: x <= ws[spot + 1] + cap)) - 1, greatest(spot, least_at,
+    CASE WHEN below >= stop OR ideal - ws[below + 1] <= ws[below + 2] - ideal THEN below ELSE below + 1 END))
+  FROM (
+    SELECT no, spot, ws, cap, stop, least_at, ideal, len(list_filter(ws, lambda x: x <= ideal)) - 1 AS below FROM (
+      SELECT no, spot, ws, cap, stop, least_at, ws[stop + 1] * (no + 1) // shards AS ideal
+      FROM t, e, l, k JOIN f ON true WHERE no + 1 < shards AND m = shards - no - 1))),
+cuts AS (SELECT spot FROM t WHERE no > 0 UNION ALL SELECT stop FROM a WHERE stop < (SELECT len(ws) - 1 FROM l)),
+h AS (SELECT digest, CAST((SELECT count(*) FROM cuts WHERE spot <= p) AS INTEGER) AS shard FROM o)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY substr(md5(concat_ws('/', CAST(doc_id AS VARCHAR), upper(digest))), 1, 3), doc_id NULLS FIRST, digest) - 1 AS slot,
+  CAST(NULL AS INTEGER) AS grown_shard
+FROM d JOIN h USING (digest)
+"""
+
+
 def op10_ball_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0, 5)
 
@@ -143,6 +203,36 @@ def op8_unit_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("key").alias("doc_id"), F.col("start").alias("start_offset"), F.col("end").alias("end_offset"), F.col("first_key").alias("first_doc_id"), F.col("first_start").alias("first_offset"), "copies")
 
 
+#: A text is tiled by lines and line ends, a line by marks and what stands between them; offsets are sums of lengths.
+OP8_SQL = r"""
+WITH q AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+p AS (SELECT doc_id, unnest(x) AS piece, generate_subscripts(x, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '[^\r\n]+|\r\n|\r|\n') AS x FROM q)),
+o AS (SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) - length(piece) AS pos, regexp_full_match(piece, '[\r\n]+') AS ends FROM p),
+l AS (SELECT doc_id, i, piece, pos, regexp_full_match(piece, 'SPACE*') AS blank FROM o WHERE NOT ends),
+n AS (SELECT *, lag(i) OVER w AS prev, lag(blank) OVER w AS prev_blank FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+b AS (SELECT *, sum(CASE WHEN NOT blank AND NOT prev_blank AND i = prev + 2 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS block FROM n),
+t AS (SELECT doc_id, i, pos, unnest(x) AS piece, generate_subscripts(x, 1) AS j FROM (SELECT doc_id, i, pos, regexp_extract_all(piece, '[.!?]+["'')\]]*|[^.!?]+') AS x FROM l)),
+m AS (
+  SELECT *, pos + sum(length(piece)) OVER (PARTITION BY doc_id, i ORDER BY j) - length(piece) AS a,
+    CASE WHEN regexp_matches(piece, '^[.!?]+["'')\]]+$') THEN 1
+      WHEN regexp_matches(piece, '^[.!?]') AND regexp_matches(coalesce(lead(piece) OVER (PARTITION BY doc_id, i ORDER BY j), ' '), '^SPACE') THEN 1 ELSE 0 END AS last
+  FROM t),
+c AS (SELECT *, sum(last) OVER (PARTITION BY doc_id, i ORDER BY j) - last AS sentence FROM m),
+u AS (
+  SELECT doc_id, pos AS a, piece AS raw FROM l
+  UNION SELECT doc_id, min(a), string_agg(piece, '' ORDER BY j) FROM c GROUP BY doc_id, i, sentence
+  UNION SELECT doc_id, a, substring(text, CAST(a AS BIGINT) + 1, CAST(z - a AS BIGINT)) FROM
+    (SELECT doc_id, min(pos) AS a, max(pos + length(piece)) AS z FROM b WHERE NOT blank GROUP BY doc_id, block) JOIN q USING (doc_id)),
+v AS (
+  SELECT DISTINCT doc_id, CAST(a + length(regexp_extract(raw, '^SPACE*')) AS BIGINT) AS s, CAST(a + length(regexp_replace(raw, 'SPACE*$', '')) AS BIGINT) AS e,
+    regexp_extract_all(lower(raw), 'OTHER+') AS words FROM u),
+g AS (
+  SELECT doc_id, s, e, count(*) OVER w AS copies, first_value(doc_id) OVER (w ORDER BY doc_id, s) AS first_doc_id, first_value(s) OVER (w ORDER BY doc_id, s) AS first_offset
+  FROM (SELECT *, array_to_string(words, ' ') AS norm FROM v WHERE len(words) >= 8) WINDOW w AS (PARTITION BY norm))
+SELECT doc_id, s AS start_offset, e AS end_offset, first_doc_id, first_offset, copies FROM g WHERE copies > 1 AND (doc_id, s) <> (first_doc_id, first_offset)
+""".replace("SPACE", r"[\t-\r\x1c-\x20\x85\p{Z}]").replace("OTHER", r"[^\t-\r\x1c-\x20\x85\p{Z}]")
+
+
 def op3_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffixes.repeated_spans(table(spark, sf_dir, "documents"))
     return out.select(F.col("key").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -176,4 +266,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_counterfactual_toxicity": op9_counterfactual_toxicity,
     "op10_ball_tree_top_k": op10_ball_tree_top_k,
 }
-ORACLE_SQL: dict[str, str] = {"op1_lsh_forest_near_dedup": OP1_SQL, "op3_prefix_free_parsing": OP3_SQL, "op4_van_der_corput_mixing": OP4_SQL, "op6_grace_hash_dedup": OP6_SQL, "op10_ball_tree_top_k": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_lsh_forest_near_dedup": OP1_SQL, "op3_prefix_free_parsing": OP3_SQL, "op4_van_der_corput_mixing": OP4_SQL, "op5_minimax_sharding": OP5_SQL, "op6_grace_hash_dedup": OP6_SQL, "op8_unit_hash_dedup": OP8_SQL, "op10_ball_tree_top_k": OP10_SQL}

@@ -1,6 +1,6 @@
 """Sharding by a minimax contiguous partition, in DataFrame operations only.
 
-Atomic groups (documents with equal texts) are ordered by their size in bytes, then by digest, and cut
+Atomic groups (documents with equal texts) are ordered by their size class, then by digest, and cut
 into contiguous shards. The smallest feasible shard capacity is found by binary search; a capacity is
 feasible if a greedy walk from the left fits everything into the shards. Ordered by size, the sequence
 of groups is a run for each size class (the size itself below 2^16, above it sizes that agree in 13 bits), so the
@@ -12,8 +12,8 @@ A group of at least an equal share of what is left gets a shard of its own first
 and the capacity is searched for the rest: else one large group would set the capacity of every
 shard. Within the capacity each cut is put as near to the equal share as the groups allow.
 
-Ranks (a group in its run, a document in its shard) are sums over 4,096 hash buckets plus a rank in the
-bucket. The join of rows to groups is a plain equi-join, which adaptive execution splits where one text
+Ranks (a group in its run, a document in its shard) are sums over 4,096 buckets by leading digits of a digest plus a
+rank in the bucket. The join of rows to groups is a plain equi-join, which adaptive execution splits where one text
 holds a large part of the rows.
 
 Defined results. A null text counts as empty (size 8, CRC of no bytes) and equals an empty one. Rows that
@@ -33,7 +33,6 @@ from .common import Staged, text_or_empty
 
 #: What a document weighs besides its text.
 ROW_BYTES = 8
-BUCKETS = 4096
 
 
 @dataclass(frozen=True)
@@ -126,6 +125,11 @@ def size_class(weight: Column) -> Column:
     return F.when(weight < 1 << 16, weight).otherwise(bits.cast("long") * (1 << 13) + high)
 
 
+def leading(digits: Column) -> Column:
+    """One of 4,096 buckets: the first three hexadecimal digits, so that order by bucket, then digest is order by digest."""
+    return F.conv(F.substring(digits, 1, 3), 16, 10).cast("int")
+
+
 def ranked(df: DataFrame, by: str, order: list[str], bucket: Column, name: str) -> DataFrame:
     """Gapless ranks from 0 within ``by``, without a task that sees all rows of a value."""
     rows = df.withColumn("__bucket", bucket)
@@ -151,12 +155,12 @@ def shard(docs: DataFrame, shards: int = 24, id_col: str = "doc_id", text_col: s
     table = Runs(*map(list, zip(*runs)))
     cuts = [table.named(p) for p in table.cut(shards)]
     split = sorted({c.cls for c in cuts if c.rank})
-    bucket = F.pmod(F.xxhash64("digest"), F.lit(BUCKETS))
+    bucket = leading(F.hex("digest"))
     placed = classes.where(~F.col("cls").isin(split)).withColumn("rank", F.lit(0).cast("long"))
     if split:
         placed = placed.unionByName(ranked(classes.where(F.col("cls").isin(split)), "cls", ["digest"], bucket, "rank"))
     after = [((F.col("cls") > c.cls) | ((F.col("cls") == c.cls) & (F.col("rank") >= c.rank))).cast("int") for c in cuts]
     placed = placed.select("digest", sum(after, F.lit(0)).alias("shard"))
     joined = stage.write(rows.join(placed, "digest"), "shard-placed")
-    spread = F.pmod(F.xxhash64("key", "digest"), F.lit(BUCKETS))
+    spread = leading(F.md5(F.concat_ws("/", F.col("key").cast("string"), F.hex("digest"))))
     return ranked(joined, "shard", ["key", "digest"], spread, "slot").select("key", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"))
