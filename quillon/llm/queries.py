@@ -229,7 +229,7 @@ v AS (
 g AS (
   SELECT doc_id, s, e, count(*) OVER w AS copies, first_value(doc_id) OVER (w ORDER BY doc_id, s) AS first_doc_id, first_value(s) OVER (w ORDER BY doc_id, s) AS first_offset
   FROM (SELECT *, array_to_string(words, ' ') AS norm FROM v WHERE len(words) >= 8) WINDOW w AS (PARTITION BY norm))
-SELECT doc_id, s AS start_offset, e AS end_offset, first_doc_id, first_offset, copies FROM g WHERE copies > 1 AND (doc_id, s) <> (first_doc_id, first_offset)
+SELECT doc_id, s AS start_offset, e AS end_offset, first_doc_id, first_offset, copies FROM g WHERE copies > 1 AND (doc_id, s) IS DISTINCT FROM (first_doc_id, first_offset)
 """.replace("SPACE", r"[\t-\r\x1c-\x20\x85\p{Z}]").replace("OTHER", r"[^\t-\r\x1c-\x20\x85\p{Z}]")
 
 

@@ -26,14 +26,45 @@ def rows(spark, data):
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_sql(spark, data, name):
+    equals_sql(spark, data, name)
+
+
+def equals_sql(spark, data, name):
     con = duckdb.connect()
     for f in os.listdir(data):
-        con.sql(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{data}/{f}'")
+        files = f"{data}/{f}/*.parquet" if os.path.isdir(f"{data}/{f}") else f"{data}/{f}"
+        con.sql(f"CREATE VIEW {f.split('.')[0]} AS SELECT * FROM '{files}'")
     df = queries.QUERIES[name](spark, data)
     columns = sorted(df.columns)
     tidy = lambda x: round(x, 6) if isinstance(x, float) else x
-    got = sorted(tuple(tidy(r[c]) for c in columns) for r in df.collect())
-    assert got == sorted(tuple(map(tidy, r)) for r in con.sql(queries.ORACLE_SQL[name]).select(*columns).fetchall())
+    got = Counter(tuple(tidy(r[c]) for c in columns) for r in df.collect())
+    assert got == Counter(tuple(map(tidy, r)) for r in con.sql(queries.ORACLE_SQL[name]).select(*columns).fetchall())
+
+
+def written(spark, folder, rows):
+    """The rows as a table ``documents`` in a folder."""
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(str(folder / "documents.parquet"))
+    return str(folder)
+
+
+def broken_texts(rng, n):
+    """Texts of few words with every kind of line end, mark, quote and white space."""
+    parts = ["one two three four five six seven eight", "nine", "ten eleven twelve", "A b c d e f g h i", ".", "?!", "...", '."', ".)", "' ", " ", "\xa0", "\t", "\n", "\r\n", "\r", "\n\n", "\u2003", "\x1f", ". ", "! ", "é日"]
+    return ["".join(rng.choice(parts, rng.integers(1, 40))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("kind", ["hot", "large", "few", "empty"])
+def test_shards_equal_sql_on_made_tables(spark, tmp_path, kind):
+    rng = np.random.default_rng(5)
+    texts = {"hot": ["the hot text"] * 200 + [None, ""] + ["é" * int(k) for k in rng.integers(0, 90, 300)], "large": [chr(97 + i) * (70_000 + 2 * i) for i in range(25)] * 2 + ["y" * 300_000, "z" * 9, "z" * 10], "few": ["a", "b", "a"], "empty": []}
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts[kind])]
+    equals_sql(spark, written(spark, tmp_path, rows + (awkward() if kind == "hot" else [])), "op5_minimax_sharding")
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_units_equal_sql_on_broken_texts(spark, tmp_path, seed):
+    texts = broken_texts(np.random.default_rng(seed), 400)
+    equals_sql(spark, written(spark, tmp_path, awkward() + [(100 + i, t, None, None, None) for i, t in enumerate(texts)]), "op8_unit_hash_dedup")
 
 
 def test_near_duplicates(spark, data, rows):
