@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quillon.llm import html_text, queries, toxicity
+from quillon.llm import queries, toxicity
 from quillon.sources import table
 
 from .test_operators import CLASHES, SCHEMA, awkward, minimax, near_brute, spans_brute, strip
@@ -77,11 +77,6 @@ def test_repeated_bytes(spark, data, rows):
     assert got == spans_brute(rows)
 
 
-def test_pages(spark, data):
-    want = {r["page_id"]: html_text.main_text(r["html"]) for r in table(spark, data, "pages").collect()}
-    assert {r["page_id"]: r["text"] for r in queries.op2_block_tree_html(spark, data).collect()} == want
-
-
 def test_shards(spark, data, rows):
     out = queries.op5_minimax_sharding(spark, data).collect()
     assert Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in out) == Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t, *_ in rows)
