@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import table
-from . import bpe, exact, html_text, lines, mixing, neardup, sharding, suffixes, topk, toxicity
+from . import bpe, exact, fim, html_text, lines, mixing, neardup, periodic, secret_scan, sharding, suffixes, topk, toxicity
 
 
 def op6_grace_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,6 +265,78 @@ FROM n LEFT JOIN c ON c.doc_id = n.doc_id
 """
 
 
+def op11_numpy_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fim.transform(table(spark, sf_dir, "documents"), seed=7)
+    again = fim.restore(F.col("output"), F.col("form"))
+    return out.select(F.col("key").alias("doc_id"), "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(again, 256).alias("restored_sha256"))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h FROM documents),
+l AS (
+  SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS lines, list_transform(range(4), lambda k: CAST('0x' || substr(h, 8 * k + 1, 8) AS BIGINT)) AS r FROM d),
+n AS (SELECT *, CAST(len(lines) AS BIGINT) AS n FROM l),
+c AS (
+  SELECT *, least(r[1] % (n + 1), r[2] % (n + 1)) AS a, greatest(r[1] % (n + 1), r[2] % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR r[3] % 100 >= 100 THEN 'plain' WHEN r[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM n),
+p AS (SELECT *, array_to_string(lines[1:a], '') AS prefix, array_to_string(lines[a + 1:b], '') AS middle, array_to_string(lines[b + 1:n], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+def op12_crochemore_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic.periodic_runs(periodic.with_cycles(table(spark, sf_dir, "documents")))
+    out = out.withColumn("top", periodic.longest_run(F.col("runs")))
+    each = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    top = [F.col(f"top.{c}").alias(c) for c in ("start", "length", "period")]
+    milli = F.floor(1000 * F.col("top.length") / F.col("top.period")).cast("long")
+    return out.select(
+        F.col("key").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), *top, milli.alias("exponent_milli"),
+        F.sha2(F.array_join(each, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+#: Runs as islands of places whose words ``q`` apart are equal; the one stretch may have several such q, of which the least is its period.
+OP12_SQL = r"""
+WITH crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)), i)) AS of_byte),
+d AS (
+  SELECT row_number() OVER () AS no, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+    xor(4294967295, list_reduce(list_transform(regexp_extract_all(CAST(doc_id AS VARCHAR), '.'), lambda s: CAST(ascii(s) AS BIGINT)),
+      lambda c, x: xor(c >> 8, of_byte[(xor(c, x) & 255) + 1]), CAST(4294967295 AS BIGINT))) AS h
+  FROM documents, crc),
+e AS (SELECT *, CAST(len(words) AS BIGINT) AS n, h // 10 AS g FROM d),
+f AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n ELSE n END AS a FROM e),
+p AS (SELECT *, 1 + (n - a) // (3 + coalesce(g, 0) % 8) AS p FROM f),
+t AS (SELECT no, doc_id, n, list_transform(range(n), lambda i: words[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) AS words FROM p),
+w AS (SELECT no, n, unnest(words) AS word, unnest(range(n)) AS i FROM t),
+m AS (SELECT x.no, y.i - x.i AS q, x.i FROM w x JOIN w y ON x.no = y.no AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+s AS (SELECT no, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY no, q ORDER BY i) AS island FROM m) GROUP BY no, q, island),
+r AS (SELECT no, start, length, min(q) AS period FROM s WHERE length >= greatest(6, 4 * q) GROUP BY no, start, length),
+o AS (
+  SELECT no, count(*) AS n_runs, first({'start': start, 'length': length, 'period': period} ORDER BY length DESC, start, period) AS top,
+    sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS runs_sha256
+  FROM r GROUP BY no),
+x AS (SELECT DISTINCT no, unnest(range(start + period, start + length)) AS i FROM r),
+k AS (SELECT w.no, string_agg(word, ' ' ORDER BY w.i) AS collapsed FROM w LEFT JOIN x ON x.no = w.no AND x.i = w.i WHERE x.i IS NULL GROUP BY w.no)
+SELECT t.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(top.start AS BIGINT) AS start, CAST(top.length AS BIGINT) AS length, CAST(top.period AS BIGINT) AS period,
+  CAST(1000 * top.length // top.period AS BIGINT) AS exponent_milli, coalesce(runs_sha256, sha256('')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM t LEFT JOIN o ON o.no = t.no LEFT JOIN k ON k.no = t.no
+"""
+
+
+def op13_layered_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.secret_spans(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["depth"] == 0)
+    of_kind = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind))
+    counts = [of_kind(kind).cast("long").alias(f"n_{kind}") for kind in secret_scan.KINDS]
+    return out.select(F.col("key").alias("doc_id"), *counts, F.sha2(secret_scan.written(base), 256).alias("base_sha256"), secret_scan.written(F.col("spans")).alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_lsh_forest_near_dedup": op1_lsh_forest_near_dedup,
     "op2_block_tree_html": op2_block_tree_html,
@@ -276,5 +348,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_unit_hash_dedup": op8_unit_hash_dedup,
     "op9_counterfactual_toxicity": op9_counterfactual_toxicity,
     "op10_ball_tree_top_k": op10_ball_tree_top_k,
+    "op11_numpy_fill_in_middle": op11_numpy_fill_in_middle,
+    "op12_crochemore_runs": op12_crochemore_runs,
+    "op13_layered_secret_scan": op13_layered_secret_scan,
 }
-ORACLE_SQL: dict[str, str] = {"op1_lsh_forest_near_dedup": OP1_SQL, "op2_block_tree_html": OP2_SQL, "op3_prefix_free_parsing": OP3_SQL, "op4_van_der_corput_mixing": OP4_SQL, "op5_minimax_sharding": OP5_SQL, "op6_grace_hash_dedup": OP6_SQL, "op8_unit_hash_dedup": OP8_SQL, "op10_ball_tree_top_k": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_lsh_forest_near_dedup": OP1_SQL, "op2_block_tree_html": OP2_SQL, "op3_prefix_free_parsing": OP3_SQL, "op4_van_der_corput_mixing": OP4_SQL, "op5_minimax_sharding": OP5_SQL, "op6_grace_hash_dedup": OP6_SQL, "op8_unit_hash_dedup": OP8_SQL, "op10_ball_tree_top_k": OP10_SQL, "op11_numpy_fill_in_middle": OP11_SQL, "op12_crochemore_runs": OP12_SQL}

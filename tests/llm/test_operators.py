@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, exact, html_text, lines, mixing, neardup, sharding, suffixes, topk, toxicity
+from quillon.llm import bpe, exact, fim, html_text, lines, mixing, neardup, periodic, secret_scan, sharding, suffixes, topk, toxicity
 from quillon.llm.queries import vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -617,3 +617,261 @@ def test_empty_tables(spark, empty):
         sharding.shard(empty), bpe.digests(empty, vocabulary()), toxicity.score(empty, toxicity.Model(0.0)), topk.top_k(none, F.col("id") % 50 == 0), html_text.extract(pages),
     ):
         assert df.count() == 0
+
+
+# --- fill-in-middle ------------------------------------------------------------------------------------
+
+
+def fim_brute(key, text, unit="line", rate=100, spm=50, marks=("<P>", "<S>", "<M>"), seed=7):
+    """By the contract, with patterns."""
+    text = text or ""
+    if unit == "line":
+        parts = re.findall(r"[^\n]*\n|[^\n]+", text)
+    elif unit == "word":
+        parts = re.findall(r"^[\x20\x09-\x0D]+|[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", text)
+    else:
+        parts = list(text)
+    digest = hashlib.sha256(f"{seed}:{'null' if key is None else key}".encode()).hexdigest()
+    h = [int(digest[8 * k : 8 * k + 8], 16) for k in range(4)]
+    n = len(parts)
+    a, b = sorted((h[0] % (n + 1), h[1] % (n + 1)))
+    p, m, s = "".join(parts[:a]), "".join(parts[a:b]), "".join(parts[b:])
+    if not text or any(x in text for x in marks) or h[2] % 100 >= rate:
+        return key, n, "plain", None, None, text
+    if h[3] % 100 < spm:
+        return key, n, "spm", len(p), len(m), f"{marks[1]}{s}{marks[0]}{p}{marks[2]}{m}"
+    return key, n, "psm", len(p), len(m), f"{marks[0]}{p}{marks[1]}{s}{marks[2]}{m}"
+
+
+def fim_texts():
+    rng = random.Random(3)
+    parts = ["<P>", "<S", ">", "<M>", "<", "P>", "\n", "\n\n", "\r\n", " ", "\t", "\x0b", "é", "日本", "\U0001f600", "a", "bc d", "\x85", " ", "\x00"]
+    return [(100 + i, "".join(rng.choice(parts[rng.randrange(2) * 6 :]) for _ in range(rng.randrange(30))), None, None, None) for i in range(400)]
+
+
+@pytest.mark.parametrize(("unit", "rate", "spm"), [("line", 100, 50), ("word", 60, 0), ("character", 100, 100)])
+def test_fill_in_middle(spark, docs, unit, rate, spm):
+    rows = awkward() + fim_texts() + [(None, "x\ny", None, None, None), (7000, "l\n" * 70_000 + "end", None, None, None)]
+    source = spark.createDataFrame(rows, SCHEMA).repartition(3).select("*", *[F.lit(1).alias(c) for c in CLASHES])
+    out = fim.transform(source, 7, unit=unit, rate=rate, spm=spm).withColumn("again", fim.restore(F.col("output"), F.col("form"))).collect()
+    assert Counter(tuple(r)[:6] for r in out) == Counter(fim_brute(i, t, unit, rate, spm) for i, t, *_ in rows)
+    assert Counter((r["key"], r["again"]) for r in out) == Counter((i, t or "") for i, t, *_ in rows)
+    assert {"plain", "psm" if spm == 0 else "spm"} <= {r["form"] for r in out}
+
+
+def test_fill_in_middle_kernel_takes_any_slice():
+    """Results do not depend on which rows share a batch; marks across two texts are none."""
+    import pyarrow as pa
+
+    texts = ["a<", "P>b\nc", "", "x\ny\nz", "<P>"]
+    whole = pa.array(texts)
+    one, two = np.arange(5), np.arange(5) * 3
+    for a in range(5):
+        for b in range(a, 6):
+            data, at = fim.buffers(whole[a:b])
+            got = [x.tolist() for x in fim.cuts(data, at, one[a:b], two[a:b])]
+            for k, t in enumerate(texts[a:b]):
+                lines_ = re.findall(r"[^\n]*\n|[^\n]+", t)
+                lo, hi = sorted((one[a + k] % (len(lines_) + 1), two[a + k] % (len(lines_) + 1)))
+                start = int(at[k])
+                assert [g[k] for g in got] == [len(lines_), start + len("".join(lines_[:lo])), start + len("".join(lines_[:hi])), len("".join(lines_[:lo])), len("".join(lines_[lo:hi]))]
+            assert fim.marked(data, at, fim.MARKS).tolist() == ["<P>" in t for t in texts[a:b]]
+
+
+@pytest.mark.parametrize("marks", [("<P>", "<S>"), ("<P>", "<P>", "<M>"), ("", "<S>", "<M>"), ("<P>", "<P><", "<M>"), ("ab", "bc", "x")])
+def test_fill_in_middle_refuses_marks_that_can_be_mixed_up(docs, marks):
+    with pytest.raises(ValueError):
+        fim.transform(docs, 7, marks=marks)
+
+
+def test_fill_in_middle_of_nothing(empty):
+    assert fim.transform(empty, 7).collect() == []
+
+
+# --- runs of words ---------------------------------------------------------------------------------------
+
+
+def runs_brute(words, least_words=6, least_times=4):
+    """Every stretch of places whose words q apart are equal, for every q; of equal stretches the smallest q."""
+    out = {}
+    for q in range(1, len(words) // least_times + 1):
+        i = 0
+        while i + q < len(words):
+            start = i
+            while i + q < len(words) and words[i] == words[i + q]:
+                i += 1
+            if i - start + q >= max(least_words, least_times * q):
+                out.setdefault((start, i - start + q), q)
+            i += i == start
+    return sorted((s, n, q) for (s, n), q in out.items())
+
+
+def repetitive(rng):
+    kind, n = rng.integers(4), int(rng.integers(0, 90))
+    if kind == 0:
+        return rng.integers(0, 2, n).tolist()
+    if kind == 1:
+        return (rng.integers(0, 3, int(rng.integers(1, 13))).tolist() * 90)[:n]
+    if kind == 2:
+        root, out = rng.integers(0, 2, int(rng.integers(1, 4))).tolist(), []
+        while len(out) < n:
+            out += root * int(rng.integers(1, 8)) + rng.integers(0, 3, int(rng.integers(0, 3))).tolist()
+        return out[:n]
+    x, y = [0], [0, 1]
+    while len(y) < n:
+        x, y = y, y + x
+    return y[:n]
+
+
+@pytest.mark.parametrize(("least_words", "least_times"), [(6, 4), (2, 2), (5, 3)])
+def test_runs_by_refinement(least_words, least_times):
+    rng = np.random.default_rng(least_words)
+    for _ in range(150):
+        texts = [repetitive(rng) for _ in range(int(rng.integers(1, 12)))]
+        got = periodic.find_runs(np.array([w for t in texts for w in t], np.int64), np.array([len(t) for t in texts]), least_words, least_times)
+        assert sorted(zip(*[x.tolist() for x in got])) == sorted((i, *r) for i, t in enumerate(texts) for r in runs_brute(t, least_words, least_times))
+
+
+def collapsed_brute(words):
+    gone = {k for s, n, q in runs_brute(words) for k in range(s + q, s + n)}
+    return " ".join(w for k, w in enumerate(words) if k not in gone)
+
+
+def test_periodic_runs(spark):
+    rng = np.random.default_rng(8)
+    made = [(200 + i, "  ".join(("ab", "é", "日本", "\xa0x")[w] for w in repetitive(rng)) + "\t", None, None, None) for i in range(200)]
+    rows = awkward() + made + [(9000, " ".join(["la"] * 50_000), None, None, None), (9001, "do re mi " * 7000 + "fa", None, None, None)]
+    source = spark.createDataFrame(rows, SCHEMA).repartition(3).select("*", *[F.lit(1).alias(c) for c in CLASHES])
+    got = Counter((r["key"], r["n_words"], tuple(tuple(x) for x in r["runs"]), r["collapsed"]) for r in periodic.periodic_runs(source).collect())
+    want = Counter()
+    for i, t, *_ in rows:
+        words = re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        if i == 9000:
+            want[i, 50_000, ((0, 50_000, 1),), "la"] += 1
+        elif i == 9001:
+            want[i, 21_001, ((0, 21_000, 3),), "do re mi fa"] += 1
+        elif len(words) < 2000:
+            want[i, len(words), tuple(runs_brute(words)), collapsed_brute(words)] += 1
+        else:  # two long texts without runs
+            want[i, len(words), (), " ".join(words)] += 1
+    assert got == want
+
+
+def test_longest_run_and_nothing(spark, empty):
+    assert periodic.periodic_runs(empty).collect() == [] == periodic.periodic_runs(periodic.with_cycles(empty)).collect()
+    rows = [(1, [(5, 8, 2), (0, 8, 2), (20, 7, 1)]), (2, []), (3, [(4, 9, 2), (4, 9, 1)])]
+    df = spark.createDataFrame(rows, "id long, runs array<struct<start:bigint,length:bigint,period:bigint>>")
+    assert {r["id"]: r["top"] and tuple(r["top"]) for r in df.withColumn("top", periodic.longest_run(F.col("runs"))).collect()} == {1: (0, 8, 2), 2: None, 3: (4, 9, 1)}
+
+
+def test_cycles(spark):
+    rows = awkward() + [(i, " ".join(f"w{k}" for k in range(i % 60)), None, None, None) for i in range(3000, 3200)]
+    got = Counter((r["doc_id"], r["text"]) for r in periodic.with_cycles(spark.createDataFrame(rows, SCHEMA)).collect())
+    want = Counter()
+    for i, t, *_ in rows:
+        h, words = zlib.crc32(str(i).encode()), re.findall(r"[^\x20\x09-\x0D]+", t or "")
+        g, n = h // 10, len(words)
+        if i is not None and h % 10 == 0 and n:
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            t = " ".join(words[k] if k < a else words[a + (k - a) % p] for k in range(n))
+        want[i, t] += 1
+    assert got == want
+
+
+# --- secrets ---------------------------------------------------------------------------------------------
+
+
+SECRET = 'password = "hunter2hunter2"'
+
+
+def base_brute(text):
+    """The spans in the text itself, a kind at a time, by patterns that hold the least lengths."""
+    out = []
+    for m in re.finditer(r"""(?ai:password|passwd|secret|token|api_?key)["']? *[:=] *["']?[A-Za-z0-9+/_.=-]+""", text):
+        value = re.search(r"[A-Za-z0-9+/_.=-]*\Z", m[0])[0]
+        # The value begins behind the sign and its quote; "==" after the sign belongs to it.
+        head = re.match(r"""[A-Za-z_]+["']? *[:=] *["']?""", m[0])
+        if len(m[0]) - head.end() >= 6 and value:
+            out.append((m.start(), 0, m.end()))
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 24]
+    return sorted(out)
+
+
+def wraps():
+    import base64
+    import bz2
+    import gzip
+    import lzma
+    from urllib.parse import quote
+
+    import zstandard
+
+    b64 = lambda b: base64.b64encode(b).decode()
+    return {
+        "url": lambda t: "".join(f"%{b:02X}" for b in t.encode()), "quote": lambda t: quote(t, safe=""), "unit": lambda t: "".join(f"\\u{ord(c):04x}" for c in t), "byte": lambda t: "".join(f"\\x{b:02x}" for b in t.encode()),
+        "decimal": lambda t: "".join(f"&#{ord(c)};" for c in t), "base64": lambda t: b64(t.encode()), "letters": lambda t: base64.urlsafe_b64encode(t.encode()).decode().rstrip("="), "utf16": lambda t: b64(t.encode("utf-16-le")),
+        "mime": lambda t: base64.encodebytes(("a first line of words " * 5 + t).encode()).decode().rstrip("\n"), "gzip": lambda t: b64(gzip.compress(t.encode())), "bzip2": lambda t: b64(bz2.compress(t.encode())), "xz": lambda t: b64(lzma.compress(t.encode())), "zstd": lambda t: b64(zstandard.compress(t.encode())),
+        "url bytes": lambda t: quote(gzip.compress(t.encode())), "full width": lambda t: "".join(chr(ord(c) + 0xFEE0) if "!" <= c <= "~" else c for c in t), "zero width": lambda t: "​".join(t),
+    }
+
+
+@pytest.mark.parametrize("outer", sorted(wraps()))
+@pytest.mark.parametrize("inner", sorted(wraps()))
+def test_secrets_in_two_layers(outer, inner):
+    inside = wraps()[inner](SECRET)
+    code = wraps()[outer](inside)
+    text = f"Clean words before, é日本 \U0001f600: {code} and clean words behind."
+    spans, complete = secret_scan.scan(text)
+    begin, end = text.index(code), text.index(code) + len(code)
+    assert complete and [s for s in spans if s[1] == 0]
+    # Every span lies within the code, and no clean character goes.
+    assert all(begin <= a < z <= end for a, _, z, _ in spans)
+    assert secret_scan.redacted(text, "*").startswith("Clean words before, é日本 \U0001f600: ") and secret_scan.redacted(text, "*").endswith(" and clean words behind.")
+
+
+def test_a_span_is_mapped_to_its_characters():
+    at = lambda text: [(text[a:z], d) for a, _, z, d in secret_scan.scan(text)[0]]
+    assert at("see %70assword%3Dabc%64efgh, ok") == [("%70assword%3Dabc%64efgh", 1)]
+    assert at("x token&amp;#61;abcdefgh y") == [("token&amp;#61;abcdefgh", 2)]
+    assert at("token=abcdef%2Bghi") == [("token=abcdef", 0), ("token=abcdef%2Bghi", 1)]
+    assert at("pre/aGVsbG8gdG9rZW49YWJjZGVmZ2g= post") == [("dG9rZW49YWJjZGVmZ2g", 1)]
+    assert at("\\ud83d\\ude00\\u0074oken=abcdefg") == [("\\u0074oken=abcdefg", 1)]
+    assert at("token=ab%zz %C3 \\u12 &#0; &#xD800; &nothing; \\ud83d") == []
+
+
+def test_base_spans():
+    rng = random.Random(4)
+    parts = ["password", "PassWd", "secret", "ToKen", "api_key", "apikey", "toKen", "ſecret", '"', "'", " ", ":", "=", "==", "abc", "abcdef", "AKIA", "A1B2C3D4E5F6G7H8", "deadbeef", "0123456789abcdef", "g", "\n", "é", "-", "_", "."]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(25)))
+        assert [(a, k, z) for a, k, z, d in secret_scan.scan(text)[0] if d == 0] == base_brute(text), text
+
+
+def test_secret_spans_and_redaction(spark, empty):
+    rows = awkward() + [(50, SECRET, None, None, None), (50, SECRET, None, None, None), (None, "x " + SECRET, None, None, None), (51, wraps()["base64"](SECRET), None, None, None), (52, "a " * 60_000 + "token=abcdefgh", None, None, None)]
+    source = spark.createDataFrame(rows, SCHEMA).repartition(3).select("*", *[F.lit(1).alias(c) for c in CLASHES])
+    got = Counter((r["key"], tuple(tuple(s) for s in r["spans"]), r["complete"]) for r in secret_scan.secret_spans(source).collect())
+    assert got == Counter((i, tuple((secret_scan.KINDS[k], a, z, d) for a, k, z, d in secret_scan.scan(t or "")[0]), True) for i, t, *_ in rows)
+    assert got[50, (("assign", 0, 26, 0),), True] == 2 and got[52, (("assign", 120_000, 120_014, 0),), True] == 1
+    clean = {r["doc_id"]: r["text"] for r in secret_scan.redact(source).where("doc_id in (4, 50, 52)").collect()}
+    assert clean == {4: None, 50: '[secret]"', 52: "a " * 60_000 + "[secret]"}
+    assert secret_scan.secret_spans(empty).collect() == [] == secret_scan.redact(empty).collect()
+
+
+def test_layers_that_never_end(monkeypatch):
+    """A stream that expands to itself is met once; one that grows stops at the bound, and says so."""
+    import base64
+    import gzip
+
+    stream = gzip.compress(b"nothing here at all")
+    text = SECRET + " " + base64.b64encode(stream).decode()
+    monkeypatch.setattr(secret_scan, "expansions", lambda data, at: iter([data]))
+    assert secret_scan.scan(text) == ([(0, 0, 26, 0)], True)
+    monkeypatch.setattr(secret_scan, "expansions", lambda data, at: iter([data + b"."]))
+    assert secret_scan.scan(text, 100_000) == ([(0, 0, 26, 0)], False)
+    monkeypatch.undo()
+    bomb = base64.b64encode(gzip.compress(b"\n" * (20 << 20) + b"token=abcdefgh\n")).decode()
+    found, complete = secret_scan.scan(bomb)
+    assert complete and [s[1:2] + s[3:] for s in found] == [(0, 1)]

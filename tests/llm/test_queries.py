@@ -16,7 +16,7 @@ import corpus_pipeline
 from quillon.llm import queries, toxicity
 from quillon.sources import table
 
-from .test_operators import CLASHES, SCHEMA, awkward, minimax, near_brute, spans_brute, strip
+from .test_operators import CLASHES, SCHEMA, SECRET, awkward, base_brute, fim_texts, minimax, near_brute, repetitive, spans_brute, strip, wraps
 
 
 @pytest.fixture(scope="module")
@@ -67,6 +67,39 @@ def test_units_equal_sql_on_broken_texts(spark, tmp_path, seed):
     equals_sql(spark, written(spark, tmp_path, awkward() + [(100 + i, t, None, None, None) for i, t in enumerate(texts)]), "op8_unit_hash_dedup")
 
 
+def test_fill_in_middle_equals_sql_on_marks_and_odd_texts(spark, tmp_path):
+    equals_sql(spark, written(spark, tmp_path, awkward() + fim_texts()), "op11_numpy_fill_in_middle")
+
+
+def test_runs_equal_sql_on_repetitive_texts(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    texts = [" ".join(("ab", "é", "日本", "x")[w] for w in repetitive(rng)) for _ in range(600)]
+    equals_sql(spark, written(spark, tmp_path, awkward() + [(500 + i, t, None, None, None) for i, t in enumerate(texts)]), "op12_crochemore_runs")
+
+
+def test_secrets(spark, data, rows, tmp_path):
+    """The base columns by brute force; encoded secrets in the last column."""
+    from quillon.llm.secret_scan import KINDS
+
+    def check(folder, source):
+        say = lambda spans: ",".join(f"{KINDS[k]}:{a}:{z}" for a, k, z in spans)
+        want = Counter()
+        for i, t, *_ in source:
+            found = base_brute(t or "")
+            want[(i, *(sum(k == n for _, k, _ in found) for n in range(3)), hashlib.sha256(say(found).encode()).hexdigest())] += 1
+        out = queries.op13_layered_secret_scan(spark, folder).collect()
+        assert Counter(tuple(r)[:5] for r in out) == want
+        base = Counter((i, say(base_brute(t or ""))) for i, t, *_ in source)
+        return {r["doc_id"]: r["spans"] for r in out}, base
+
+    spans, base = check(data, rows)
+    # Nothing is wrapped in the given table, so all spans are base spans.
+    assert Counter(spans.items()) == base
+    codes = {900 + k: f"see {wraps()[name](SECRET)} there" for k, name in enumerate(sorted(wraps()))}
+    spans, _ = check(written(spark, tmp_path, awkward() + [(i, t, None, None, None) for i, t in codes.items()]), awkward() + [(i, t, None, None, None) for i, t in codes.items()])
+    assert all("assign:" in spans[i] for i in codes)
+
+
 def test_near_duplicates(spark, data, rows):
     got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in queries.op1_lsh_forest_near_dedup(spark, data).collect())
     assert got == near_brute(rows, 3, 85)
