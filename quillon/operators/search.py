@@ -6,6 +6,11 @@ blocks of queries with blocks of references in numpy and keeps k rows a query: i
 slot that very many rows share costs nothing extra. Both give the same similarities: whole-number overlaps and
 one final division.
 
+Blocks are as large as ``BLOCK_BYTES`` allows (and small enough to give every core some), because a query is sent once to each
+block of references: the rows that are shuffled are queries times reference blocks. Within a task, pieces of a block are made dense.
+Bounds per block (the largest value of each slot) were measured and are not used: at the tenth neighbour of the fingerprints of
+sf0.1 they leave 99.6 % of blocks of 256 similar rows, and 79 % of blocks of 32.
+
 A row without slots has similarity 0 with everything. Ties go to the reference with the lowest ordinal.
 """
 
@@ -18,8 +23,8 @@ from pyspark.sql import functions as F
 
 from ..runtime import ship_package
 
-#: Rows in a block of queries and of references.
-QUERY_BLOCK, REFERENCE_BLOCK = 512, 1024
+#: Bytes of a packed block, and rows of queries and of references that are dense at a time.
+BLOCK_BYTES, QUERY_ROWS, REFERENCE_ROWS = 4 << 20, 512, 1024
 METRICS = ("jaccard", "cosine", "hamming")
 
 
@@ -45,26 +50,46 @@ def overlaps(a: DataFrame, b: DataFrame, slot: str = "kc") -> DataFrame:
     return shared.join(na, "a").join(nb, "b")
 
 
-def _dense(rows: pa.Array, width: int, binary: bool) -> tuple[np.ndarray, np.ndarray]:
-    ids = rows.field("id").to_numpy(zero_copy_only=False)
-    slots = rows.field("slots")
-    sizes = np.diff(slots.offsets.to_numpy())
-    flat, values = slots.flatten().to_numpy(zero_copy_only=False), rows.field("values").flatten().to_numpy(zero_copy_only=False)
-    if binary and not (values == 1).all():
-        raise ValueError("a binary row holds ones only")
-    out = np.zeros((len(ids), width))
-    out[np.repeat(np.arange(len(ids)), sizes), flat] = values
-    return ids, out
+class _Rows:
+    """A packed block of ``id, slots, values``, dense a piece at a time."""
+
+    def __init__(self, rows: pa.Array, width: int, binary: bool, ordered: bool = False):
+        self.ids, slots = rows.field("id").to_numpy(zero_copy_only=False), rows.field("slots")
+        sizes = np.diff(slots.offsets.to_numpy())
+        flat, values = slots.flatten().to_numpy(zero_copy_only=False), rows.field("values").flatten().to_numpy(zero_copy_only=False)
+        if binary and not (values == 1).all():
+            raise ValueError("a binary row holds ones only")
+        place = np.arange(len(self.ids))
+        if ordered:
+            by = np.argsort(self.ids, kind="stable")
+            place[by] = np.arange(len(by))
+            self.ids = self.ids[by]
+        row = np.repeat(place, sizes)
+        if ordered:
+            by = np.argsort(row, kind="stable")
+            row, flat, values = row[by], flat[by], values[by]
+        self.row, self.flat, self.values, self.width = row, flat, values, width
+        # Overlaps are whole numbers below 2^24, so single precision holds them exactly.
+        self.kind = np.float32 if binary else np.float64
+
+    def pieces(self, step: int):
+        """(first row, ids, dense rows)."""
+        for at in range(0, len(self.ids), step):
+            ids = self.ids[at : at + step]
+            a, b = np.searchsorted(self.row, [at, at + len(ids)])
+            out = np.zeros((len(ids), self.width), self.kind)
+            out[self.row[a:b] - at, self.flat[a:b]] = self.values[a:b]
+            yield at, ids, out
 
 
 def _block_scores(q: np.ndarray, r: np.ndarray, metric: str, width: int) -> np.ndarray:
     """Similarities of dense rows; overlaps are whole numbers, so they are exact."""
-    dot = q @ r.T
+    dot = (q @ r.T).astype(np.float64)
     if metric == "dot":
         a, b = np.sqrt((q * q).sum(1)), np.sqrt((r * r).sum(1))
         scale = a[:, None] * b[None, :]
         return np.divide(dot, scale, out=np.zeros_like(dot), where=scale > 0)
-    na, nb = q.sum(1)[:, None], r.sum(1)[None, :]
+    na, nb = q.sum(1, dtype=np.float64)[:, None], r.sum(1, dtype=np.float64)[None, :]
     if metric == "jaccard":
         bottom = na + nb - dot
         value = np.divide(dot, bottom, out=np.zeros_like(dot), where=bottom > 0)
@@ -77,42 +102,58 @@ def _block_scores(q: np.ndarray, r: np.ndarray, metric: str, width: int) -> np.n
 
 
 def _search(k: int | None, metric: str, width: int, skip_self: bool, least: float | None = None):
+    names = ["query", "ref", "similarity"]
+
+    def top(queries: _Rows, references: _Rows):
+        """The k best of each query; references come in order of their ids, so of equal ones the first stay first."""
+        ids = np.zeros((len(queries.ids), 0), np.int64)
+        best = np.zeros((len(queries.ids), 0))
+        for _, rids, r in references.pieces(REFERENCE_ROWS):
+            new_ids, new_best = [], []
+            for at, qids, q in queries.pieces(QUERY_ROWS):
+                scores = np.clip(_block_scores(q, r, metric, width), 0, 1)
+                if skip_self:
+                    scores[qids[:, None] == rids[None, :]] = -1
+                scores = np.concatenate([best[at : at + len(qids)], scores], 1)
+                refs = np.concatenate([ids[at : at + len(qids)], np.broadcast_to(rids, (len(qids), len(rids)))], 1)
+                order = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+                new_ids.append(np.take_along_axis(refs, order, 1))
+                new_best.append(np.take_along_axis(scores, order, 1))
+            ids, best = np.concatenate(new_ids), np.concatenate(new_best)
+        rows, cols = np.nonzero(best >= 0)
+        return pa.record_batch([pa.array(queries.ids[rows]), pa.array(ids[rows, cols]), pa.array(best[rows, cols])], names=names)
+
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                qids, q = _dense(batch.column(0).slice(i, 1).flatten(), width, metric != "dot")
-                rids, r = _dense(batch.column(1).slice(i, 1).flatten(), width, metric != "dot")
-                order = np.argsort(rids, kind="stable")
-                rids, scores = rids[order], np.clip(_block_scores(q, r[order], metric, width), 0, 1)
-                if skip_self:
-                    scores[qids[:, None] == rids[None, :]] = -1
-                if k is None:
-                    rows, cols = np.nonzero(scores >= least)
-                    yield pa.record_batch([pa.array(qids[rows]), pa.array(rids[cols]), pa.array(scores[rows, cols])], names=["query", "ref", "similarity"])
+                queries, references = (_Rows(batch.column(c).slice(i, 1).flatten(), width, metric != "dot", c == 1) for c in (0, 1))
+                if k is not None:
+                    yield top(queries, references)
                     continue
-                top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                best = np.take_along_axis(scores, top, 1)
-                rows, cols = np.nonzero(best >= 0)
-                yield pa.record_batch([pa.array(qids[rows]), pa.array(rids[top[rows, cols]]), pa.array(best[rows, cols])], names=["query", "ref", "similarity"])
+                for _, rids, r in references.pieces(REFERENCE_ROWS):
+                    for _, qids, q in queries.pieces(QUERY_ROWS):
+                        scores = np.clip(_block_scores(q, r, metric, width), 0, 1)
+                        rows, cols = np.nonzero(scores >= least)
+                        yield pa.record_batch([pa.array(qids[rows]), pa.array(rids[cols]), pa.array(scores[rows, cols])], names=names)
 
     return run
 
 
-def _blocks(vectors: DataFrame, rows_a_block: int, name: str) -> DataFrame:
-    """Rows ``id, slots, values`` packed by hash into bounded blocks."""
-    n = max(1, -(-vectors.count() // rows_a_block))
+def _blocks(vectors: DataFrame, name: str, least: int) -> tuple[DataFrame, int]:
+    """Rows ``id, slots, values`` packed by hash into blocks of bounded size, and their number."""
+    row = vectors.agg(F.count("*").alias("n"), F.sum(16 * F.size("slots") + 48).alias("bytes")).first()
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    n = max(1, -(-(row["bytes"] or 0) // BLOCK_BYTES), min(cores, -(-row["n"] // least)))
     packed = vectors.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias(f"{name}_no")).agg(F.collect_list(F.struct("id", "slots", "values")).alias(name))
-    return packed
+    return packed, n
 
 
 def _met(queries: DataFrame, references: DataFrame, compare) -> DataFrame:
     """``query, ref, similarity`` of what a comparison of blocks finds: every block of the stated queries meets every block of references once."""
     ship_package(queries.sparkSession)
-    q, r = _blocks(queries, QUERY_BLOCK, "q"), _blocks(references, REFERENCE_BLOCK, "r")
-    n_r = r.agg(F.max("r_no")).first()[0]
+    (q, _), (r, n) = _blocks(queries, "q", QUERY_ROWS), _blocks(references, "r", REFERENCE_ROWS)
     # With no references there is no block to meet, and the join below is empty.
-    numbers = F.sequence(F.lit(0).cast("long"), F.lit(int(n_r or 0)).cast("long"))
-    pairs = q.select("q", F.explode(numbers).alias("r_no"))
+    pairs = q.select("q", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("r_no"))
     return pairs.join(r, "r_no").select("q", "r").mapInArrow(compare, "query long, ref long, similarity double")
 
 

@@ -579,13 +579,21 @@ def dedup_documents(spark, d):
     return dedup.leader_clusters(test, [50]).groupBy("leader").agg(F.count("*").alias("size"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
 
 
-#: Thresholds of the sweep, in hundredths.
-THRESHOLDS = [50, 60, 75, 90]
+@query
+def dedup_leader_cosine(spark, d):
+    """Exemplars of the documents' tf-idf vectors."""
+    return dedup.leader_clusters_cosine(fx.document_terms(fx.documents(spark, d)), [75]).select("id", "leader")
+
+
+@query
+def cosine_links(spark, d):
+    """Pairs of documents whose tf-idf vectors have a cosine of 0.75 or more."""
+    return rounded(dedup.similar_vectors(fx.document_terms(fx.documents(spark, d)), 75))
 
 
 def _swept(spark, d):
     docs, sets = _sets(spark, d)
-    return dedup.sweep(sets, docs.select("id", "family"), THRESHOLDS)
+    return dedup.sweep(sets, docs.select("id", "family"))
 
 
 @query
@@ -600,16 +608,18 @@ def dedup_select(spark, d):
 
 @query
 def dedup_calibrate(spark, d):
+    """Fingerprints and their lower half by Jaccard, tf-idf vectors by cosine."""
     docs, sets = _sets(spark, d)
     half = sets.select("id", F.filter("kcs", lambda k: k < fx.UNITS // 2).alias("kcs"))
-    out = dedup.calibrate({"half": half, "whole": sets}, docs.select("id", "family"), [60, 75], 0.01)
-    return rounded(out.select("representation", "percent", "clusters", "false_merge_rate", "status"))
+    rows = {"half": {"jaccard": half}, "whole": {"jaccard": sets}, "vector": {"cosine": fx.document_terms(docs)}}
+    out = dedup.calibrate(rows, docs.select("id", "family"), [60, 75], 0.01)
+    return rounded(out.select("representation", "metric", "percent", "clusters", "false_merge_rate", "status"))
 
 
 @query
 def threshold_resolve(spark, d):
     calibrated = dedup_calibrate(spark, d).where("status = 'within_budget'").select("representation", (F.col("percent") / 100).alias("threshold"))
-    wanted = spark.createDataFrame([("half",), ("whole",), ("other",)], "representation string")
+    wanted = spark.createDataFrame([("half",), ("vector",), ("whole",), ("other",)], "representation string")
     return dedup.resolve_threshold(calibrated, wanted)
 
 

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from ..operators import encode, features, search
 from ..operators.split import ordinal_values
+from ..runtime import Staged, cut, spread
 from ..sources import table
 
 #: Widths of the document encoder: inputs, units, inputs a unit, winners.
 INPUTS, UNITS, FAN_IN, WINNERS, SEED = 256, 512, 6, 16, 42
+#: Terms of the real-valued vectors.
+TERMS = 4096
 #: Held out of train and validation for the novelty queries.
 HELD_OUT_LANG, HELD_OUT_FAMILY = "es", "signup"
 
@@ -23,7 +26,7 @@ def alerts(spark: SparkSession, d: str, command: bool = False) -> DataFrame:
     """Events as alert rows; with ``command`` each takes a document's text as its command line."""
     docs = table(spark, d, "documents")
     n = docs.count()
-    e = table(spark, d, "events").withColumn("doc_id", F.col("event_id") % n)
+    e = spread(table(spark, d, "events")).withColumn("doc_id", F.col("event_id") % n)
     labels = table(spark, d, "labels")
     e = e.join(labels, "doc_id", "left")
     if command:
@@ -50,21 +53,28 @@ def with_split(df: DataFrame, key: str) -> DataFrame:
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
     """``id, text, family, verdict, split``."""
-    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left")
+    docs = spread(table(spark, d, "documents")).join(table(spark, d, "labels"), "doc_id", "left")
     rows = docs.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("family"), verdict_of(F.col("quality"), F.col("toxic")).alias("verdict"))
     return with_split(rows, "id")
 
 
-def document_weights(docs: DataFrame) -> DataFrame:
-    """``id, term, w``: tf-idf with document frequencies of the train part."""
+def document_weights(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``id, term, w``: tf-idf with document frequencies of the train part; and the counts ``id, term, tf``, which are staged."""
     counts = features.term_counts(docs, "id", F.col("text"))
     train = docs.where("split = 'train'").select("id")
     weights = features.idf(counts.join(train, "id", "left_semi"), train.count())
-    return features.tf_weights(counts, weights)
+    return features.tf_weights(counts, weights), counts
 
 
 def document_vectors(docs: DataFrame) -> DataFrame:
-    return features.hashed_text(document_weights(docs), INPUTS)
+    return features.hashed_text(document_weights(docs)[0], INPUTS)
+
+
+def document_terms(docs: DataFrame) -> DataFrame:
+    """``id, slots, values`` of the documents' tf-idf over the ``TERMS`` most frequent terms of train, cut in the shared folder."""
+    weights, counts = document_weights(docs)
+    vocab = features.vocabulary(counts.join(docs.where("split = 'train'").select("id"), "id", "left_semi"), TERMS)
+    return cut(search.packed_vectors(docs, features.vocabulary_text(weights, vocab)))
 
 
 def encoded_documents(docs: DataFrame) -> DataFrame:
@@ -79,8 +89,6 @@ def document_winners(docs: DataFrame) -> DataFrame:
 
 def document_prints(docs: DataFrame) -> DataFrame:
     """``id, slots, values`` of every document, from a table cut in the shared folder (it is read more than once)."""
-    from ..runtime import cut
-
     return cut(search.packed_fingerprints(docs, encoded_documents(docs)))
 
 

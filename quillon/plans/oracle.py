@@ -141,12 +141,16 @@ def ratio(a: str, b: str) -> str:
     return f"coalesce(CAST({a} AS DOUBLE) / nullif(CAST({b} AS DOUBLE), 0), 0e0)"
 
 
-def leaders(sets: str, percents: str) -> str:
-    """sets: id, n (with fp); every threshold's leader clustering by a walk in row order."""
+def leaders(sets: str, percents: str, metric: str = "jaccard") -> str:
+    """sets: id (and n) of rows in fp, or with cosine of vectors in tv; every threshold's leader clustering by a walk in row order."""
+    links = {
+        "jaccard": f"""sx AS (SELECT a.id AS early, b.id AS late, count(*) AS x FROM fp a JOIN so sa ON sa.id = a.id JOIN fp b ON a.kc = b.kc AND a.id < b.id JOIN so sb ON sb.id = b.id GROUP BY a.id, b.id),
+se AS (SELECT percent, early, late, CAST(x AS DOUBLE) / (sa.n + sb.n - x) AS similarity FROM sx JOIN so sa ON sa.id = early JOIN so sb ON sb.id = late JOIN lv ON 100 * x >= percent * (sa.n + sb.n - x))""",
+        "cosine": "se AS (SELECT percent, early, late, similarity FROM links JOIN lv ON similarity >= percent / 100e0)",
+    }[metric]
     return f"""lv AS (SELECT unnest([{percents}]) AS percent),
-so AS (SELECT id, n, row_number() OVER (ORDER BY id) AS i FROM {sets}),
-sx AS (SELECT a.id AS early, b.id AS late, count(*) AS x FROM fp a JOIN so sa ON sa.id = a.id JOIN fp b ON a.kc = b.kc AND a.id < b.id JOIN so sb ON sb.id = b.id GROUP BY a.id, b.id),
-se AS (SELECT percent, early, late, CAST(x AS DOUBLE) / (sa.n + sb.n - x) AS similarity FROM sx JOIN so sa ON sa.id = early JOIN so sb ON sb.id = late JOIN lv ON 100 * x >= percent * (sa.n + sb.n - x)),
+so AS (SELECT *, row_number() OVER (ORDER BY id) AS i FROM {sets}),
+{links},
 nbr AS (SELECT percent, late, list(early) AS near FROM se GROUP BY percent, late),
 walk AS (SELECT percent, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS ex FROM lv
   UNION ALL SELECT walk.percent, so.i, CASE WHEN list_has_any(walk.ex, coalesce(near, [])) THEN walk.ex ELSE list_append(walk.ex, so.id) END
@@ -156,6 +160,17 @@ mem AS (SELECT percent, late AS id, early AS leader FROM (SELECT se.*, row_numbe
 led AS (SELECT lv.percent, so.id, CASE WHEN exm.id IS NOT NULL THEN so.id ELSE mem.leader END AS leader FROM so JOIN lv ON true LEFT JOIN exm ON exm.percent = lv.percent AND exm.id = so.id LEFT JOIN mem ON mem.percent = lv.percent AND mem.id = so.id)"""
 
 
+#: tf-idf of documents over the most frequent terms of train, and pairs of a cosine of 0.5 or more.
+LINKS = f"""{DOCS},
+{WEIGHTS},
+voc AS (SELECT term, row_number() OVER (ORDER BY sum(tf) DESC, term) - 1 AS pn FROM tf_train GROUP BY term QUALIFY pn < 4096),
+wv AS (SELECT id, pn, w FROM w JOIN voc USING (term)),
+{norm("wv", "tv")},
+tn AS (SELECT id, sqrt(CAST(sum(v * v) AS DOUBLE)) AS norm FROM tv GROUP BY id),
+td AS (SELECT a.id AS early, b.id AS late, CAST(sum(a.v * b.v) AS DOUBLE) AS dot FROM tv a JOIN tv b ON a.pn = b.pn AND a.id < b.id GROUP BY a.id, b.id),
+links AS (SELECT early, late, dot / (a.norm * b.norm) AS similarity FROM td JOIN tn a ON a.id = early JOIN tn b ON b.id = late WHERE dot / (a.norm * b.norm) >= 0.5e0)"""
+
+
 CLUSTERS = f"""cells AS (SELECT percent, leader, family, count(*) AS n FROM led JOIN docs USING (id) GROUP BY ALL),
 cl AS (SELECT percent, leader, sum(n) AS size, max(n) AS top, sum(n * (n - 1) / 2) AS same, count(*) AS kinds FROM cells GROUP BY ALL),
 cm AS (SELECT percent, CAST(sum(size) AS BIGINT) AS n_rows, count(*) AS clusters, sum(top) AS pure, CAST(sum(size * (size - 1) / 2) AS BIGINT) AS pairs, CAST(sum(same) AS BIGINT) AS same, sum(CASE WHEN kinds > 1 THEN 1 ELSE 0 END) AS mixed FROM cl GROUP BY percent),
@@ -260,14 +275,19 @@ SELECT CAST(epoch(TIMESTAMP '2026-01-01 00:00:00') AS BIGINT) + id * 420 + {draw
   CASE WHEN {draw("noise", 1000)} < 70 THEN {pick(VERDICTS, draw("verdict", 3))} ELSE usual END AS verdict, family, is_unseen FROM c"""
 
 
+#: The thresholds of a sweep.
+FIFTY = ", ".join(map(str, range(50, 100)))
+
+
 def calibrated() -> str:
-    """The best threshold of the whole fingerprints and of their lower half, side by side."""
+    """The best threshold of the whole fingerprints, of their lower half and of the vectors, side by side."""
     rank = "row_number() OVER (ORDER BY false_merge_rate <= 0.01e0 DESC, CASE WHEN false_merge_rate <= 0.01e0 THEN reduction END DESC NULLS LAST, CASE WHEN false_merge_rate > 0.01e0 THEN false_merge_rate END ASC NULLS LAST, percent DESC)"
     pick = f"SELECT percent, clusters, false_merge_rate, CASE WHEN false_merge_rate <= 0.01e0 THEN 'within_budget' ELSE 'budget_not_met' END AS status FROM (SELECT *, {rank} AS k FROM cr) WHERE k = 1"
     whole = ctes(PRINTS, leaders("sz", "60, 75"), CLUSTERS) + pick
     lower = PRINTS.replace("fp AS (", "fp0 AS (").replace("sz AS (", "fp AS (SELECT * FROM fp0 WHERE kc < 256),\nsz AS (")
     half = ctes(lower, leaders("sz", "60, 75"), CLUSTERS) + pick
-    return f"SELECT 'whole' AS representation, * FROM ({whole}) UNION ALL SELECT 'half', * FROM ({half})"
+    vector = ctes(LINKS, leaders("docs", "60, 75", "cosine"), CLUSTERS) + pick
+    return f"SELECT 'whole' AS representation, 'jaccard' AS metric, * FROM ({whole}) UNION ALL SELECT 'half', 'jaccard', * FROM ({half}) UNION ALL SELECT 'vector', 'cosine', * FROM ({vector})"
 
 
 SQL: dict[str, str] = {
@@ -349,10 +369,12 @@ SQL: dict[str, str] = {
         "lr AS (SELECT query, avg(lrd) AS around FROM eq JOIN ld USING (ref) GROUP BY query)") + "SELECT query, round(around / lrd, 6) AS lof FROM lr JOIN lq USING (query)",
     "dedup_leader": ctes(PRINTS, leaders("sz", "75")) + "SELECT id, leader FROM led",
     "dedup_documents": ctes(PRINTS, "szt AS (SELECT * FROM sz WHERE split = 'test')", leaders("szt", "50")) + "SELECT leader, count(*) AS size, min(id) AS first_id, max(id) AS last_id FROM led GROUP BY leader",
-    "dedup_sweep": ctes(PRINTS, leaders("sz", "50, 60, 75, 90"), CLUSTERS) + f"SELECT percent, {CLUSTER_COLS} FROM cr",
-    "dedup_select": ctes(PRINTS, leaders("sz", "50, 60, 75, 90"), CLUSTERS) + f"SELECT percent, {CLUSTER_COLS}, CASE WHEN cr.false_merge_rate <= 0.01e0 THEN 'within_budget' ELSE 'budget_not_met' END AS status FROM cr ORDER BY cr.false_merge_rate <= 0.01e0 DESC, CASE WHEN cr.false_merge_rate <= 0.01e0 THEN cr.reduction END DESC NULLS LAST, CASE WHEN cr.false_merge_rate > 0.01e0 THEN cr.false_merge_rate END ASC NULLS LAST, percent DESC LIMIT 1",
-    "dedup_calibrate": f"SELECT representation, percent, clusters, round(false_merge_rate, 6) AS false_merge_rate, status FROM ({calibrated()})",
-    "threshold_resolve": f"SELECT w.representation, CAST(coalesce(c.percent / 100e0, 0.75e0) AS DOUBLE) AS threshold, CASE WHEN c.percent IS NULL THEN 'fallback' ELSE 'calibrated' END AS source FROM (SELECT unnest(['half', 'whole', 'other']) AS representation) w LEFT JOIN (SELECT * FROM ({calibrated()}) WHERE status = 'within_budget') c USING (representation)",
+    "dedup_sweep": ctes(PRINTS, leaders("sz", FIFTY), CLUSTERS) + f"SELECT percent, {CLUSTER_COLS} FROM cr",
+    "dedup_select": ctes(PRINTS, leaders("sz", FIFTY), CLUSTERS) + f"SELECT percent, {CLUSTER_COLS}, CASE WHEN cr.false_merge_rate <= 0.01e0 THEN 'within_budget' ELSE 'budget_not_met' END AS status FROM cr ORDER BY cr.false_merge_rate <= 0.01e0 DESC, CASE WHEN cr.false_merge_rate <= 0.01e0 THEN cr.reduction END DESC NULLS LAST, CASE WHEN cr.false_merge_rate > 0.01e0 THEN cr.false_merge_rate END ASC NULLS LAST, percent DESC LIMIT 1",
+    "dedup_leader_cosine": ctes(LINKS, leaders("docs", "75", "cosine")) + "SELECT id, leader FROM led",
+    "cosine_links": ctes(LINKS) + "SELECT early, late, round(similarity, 6) AS similarity FROM links WHERE similarity >= 0.75e0",
+    "dedup_calibrate": f"SELECT representation, metric, percent, clusters, round(false_merge_rate, 6) AS false_merge_rate, status FROM ({calibrated()})",
+    "threshold_resolve": f"SELECT w.representation, CAST(coalesce(c.percent / 100e0, 0.75e0) AS DOUBLE) AS threshold, CASE WHEN c.percent IS NULL THEN 'fallback' ELSE 'calibrated' END AS source FROM (SELECT unnest(['half', 'whole', 'vector', 'other']) AS representation) w LEFT JOIN (SELECT * FROM ({calibrated()}) WHERE status = 'within_budget') c USING (representation)",
     "cluster_metrics": ctes(PRINTS, leaders("sz", "75"), CLUSTERS) + f"SELECT {CLUSTER_COLS} FROM cr",
     "confusion": ctes(PREDICTED) + "SELECT actual, predicted, n FROM conf",
     "class_report": ctes(PREDICTED) + f"SELECT label, {six('precision', 'recall', 'f1')}, support FROM rep",

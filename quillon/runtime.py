@@ -119,6 +119,12 @@ def kept():
         _scratch[:] = held
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of few files over all cores: what has fewer partitions than there are cores is dealt out evenly, a larger one stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 class Staged:
     """Tables written to the shared folder: they cut lineage and outlive a lost executor."""
 

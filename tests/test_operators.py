@@ -382,3 +382,149 @@ def test_measured_modes(spark):
     assert got == {"binary": {0: 1.0, 1: 1.0}, "synapse": {0: 3.0, 1: 1.0}, "column_normalized": {0: 0.75, 1: 0.25}}
     with pytest.raises(ValueError):
         encode.measured_projection(edges, "other")
+
+
+def vectors_brute(rows, least):
+    """All pairs of a cosine of at least ``least``, and the similarities of all."""
+    m = np.zeros((len(rows), 1 + max((s for _, slots, _ in rows for s in slots), default=0)))
+    for i, (_, slots, values) in enumerate(rows):
+        m[i, slots] = values
+    size = np.sqrt((m * m).sum(1))
+    scale = size[:, None] * size[None, :]
+    cosine = np.divide(m @ m.T, scale, out=np.zeros_like(scale), where=scale > 0)
+    ids = [r[0] for r in rows]
+    return {(ids[a], ids[b]): cosine[a, b] for a in range(len(rows)) for b in range(len(rows)) if ids[a] < ids[b] and cosine[a, b] >= least}, cosine
+
+
+def made_vectors(seed, n=160, signed=True):
+    """Near copies of a few vectors, scaled copies, equal rows, rows of one slot, rows without values and negative values."""
+    rng = np.random.default_rng(seed)
+    roots = [(np.sort(rng.choice(400, 25, replace=False)), rng.integers(1, 1000, 25)) for _ in range(12)]
+    rows = []
+    for i in range(n):
+        slots, values = roots[rng.integers(len(roots))]
+        kind = rng.integers(8)
+        if kind == 0:
+            slots, values = np.array([], int), np.array([], int)
+        elif kind == 1:
+            slots, values = slots[:1], values[:1]
+        elif kind == 2:
+            values = values * 3
+        elif kind < 7:
+            keep = rng.random(len(slots)) < 0.9
+            extra = np.setdiff1d(rng.integers(0, 400, 4), slots)
+            slots = np.concatenate([slots[keep], extra])
+            values = np.concatenate([values[keep] + rng.integers(0, 200, keep.sum()), rng.integers(1, 600, len(extra))])
+            if signed:
+                values = values * rng.choice([1, 1, 1, -1], len(values))
+            by = np.argsort(slots)
+            slots, values = slots[by], values[by]
+        rows.append((i * 3 + 7, slots.tolist(), values.astype(float).tolist()))
+    return rows
+
+
+VECTOR = "id long, slots array<bigint>, values array<double>"
+
+
+@pytest.mark.parametrize("percent", [30, 75, 95, 100])
+def test_similar_vectors_equal_all_pairs(spark, percent):
+    rows = made_vectors(percent)
+    want, _ = vectors_brute(rows, percent / 100)
+    got = {(r["early"], r["late"]): r["similarity"] for r in dedup.similar_vectors(spark.createDataFrame(rows, VECTOR), percent).collect()}
+    # Pairs that sit on the limit up to the last bit may fall on either side of it.
+    sure, _ = vectors_brute(rows, percent / 100 + 1e-12)
+    assert set(sure) <= set(got) and all(s >= percent / 100 - 1e-12 for s in got.values())
+    assert all(got[p] == pytest.approx(want[p], abs=1e-12) for p in set(got) & set(want)) and (percent == 100 or set(got) == set(want))
+    if percent == 75:
+        assert want
+
+
+def test_candidates_are_far_fewer_than_all_pairs(spark):
+    rows = made_vectors(5, 400, signed=False)
+    frame = spark.createDataFrame(rows, VECTOR)
+    pairs, links = len(rows) * (len(rows) - 1) // 2, len(vectors_brute(rows, 0.9)[0])
+    candidates = dedup.vector_candidates(frame, 90).count()
+    assert links <= candidates < pairs / 5 and dedup.vector_candidates(frame.limit(0), 90).count() == 0
+
+
+def sequential(ids, similarity, least):
+    """The rule as it reads: a walk in row order."""
+    heads, out = [], {}
+    for i, key in enumerate(ids):
+        near = max(((similarity[i, h], -n) for n, h in enumerate(heads)), default=(-1, 0))
+        if near[0] >= least:
+            out[key] = ids[heads[-near[1]]]
+        else:
+            heads.append(i)
+            out[key] = key
+    return out
+
+
+def test_cosine_leaders_equal_the_sequential_rule(spark):
+    rows = made_vectors(9, 200, signed=False)
+    _, cosine = vectors_brute(rows, 0)
+    # Equal vectors are one class; elsewhere no similarity lies on a limit.
+    cosine = np.where(cosine > 1 - 1e-12, 1.0, cosine)
+    frame = spark.createDataFrame(rows, VECTOR)
+    percents = [60, 75, 90]
+    got = {}
+    for r in dedup.leader_clusters_cosine(frame, percents).collect():
+        got.setdefault(r["percent"], {})[r["id"]] = r["leader"]
+    for p in percents:
+        assert got[p] == sequential([r[0] for r in rows], cosine, p / 100)
+
+
+def test_all_fifty_thresholds(spark):
+    """Clusters and their metrics at every default threshold, by a walk in row order."""
+    rng = np.random.default_rng(2)
+    roots = [rng.choice(60, 16, replace=False) for _ in range(9)]
+    rows = []
+    for i in range(120):
+        root = roots[rng.integers(9)]
+        rows.append((i, sorted({int(x) if rng.random() < 0.85 else int(rng.integers(60)) for x in root})))
+    m = np.zeros((120, 60))
+    for i, s in rows:
+        m[i, s] = 1
+    shared = m @ m.T
+    jaccard = shared / (m.sum(1)[:, None] + m.sum(1)[None, :] - shared)
+    families = [("a", "b", "c")[i % 3] for i in range(120)]
+    swept = {r["percent"]: r for r in dedup.sweep(spark.createDataFrame(rows, "id long, kcs array<bigint>"), spark.createDataFrame(list(enumerate(families)), "id long, family string")).collect()}
+    assert sorted(swept) == list(range(50, 100))
+    for p, row in swept.items():
+        groups = {}
+        for i, leader in sequential(list(range(120)), jaccard, p / 100).items():
+            groups.setdefault(leader, []).append(families[i])
+        pairs = sum(len(g) * (len(g) - 1) // 2 for g in groups.values())
+        false = pairs - sum(g.count(f) * (g.count(f) - 1) // 2 for g in groups.values() for f in "abc")
+        assert (row["clusters"], row["pairs"], row["false_pairs"]) == (len(groups), pairs, false)
+        assert row["reduction"] == pytest.approx(1 - len(groups) / 120)
+
+
+def test_calibration_is_by_representation_and_metric(spark):
+    sets = spark.createDataFrame([(0, [1, 2, 3, 4]), (1, [1, 2, 3, 5]), (2, [9])], "id long, kcs array<bigint>")
+    rows = spark.createDataFrame([(0, [1], [5.0]), (1, [1], [7.0]), (2, [1, 2], [3.0, 4.0])], VECTOR)
+    families = spark.createDataFrame([(0, "a"), (1, "a"), (2, "b")], "id long, family string")
+    out = dedup.calibrate({"print": {"jaccard": sets}, "vector": {"cosine": rows}}, families, [50, 60, 90], 0.0)
+    got = {(r["representation"], r["metric"]): (r["percent"], r["clusters"], r["status"]) for r in out.collect()}
+    # Three of five shared: together at 0.6. Parallel vectors are together at any threshold, the third (cosine 0.6) only up to 0.6.
+    assert got == {("print", "jaccard"): (60, 2, "within_budget"), ("vector", "cosine"): (90, 2, "within_budget")}
+    for wrong, budget in (({}, 0.1), ({"x": {}}, 0.1), ({"x": {"dot": sets}}, 0.1), ({"x": {"jaccard": sets}}, 1.5)):
+        with pytest.raises(ValueError):
+            dedup.calibrate(wrong, families, [50], budget)
+
+
+@pytest.mark.parametrize(("metric", "k"), [("jaccard", 7), ("dot", 5), ("hamming", 400)])
+def test_nearest_over_several_blocks(spark, monkeypatch, metric, k):
+    """Blocks and dense pieces much smaller than the input, ties everywhere."""
+    for name, value in (("BLOCK_BYTES", 6000), ("QUERY_ROWS", 7), ("REFERENCE_ROWS", 11)):
+        monkeypatch.setattr(search, name, value)
+    rng = np.random.default_rng(3)
+    m = (rng.random((150, 12)) < 0.3).astype(float) * (rng.integers(1, 4, (150, 12)) if metric == "dot" else 1)
+    rows = spark.createDataFrame([(i, np.flatnonzero(r).tolist(), r[r > 0].tolist()) for i, r in enumerate(m)], VECTOR)
+    some = rows.where("id % 3 = 0")
+    want = search._block_scores(m, m, metric, 12)
+    got = {(r["query"], r["rank"]): (r["ref"], r["similarity"]) for r in search.nearest(some, rows, k, metric, 12, skip_self=True).collect()}
+    for q in range(0, 150, 3):
+        order = sorted((r for r in range(150) if r != q), key=lambda r: (-np.clip(want[q, r], 0, 1), r))[:k]
+        assert [got[q, n + 1] for n in range(len(order))] == [(r, pytest.approx(np.clip(want[q, r], 0, 1))) for r in order]
+    assert len(got) == 50 * min(k, 149)
