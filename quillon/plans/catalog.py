@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import cyclic, port_value, portable_hash, position, valid_port
 from ..functions import clean_text as clean
 from ..functions import tokens as words
-from ..operators import classify, dedup, encode, features, graph, memory, metrics, novelty, search
+from ..operators import classify, dedup, encode, features, graph, memory, metrics, novelty, one_class, search
 from ..operators import split as parts
 from ..runtime import cut
 from ..sources import files, synthetic, table
@@ -554,8 +554,8 @@ def isolation_forest(spark, d):
 def ocsvm_scores(spark, d):
     """Scores of what is not train, and flags above the percentile of validation."""
     train, rest = _embedding_parts(spark, d)
-    model = novelty.OneClassSvm(novelty.bounded_sample(train, novelty.SVM_ROWS))
-    score = lambda rows: novelty.model_scores(rows, model).withColumnRenamed("id", "query")
+    model = one_class.one_class_svm(train)
+    score = lambda rows: model.scores(rows).withColumnRenamed("id", "query")
     return rounded(novelty.flagged(score(rest), score(rest.where("split = 'validation'"))).withColumnRenamed("query", "id"))
 
 

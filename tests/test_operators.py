@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quillon import config
 from quillon.functions import clean_text, position, softmax, tokens
-from quillon.operators import classify, dedup, encode, features, graph, memory, metrics, novelty, search
+from quillon.operators import classify, dedup, encode, features, graph, memory, metrics, novelty, one_class, search
 from quillon.operators import split as parts
 from quillon.sources import files, synthetic
 
@@ -214,7 +214,8 @@ def test_isolation_forest_and_one_class_svm_rank_an_outlier_first(spark):
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
     forest = novelty.isolation_forest(rows, 50, 64)
     assert forest.score(far).argmax() == 5 and all(t[0, 4] == 64 for t in forest.trees)
-    assert novelty.OneClassSvm(x, 0.05).score(far).argmax() == 5
+    tested = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(far)], "id long, x array<double>")
+    assert one_class.one_class_svm(rows, 0.05).scores(tested).orderBy(F.desc("score")).first()["id"] == 5
 
 
 def test_settings():
@@ -269,18 +270,37 @@ def test_forest_scores_by_walking_each_tree(spark):
     assert forest.score(x[:20]).tolist() == pytest.approx(want)
 
 
-def test_one_class_svm_meets_its_conditions():
-    x = np.random.default_rng(3).normal(size=(150, 3))
-    nu = 0.1
-    model = novelty.OneClassSvm(x, nu)
-    top = 1 / (nu * len(x))
-    assert model.a.sum() == pytest.approx(1) and model.a.max() <= top + 1e-12
-    score = model.score(x)
-    support = {tuple(r): a for r, a in zip(model.rows.tolist(), model.a.tolist())}
-    for row, s in zip(x.tolist(), score.tolist()):
-        a = support.get(tuple(row), 0.0)
-        assert s < 1e-5 if a == 0 else s > -1e-5 if a > top - 1e-9 else abs(s) < 1e-5
-    assert (score > 1e-5).mean() <= nu <= len(model.a) / len(x)
+@pytest.mark.parametrize(("n", "nu", "working"), [(150, 0.1, 1000), (700, 0.3, 16), (20_000, 0.01, 1000), (5, 0.01, 1000), (4, 1.0, 2)])
+def test_one_class_svm_meets_its_conditions(spark, monkeypatch, n, nu, working):
+    """Over all rows: weights within their bounds and of sum one, and gradients on the right side of the offset."""
+    monkeypatch.setattr(one_class, "WORKING_ROWS", working)
+    if n == 700:  # the support is summed block by block
+        monkeypatch.setattr(one_class, "SUPPORT_BYTES", 2000)
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(size=(n - n // 10, 3)), rng.normal(3, 0.2, (n // 10, 3))])
+    rows = spark.createDataFrame([(i * 5, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    model = one_class.one_class_svm(rows, nu)
+    top, weight = 1 / max(1, nu * n), {r["id"]: r["a"] for r in model.support.collect()}
+    assert model.gap <= 1e-6 and sum(weight.values()) == pytest.approx(1) and max(weight.values()) <= top * (1 + 1e-9)
+    score = {r["id"]: r["score"] for r in model.scores(rows).collect()}
+    assert len(score) == n and model.gamma == pytest.approx(1 / (3 * x.var()))
+    # Scores by brute force.
+    support = x[np.array(sorted(weight)) // 5]
+    ids = rng.choice(n, min(n, 50), replace=False)
+    want = model.rho - one_class.rbf(x[ids], support, model.gamma) @ np.array([weight[i] for i in sorted(weight)])
+    assert [score[5 * i] for i in ids.tolist()] == pytest.approx(want.tolist(), abs=1e-9)
+    for i, s in score.items():
+        a = weight.get(i, 0.0)
+        assert s < 1e-5 if a == 0 else s > -1e-5 if a > top * (1 - 1e-9) else abs(s) < 1e-5
+    assert np.mean([s > 1e-5 for s in score.values()]) <= max(nu, 1 / n) and len(weight) >= int(nu * n)
+
+
+def test_one_class_svm_refuses(spark):
+    rows = spark.createDataFrame([(1, [1.0])], "id long, x array<double>")
+    with pytest.raises(ValueError):
+        one_class.one_class_svm(rows, 0)
+    with pytest.raises(ValueError):
+        one_class.one_class_svm(rows.limit(0))
 
 
 def test_logistic_regression_is_at_its_optimum(spark):
