@@ -121,7 +121,13 @@ def _cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def remove_units(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the removed spans cut out of their texts; ids must be unique here."""
+    """``docs`` with the removed spans cut out of their texts.
+
+    Spans name their text by its id alone, so rows that repeat an id (or have none, more than one of them) are an error: the
+    spans of one text would cut another.
+    """
+    if not docs.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        raise ValueError("ids must be unique where units are cut out")
     spans = removed.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("__spans"))
     joined = docs.join(spans.withColumnRenamed("key", "__key"), F.col(id_col).eqNullSafe(F.col("__key")), "left").drop("__key")
     names = list(docs.columns)

@@ -1,7 +1,9 @@
 """Exact substring dedup with prefix-free parsing: every byte covered by an earlier 100-byte string goes.
 
 A byte is removed when it lies in a string of ``LENGTH`` bytes, within one document, that also starts earlier
-(in a document with a smaller id, or earlier in the same one). Strings are judged on the input.
+(in a document with a smaller id, or earlier in the same one). Strings are judged on the input. A document is an id with a
+text: where an id has several texts (or several texts have none), they are documents of their own, in the order of their
+SHA-256, and are numbered in that order before they are parsed.
 
 Parsing. A rolling hash of ``GRAM`` bytes runs over the text; the position with the smallest hash (the last
 of equals) among the grams of a string is its trigger. Every string has one, and equal strings have it at the
@@ -26,7 +28,7 @@ that very many documents share) is not sorted in one task: its phrases are parte
 first occurrence of each part is found by a key aggregation over its MD5. Joins are plain equi-joins, which adaptive execution splits where a key is hot.
 
 Defined results. A null text has no bytes. Ids are whole numbers; a null id ranks last. Rows that repeat id
-and text are one document and don't repeat each other; ids are taken as unique otherwise. Texts shorter than
+and text are one document and don't repeat each other. Texts shorter than
 ``LENGTH`` lose nothing. A very long text is parsed in pieces, fetched and cut as one row. Extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -279,6 +281,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     stage = Staged(spark)
     source = docs.select(F.col(id_col).cast("long").alias("key"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), text_or_empty(text_col).alias("text"))
+    if not source.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        source = _numbered(source, stage)
     texts = source.select("doc", "text")
     phrases = texts.mapInArrow(_parse_rows, "g long, c long, doc long, place long, head boolean")
     # Triggers that occur again: their first occurrence, and whether all their phrases are alike.
@@ -320,6 +324,29 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return joined.mapInArrow(_finish, "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:bigint,stop:bigint>>")
 
 
+def _numbered(source: DataFrame, stage: Staged) -> DataFrame:
+    """``key, doc, text`` with ``doc`` the place of (id, text) among all that differ, ids in order and null last.
+
+    Ids with the digests of their texts are sorted by ranges; only the sizes of the ranges come to the driver.
+    """
+    spark = source.sparkSession
+    named = source.select("key", "text", F.sha2("text", 256).alias("digest"))
+    order = (F.col("key").isNull(), F.col("key"), F.col("digest"))
+    ranges = named.select("key", "digest").distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+    # The number of a row is its task's number and its place in the task.
+    ranges = stage.write(ranges.select("key", "digest", F.monotonically_increasing_id().alias("at")), "suffix-rows")
+    task = F.call_function("shiftright", F.col("at"), F.lit(33))
+    sizes = sorted((r["task"], r["n"]) for r in ranges.groupBy(task.alias("task")).agg(F.count("*").alias("n")).collect())
+    before, n = [], 0
+    for t, size in sizes:
+        before.append((t, n))
+        n += size
+    before = spark.createDataFrame(before, "task long, before long")
+    places = ranges.withColumn("task", task).join(F.broadcast(before), "task").select("key", "digest", (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))).alias("doc"))
+    both = (named["key"].eqNullSafe(places["key"])) & (named["digest"] == places["digest"])
+    return stage.write(named.join(places, both).select(named["key"], places["doc"], named["text"]), "suffix-documents")
+
+
 def parted(phrases: DataFrame) -> DataFrame:
     """``doc, place`` of the parts of phrases (strings next to each other) that also stand earlier as a whole.
 

@@ -217,6 +217,40 @@ def spans_brute(rows, length=100):
     return out
 
 
+def spans_counted(rows, length=100):
+    """Rows with ids that repeat, or without: documents are (id, text), of one id in the order of the text's digest."""
+    seen, out = set(), {}
+    for key, text in sorted({(r[0], r[1] or "") for r in rows}, key=lambda r: (r[0] is None, r[0] or 0, hashlib.sha256(r[1].encode()).hexdigest())):
+        b = text.encode()
+        cover = bytearray(len(b))
+        for p in range(len(b) - length + 1):
+            if b[p : p + length] in seen:
+                cover[p : p + length] = b"\1" * length
+            seen.add(b[p : p + length])
+        out[key, text] = (key, len(b), sum(cover), len(re.findall(b"\1+", bytes(cover))), hashlib.sha256(bytes(x for x, c in zip(b, cover) if not c)).hexdigest())
+    return Counter(out[r[0], r[1] or ""] for r in rows)
+
+
+def test_texts_without_ids_or_of_one_id_keep_what_is_unique(spark):
+    rng = random.Random(11)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    passage = words(40)
+    texts = [passage + words(5), words(60), None, "", passage, words(3) + passage + passage, words(60)]
+    rows = [(key, t, None, None, None) for key in (None, 7, 3) for t in texts] + [(None, texts[1], None, None, None), (1, words(50), None, None, None), (suffixes.LAST, passage, None, None, None), (-5, words(30) + passage, None, None, None)]
+    for some in (rows, rows[:2], rows[7:9]):
+        got = suffixes.repeated_spans(spark.createDataFrame(some, SCHEMA).repartition(4)).collect()
+        assert Counter((r["key"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == spans_counted(some)
+    # As in any table, nothing of a text that stands alone goes.
+    assert all(r["n_removed"] == 0 for r in suffixes.repeated_spans(spark.createDataFrame(rows[:2], SCHEMA)).collect())
+
+
+def test_units_are_not_cut_by_ids_that_repeat(spark):
+    for key in (None, 4):
+        df = spark.createDataFrame([(key, "a b c d e f g h", None, None, None), (key, "another text", None, None, None)], SCHEMA)
+        with pytest.raises(ValueError):
+            lines.remove_units(df, lines.repeated_units(df))
+
+
 def spans_of(df):
     return {r["key"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.repeated_spans(df).collect()}
 
