@@ -548,3 +548,39 @@ def test_nearest_over_several_blocks(spark, monkeypatch, metric, k):
         order = sorted((r for r in range(150) if r != q), key=lambda r: (-np.clip(want[q, r], 0, 1), r))[:k]
         assert [got[q, n + 1] for n in range(len(order))] == [(r, pytest.approx(np.clip(want[q, r], 0, 1))) for r in order]
     assert len(got) == 50 * min(k, 149)
+
+
+@pytest.mark.parametrize("ranges", [1, 4, 256])
+def test_curves_equal_all_pairs_of_scores(spark, monkeypatch, ranges):
+    """Areas by comparing every positive with every negative, precision by walking down the scores; groups, ties, null keys, one class."""
+    monkeypatch.setattr(metrics, "RANGES", ranges)
+    rng = np.random.default_rng(ranges)
+    rows = [(g, float(rng.integers(0, 40)) / 7 - 2, int(rng.random() < 0.3)) for g in ("a", "b", None) for _ in range(300)] + [("one", 0.5, 1), ("one", 0.7, 1), ("none", 0.1, 0)]
+    frame = spark.createDataFrame(rows, "g string, score double, truth int")
+
+    def brute(some):
+        pos, neg = [s for s, t in some if t], [s for s, t in some if not t]
+        if not pos or not neg:
+            return None, None
+        area = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / len(pos) / len(neg)
+        ap, tp, n = 0.0, 0, 0
+        for s in sorted({s for s, _ in some}, reverse=True):
+            step = pos.count(s)
+            tp, n = tp + step, n + step + neg.count(s)
+            ap += step * tp / n
+        return area, ap / len(pos)
+
+    got = {r["g"]: (r["auroc"], r["ap"]) for r in metrics.curves(frame, by=("g",)).collect()}
+    want = {g: brute([(s, t) for x, s, t in rows if x == g]) for g in {r[0] for r in rows}}
+    assert got.keys() == want.keys() and all(got[g] == pytest.approx(want[g]) if want[g][0] is not None else got[g] == want[g] for g in want)
+    row = metrics.curves(frame).first()
+    assert (row["auroc"], row["ap"]) == pytest.approx(brute([(s, t) for _, s, t in rows]))
+    assert metrics.auroc(frame.limit(0), by=("g",)).collect() == []
+    plan = metrics.auroc(frame)._jdf.queryExecution().executedPlan().toString()
+    assert "Window [" not in plan or "hashpartitioning(part" in plan
+
+
+def test_too_many_labels_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "MOST_LABELS", 2)
+    with pytest.raises(ValueError):
+        metrics.confusion(spark.createDataFrame([("a", "b"), ("c", "a")], "actual string, predicted string"))
