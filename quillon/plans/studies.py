@@ -1,17 +1,16 @@
-"""Studies over fitted models: seeds, latencies, representations, and a second look at saved evaluations."""
+"""Studies over fitted models: seeds, latencies and representations."""
 
 from __future__ import annotations
 
 import time
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import config
 from ..operators import metrics, novelty, search
 from ..runtime import cut
-from ..sources.files import safe_name
 from . import pipeline
 
 
@@ -65,35 +64,3 @@ def seed_sweep(alerts: DataFrame, settings: dict[str, Any] | None = None) -> Dat
         out += [(seed, name, float(value)) for name, value in found.items() if value is not None]
     values = rows.sparkSession.createDataFrame(out, "seed long, metric string, value double")
     return metrics.by_seed(values, "metric", "value").orderBy("metric")
-
-
-def recomputed(spark: SparkSession, folder: str, run: str) -> dict[str, float]:
-    """Largest difference between a saved evaluation's metrics and those recomputed from its saved predictions, by table."""
-    at = f"{folder}/{safe_name(run)}/evaluation"
-    table = lambda name: spark.read.parquet(f"{at}/{name}")
-    history = spark.read.parquet(f"{folder}/{run}/history")
-    out = {}
-
-    def worst(saved: DataFrame, again: DataFrame, key: list[str]) -> float:
-        numbers = [c for c, t in again.dtypes if t in ("double", "bigint", "int") and c not in key]
-        both = saved.select(*key, *numbers).join(again.select(*key, *[F.col(c).alias(f"__{c}") for c in numbers]), key, "full_outer")
-        gap = lambda c: F.when(F.col(c).isNull() != F.col(f"__{c}").isNull(), float("inf")).otherwise(F.coalesce(F.abs(F.col(c) - F.col(f"__{c}")), F.lit(0.0)))
-        return both.agg(F.max(F.greatest(*[gap(c) for c in numbers], F.lit(0.0)))).first()[0] or 0.0
-
-    scored = table("novelty")
-    limits = scored.where(F.col("is_novel") != (F.col("score") > F.col("threshold"))).count()
-    out["novelty flags that differ"] = float(limits)
-    splits = table("splits")
-    out["splits without a part"] = float(splits.where(~F.col("split").isin("train", "validation", "test") | F.col("split").isNull()).count())
-    best = table("classification").groupBy("classifier", "query").agg(F.max_by("label", F.struct("p", F.col("label"))).alias("predicted"))
-    if "actual" in table("classification").columns:
-        truth = table("classification").select("query", "actual").where("actual IS NOT NULL").distinct()
-        again = None
-        for (name,) in sorted(map(tuple, best.select("classifier").distinct().collect())):
-            one = metrics.macro_report(metrics.class_report(metrics.confusion(best.where(F.col("classifier") == name).join(truth, "query")))).withColumn("classifier", F.lit(name))
-            again = one if again is None else again.unionByName(one)
-        if again is not None:
-            out["classification_metrics"] = worst(table("classification_metrics"), again, ["classifier"])
-    outside = table("retrieval").join(history.select(F.col("id").alias("ref")), "ref", "left_anti").count()
-    out["neighbours outside the history"] = float(outside)
-    return out

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.plans import pipeline, studies
+from quillon.plans import evaluation, pipeline, studies
 from quillon.service import Graph, flat_record, handler
 from quillon.sources import arrays, synthetic
 
@@ -49,20 +49,54 @@ def test_one_row_of_history_is_an_error(spark, fitted):
 
 def test_evaluation_is_saved_and_recomputed(spark, tmp_path):
     alerts = synthetic.alerts(spark, 160).withColumn("id", F.substring("alert_id", 2, 8).cast("long"))
-    more = SMALL | {"novelty": {"baselines": {"enabled": True, "lof_neighbors": 5}}, "classification": {"forest_trees": 5, "logistic_max_iter": 20}}
+    more = SMALL | {"novelty": {"baselines": {"enabled": True, "lof_neighbors": 5}}, "classification": {"forest_trees": 5, "logistic_max_iter": 20}, "deduplication": {"thresholds": {"pn_cosine": 0.9}}}
     model = pipeline.train_and_score(alerts, more)[0]
     pipeline.save(model, str(tmp_path), "run")
-    tables = pipeline.evaluate(model, alerts)
-    pipeline.save_evaluation(tables, str(tmp_path), "run")
-    rates = {r["method"] for r in spark.read.parquet(str(tmp_path / "run/evaluation/novelty_metrics")).collect()}
-    assert rates == {"fingerprint", "vector", "lof", "isolation_forest", "ocsvm"}
-    assert set(studies.recomputed(spark, str(tmp_path), "run").values()) == {0.0}
+    tables = evaluation.evaluate(model, alerts)
+    evaluation.save_evaluation(tables, str(tmp_path), "run")
+    saved = lambda name: spark.read.parquet(str(tmp_path / f"run/evaluation/{name}"))
+    assert {r["method"] for r in saved("novelty_metrics").collect()} == {"fingerprint", "vector", "lof", "isolation_forest", "ocsvm"}
+    assert max(evaluation.recomputed(spark, str(tmp_path), "run").values()) < 1e-12
+    # Both representations in every table, by scope where the test part has known and unseen families.
+    for name in ("retrieval_metrics", "cluster_metrics", "classification_metrics", "class_metrics", "class_curves"):
+        assert {r["representation"] for r in saved(name).collect()} == {"fingerprint", "vector"}
+    scopes = {(r["part"], r["scope"]) for r in saved("classification_metrics").collect()}
+    assert {("validation", "all"), ("test", "all"), ("test", "known")} <= scopes <= {("validation", "all"), ("test", "all"), ("test", "known"), ("test", "unseen")}
+    n = {(r["part"], r["scope"]): r["n"] for r in saved("classification_metrics").where("representation = 'vector' AND classifier = 'knn'").collect()}
+    assert n["test", "all"] == n["test", "known"] + n.get(("test", "unseen"), 0) == saved("splits").where("split = 'test' AND verdict IS NOT NULL").count()
+    # Thresholds of a representation, and where they came from.
+    assert {(r["representation"], r["threshold"], r["threshold_source"]) for r in saved("cluster_metrics").collect()} == {("fingerprint", 0.75, "fallback"), ("vector", 0.9, "representation")}
+    # Another file is refused, also one of as many rows.
+    with pytest.raises(ValueError, match="trained on"):
+        evaluation.evaluate(model, alerts.withColumn("id", 159 - F.col("id")))
+    with pytest.raises(ValueError, match="trained on"):
+        evaluation.evaluate(model, alerts.withColumn("hostname", F.concat("hostname", F.lit("x"))))
     with pytest.raises(ValueError):
         pipeline.parted(alerts.withColumn("family", F.lit("vault_export")), model.settings)
     swept = {r["metric"]: r["n"] for r in studies.seed_sweep(alerts, more | {"experiments": {"seeds": [1, 2]}}).collect()}
     assert swept["threshold"] == 2 and studies.latency(model, alerts.limit(3), 2)["samples"] == 2
 
 
+def test_a_changed_evaluation_is_noticed(spark, fitted, tmp_path):
+    """Any table that was changed after it was saved shows up in a number that is not zero."""
+    model = fitted[0]
+    alerts = synthetic.alerts(spark, 120).withColumn("id", F.substring("alert_id", 2, 8).cast("long"))
+    pipeline.save(model, str(tmp_path), "run")
+    model.settings["classification"] |= {"forest_trees": 3, "logistic_max_iter": 5}
+    changes = {
+        "retrieval": (lambda df: df.withColumn("ref", F.when(F.col("rank") == 1, F.lit(10**9)).otherwise(F.col("ref"))), "neighbours outside the history"),
+        "novelty": (lambda df: df.withColumn("is_novel", ~F.col("is_novel")), "novelty flags that differ"),
+        "classification": (lambda df: df.withColumn("p", F.col("p") / 2), "probabilities that do not sum to one"),
+        "clusters": (lambda df: df.withColumn("leader", F.col("leader") + 1), "leaders that come later or lead nothing"),
+        "splits": (lambda df: df.withColumn("time", -F.col("time")), "parts out of the order of time"),
+        "class_curves": (lambda df: df.withColumn("auroc", F.lit(0.123)), "class_curves"),
+    }
+    tables = evaluation.evaluate(model, alerts)
+    evaluation.save_evaluation(tables | {name: change(tables[name]) for name, (change, _) in changes.items()}, str(tmp_path), "run")
+    wrong = evaluation.recomputed(spark, str(tmp_path), "run")
+    assert all(wrong[what] > 0 for _, what in changes.values()) and wrong["train rows that are not the history"] == 0
+
+
 def test_measured_weights_reach_the_units(spark):
     alerts = synthetic.alerts(spark, 100).withColumn("id", F.substring("alert_id", 2, 8).cast("long"))
     edges = spark.createDataFrame([(i % 20, (i * 7) % 30, 1.0 + i % 11) for i in range(140)], "pn long, kc long, w double").dropDuplicates(["pn", "kc"])
