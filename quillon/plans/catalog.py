@@ -14,8 +14,8 @@ from ..operators import classify, dedup, encode, features, graph, memory, metric
 from ..operators import split as parts
 from ..runtime import cut
 from ..sources import files, synthetic, table
+from . import evaluation, inspection
 from . import fixtures as fx
-from . import inspection
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -660,6 +660,25 @@ def macro_report(spark, d):
     return rounded(metrics.macro_report(metrics.class_report(metrics.confusion(_predicted(spark, d)))))
 
 
+@query
+def verdict_scopes(spark, d):
+    """Neighbours' verdicts by both representations: for all test rows, those of languages that train knows, and those of the held-out one."""
+    docs = cut(fx.documents(spark, d))
+    labels = docs.where("verdict IS NOT NULL").select("id", F.col("verdict").alias("label"))
+    unseen = F.col("family") == fx.HELD_OUT_LANG
+    known = docs.where((F.col("split") == "train") & ~unseen).select("id").join(labels, "id", "left_semi")
+    asked = docs.where("split = 'test'").select("id").join(labels, "id", "left_semi")
+    out = None
+    for name, rows, metric, width in (("fingerprint", fx.document_prints(docs), "cosine", fx.UNITS), ("vector", fx.document_terms(docs), "dot", fx.TERMS)):
+        found = cut(search.nearest(rows.join(asked, "id", "left_semi"), rows.join(known, "id", "left_semi"), 5, metric, width))
+        best = classify.best_class(classify.neighbour_votes(found, labels)).withColumn("representation", F.lit(name))
+        out = best if out is None else out.unionByName(best)
+    truth = docs.select(F.col("id").alias("query"), F.col("verdict").alias("actual"), unseen.alias("is_unseen"))
+    by = ("representation", "scope")
+    cells = evaluation.by_scope(out.join(truth, "query"), by[:1], ("actual", "predicted"))
+    return rounded(metrics.macro_report(metrics.class_report(metrics.confusion(cells, by=by, weight="n"), by), by))
+
+
 def _one_vs_rest(spark, d):
     names = ["TRUE_POSITIVE", "FALSE_POSITIVE", "BENIGN"]
     return _predicted(spark, d).select(F.explode(F.array(*[F.struct(F.lit(n).alias("label"), F.col(n).alias("score"), (F.col("actual") == n).cast("int").alias("truth")) for n in names])).alias("x")).select("x.*")

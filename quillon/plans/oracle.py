@@ -161,12 +161,13 @@ led AS (SELECT lv.percent, so.id, CASE WHEN exm.id IS NOT NULL THEN so.id ELSE m
 
 
 #: tf-idf of documents over the most frequent terms of train, and pairs of a cosine of 0.5 or more.
-LINKS = f"""{DOCS},
-{WEIGHTS},
-voc AS (SELECT term, row_number() OVER (ORDER BY sum(tf) DESC, term) - 1 AS pn FROM tf_train GROUP BY term QUALIFY pn < 4096),
+TERM_VECTORS = f"""voc AS (SELECT term, row_number() OVER (ORDER BY sum(tf) DESC, term) - 1 AS pn FROM tf_train GROUP BY term QUALIFY pn < 4096),
 wv AS (SELECT id, pn, w FROM w JOIN voc USING (term)),
 {norm("wv", "tv")},
-tn AS (SELECT id, sqrt(CAST(sum(v * v) AS DOUBLE)) AS norm FROM tv GROUP BY id),
+tn AS (SELECT id, sqrt(CAST(sum(v * v) AS DOUBLE)) AS norm FROM tv GROUP BY id)"""
+LINKS = f"""{DOCS},
+{WEIGHTS},
+{TERM_VECTORS},
 td AS (SELECT a.id AS early, b.id AS late, CAST(sum(a.v * b.v) AS DOUBLE) AS dot FROM tv a JOIN tv b ON a.pn = b.pn AND a.id < b.id GROUP BY a.id, b.id),
 links AS (SELECT early, late, dot / (a.norm * b.norm) AS similarity FROM td JOIN tn a ON a.id = early JOIN tn b ON b.id = late WHERE dot / (a.norm * b.norm) >= 0.5e0)"""
 
@@ -189,6 +190,22 @@ conf AS (SELECT a.label AS actual, b.label AS predicted, count(query) AS n FROM
 rep0 AS (SELECT label, sum(CASE WHEN actual = label THEN n ELSE 0 END) AS support, sum(CASE WHEN actual = label AND predicted = label THEN n ELSE 0 END) AS tp, sum(CASE WHEN predicted = label THEN n ELSE 0 END) AS claimed FROM lab JOIN conf ON true GROUP BY label),
 rep1 AS (SELECT label, {ratio('tp', 'claimed')} AS precision, {ratio('tp', 'support')} AS recall, CAST(support AS BIGINT) AS support FROM rep0),
 rep AS (SELECT label, precision, recall, {ratio('2 * precision * recall', 'precision + recall')} AS f1, support FROM rep1)"""
+#: Neighbours' verdicts by both representations, their confusion by scope, and the reports.
+SCOPES = f"""{PRINTS},
+{TERM_VECTORS},
+{knn("split = 'test' AND verdict IS NOT NULL", "split = 'train' AND verdict IS NOT NULL AND family <> 'es'", 5, "cosine", name="nf")},
+vdot AS (SELECT a.id AS q, b.id AS r, CAST(sum(a.v * b.v) AS DOUBLE) AS dot FROM tv a JOIN nf_q ON nf_q.id = a.id JOIN tv b ON a.pn = b.pn JOIN nf_r ON nf_r.id = b.id GROUP BY a.id, b.id),
+vsim AS (SELECT nf_q.id AS query, nf_r.id AS ref, least(1e0, coalesce(dot / (x.norm * y.norm), 0e0)) AS similarity FROM nf_q JOIN nf_r ON true LEFT JOIN vdot ON q = nf_q.id AND r = nf_r.id LEFT JOIN tn x ON x.id = nf_q.id LEFT JOIN tn y ON y.id = nf_r.id),
+near AS (SELECT 'fingerprint' AS representation, query, ref, similarity FROM nf UNION ALL SELECT 'vector', query, ref, similarity FROM vsim QUALIFY row_number() OVER (PARTITION BY query ORDER BY similarity DESC, ref) <= 5),
+sd AS (SELECT representation, query, verdict AS label, greatest(1 - similarity, 0e0) AS d FROM near JOIN docs ON docs.id = ref),
+sx2 AS (SELECT *, max(CASE WHEN d = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY representation, query) AS exact FROM sd),
+sv AS (SELECT representation, query, label, sum(CASE WHEN exact = 1 THEN CASE WHEN d = 0 THEN 1e0 ELSE 0e0 END ELSE 1 / d END) AS v FROM sx2 GROUP BY representation, query, label),
+sp2 AS (SELECT representation, query, arg_min(label, (-v, label)) AS predicted FROM sv GROUP BY representation, query),
+sr AS (SELECT representation, predicted, verdict AS actual, unnest(['all', CASE WHEN family = 'es' THEN 'unseen' ELSE 'known' END]) AS scope FROM sp2 JOIN docs ON docs.id = query),
+sl AS (SELECT representation, scope, actual AS label FROM sr UNION SELECT representation, scope, predicted FROM sr),
+sc2 AS (SELECT sl.representation, sl.scope, label, count(*) FILTER (actual = label) AS support, count(*) FILTER (actual = label AND predicted = label) AS tp, count(*) FILTER (predicted = label) AS claimed FROM sl JOIN sr ON sr.representation = sl.representation AND sr.scope = sl.scope GROUP BY ALL),
+sq AS (SELECT *, {ratio("tp", "claimed")} AS precision, {ratio("tp", "support")} AS recall FROM sc2),
+sf AS (SELECT *, {ratio("2 * precision * recall", "precision + recall")} AS f1 FROM sq)"""
 OVR = f"""{PREDICTED},
 cls AS (SELECT unnest(['TRUE_POSITIVE', 'FALSE_POSITIVE', 'BENIGN']) AS label),
 ovr AS (SELECT cls.label, coalesce(round(vote.p, 9), 0e0) AS score, CASE WHEN actual = cls.label THEN 1 ELSE 0 END AS truth FROM pr JOIN cls ON true LEFT JOIN vote ON vote.query = pr.query AND vote.label = cls.label)"""
@@ -379,6 +396,7 @@ SQL: dict[str, str] = {
     "confusion": ctes(PREDICTED) + "SELECT actual, predicted, n FROM conf",
     "class_report": ctes(PREDICTED) + f"SELECT label, {six('precision', 'recall', 'f1')}, support FROM rep",
     "macro_report": ctes(PREDICTED) + f"SELECT round({ratio('sum(recall * support)', 'sum(support)')}, 6) AS accuracy, round(avg(precision), 6) AS macro_precision, round(avg(recall), 6) AS macro_recall, round(avg(f1), 6) AS macro_f1, round({ratio('sum(precision * support)', 'sum(support)')}, 6) AS weighted_precision, round({ratio('sum(f1 * support)', 'sum(support)')}, 6) AS weighted_f1, CAST(sum(support) AS BIGINT) AS n FROM rep",
+    "verdict_scopes": ctes(SCOPES) + f"SELECT representation, scope, round({ratio('sum(recall * support)', 'sum(support)')}, 6) AS accuracy, round(avg(precision), 6) AS macro_precision, round(avg(recall), 6) AS macro_recall, round(avg(f1), 6) AS macro_f1, round({ratio('sum(precision * support)', 'sum(support)')}, 6) AS weighted_precision, round({ratio('sum(f1 * support)', 'sum(support)')}, 6) AS weighted_f1, CAST(sum(support) AS BIGINT) AS n FROM sf GROUP BY representation, scope",
     "ovr_auc": ctes(OVR) + f"SELECT label, round(auroc, 6) AS auroc FROM {auroc('ovr', 'label')}",
     "ovr_ap": ctes(OVR) + f"SELECT label, round(ap, 6) AS ap FROM {ap('ovr', 'label')}",
     "online_reason_counts": f"SELECT 'g' || CAST(conv_id % 16 AS VARCHAR) AS learner, role AS label, CASE WHEN len({toks('text')}) = 0 THEN 'empty' WHEN role = 'system' THEN 'no_reward' ELSE 'applied' END AS reason, count(*) AS n FROM conversations GROUP BY ALL",
