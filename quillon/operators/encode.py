@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -209,39 +210,76 @@ def degrees(edges: DataFrame) -> DataFrame:
     return rows.unionByName(cols).select("side", "node", "degree")
 
 
-def rewire_report(before: DataFrame, after: DataFrame, swaps_per_edge: float, rounds: int) -> DataFrame:
-    """One row: edges, swaps asked for, rounds made, edges that moved, and whether degrees are what they were."""
+@dataclass
+class Rewired:
+    """Rewired edges ``pn, kc, w``, the swaps that were asked for and made, the rounds, and whether the number was reached."""
+
+    edges: DataFrame
+    asked: int
+    made: int
+    rounds: int
+
+    @property
+    def completed(self) -> bool:
+        return self.made >= self.asked
+
+
+def rewire_report(before: DataFrame, after: Rewired) -> DataFrame:
+    """One row: edges, swaps asked for and made, edges that stand where none stood, whether degrees and weights are what they were."""
     ends = ["pn", "kc"]
-    moved = after.select(*ends).join(before.select(*ends), ends, "left_anti").agg(F.count("*").alias("moved"))
-    gone = degrees(before).exceptAll(degrees(after)).agg(F.count("*").alias("lost"))
+    moved = after.edges.select(*ends).join(before.select(*ends), ends, "left_anti").agg(F.count("*").alias("moved"))
+    lost = lambda a, b, name: a.exceptAll(b).agg((F.count("*") == 0).alias(name))
+    kept = lost(degrees(before), degrees(after.edges), "degrees_kept")
+    weights = lost(before.select("pn", "w"), after.edges.select("pn", "w"), "weights_kept")
     n = before.agg(F.count("*").alias("edges"))
-    return n.join(moved).join(gone).select("edges", F.floor(F.col("edges") * swaps_per_edge).alias("asked"), F.lit(rounds).alias("rounds"), "moved", (F.col("lost") == 0).alias("degrees_kept"))
+    return n.join(moved).join(kept).join(weights).select("edges", F.lit(after.asked).alias("asked"), F.lit(after.made).alias("made"), F.lit(after.completed).alias("completed"), "moved", "degrees_kept", "weights_kept")
 
 
-def rewire(edges: DataFrame, rounds: int = 5, seed: int = 42) -> DataFrame:
-    """``pn, kc, w`` rewired by double-edge swaps with all degrees kept; weights stay with the edge's source slot.
+def _traded(edges: DataFrame, node: str, seed: str, nodes: int) -> DataFrame:
+    """``pn, kc, w, new``: one round of trades between pairs of nodes of a side; ``new`` is the edge's next ``kc``, null where it stays.
 
-    A round hashes edges into pairs (the pairing key of both partners is the same), proposes the swap of their
-    targets and drops every proposal that equals an existing edge, meets another proposal or shares an
-    endpoint. The rule is symmetric, so results do not depend on partitioning. Rounds cut their lineage.
+    Nodes are paired by hash. What both of a pair are joined to stays; of the rest, each is dealt as many by hash as it had. Then as
+    many leave the one as the other, and leaving edges swap their ends one by one: that many double-edge swaps.
+    """
+    other = "kc" if node == "pn" else "pn"
+    mark = lambda *c: F.md5(F.concat_ws("|", F.lit(seed), *[F.col(x).cast("string") for x in c]))
+    slot = portable_hash(F.concat_ws("|", F.lit(seed), F.col(node).cast("string")), max(1, nodes // 2))
+    met = edges.select(node).distinct().select(node, slot.alias("slot"), mark(node).alias("h"))
+    met = met.withColumn("i", F.row_number().over(Window.partitionBy("slot").orderBy("h")) - 1)
+    met = met.select(node, "slot", F.expr("i div 2").alias("j"), (F.col("i") % 2).alias("side"))
+    met = met.withColumn("both", F.count("*").over(Window.partitionBy("slot", "j"))).where("both = 2").drop("both")
+    pair = ["slot", "j"]
+    free = edges.join(met, node).withColumn("same", F.count("*").over(Window.partitionBy(*pair, other))).where("same = 1").drop("same")
+    whole = Window.partitionBy(*pair)
+    dealt = free.withColumn("place", F.row_number().over(whole.orderBy(mark("pn", "kc")))).withColumn("first", F.sum((F.col("side") == 0).cast("int")).over(whole))
+    leaves = dealt.where((F.col("place") <= F.col("first")) != (F.col("side") == 0))
+    leaves = leaves.withColumn("nth", F.row_number().over(Window.partitionBy(*pair, "side").orderBy("place")))
+    two = Window.partitionBy(*pair, "nth").orderBy("side")
+    moves = leaves.select("pn", "kc", F.coalesce(F.lead("kc").over(two), F.lag("kc").over(two)).alias("new"))
+    return edges.join(moves, ["pn", "kc"], "left").select("pn", "kc", "w", "new")
+
+
+def rewire(edges: DataFrame, swaps_per_edge: float = 5.0, seed: int = 42) -> Rewired:
+    """Distinct edges ``pn, kc, w`` rewired by double-edge swaps with all degrees kept; weights stay with the edge's ``pn``.
+
+    Rounds of curveball trades (Strona et al. 2014), by ``pn`` and by ``kc`` in turn, until that many swaps an edge are made. A graph
+    that allows no more ends earlier: after two rounds without a swap, or when thirty times the swaps asked for (1,000 at least)
+    have been tried, an edge of a round being half a try. Results do not depend on partitioning. Rounds cut their lineage.
     """
+    if not 0 <= swaps_per_edge < float("inf"):
+        raise ValueError("swaps per edge must be finite and not negative")
     from ..runtime import cut
 
     current = cut(edges.select("pn", "kc", "w"))
-    n = current.count()
-    slots = max(1, n // 2)
-    for r in range(rounds):
-        name = F.concat_ws("|", F.lit(f"{seed}|{r}"), F.col("pn").cast("string"), F.col("kc").cast("string"))
-        rows = current.withColumn("slot", portable_hash(name, slots)).withColumn("h", F.md5(name))
-        order = Window.partitionBy("slot").orderBy("h")
-        rows = rows.withColumn("i", F.row_number().over(order)).withColumn("kc2", F.when(F.col("i") % 2 == 1, F.lead("kc").over(order)).otherwise(F.lag("kc").over(order))).withColumn("pn2", F.when(F.col("i") % 2 == 1, F.lead("pn").over(order)).otherwise(F.lag("pn").over(order)))
-        rows = rows.withColumn("pair", F.expr("(i + 1) div 2"))
-        proposed = rows.where("kc2 IS NOT NULL AND pn <> pn2 AND kc <> kc2").select("slot", "pair", "pn", "kc", F.col("kc2").alias("new"), "w")
-        taken = proposed.join(current.select("pn", F.col("kc").alias("new")), ["pn", "new"], "left_semi").select("slot", "pair")
-        twice = proposed.groupBy("pn", "new").agg(F.count("*").alias("n")).where("n > 1").select("pn", "new")
-        twice = proposed.join(twice, ["pn", "new"], "left_semi").select("slot", "pair")
-        good = proposed.join(taken.union(twice).distinct(), ["slot", "pair"], "left_anti")
-        good = cut(good)
-        kept = current.join(good.select("pn", "kc"), ["pn", "kc"], "left_anti")
-        current = cut(kept.select("pn", "kc", "w").unionByName(good.select("pn", F.col("new").alias("kc"), "w")))
-    return current
+    row = current.agg(F.count("*"), F.countDistinct("pn"), F.countDistinct("kc")).first()
+    n, sizes = row[0], {"pn": row[1], "kc": row[2]}
+    if n < 2:
+        raise ValueError("rewiring needs two edges or more")
+    asked, made, rounds, idle = round(swaps_per_edge * n), 0, 0, 0
+    while made < asked and idle < 2 and rounds * n // 2 < max(1000, 30 * asked):
+        node = ("pn", "kc")[rounds % 2]
+        step = cut(_traded(current, node, f"{seed}|{rounds}", sizes[node]))
+        swaps = step.where("new IS NOT NULL").count() // 2
+        current = step.select("pn", F.coalesce("new", "kc").alias("kc"), "w")
+        made, rounds, idle = made + swaps, rounds + 1, 0 if swaps else idle + 1
+    return Rewired(current, asked, made, rounds)

