@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import streaming
 from ..functions import cyclic, port_value, portable_hash, position, valid_port
 from ..functions import clean_text as clean
 from ..functions import tokens as words
@@ -739,6 +740,14 @@ def online_reason_counts(spark, d):
     return online_readout(spark, d).groupBy("learner", "label", "reason").agg(F.count("*").alias("n"))
 
 
+@query
+def user_sessions(spark, d):
+    """Sessions of a user's events at most half an hour apart."""
+    events = table(spark, d, "events").select("user_id", F.col("ts").cast("timestamp").alias("t"))
+    out = streaming.session_counts(events, "t", "user_id")
+    return out.select("user_id", F.unix_micros("start").alias("start"), F.unix_micros("end").alias("end"), "n")
+
+
 # --- graph -------------------------------------------------------------------------------------------
 
 

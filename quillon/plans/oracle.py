@@ -401,6 +401,7 @@ SQL: dict[str, str] = {
     "ovr_auc": ctes(OVR) + f"SELECT label, round(auroc, 6) AS auroc FROM {auroc('ovr', 'label')}",
     "ovr_ap": ctes(OVR) + f"SELECT label, round(ap, 6) AS ap FROM {ap('ovr', 'label')}",
     "online_reason_counts": f"SELECT 'g' || CAST(conv_id % 16 AS VARCHAR) AS learner, role AS label, CASE WHEN len({toks('text')}) = 0 THEN 'empty' WHEN role = 'system' THEN 'no_reward' ELSE 'applied' END AS reason, count(*) AS n FROM conversations GROUP BY ALL",
+    "user_sessions": "WITH e AS (SELECT user_id, epoch_us(ts) AS t FROM events), g AS (SELECT *, sum(CASE WHEN t - prev <= 1800000000 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, lag(t) OVER (PARTITION BY user_id ORDER BY t) AS prev FROM e)) SELECT user_id, min(t) AS start, max(t) + 1800000000 AS \"end\", count(*) AS n FROM g GROUP BY user_id, s",
     "graph_adjacency": ctes(GRAPH) + "SELECT src, dst, w FROM ge",
     "graph_transition": ctes(GRAPH) + "SELECT src, dst, round(p, 6) AS p FROM tr",
     "graph_summary": ctes(GRAPH) + "SELECT count(*) AS pairs, CAST(sum(w) AS BIGINT) AS total, count(DISTINCT src) AS sources, count(DISTINCT dst) AS targets FROM ge",

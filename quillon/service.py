@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .operators import graph
 from .plans import inspection
 from .plans.pipeline import Fitted
+from .runtime import cut
 from .sources.files import MAX_FIELD_CHARS, MAX_FIELDS, strict
 
 #: Bytes of a request body; hosts that may ask.
@@ -137,6 +138,13 @@ def handler(model: Fitted, port: int, net: Graph | None = None):
     return Handler
 
 
+def network(nodes: DataFrame, edges: DataFrame) -> Graph:
+    """The graph of ``node, class`` and ``src, dst, w``, cut in the shared folder; an edge end that is no node is an error."""
+    if not graph.missing_endpoints(edges, nodes).isEmpty():
+        raise ValueError("an edge ends where there is no node")
+    return Graph(cut(nodes), cut(graph.transition(graph.adjacency(edges))))
+
+
 def serve(model: Fitted, port: int = 8765, net: Graph | None = None) -> None:
     """Serve until stopped; a port out of range or in use is an error before anything else."""
     if not 1024 <= port <= 65535:

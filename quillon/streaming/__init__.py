@@ -55,6 +55,42 @@ def windowed_counts(stream: DataFrame, time: str, by: str, width: str = "10 minu
     return stream.withWatermark(time, late).groupBy(window, by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), by, "n")
 
 
+def session_counts(rows: DataFrame, time: str, by: str, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """``by, start, end, n``: sessions of rows at most ``gap`` apart; the end is the last row's time plus the gap.
+
+    The same plan for tables and streams: a stream gives a session once the watermark has passed its end, and leaves out rows that
+    come after that (:func:`split_late` keeps them).
+    """
+    timed = rows.withWatermark(time, late) if rows.isStreaming else rows
+    out = timed.groupBy(F.session_window(time, gap).alias("session"), by).agg(F.count("*").alias("n"))
+    return out.select(by, F.col("session.start").alias("start"), F.col("session.end").alias("end"), "n")
+
+
+def split_late(stream: DataFrame, time: str, folder: str, checkpoint: str, late: str = "10 minutes") -> StreamingQuery:
+    """Rows in time below ``folder/rows``, those that come too late (or have no time) below ``folder/late``, so that none is lost unseen.
+
+    A row is late if its time lies more than ``late`` before the latest of all earlier batches. Every batch writes a partition of its
+    own, and its latest time beside them: a batch that is replayed after a failure finds the same bound and replaces its own files.
+    """
+
+    def part(batch: DataFrame, number: int) -> None:
+        spark, tops = batch.sparkSession, f"{folder}/tops"
+        bound = None
+        if number:
+            earlier = spark.read.schema("top timestamp, batch long").parquet(tops).where(F.col("batch") < number)
+            bound = earlier.agg(F.max("top") - F.expr(f"INTERVAL {late}")).first()[0]
+        too_late = F.col(time).isNull() | (F.lit(False) if bound is None else F.col(time) < F.lit(bound))
+        batch.persist()
+        try:
+            batch.agg(F.max(time).alias("top")).write.mode("overwrite").parquet(f"{tops}/batch={number}")
+            batch.where(~too_late).write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+            batch.where(too_late).write.mode("overwrite").parquet(f"{folder}/late/batch={number}")
+        finally:
+            batch.unpersist()
+
+    return stream.writeStream.foreachBatch(part).option("checkpointLocation", checkpoint).start()
+
+
 def online_readout_stream(stream: DataFrame, classes: list[str], rewards: dict[str, float], rate: float = 0.1, decay: float = 0.0, clip: float = 5.0) -> DataFrame:
     """Predict-then-update over ``learner, seq, slots, label``; a learner's weights are its state.
 

@@ -171,3 +171,27 @@ def test_graph_files(spark, tmp_path):
     (tmp_path / "e.csv").write_text("pre_root_id,post_root_id,syn_count\n1,9,3\n")
     with pytest.raises(ValueError):
         arrays.graph_tables(spark, *[str(tmp_path / f"{c}.csv") for c in "nkpe"])
+
+
+def test_command_line_trains_without_a_name_and_serves_a_graph(spark, tmp_path, monkeypatch, capsys):
+    from quillon import __main__, service
+
+    synthetic.alerts(spark, 100).write.parquet(str(tmp_path / "alerts.parquet"))
+    (tmp_path / "settings.json").write_text(json.dumps(SMALL))
+    monkeypatch.setattr(__main__.config, "load", lambda path: SMALL)
+    __main__.main(["train", str(tmp_path / "alerts.parquet"), str(tmp_path / "runs"), "--settings", "x"])
+    run = json.loads(capsys.readouterr().out.strip().splitlines()[-1])["run"]
+    assert run.startswith("run-") and (tmp_path / "runs" / run / "manifest").exists()
+    spark.createDataFrame([(0, "a"), (1, "b")], "node long, class string").write.parquet(str(tmp_path / "nodes"))
+    spark.createDataFrame([(0, 1, 2.0), (0, 1, 1.0)], "src long, dst long, w double").write.parquet(str(tmp_path / "edges"))
+    served = []
+    monkeypatch.setattr(service, "serve", lambda model, port, net: served.append((model.shape, port, net)))
+    __main__.main(["serve", str(tmp_path / "runs"), run, "--nodes", str(tmp_path / "nodes"), "--edges", str(tmp_path / "edges")])
+    __main__.main(["serve", str(tmp_path / "runs"), run])
+    assert [(shape[1], port) for shape, port, _ in served] == [(256, 8765)] * 2 and served[1][2] is None
+    net = served[0][2]
+    assert net.node(1)["class"] == "b" and net.scene()["edges"] == [{"src": 0, "dst": 1, "p": 1.0}]
+    with pytest.raises(SystemExit):
+        __main__.main(["serve", str(tmp_path / "runs"), run, "--nodes", str(tmp_path / "nodes")])
+    with pytest.raises(ValueError):
+        service.network(spark.read.parquet(str(tmp_path / "nodes")).where("node = 0"), spark.read.parquet(str(tmp_path / "edges")))
