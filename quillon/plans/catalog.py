@@ -146,7 +146,8 @@ def json_record_normalize(spark, d):
 
 @query
 def synthetic_alerts(spark, d):
-    rows = synthetic.alerts(spark, 5000)
+    """A generated alert for every event."""
+    rows = synthetic.alerts(spark, ids=table(spark, d, "events").select(F.col("event_id").alias("id")))
     return rows.select(F.unix_seconds("timestamp").alias("second"), "alert_id", "alert_name", "severity", "hostname", "username", "source_ip", "source_port", "destination_port", "process_command_line", "action", "verdict", "family", "is_unseen")
 
 
@@ -264,12 +265,14 @@ def first_position(spark, d):
 
 @query
 def projection_edges(spark, d):
-    return encode.random_edges(spark, 4096, 8192, 8)
+    """A drawn projection of as many inputs as there are parts, and as many units as there are orders."""
+    inputs, units = (table(spark, d, name).count() for name in ("part", "orders"))
+    return encode.random_edges(spark, inputs, units, 8)
 
 
 @query
 def kc_fanin(spark, d):
-    edges = encode.random_edges(spark, 4096, 8192, 8)
+    edges = projection_edges(spark, d)
     return edges.groupBy("kc").agg(F.count("*").alias("inputs"), F.countDistinct("pn").alias("distinct_inputs")).groupBy("inputs", "distinct_inputs").agg(F.count("*").alias("units"))
 
 
@@ -281,8 +284,7 @@ def degree_signature(spark, d):
 
 @query
 def edge_sample(spark, d):
-    edges = encode.random_edges(spark, 4096, 8192, 8)
-    return graph.sample(edges, ["pn", "kc"], 18_000)
+    return graph.sample(fx.graph_edges(spark, d).select("src", "dst").distinct(), ["src", "dst"], 18_000)
 
 
 @query
@@ -723,7 +725,8 @@ def forest_verdict(spark, d):
 def _turns(spark, d):
     turns = table(spark, d, "conversations")
     slots = F.array_sort(F.array_distinct(F.transform(words(clean(F.col("text"))), lambda t: portable_hash(t, 512))))
-    learner = F.concat(F.lit("g"), (F.col("conv_id") % 16).cast("string"))
+    # A learner for every 16 conversations, so there are more of them where the table is larger.
+    learner = F.concat(F.lit("g"), F.expr("conv_id div 16").cast("string"))
     return turns.select(learner.alias("learner"), (F.col("conv_id") * 1000 + F.col("turn")).alias("seq"), slots.alias("slots"), F.col("role").alias("label"))
 
 

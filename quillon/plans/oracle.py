@@ -74,10 +74,10 @@ wh AS (SELECT id, {h32("term", 256)} AS pn, w FROM w)"""
 VECTORS = f"{DOCS},\n{WEIGHTS},\n{norm('wh', 'pnv')}"
 
 
-def edges(inputs: int, units: int, fan_in: int, name: str = "ed", seed: int = 42) -> str:
+def edges(inputs: int | str, units: int | str, fan_in: int, name: str = "ed", seed: int = 42) -> str:
     key = f"'{seed}|' || CAST(kc AS VARCHAR) || '|' || CAST(a AS VARCHAR)"
     return f"""{name} AS (SELECT pn, kc FROM (SELECT pn, kc, row_number() OVER (PARTITION BY kc ORDER BY a) AS n FROM
-  (SELECT kc, pn, min(a) AS a FROM (SELECT kc, a, {h32(key, inputs)} AS pn FROM range({units}) k(kc), range({4 * fan_in + 16}) t(a)) GROUP BY kc, pn)) WHERE n <= {fan_in})"""
+  (SELECT kc, pn, min(a) AS a FROM (SELECT kc, a, {h32(key, inputs)} AS pn FROM (SELECT unnest(range({units})) AS kc) k, range({4 * fan_in + 16}) t(a)) GROUP BY kc, pn)) WHERE n <= {fan_in})"""
 
 
 def encoded(vectors: str, inputs: int, units: int, fan_in: int, k: int) -> str:
@@ -272,14 +272,14 @@ FEEDBACK = "fb AS (SELECT event_id AS seq, event_id % (SELECT count(*) FROM docu
 ALERT_SPLIT = f"{ALERTS},\n{time_split('alerts', 'ts', name='sa')},\nun AS (SELECT sa.*, family NOT IN (SELECT family FROM sa WHERE split = 'train' AND family <> 'signup') AS is_unseen FROM sa)"
 
 
-def synthetic(size: int = 5000, seed: int = 42, test_from: int = 4250) -> str:
+def synthetic(seed: int = 42) -> str:
     draw = lambda field, n: h32(f"'{seed}|{field}|' || CAST(id AS VARCHAR)", n)
     kinds = families()
     rows = ", ".join("(" + ", ".join([str(i), *(str(x) if isinstance(x, int) else f"'{x}'" for x in f)]) + ")" for i, f in enumerate(kinds))
     some = lambda x, field: f"CASE WHEN {draw('missing ' + field, 1000)} >= 35 THEN {x} END AS {field}"
     pick = lambda values, at: f"list_extract([{', '.join(repr(v) for v in values)}], CAST({at} + 1 AS BIGINT))"
     return f"""WITH fam(k, family, process, port, category, words, technique, usual) AS (VALUES {rows}),
-r AS (SELECT id, id >= {test_from} AND {draw("unseen", 1000)} < 300 AS is_unseen FROM range({size}) t(id)),
+r AS (SELECT id, id >= (SELECT CAST(floor(count(*) * 0.85e0) AS BIGINT) FROM events) AND {draw("unseen", 1000)} < 300 AS is_unseen FROM (SELECT event_id AS id FROM events)),
 s AS (SELECT r.*, fam.*, usual = 'TRUE_POSITIVE' AS yes FROM r JOIN fam ON k = CASE WHEN is_unseen THEN {len(kinds) - 1} ELSE {draw("family", len(kinds) - 1)} END),
 c AS (SELECT *, CAST((k + {draw("crew", 3)}) % 4 AS VARCHAR) AS crew, {draw("person", 30)} AS person, CAST({draw("machine", 20)} AS VARCHAR) AS machine FROM s)
 SELECT CAST(epoch(TIMESTAMP '2026-01-01 00:00:00') AS BIGINT) + id * 420 + {draw("second", 180)} AS second, 'Q' || lpad(CAST(id AS VARCHAR), 8, '0') AS alert_id, upper(category[1]) || category[2:] || ' signal' AS alert_name,
@@ -292,6 +292,8 @@ SELECT CAST(epoch(TIMESTAMP '2026-01-01 00:00:00') AS BIGINT) + id * 420 + {draw
   CASE WHEN {draw("noise", 1000)} < 70 THEN {pick(VERDICTS, draw("verdict", 3))} ELSE usual END AS verdict, family, is_unseen FROM c"""
 
 
+#: A projection drawn for the given numbers of parts and orders.
+PROJECTION = edges("(SELECT count(*) FROM part)", "(SELECT count(*) FROM orders)", 8)
 #: The thresholds of a sweep.
 FIFTY = ", ".join(map(str, range(50, 100)))
 
@@ -341,10 +343,10 @@ SQL: dict[str, str] = {
     "position_parse": ctes(POSITION) + "SELECT vec_id, x, y, z FROM pos",
     "position_normalize": ctes(POSITION, "lim AS (SELECT min(x) lx, max(x) hx, min(y) ly, max(y) hy, min(z) lz, max(z) hz FROM pos)", "sc AS (SELECT *, greatest(hx - lx, hy - ly, hz - lz) / 230.0 AS s FROM lim)") + "SELECT vec_id, round((x - (lx + hx) / 2) / s, 6) AS x, round(-1 * (y - (ly + hy) / 2) / s, 6) AS y, round(-1 * (z - (lz + hz) / 2) / s, 6) AS z FROM pos JOIN sc ON true",
     "first_position": "SELECT l_partkey, l_orderkey, l_linenumber, l_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey) AS n FROM lineitem) WHERE n = 1",
-    "projection_edges": ctes(edges(4096, 8192, 8)) + "SELECT pn, kc FROM ed",
-    "kc_fanin": ctes(edges(4096, 8192, 8)) + "SELECT inputs, distinct_inputs, count(*) AS units FROM (SELECT kc, count(*) AS inputs, count(DISTINCT pn) AS distinct_inputs FROM ed GROUP BY kc) GROUP BY ALL",
+    "projection_edges": ctes(PROJECTION) + "SELECT pn, kc FROM ed",
+    "kc_fanin": ctes(PROJECTION) + "SELECT inputs, distinct_inputs, count(*) AS units FROM (SELECT kc, count(*) AS inputs, count(DISTINCT pn) AS distinct_inputs FROM ed GROUP BY kc) GROUP BY ALL",
     "degree_signature": ctes(BIP, "de AS (SELECT DISTINCT pn, kc FROM bip)", "dg AS (SELECT 'pn' AS side, pn AS node, count(*) AS degree FROM de GROUP BY pn UNION ALL SELECT 'kc', kc, count(*) FROM de GROUP BY kc)") + "SELECT side, degree, count(*) AS nodes FROM dg GROUP BY ALL",
-    "edge_sample": ctes(edges(4096, 8192, 8)) + "SELECT pn, kc FROM ed ORDER BY md5('42|' || CAST(pn AS VARCHAR) || '|' || CAST(kc AS VARCHAR)), pn, kc LIMIT 18000",
+    "edge_sample": "SELECT src, dst FROM (SELECT DISTINCT l_partkey AS src, l_suppkey + 1000000000 AS dst FROM lineitem) ORDER BY md5('42|' || CAST(src AS VARCHAR) || '|' || CAST(dst AS VARCHAR)), src, dst LIMIT 18000",
     "kc_activation": ctes(EMB, encoded("embv", 128, 512, 6, 16)) + "SELECT id, kc, act FROM act",
     "fingerprint_embeddings": ctes(EMB, encoded("embv", 128, 512, 6, 16)) + "SELECT id, kc FROM fp",
     "fingerprint_alerts": ctes(FULL_VECTOR, "pnz AS (SELECT * FROM pnv WHERE v <> 0)", encoded("pnz", 4096, 8192, 8, 64)) + "SELECT id, kc FROM fp",
@@ -400,7 +402,7 @@ SQL: dict[str, str] = {
     "verdict_scopes": ctes(SCOPES) + f"SELECT representation, scope, round({ratio('sum(recall * support)', 'sum(support)')}, 6) AS accuracy, round(avg(precision), 6) AS macro_precision, round(avg(recall), 6) AS macro_recall, round(avg(f1), 6) AS macro_f1, round({ratio('sum(precision * support)', 'sum(support)')}, 6) AS weighted_precision, round({ratio('sum(f1 * support)', 'sum(support)')}, 6) AS weighted_f1, CAST(sum(support) AS BIGINT) AS n FROM sf GROUP BY representation, scope",
     "ovr_auc": ctes(OVR) + f"SELECT label, round(auroc, 6) AS auroc FROM {auroc('ovr', 'label')}",
     "ovr_ap": ctes(OVR) + f"SELECT label, round(ap, 6) AS ap FROM {ap('ovr', 'label')}",
-    "online_reason_counts": f"SELECT 'g' || CAST(conv_id % 16 AS VARCHAR) AS learner, role AS label, CASE WHEN len({toks('text')}) = 0 THEN 'empty' WHEN role = 'system' THEN 'no_reward' ELSE 'applied' END AS reason, count(*) AS n FROM conversations GROUP BY ALL",
+    "online_reason_counts": f"SELECT 'g' || CAST(conv_id // 16 AS VARCHAR) AS learner, role AS label, CASE WHEN len({toks('text')}) = 0 THEN 'empty' WHEN role = 'system' THEN 'no_reward' ELSE 'applied' END AS reason, count(*) AS n FROM conversations GROUP BY ALL",
     "user_sessions": "WITH e AS (SELECT user_id, epoch_us(ts) AS t FROM events), g AS (SELECT *, sum(CASE WHEN t - prev <= 1800000000 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS s FROM (SELECT *, lag(t) OVER (PARTITION BY user_id ORDER BY t) AS prev FROM e)) SELECT user_id, min(t) AS start, max(t) + 1800000000 AS \"end\", count(*) AS n FROM g GROUP BY user_id, s",
     "graph_adjacency": ctes(GRAPH) + "SELECT src, dst, w FROM ge",
     "graph_transition": ctes(GRAPH) + "SELECT src, dst, round(p, 6) AS p FROM tr",

@@ -40,8 +40,12 @@ def families() -> list[tuple]:
     return [*known, HELD_OUT]
 
 
-def alerts(spark: SparkSession, size: int = 5000, seed: int = 42, start: str = "2026-01-01 00:00:00", train_and_validation: float = 0.85, unseen_fraction: float = 0.3) -> DataFrame:
-    """Alert rows in time order; the held-out family occurs in the last part only."""
+def alerts(spark: SparkSession, size: int = 5000, seed: int = 42, start: str = "2026-01-01 00:00:00", train_and_validation: float = 0.85, unseen_fraction: float = 0.3, ids: DataFrame | None = None) -> DataFrame:
+    """Alert rows in time order; the held-out family occurs in the last part only.
+
+    Rows are numbered from 0; ``ids`` gives other rows (distinct whole numbers ``id``, of which their number is the size).
+    """
+    size = size if ids is None else ids.count()
     if size < 100:
         raise ValueError("at least 100 rows")
     i, kinds = F.col("id"), families()
@@ -54,7 +58,7 @@ def alerts(spark: SparkSession, size: int = 5000, seed: int = 42, start: str = "
 
     text = lambda x: x.cast("string")
     late = (i >= int(size * train_and_validation)) & (draw("unseen", 1000) < round(1000 * unseen_fraction))
-    rows = spark.range(size).withColumn("unseen", late).withColumn("kind", F.when(late, F.lit(len(kinds) - 1).cast("long")).otherwise(draw("family", len(kinds) - 1)))
+    rows = (spark.range(size) if ids is None else ids.select("id")).withColumn("unseen", late).withColumn("kind", F.when(late, F.lit(len(kinds) - 1).cast("long")).otherwise(draw("family", len(kinds) - 1)))
     # Four crews of one network each share a place; a crew's people and machines are numbered within it.
     crew, person = F.pmod(F.col("kind") + draw("crew", 3), F.lit(4)), draw("person", 30)
     true = of_family(6) == "TRUE_POSITIVE"
