@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import portable_hash
-from ..runtime import ship_package
+from ..runtime import Staged, ship_package
 
 #: Rows encoded at a time, and edges that a task may hold (16 bytes each, 24 with weights).
 ROWS, EDGES = 256, 4 << 20
@@ -268,9 +268,10 @@ def rewire(edges: DataFrame, swaps_per_edge: float = 5.0, seed: int = 42) -> Rew
     """
     if not 0 <= swaps_per_edge < float("inf"):
         raise ValueError("swaps per edge must be finite and not negative")
-    from ..runtime import cut
-
-    current = cut(edges.select("pn", "kc", "w"))
+    spark = edges.sparkSession
+    # Tables rather than checkpoints: the estimated size of a checkpoint is that of the joins behind it, which is squared every round.
+    held = Staged(spark)
+    current = held.write(edges.select("pn", "kc", "w"), "rewired")
     row = current.agg(F.count("*"), F.countDistinct("pn"), F.countDistinct("kc")).first()
     n, sizes = row[0], {"pn": row[1], "kc": row[2]}
     if n < 2:
@@ -278,7 +279,10 @@ def rewire(edges: DataFrame, swaps_per_edge: float = 5.0, seed: int = 42) -> Rew
     asked, made, rounds, idle = round(swaps_per_edge * n), 0, 0, 0
     while made < asked and idle < 2 and rounds * n // 2 < max(1000, 30 * asked):
         node = ("pn", "kc")[rounds % 2]
-        step = cut(_traded(current, node, f"{seed}|{rounds}", sizes[node]))
+        after = Staged(spark)
+        step = after.write(_traded(current, node, f"{seed}|{rounds}", sizes[node]), "rewired")
+        held.drop()
+        held = after
         swaps = step.where("new IS NOT NULL").count() // 2
         current = step.select("pn", F.coalesce("new", "kc").alias("kc"), "w")
         made, rounds, idle = made + swaps, rounds + 1, 0 if swaps else idle + 1

@@ -379,7 +379,7 @@ def effective_connectivity(spark, d):
 @query
 def rewire_degree_check(spark, d):
     edges = fx.bipartite(spark, d).groupBy("pn", "kc").agg(F.sum("w").alias("w"))
-    return encode.degrees(encode.rewire(edges, 1.0).edges)
+    return encode.degrees(encode.rewire(edges, 0.1).edges)
 
 
 @query

@@ -12,7 +12,7 @@ from quillon.plans import catalog, oracle
 #: One query or more of every family of operators; the driver compares all of them.
 CHECKED = (
     "dup_alert_ids chrono_split chrono_split_ties split_summary unseen_flag alert_catalog regex_class_select json_record_normalize synthetic_alerts clean_text tokens_bigram vocab_topk "
-    "tfidf_l2 pn_vector position_normalize kc_fanin fingerprint_embeddings projection_colnorm bridge_fingerprint rewire_degree_check jaccard_pairs knn_jaccard knn_cosine novelty_auroc lof_scores "
+    "dedup_leader_cosine user_sessions edge_sample projection_edges tfidf_l2 pn_vector position_normalize kc_fanin fingerprint_embeddings projection_colnorm bridge_fingerprint rewire_degree_check jaccard_pairs knn_jaccard knn_cosine novelty_auroc lof_scores "
     "dedup_sweep class_report retrieval_metrics online_reason_counts diffusion_3 feedback_audit trace_edges inspect"
 ).split()
 
