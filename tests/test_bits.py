@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from quillon.operators import bits, search
+from quillon.operators import bits, encode, search
 
 VECTOR = "id long, slots array<bigint>, values array<double>"
 
@@ -65,3 +65,16 @@ def test_search_refuses_what_is_not_binary(spark):
 def test_search_without_rows(spark):
     some, none = spark.createDataFrame([(1, [3], [1.0])], VECTOR), spark.createDataFrame([], VECTOR)
     assert search.nearest(some, none, 3, "jaccard", 8).count() == search.nearest(none, some, 3, "jaccard", 8).count() == 0
+
+
+@pytest.mark.parametrize(("inputs", "fan_in"), [(5, 5), (40, 3), (1, 1)])
+def test_drawn_projection_shuffles_nothing(spark, inputs, fan_in):
+    import hashlib
+
+    edges = encode.random_edges(spark, inputs, 60, fan_in, 7)
+    assert "Exchange" not in edges._jdf.queryExecution().executedPlan().toString()
+    want = []
+    for kc in range(60):
+        draws = [int(hashlib.md5(f"7|{kc}|{a}".encode()).hexdigest()[:8], 16) % inputs for a in range(4 * fan_in + 16)]
+        want += [(pn, kc) for pn in list(dict.fromkeys(draws))[:fan_in]]
+    assert sorted(map(tuple, edges.collect())) == sorted(want)
