@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from quillon.operators import bits, encode, search
+from quillon.operators import bits, dedup, encode, search
 
 VECTOR = "id long, slots array<bigint>, values array<double>"
 
@@ -67,6 +67,33 @@ def test_search_without_rows(spark):
     assert search.nearest(some, none, 3, "jaccard", 8).count() == search.nearest(none, some, 3, "jaccard", 8).count() == 0
 
 
+def test_pairs_of_blocks_meet_once_and_join_no_items(spark, monkeypatch):
+    """Several blocks of references, each parted for the queries; sets of items too large for bitmaps give the same."""
+    monkeypatch.setattr(bits, "MOST_REFERENCES", 64)
+    monkeypatch.setattr(search, "LEAST_ROWS", 16)
+    rng = np.random.default_rng(4)
+    rows = [(i, sorted(rng.choice(12, rng.integers(0, 6), replace=False).tolist())) for i in range(200)]
+    frame = spark.createDataFrame(rows, "id long, kcs array<bigint>")
+    found = dedup.similar_pairs(frame, 50)
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted(map(tuple, found.collect()))
+    sets = [set(x) for _, x in rows]
+    want = [(a, b, len(sets[a] & sets[b]), len(sets[a] | sets[b])) for a in range(200) for b in range(a + 1, 200) if sets[a] and 2 * len(sets[a] & sets[b]) >= len(sets[a] | sets[b])]
+    assert got == want
+    far = frame.selectExpr("id", "transform(kcs, x -> x + 1000000) AS kcs")
+    assert sorted(map(tuple, dedup.similar_pairs(far, 50).collect())) == want
+
+
+def test_classes_without_pairs_skip_the_rounds(spark, monkeypatch):
+    asked = []
+    rounds = dedup.exemplars
+    monkeypatch.setattr(dedup, "exemplars", lambda ids, edges, by=(): asked.append(ids.count()) or rounds(ids, edges, by))
+    rows = [(0, [1, 2, 3, 4]), (1, [9]), (2, [1, 2, 3, 5]), (3, [9]), (4, []), (5, [7, 8])]
+    got = {(r["percent"], r["id"]): r["leader"] for r in dedup.leader_clusters(spark.createDataFrame(rows, "id long, kcs array<bigint>"), [60, 90]).collect()}
+    assert got == {(60, 0): 0, (60, 1): 1, (60, 2): 0, (60, 3): 1, (60, 4): 4, (60, 5): 5, (90, 0): 0, (90, 1): 1, (90, 2): 2, (90, 3): 1, (90, 4): 4, (90, 5): 5}
+    assert asked == [4]
+
+
 @pytest.mark.parametrize(("inputs", "fan_in"), [(5, 5), (40, 3), (1, 1)])
 def test_drawn_projection_shuffles_nothing(spark, inputs, fan_in):
     import hashlib
