@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from quillon.operators import bits, dedup, encode, search
+from quillon.operators import bits, dedup, encode, folds, search
 
 VECTOR = "id long, slots array<bigint>, values array<double>"
 
@@ -105,3 +105,25 @@ def test_drawn_projection_shuffles_nothing(spark, inputs, fan_in):
         draws = [int(hashlib.md5(f"7|{kc}|{a}".encode()).hexdigest()[:8], 16) % inputs for a in range(4 * fan_in + 16)]
         want += [(pn, kc) for pn in list(dict.fromkeys(draws))[:fan_in]]
     assert sorted(map(tuple, edges.collect())) == sorted(want)
+
+
+def test_cosine_pairs_of_blocks_equal_all_pairs(spark, monkeypatch):
+    """Several blocks, pieces and comparisons; values of both signs, real ones and zeros; nothing is joined by slots."""
+    for name, value in (("FOLDS", 8), ("QUERY_ROWS", 7), ("REFERENCE_ROWS", 11), ("PAIRS", 13)):
+        monkeypatch.setattr(folds, name, value)
+    rng = np.random.default_rng(6)
+    m = np.where(rng.random((120, 30)) < 0.2, rng.integers(-3, 9, (120, 30)), 0.0)
+    m[60:90] = m[:30] * 2 + np.where(rng.random((30, 30)) < 0.03, 1, 0)
+    m[5] = 0
+    length = np.sqrt((m * m).sum(1))
+    want = m @ m.T / np.where(length > 0, length, 1)[:, None] / np.where(length > 0, length, 1)[None, :]
+    sparse = [(i, np.flatnonzero(r), r[r != 0]) for i, r in enumerate(m)]
+    parts = [folds.Rows(np.array([i for i, _, _ in some]), np.array([len(s) for _, s, _ in some]), np.concatenate([s for _, s, _ in some]), np.concatenate([v for _, _, v in some])) for some in (sparse[::2], sparse[1::2])]
+    one, other = (folds.unpack([p.pack()]) for p in parts)
+    found = [x for q, r, same in ((one, one, True), (one, other, False), (other, other, True)) for b in folds.linked(q, r, 0.6, same) for x in zip(*b.to_pydict().values())]
+    assert {(a, b) for a, b, _ in found} == {(a, b) for a in range(120) for b in range(a + 1, 120) if want[a, b] >= 0.6} and len(found) == len({x[:2] for x in found})
+    assert all(s == pytest.approx(want[a, b]) for a, b, s in found)
+    frame = spark.createDataFrame([(i, s.tolist(), v.tolist()) for i, s, v in sparse], VECTOR)
+    pairs = dedup.similar_vectors(frame, 60)
+    assert "Window" not in pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["early"], r["late"]) for r in pairs.collect()} == {x[:2] for x in found}
