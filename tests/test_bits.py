@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from quillon.operators import bits, dedup, encode, folds, search
+from quillon.plans import catalog
 
 VECTOR = "id long, slots array<bigint>, values array<double>"
 
@@ -127,3 +128,13 @@ def test_cosine_pairs_of_blocks_equal_all_pairs(spark, monkeypatch):
     pairs = dedup.similar_vectors(frame, 60)
     assert "Window" not in pairs._jdf.queryExecution().optimizedPlan().toString()
     assert {(r["early"], r["late"]) for r in pairs.collect()} == {x[:2] for x in found}
+
+
+@pytest.mark.parametrize("name", ["bridge_activation", "bridge_fingerprint"])
+def test_bridge_brings_rows_together_once(spark, data, name):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = catalog.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("Exchange hashpartitioning(id") == 1 and "SortMergeJoin" not in plan
