@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import dataclasses
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -149,6 +151,30 @@ def test_rewire_keeps_degrees_and_makes_the_swaps(spark, swaps):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, out.edges.collect()))
 
 
+def test_rewire_makes_many_swaps_in_few_turns_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(encode, "BLOCK", 100)
+    edges = spark.createDataFrame([(i, (i * 13 + j * j * 7) % 90, float(i + j)) for i in range(90) for j in range(8)], "pn long, kc long, w double").dropDuplicates(["pn", "kc"])
+    out = encode.rewire(edges, 2.0)
+    # Each turn shuffles and writes all edges.
+    assert out.completed and out.rounds <= 4
+    report = encode.rewire_report(out.before, out).first()
+    assert report["degrees_kept"] and report["weights_kept"] and report["moved"] > report["edges"] / 2
+    assert out.edges.select("pn", "kc").distinct().count() == edges.count()
+    assert sorted(map(tuple, encode.rewire(edges.repartition(5), 2.0).edges.collect())) == sorted(map(tuple, out.edges.collect()))
+    # The report tells what is lost: a weight, a degree of either side.
+    for wrong, lost in (("pn, kc, w + 1 AS w", (True, False)), ("pn, kc + 1 AS kc, w", (False, True)), ("pn + 1 AS pn, kc, w", (False, False))):
+        told = encode.rewire_report(out.before, dataclasses.replace(out, edges=out.edges.selectExpr(*wrong.split(", ")))).first()
+        assert (told["degrees_kept"], told["weights_kept"]) == lost
+
+
+def test_rewire_leaves_edges_without_an_end_and_takes_names(spark):
+    rows = [(f"p{i}", f"k{(i * 7 + j * j) % 20}", i) for i in range(20) for j in range(4)] + [(None, "k1", 5), ("p1", None, None)]
+    edges = spark.createDataFrame(rows, "pn string, kc string, w long").dropDuplicates(["pn", "kc"])
+    out = encode.rewire(edges, 0.5)
+    assert out.completed and sorted(map(str, encode.degrees(out.edges).collect())) == sorted(map(str, encode.degrees(edges).collect()))
+    assert {(None, "k1", 5), ("p1", None, None)} <= set(map(tuple, out.edges.collect()))
+
+
 def test_rewire_ends_where_nothing_can_be_swapped(spark):
     full = spark.createDataFrame([(i, j, 1.0) for i in range(4) for j in range(3)], "pn long, kc long, w double")
     out = encode.rewire(full, 1.0)
