@@ -53,7 +53,9 @@ FEW = 1
 #: A candidate whose estimate lies this far below the threshold (over five standard errors) goes.
 SLACK = 0.2
 #: Trees finished together; nodes, and shingles, of a block or chunk of a cell.
-ROUNDS, BLOCK, SETS = (range(0, 2), range(2, 8), range(8, TREES)), 1000, 4 << 20
+ROUNDS, BLOCK, SETS = (range(0, 2), range(2, TREES)), 1000, 4 << 20
+#: Edges or labels of a task while components are found.
+LINKS = 50_000
 #: Bytes of text taken at a time.
 CHUNK = 1 << 20
 
@@ -245,17 +247,17 @@ def _sketches(column: pa.Array) -> np.ndarray:
 def _likely(least: float):
     def run(batches):
         for b in batches:
-            keep = _agreeing(_sketches(b.column(3)), _sketches(b.column(4))) >= least * HASHES if b.num_rows else np.zeros(0, bool)
-            yield pa.record_batch([b.column(i) for i in range(3)], names=["a", "b", "at"]).filter(pa.array(keep))
+            keep = _agreeing(_sketches(b.column(2)), _sketches(b.column(3))) >= least * HASHES if b.num_rows else np.zeros(0, bool)
+            yield pa.record_batch([b.column(i) for i in range(2)], names=["a", "b"]).filter(pa.array(keep))
 
     return run
 
 
 def estimated(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """``a, b, at`` of the pairs whose sketches agree in at least this share of their minima."""
+    """``a, b`` of the pairs whose sketches agree in at least this share of their minima."""
     one = pairs.join(nodes.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a")
     both = one.join(nodes.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
-    return both.select("a", "b", "at", "sa", "sb").mapInArrow(_likely(least), "a binary, b binary, at int")
+    return both.select("a", "b", "sa", "sb").mapInArrow(_likely(least), "a binary, b binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -268,26 +270,32 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """``node, label`` of every node in a link: the same label in a component (not always its smallest node)."""
+    """``node, label`` of every node in a link: the same label in a component (not always its smallest node).
+
+    Tasks are as many as the edges left need: most rounds have few, and a task for each shuffle partition would cost more than its rows.
+    """
+    cores = links.sparkSession.sparkContext.defaultParallelism
     edges = cut(links.select("a", "b").where("a <> b").distinct())
-    known = None
-    while not edges.isEmpty():
+    steps = []
+    while n := edges.count():
+        fit = lambda df, n=n: df.coalesce(max(cores, -(-n // LINKS)))
+        edges = fit(edges)
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        small = both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("label"))
+        small = fit(fit(both).groupBy("a").agg(F.min("b").alias("low"))).select(F.col("a").alias("node"), F.least("a", "low").alias("label"))
         # One jump: the label's own label.
         jump = small.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        small = cut(small.join(jump, "label").select("node", F.col("next").alias("label")))
-        if known is None:
-            known = small
-        else:
-            step = small.select(F.col("node").alias("label"), F.col("label").alias("next"))
-            known = cut(known.join(step, "label", "left").select("node", F.coalesce("next", "label").alias("label")))
-        left = edges.join(small.select(F.col("node").alias("a"), F.col("label").alias("la")), "a")
-        left = left.join(small.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
-        edges = cut(left.where("la <> lb").select(*_pair(F.col("la"), F.col("lb"))).distinct())
-    if known is None:
-        return links.select(F.col("a").alias("node"), F.col("b").alias("label"))
-    return known
+        small = cut(fit(small.join(jump, "label").select("node", F.col("next").alias("label"))))
+        steps.append((small, fit))
+        left = fit(edges.join(small.select(F.col("node").alias("a"), F.col("label").alias("la")), "a"))
+        left = fit(left.join(small.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b"))
+        edges = cut(fit(left.where("la <> lb").select(*_pair(F.col("la"), F.col("lb"))).distinct()))
+    if not steps:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    known, fit = steps[0]
+    for small, _ in steps[1:]:
+        step = small.select(F.col("node").alias("label"), F.col("label").alias("next"))
+        known = fit(known.join(step, "label", "left").select("node", F.coalesce("next", "label").alias("label")))
+    return cut(known) if len(steps) > 1 else known
 
 
 def extended(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -299,13 +307,6 @@ def extended(labels: DataFrame, links: DataFrame) -> DataFrame:
     return cut(labels.unionByName(new).join(step, "label", "left").select("node", F.coalesce("next", "label").alias("label")))
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose nodes are not in one component yet."""
-    la, lb = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-    out = pairs.join(la, "a", "left").join(lb, "b", "left")
-    return out.where(F.coalesce("la", "a") != F.coalesce("lb", "b")).drop("la", "lb")
-
-
 def _release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files and checkpoints that no plan needs any more."""
     gc.collect()
@@ -415,14 +416,14 @@ def _linked(percent: int):
     return run
 
 
-def cells(rows: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+def cells(rows: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
     """``cell, node, label, asks, member, sketch``: regions (``region, node``) with more than one component, laid out for tasks.
 
     The nodes outside a region's largest component ask. Blocks of members and chunks of nodes that ask have about ``BLOCK``
     nodes and ``SETS`` shingles at most; a region that fits is one cell.
     """
-    named = rows.join(labels, "node", "left").select("region", "node", F.coalesce("label", "node").alias("label"))
-    sized = named.join(sets.select("node", F.size("shingles").alias("n")), "node")
+    named = nodes.select("node", "n").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "n")
+    sized = rows.join(named, "node").select("node", "region", "label", "n")
     kinds = sized.groupBy("region", "label").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
     top = F.max(F.struct("c", "label", "s")).alias("top")
     mixed = kinds.groupBy("region").agg(F.count("*").alias("kinds"), F.sum("c").alias("c"), F.sum("s").alias("s"), top).where("kinds > 1")
@@ -445,7 +446,7 @@ def finished(rows: DataFrame, labels: DataFrame, nodes: DataFrame, sets: DataFra
     full sets are compared where a cell's rows are."""
     columns = "cell long, node binary, label binary, asks boolean, member boolean, sketch binary"
     at_cell = lambda df: df.repartition("cell").sortWithinPartitions("cell", "node")
-    wanted = stage.write(at_cell(cells(rows, labels, nodes, sets)).mapInArrow(_alike(least), columns), "near-alike")
+    wanted = stage.write(at_cell(cells(rows, labels, nodes)).mapInArrow(_alike(least), columns), "near-alike")
     _release(rows.sparkSession)
     return at_cell(wanted.join(sets, "node").select(*wanted.columns, "shingles")).mapInArrow(_linked(percent), "a binary, b binary").distinct()
 
@@ -462,14 +463,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     schema = T.StructType().add("key", kind).add("n", "long").add("node", "binary").add("sig", T.ArrayType(T.IntegerType())).add("sketch", "binary")
     signed = stage.write(source.mapInArrow(_sign(width, to_arrow_type(kind)), schema), "near-signatures")
     rows = signed.select("key", "n", "node")
-    nodes = stage.write(signed.where("node IS NOT NULL").groupBy("node").agg(F.first("sig").alias("sig"), F.first("sketch").alias("sketch")), "near-nodes")
+    nodes = stage.write(signed.where("node IS NOT NULL").groupBy("node").agg(F.first("sig").alias("sig"), F.first("sketch").alias("sketch"), F.first("n").alias("n")), "near-nodes")
     placed, crowded = forest(nodes, stage)
     near = stage.write(neighbours(placed), "near-neighbours")
     # Regions of the least depth to be finished, of some trees: those with more members than make all their pairs.
     large = lambda trees: near.where((F.col("level") == 0) & (F.col("members") > NEXT + 1) & F.col("tree").isin(*trees)).select("region", "node").unionByName(_placed(nodes, 0, trees).join(crowded, "region", "left_semi").select("region", "node"))
     least = percent / 100 - SLACK
-    first = near.where("size(next) > 0").select(F.posexplode("next").alias("at", "other"), "node")
-    pairs = first.select(*_pair(F.col("node"), F.col("other")), "at").groupBy("a", "b").agg(F.min("at").alias("at"))
+    first = near.where("size(next) > 0").select(F.explode("next").alias("other"), "node")
+    pairs = first.select(*_pair(F.col("node"), F.col("other"))).distinct()
     pairs = stage.write(estimated(pairs, nodes, least), "near-pairs")
     _release(spark)
     # Full sets of the documents that are in a pair or in a region to be finished, one document a node.
@@ -480,10 +481,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     full = texts.mapInArrow(_full_checked(width), "node binary, shingles array<bigint>").dropDuplicates(["node"])
     sets = stage.write(full, "near-sets")
     _release(spark)
-    links = stage.write(confirmed(pairs.where("at = 0"), sets, percent), "near-links")
-    labels = components(links)
-    more = stage.write(confirmed(_apart(pairs.where("at > 0"), labels), sets, percent), "near-links")
-    labels = extended(labels, more)
+    labels = components(confirmed(pairs, sets, percent))
     for trees in ROUNDS:
         found = stage.write(finished(large(trees), labels, nodes, sets, least, percent, stage), "near-links")
         if not found.isEmpty():

@@ -195,6 +195,22 @@ def test_components_of_chains_and_stars(spark):
     assert len({got[name(i)] for i in range(61)}) == 1 and len({got[name(100 + i)] for i in range(40)}) == 1 and len(set(got.values())) == 2
 
 
+def test_components_of_few_links_take_few_tasks(spark):
+    held = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        links = [(f"{c}{i:04}".encode(), f"{c}{i + 1:04}".encode()) for c in "ab" for i in range(2)]
+        df = neardup.components(spark.createDataFrame([x if i % 3 else x[::-1] for i, x in enumerate(links)], "a binary, b binary"))
+        assert df.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+        got = {bytes(r["node"]): bytes(r["label"]) for r in df.collect()}
+        assert len(got) == 6 and len(set(got.values())) == 2 and all(k[:1] == v[:1] for k, v in got.items())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_near_dedup_keeps_columns(docs):
     assert neardup.near_dedup(docs).columns == docs.columns
 
