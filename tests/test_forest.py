@@ -92,3 +92,10 @@ def test_forest_learns_what_it_is_given(spark):
     x, y, rows = made(spark, 400, 12, False, 1)
     p = shares(classify.forest(rows.where("id < 2100"), rows.where("id >= 2100").drop("label"), 12, trees=30))
     assert (p.argmax(1) == ((x[300:, 0] > 0) + (x[300:, 1] > 0))).mean() > 0.85
+
+
+def test_forest_without_any_slot_gives_the_share_of_labels(spark):
+    rows = spark.createDataFrame([(i, [], [], "ab"[i % 4 == 0]) for i in range(200)], "id long, slots array<bigint>, values array<double>, label string")
+    p = {r["label"]: r["p"] for r in classify.forest(rows, rows.drop("label").limit(1), 5, trees=20).collect()}
+    assert p["a"] == pytest.approx(0.75, abs=0.03) and p["a"] + p["b"] == pytest.approx(1)
+    assert classify.forest(rows, rows.drop("label").limit(0), 5, trees=2).count() == 0
