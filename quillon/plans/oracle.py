@@ -376,7 +376,7 @@ SQL: dict[str, str] = {
         "tq AS (SELECT d.id AS query, (SELECT count(*) FROM docs t WHERE t.split = 'train' AND t.family = d.family) AS total FROM docs d WHERE split = 'test')",
         "fq AS (SELECT pq.*, total, (SELECT sum(1 / log2(i + 1e0)) FROM range(1, 11) r(i) WHERE i <= least(total, ek)) AS ideal FROM pq JOIN tq USING (query))")
         + "SELECT round(avg(hit / CAST(ek AS DOUBLE)) FILTER (total > 0), 6) AS precision, round(avg(hit / CAST(total AS DOUBLE)) FILTER (total > 0), 6) AS recall, round(avg(ap / least(total, ek)) FILTER (total > 0), 6) AS map, round(avg(dcg / ideal) FILTER (total > 0), 6) AS ndcg, round(avg(coalesce(rr, 0e0)) FILTER (total > 0), 6) AS mrr, count(*) FILTER (total > 0) AS queries, count(*) FILTER (total = 0) AS excluded FROM fq",
-    "knn_vote": ctes(VOTES) + "SELECT query, label, round(p, 6) AS p FROM vote",
+    "knn_vote": ctes(VOTES.replace("left(lower(coalesce(text, '')), 16384)", "lower(coalesce(text, ''))")) + "SELECT query, label, round(p, 6) AS p FROM vote",
     "novelty_threshold": ctes(NOVEL) + "SELECT round(t, 6) AS threshold FROM lim",
     "novelty_scores": ctes(NOVEL) + "SELECT query, nearest, round(novelty, 6) AS novelty, is_novel FROM scored",
     "validation_flag_rate": ctes(NOVEL, knn(KNOWN.format("validation"), KNOWN.format("train"), 1, name="va")) + "SELECT round(avg(CASE WHEN (1 - similarity) > t THEN 1e0 ELSE 0e0 END), 6) AS flag_rate, count(*) AS n FROM va JOIN lim ON true",

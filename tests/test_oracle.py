@@ -54,3 +54,17 @@ def test_results_do_not_depend_on_partitions(spark, data, partitions):
         assert sorted(map(tuple, catalog.QUERIES["fingerprint_embeddings"](spark, data).collect())) == want
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_votes_use_whole_texts(spark, data, tmp_path):
+    """Behind 17,000 characters without a term, texts name their class; what is cut there has no neighbours."""
+    n = 200
+    texts = [". " * 8_500 + ("alpha beta gamma delta epsilon" if i % 2 else "omega sigma theta kappa lambda") for i in range(n)]
+    spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1 - i % 2, i % 2) for i in range(n)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = sorted(map(tuple, catalog.QUERIES["knn_vote"](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.sql(oracle.SQL["knn_vote"]).fetchall())
+    assert got == [(i, "TRUE_POSITIVE" if i % 2 else "BENIGN", 1.0) for i in range(170, n)]
